@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import minhash, quality
+from . import langid, linededup, minhash, packing, quality, sharding, tokenscan
 from .common import table
 
 
+def op4_hash_tree_sharding(spark, sf_dir):
+    return sharding.place(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark, sf_dir):
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -14,5 +18,24 @@ def op6_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules, op6_minhash_near_dedup)}
+def op7_nnls_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark, sf_dir):
+    return linededup.digest(table(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark, sf_dir):
+    return tokenscan.token_counts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op4_hash_tree_sharding, op5_quality_rules, op6_minhash_near_dedup, op7_nnls_packing, op8_line_dedup, op9_language_id, op10_token_counts)
+}
 ORACLE: dict[str, str] = {}
