@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from . import langid, linededup, minhash, packing, quality, sharding, tokenscan
+from . import decontam, langid, license, linededup, minhash, packing, quality, sharding, tokenscan, warc
 from .common import table
 
 
+def op1_warc_index_merge(spark, sf_dir):
+    return warc.capture_histories(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts", "range_no", "range_pos")
+
+
+def op2_license_scan(spark, sf_dir):
+    return license.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_latent_decontamination(spark, sf_dir):
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_hash_tree_sharding(spark, sf_dir):
     return sharding.place(table(spark, sf_dir, "documents"))
 
@@ -36,6 +48,6 @@ def op10_token_counts(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op4_hash_tree_sharding, op5_quality_rules, op6_minhash_near_dedup, op7_nnls_packing, op8_line_dedup, op9_language_id, op10_token_counts)
+    for f in (op1_warc_index_merge, op2_license_scan, op3_latent_decontamination, op4_hash_tree_sharding, op5_quality_rules, op6_minhash_near_dedup, op7_nnls_packing, op8_line_dedup, op9_language_id, op10_token_counts)
 }
 ORACLE: dict[str, str] = {}
