@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import documents, geometry, offers, settings, sheets
 
-QUERIES: dict[str, Callable] = {}
-ORACLE: dict[str, str] = {}
+_PARTS = (documents, offers, sheets, geometry, settings)
+QUERIES = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
+ORACLE = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
