@@ -6,11 +6,22 @@ of four minhashes cost 32 minhashes in place of 256. A pair of similarity s shar
 unless all left halves or all right halves differ: with probability at most
 ``2 * (1 - s**ROWS) ** SIDE``, 7e-5 at s = 0.85.
 
-Exact copies (equal shingle sets) are first reduced to one representative. In every table
-each member is compared with the table's smallest member; links so confirmed are merged to
-components, and only members of different components that still share a table are compared
-pairwise, after a test on size and on the agreement of their minhashes, so a large group
-never emits its pairs. Every link is confirmed on the full shingle sets.
+Exact copies (equal shingle sets) are first reduced to one representative. Representatives
+that share a table are candidates, and each pair of candidates is settled in one of three
+ways, none of which emits all pairs of a group:
+
+* in every table each member is compared with one center, the member that is least by a
+  hash, so the center most likely comes from the table's largest family;
+* members at least ``FIRM`` percent similar to a center form clusters with all that are at
+  least ``FIRM - (100 - percent)`` similar to it. As Jaccard distance is a metric, both ends of
+  a link are then in one cluster. Clusters that the links found so far have not merged are
+  compared block by block: a task takes two blocks of representatives and gets all their
+  intersections from matrix products;
+* members less similar to their center than that, and of different clusters, are compared
+  with each other in the table after a test on size and on the agreement of their minhashes,
+  which passes few.
+
+Every link is confirmed on the full shingle sets.
 
 Cases: null or wordless text has an empty set, is linked with nothing and kept; a text of
 one to four words has its whole sequence as its one shingle; rows that share a doc_id are
@@ -21,6 +32,7 @@ take the smallest doc_id; an empty table gives an empty result; extra columns ar
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +42,9 @@ from .graph import components
 from .vecwords import FOLD, SPACE, U, Words, buffer, grams, mix
 
 SHINGLE, SIDE, ROWS = 5, 8, 2
+FIRM = 50  # percent
+BLOCK = 64  # representatives in a block of a cluster
+COLUMNS = 4096  # shingles in one matrix product
 N_HASH = 2 * SIDE * ROWS
 _rng = np.random.default_rng(20240607)
 MULTIPLIERS = _rng.integers(1, 2**63, N_HASH, dtype=np.uint64) * U(2) + U(1)
@@ -90,24 +105,84 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, halves array<long>, sketch array<short>")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (u, v) of doc_ids those whose full sets are similar enough; texts(id, n, text)."""
+def compare(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (hu, hv) those whose full sets are at least so similar: hu, hv, their ids u and
+    v, and the sizes of intersection and union; texts(h, id, n, text)."""
     near = F.expr(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)")
-    left = texts.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("text").alias("tu"))
-    right = texts.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("text").alias("tv"))
+    left = texts.select(F.col("h").alias("hu"), F.col("id").alias("u"), F.col("n").alias("nu"), F.col("text").alias("tu"))
+    right = texts.select(F.col("h").alias("hv"), F.col("id").alias("v"), F.col("n").alias("nv"), F.col("text").alias("tv"))
 
     def run(batches):
         for b in batches:
-            a, fa = shingle_sets(b.column(2))
-            c, fc = shingle_sets(b.column(3))
-            ok = []
+            a, fa = shingle_sets(b.column(4))
+            c, fc = shingle_sets(b.column(5))
+            both, total = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
             for k in range(b.num_rows):
                 x, y = a[fa[k] : fa[k + 1]], c[fc[k] : fc[k + 1]]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
-
-    return pairs.join(left, "u").join(right, "v").where(near).select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long")
+                both[k] = len(np.intersect1d(x, y, assume_unique=True))
+                total[k] = len(x) + len(y) - both[k]
+            ok = (both > 0) & (100 * both >= percent * total)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(both), pa.array(total)], names=["hu", "hv", "u", "v", "both", "total"]).filter(pa.array(ok))
+
+    return pairs.join(left, "hu").join(right, "hv").where(near).select("hu", "hv", "u", "v", "tu", "tv").mapInArrow(run, "hu long, hv long, u long, v long, both long, total long")
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets."""
+    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = counts > 1
+    column = np.cumsum(shared) - 1
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    ok = shared[inverse]
+    owner, column = owner[ok], column[inverse[ok]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)))
+    for k in range(0, int(shared.sum()), COLUMNS):
+        a, z = np.searchsorted(column, (k, k + COLUMNS))
+        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m[owner[a:z], column[a:z] - k] = 1
+        out += m @ m.T
+    return out
+
+
+def cluster_links(clusters: DataFrame, found: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between different components inside clusters(node, component), found by
+    comparing all that is not in a cluster's largest component with the whole cluster."""
+    bounded_batches(clusters.sparkSession)
+    tagged = clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")).join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "cluster", F.coalesce("component", "id").alias("comp"))
+    sizes = tagged.groupBy("cluster", "comp").count()
+    main = sizes.groupBy("cluster").agg(F.max(F.struct("count", "comp")).alias("m"), F.sum("count").alias("n")).where("n > m.count")
+    main = main.select("cluster", F.col("m.comp").alias("main"), F.ceil((F.col("n") - F.col("m.count")) / BLOCK).cast("int").alias("minor_blocks"), F.ceil(F.col("m.count") / BLOCK).cast("int").alias("main_blocks"))
+    members = materialise(tagged.join(main, "cluster"), "clusters")
+
+    def pack_sets(batches):
+        for b in batches:
+            s, o = shingle_sets(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s[o[k] : o[k + 1]].tobytes() for k in range(b.num_rows)], pa.binary())], names=["id", "set"])
+
+    sets = texts.join(members.select("id"), "id", "left_semi").select("id", "text").mapInArrow(pack_sets, "id long, set binary")
+    spot = lambda n: F.pmod(F.xxhash64("id", F.lit("block")), F.col(n)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    mine = spot("minor_blocks")
+    among = F.transform(upto("minor_blocks"), lambda k: cell(0, F.least(mine, k), F.greatest(mine, k)))
+    across = F.transform(upto("main_blocks"), lambda k: cell(1, mine, k))
+    below = F.transform(upto("minor_blocks"), lambda k: cell(1, k, spot("main_blocks")))
+    minor = F.col("comp") != F.col("main")
+    rows = members.withColumn("cell", F.explode(F.when(minor, F.concat(among, across)).otherwise(below))).withColumn("minor", minor)
+    rows = rows.select("cluster", "cell.kind", "cell.i", "cell.j", "id", "comp", "minor").join(sets, "id")
+
+    def settle(key, pdf):
+        kind, i, j = key[1:]
+        s = [np.frombuffer(x, np.uint64) for x in pdf["set"]]
+        n, comp, ids = np.array([len(x) for x in s]), pdf["comp"].to_numpy(), pdf["id"].to_numpy()
+        both = intersections(s)
+        ok = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (comp[:, None] != comp[None, :]) & (ids[:, None] < ids[None, :])
+        u, v = np.nonzero(ok)
+        return pd.DataFrame({"u": ids[u], "v": ids[v]})
+
+    return rows.groupBy("cluster", "kind", "i", "j").applyInPandas(settle, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -119,35 +194,35 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = able.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     mine = F.col("doc_id") == F.col("rep")
     member = materialise(able.join(classes, ["d1", "d2"]).select("doc_id", "n_shingles", "rep", F.when(mine, F.col("halves")).alias("halves"), F.when(mine, F.col("sketch")).alias("sketch")), "members")
-    reps = member.where("doc_id = rep")
+    reps = member.where("doc_id = rep").withColumn("h", F.xxhash64("rep"))
 
     half = lambda k: F.slice("halves", 1 + k * SIDE, SIDE)
     tables = F.flatten(F.transform(half(0), lambda a, i: F.transform(half(1), lambda b, j: F.xxhash64(a, b, i, j))))
-    keys = reps.select("rep", F.explode(tables).alias("key"))
-    shared = keys.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("last")).where("center < last").select("key", "center")
-    # rows (key, rep, center) of all tables with two members or more
-    held = materialise(keys.join(shared, "key"), "tables")
-
-    star = held.where("rep <> center").select(F.col("rep").alias("u"), F.col("center").alias("v")).distinct()
-    wanted = held.select("rep").distinct().join(reps.select("rep", F.col("n_shingles").alias("n")), "rep")
-    texts = materialise(docs.join(wanted, F.col("doc_id") == F.col("rep")).select(F.col("doc_id").alias("id"), "n", "text"), "texts")
-    links = materialise(confirm(star, texts, percent), "links")
+    keys = reps.select("h", F.explode(tables).alias("key"))
+    shared = keys.groupBy("key").agg(F.min("h").alias("center"), F.max("h").alias("last")).where("center < last").select("key", "center")
+    held = materialise(keys.join(shared, "key"), "tables")  # rows of all tables with two members or more
+
+    star = held.where("h <> center").select(F.col("h").alias("hu"), F.col("center").alias("hv")).distinct()
+    wanted = held.select("h").distinct().join(reps.select("h", "rep", F.col("n_shingles").alias("n")), "h")
+    texts = materialise(docs.join(wanted, F.col("doc_id") == F.col("rep")).select(F.col("doc_id").alias("id"), "h", "n", "text"), "texts")
+    akin = materialise(compare(star, texts, max(1, FIRM - (100 - percent))), "akin")
+    close = f"100 * both >= {percent} * total"
+    links = materialise(akin.where(close).select("u", "v"), "links")
     found = components(links)
-
-    # tables that still hold several components
-    tagged = held.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    mixed = tagged.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("key")
-    rest = materialise(tagged.join(mixed, "key").join(reps.select("rep", "n_shingles", "sketch"), "rep"), "rest")
-    sizes = rest.groupBy("key", "comp").count()
-    largest = sizes.groupBy("key").agg(F.max(F.struct("count", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
-    x = rest.join(largest, "key").where("comp <> main").select("key", "main", F.col("rep").alias("u"), F.col("comp").alias("cu"), F.col("n_shingles").alias("nu"), F.col("sketch").alias("su"))
-    y = rest.select("key", F.col("rep").alias("v"), F.col("comp").alias("cv"), F.col("n_shingles").alias("nv"), F.col("sketch").alias("sv"))
+    more = cluster_links(components(akin.select("u", "v")), found, texts, percent)
+
+    # members far from their table's center, with each other
+    firm = akin.where(f"100 * both >= {FIRM} * total").select(F.col("hu").alias("h"), F.col("hv").alias("center"))
+    far = held.where("h <> center").join(firm, ["h", "center"], "left_anti").select("key", "h")
+    several = far.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("key")
+    far = materialise(far.join(several, "key").join(reps.select("h", "n_shingles", "sketch"), "h"), "far")
+    side = lambda s: far.select("key", F.col("h").alias(f"h{s}"), F.col("n_shingles").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
+    x, y = side("u"), side("v")
     agree = F.expr("aggregate(zip_with(su, sv, (p, q) -> if(p = q, 1, 0)), 0, (s, z) -> s + z)")
     least = max(0, int(N_HASH * percent / 100 - 6 * (N_HASH * percent * (100 - percent) / 1e4) ** 0.5))
     fit = F.expr(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)") & (agree >= least)
-    pairs = x.join(y, (x["key"] == y["key"]) & (F.col("cu") != F.col("cv")) & ((F.col("cv") == F.col("main")) | (F.col("u") < F.col("v"))) & fit).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().join(star, ["u", "v"], "left_anti")
-    links = links.unionByName(confirm(pairs, texts, percent))
-    found = components(links)
+    pairs = x.join(y, (x["key"] == y["key"]) & (F.col("hu") < F.col("hv")) & fit).select("hu", "hv").distinct()
+    found = components(links.unionByName(more).unionByName(compare(pairs, texts, percent).where(close).select("u", "v")))
 
     named = member.select("doc_id", "n_shingles", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = sig.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
