@@ -209,19 +209,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     close = f"100 * both >= {percent} * total"
     links = materialise(akin.where(close).select("u", "v"), "links")
     found = components(links)
-    more = cluster_links(components(akin.select("u", "v")), found, texts, percent)
+    clusters = components(akin.select("u", "v"))
+    more = cluster_links(clusters, found, texts, percent)
 
-    # members far from their table's center, with each other
+    # members far from their table's center with each other, unless a cluster has compared them
     firm = akin.where(f"100 * both >= {FIRM} * total").select(F.col("hu").alias("h"), F.col("hv").alias("center"))
     far = held.where("h <> center").join(firm, ["h", "center"], "left_anti").select("key", "h")
     several = far.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("key")
-    far = materialise(far.join(several, "key").join(reps.select("h", "n_shingles", "sketch"), "h"), "far")
-    side = lambda s: far.select("key", F.col("h").alias(f"h{s}"), F.col("n_shingles").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
+    named = reps.join(clusters.withColumnRenamed("node", "rep"), "rep", "left").select("h", F.coalesce("component", "rep").alias("c"), "n_shingles", "sketch")
+    far = materialise(far.join(several, "key").join(named, "h"), "far")
+    side = lambda s: far.select("key", F.col("h").alias(f"h{s}"), F.col("c").alias(f"c{s}"), F.col("n_shingles").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
     x, y = side("u"), side("v")
     agree = F.expr("aggregate(zip_with(su, sv, (p, q) -> if(p = q, 1, 0)), 0, (s, z) -> s + z)")
     least = max(0, int(N_HASH * percent / 100 - 6 * (N_HASH * percent * (100 - percent) / 1e4) ** 0.5))
     fit = F.expr(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)") & (agree >= least)
-    pairs = x.join(y, (x["key"] == y["key"]) & (F.col("hu") < F.col("hv")) & fit).select("hu", "hv").distinct()
+    pairs = x.join(y, (x["key"] == y["key"]) & (F.col("hu") < F.col("hv")) & (F.col("cu") != F.col("cv")) & fit).select("hu", "hv").distinct()
     found = components(links.unionByName(more).unionByName(compare(pairs, texts, percent).where(close).select("u", "v")))
 
     named = member.select("doc_id", "n_shingles", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
