@@ -49,13 +49,14 @@ def base32_sha1(payload: bytes) -> str:
 def record(page_id, url: str | None, ts: str, payload: bytes, digest: str, refers_to) -> bytes:
     """One WARC record; a revisit keeps the HTTP head, with the payload's length, and no payload."""
     revisit = refers_to is not None
+    target = (url or "").replace("\r", "").replace("\n", "")
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if revisit else head + payload
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: <urn:page:{'null' if page_id is None else page_id}>",
-        f"WARC-Target-URI: {re.sub(r'[\\r\\n]', '', url or '')}",
+        f"WARC-Target-URI: {target}",
         f"WARC-Date: {ts}",
         f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http; msgtype=response",
