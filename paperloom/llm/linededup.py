@@ -31,11 +31,12 @@ STOP = np.zeros(256, bool)
 STOP[list(b".!?")] = True
 
 
-def cut(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lines of a batch: where each starts and ends, its text's index, its hash (blanks around it don't count)."""
+def cut(raw: np.ndarray, offsets: np.ndarray):
+    """Lines of a batch: where each starts and ends, its text's index, its hash (blanks around it
+    don't count), and a function that hashes bytes from the first of one line to the last of another."""
     if not len(raw):
         e = np.zeros(0, np.int64)
-        return e, e, e, np.zeros(0, U)
+        return e, e, e, np.zeros(0, U), None
     ends = raw == 0x0A
     ends[:-1] |= STOP[raw[:-1]] & (raw[1:] == 0x20)
     filled = np.diff(offsets) > 0
@@ -53,13 +54,18 @@ def cut(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     hi = np.where(some, (ink[np.maximum(b, 0)] if len(ink) else 0) + 1, start)
     prefix = np.zeros(len(raw) + 1, U)
     np.cumsum((raw.astype(U) + U(1)) * powers(len(raw), BASE), out=prefix[1:])
-    h = mix((prefix[hi] - prefix[lo]) * powers(len(raw) + 1, BASE_INV)[lo] + (hi - lo).astype(U) * U(0xA24BAED4963EE407))
-    return start, end, owner, h
+
+    def between(a: np.ndarray, z: np.ndarray) -> np.ndarray:
+        x, y = lo[a], np.maximum(hi[z], lo[a])
+        return mix((prefix[y] - prefix[x]) * powers(len(raw) + 1, BASE_INV)[x] + (y - x).astype(U) * U(0xA24BAED4963EE407))
+
+    every = np.arange(len(start))
+    return start, end, owner, between(every, every), between
 
 
 def chunks(raw: np.ndarray, offsets: np.ndarray):
     """Chunks of a batch: first and last line (numbers in the batch), text's index, hash; and the lines."""
-    start, end, owner, h = cut(raw, offsets)
+    start, end, owner, h, between = cut(raw, offsets)
     n = len(h)
     if not n:
         e = np.zeros(0, np.int64)
@@ -73,9 +79,7 @@ def chunks(raw: np.ndarray, offsets: np.ndarray):
     edge = last | (inside & (roll < left) & (roll < right))
     to = np.flatnonzero(edge)
     frm = np.concatenate((np.zeros(1, np.int64), to[:-1] + 1))
-    power = mix(np.arange(n, dtype=U) - np.repeat(frm, to - frm + 1).astype(U) + U(77)) | U(1)
-    total = np.concatenate((np.zeros(1, U), np.cumsum(h * power)))
-    key = mix(total[to + 1] - total[frm] + (to - frm + 1).astype(U))
+    key = between(frm, to)
     return frm, to, owner[frm], key, (start, end, owner)
 
 
@@ -151,7 +155,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             fields = [row.field(k) for k in range(len(full))]
             text = fields[text_at]
             owner, number, key, lo, hi, raw, offsets = candidates(text, min_words)
-            start, _, of, _ = cut(raw, offsets)
+            start, _, of, *_ = cut(raw, offsets)
             cuts = b.column(1).to_pylist()
             gone: list[list[tuple[int, int]]] = [[] for _ in range(b.num_rows)]
             lists_of = [{} for _ in range(b.num_rows)]
