@@ -205,7 +205,7 @@ def split_row(line: str) -> list[str]:
     return [c.strip().replace("\\|", "|") for c in cells]
 
 
-_INLINE = re.compile(r"(?P<code>`+)(?P<body>.+?)(?<!`)(?P=code)(?!`)|!\[(?P<alt>[^\]]*)\]\([^)]*\)|\[(?P<label>(?:[^\[\]]|\[[^\]]*\])*)\]\((?P<href>[^\s)]*)(?:\s+\"[^\"]*\")?\)|\*\*(?P<strong>.+?)\*\*|__(?P<strong2>.+?)__|\*(?P<em>[^*\s](?:.*?[^*\s])?)\*|(?<!\w)_(?P<em2>[^_\s](?:.*?[^_\s])?)_(?!\w)|~~(?P<strike>.+?)~~|\\(?P<escaped>[!-/:-@\[-`{-~])|<(?P<auto>[a-z][a-z0-9+.-]*:[^>\s]*)>|(?P<html></?[A-Za-z][^>]*>)", re.S)
+_INLINE = re.compile(r"(?P<code>`+)(?P<body>.+?)(?<!`)(?P=code)(?!`)|!\[(?P<alt>[^\]]*)\]\([^)]*\)|\[(?P<label>(?:[^\[\]]|\[[^\]]*\])*)\]\((?P<href>[^\s)]*)(?:\s+\"[^\"]*\")?\)|\*\*(?P<strong>.+?)\*\*(?!\*)|__(?P<strong2>.+?)__(?!_)|\*(?P<em>[^*\s](?:.*?[^*\s])?)\*|(?<!\w)_(?P<em2>[^_\s](?:.*?[^_\s])?)_(?!\w)|~~(?P<strike>.+?)~~|\\(?P<escaped>[!-/:-@\[-`{-~])|<(?P<auto>[a-z][a-z0-9+.-]*:[^>\s]*)>|(?P<html></?[A-Za-z][^>]*>)", re.S)
 
 
 def spans_of(text: str, lose=None, path: tuple = (), count=None) -> list[dict]:
