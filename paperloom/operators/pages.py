@@ -151,10 +151,11 @@ def largest_component(rects: DataFrame, key: list[str]) -> DataFrame:
 
 def find_grids(rects: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
     """(xs, ys) of each page's grid: lines (key..., ix, value). A grid has two lines each way and isn't a lone box."""
-    one = largest_component(components(distinct_rects(rects, key), key), key)
+    # each is read several times below, so each is kept: a page's largest component and its few lines
+    one = largest_component(components(distinct_rects(rects, key), key), key).persist()
     edge = lambda p, q: one.select(*key, "rect_ix", F.explode(F.array(p, q)).alias("value"))
-    xs, ys = boundaries(edge("x0", "x1"), key), boundaries(edge("y0", "y1"), key)
-    closed = closed_at_top(one, ys, key)
+    xs, ys = boundaries(edge("x0", "x1"), key).persist(), boundaries(edge("y0", "y1"), key).persist()
+    closed = closed_at_top(one, ys, key).persist()
     ys = ys.join(closed, key, "left_semi").unionByName(implied_top(ys.join(closed, key, "left_anti"), key))
     nx, ny = (d.groupBy(*key).count().withColumnRenamed("count", c) for d, c in ((xs, "nx"), (ys, "ny")))
     # a single line across has no implied second one

@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from ..operators import pages as P
 from .base import rows_by_document
 
-RECTS = "doc_id long, page int, rect_ix int, x0 double, y0 double, x1 double, y1 double"
-RUNS = "doc_id long, page int, run_ix int, text string, x double, y double, size_pt double"
 PAGES = "doc_id long, page int, width_pt double, height_pt double, rotated int, images int, error string"
 
 IDENTITY = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
@@ -326,21 +324,29 @@ def _decode(data, max_pages: int = P.MAX_PAGES) -> tuple[list[dict], str | None]
     return ([], f"page {crowded + 1} has {len(out[crowded]['rects'])} rectangles") if crowded is not None else (out, None)
 
 
-def geometry(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rects, runs, pages) of files(doc_id, content)."""
-    def rects(doc_id, data):
-        return [{"doc_id": doc_id, "page": k, "rect_ix": j, "x0": r[0], "y0": r[1], "x1": r[2], "y1": r[3]} for k, p in enumerate(_decode(data)[0]) for j, r in enumerate(p["rects"])]
+DECODED = f"{PAGES}, rects array<struct<x0:double,y0:double,x1:double,y1:double>>, runs array<struct<text:string,x:double,y:double,size_pt:double>>"
+
 
-    def runs(doc_id, data):
-        return [{"doc_id": doc_id, "page": k, "run_ix": j, "text": r[0], "x": r[1], "y": r[2], "size_pt": r[3]} for k, p in enumerate(_decode(data)[0]) for j, r in enumerate(p["runs"])]
+def decoded_rows(doc_id, data) -> list[dict]:
+    """A row for each page, or one that says why the file is refused."""
+    got, error = _decode(data)
+    blank = dict.fromkeys(x.split(" ")[0] for x in PAGES.split(", ")) | {"doc_id": doc_id, "rects": [], "runs": []}
+    if error:
+        return [blank | {"error": error}]
+    return [
+        blank
+        | {"page": k, "width_pt": p["width"], "height_pt": p["height"], "rotated": p["rotated"], "images": p["images"]}
+        | {"rects": [dict(zip(("x0", "y0", "x1", "y1"), r, strict=True)) for r in p["rects"]], "runs": [dict(zip(("text", "x", "y", "size_pt"), r, strict=True)) for r in p["runs"]]}
+        for k, p in enumerate(got)
+    ]
 
-    def pages(doc_id, data):
-        got, error = _decode(data)
-        blank = dict.fromkeys(x.split(" ")[0] for x in PAGES.split(", ")) | {"doc_id": doc_id}
-        return [blank | {"error": error}] if error else [blank | {"page": k, "width_pt": p["width"], "height_pt": p["height"], "rotated": p["rotated"], "images": p["images"]} for k, p in enumerate(got)]
 
-    src = files.select("doc_id", "content")
-    return rows_by_document(src, rects, RECTS), rows_by_document(src, runs, RUNS), rows_by_document(src, pages, PAGES)
+def geometry(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rects, runs, pages) of files(doc_id, content); a file is decoded once and kept while they are used."""
+    pages = rows_by_document(files.select("doc_id", "content"), decoded_rows, DECODED).persist()
+    rects = pages.select("doc_id", "page", F.posexplode("rects").alias("rect_ix", "r")).select("doc_id", "page", "rect_ix", "r.*")
+    runs = pages.select("doc_id", "page", F.posexplode("runs").alias("run_ix", "r")).select("doc_id", "page", "run_ix", "r.*")
+    return rects, runs, pages.drop("rects", "runs")
 
 
 def read(files: DataFrame) -> dict[str, DataFrame]:
@@ -349,7 +355,7 @@ def read(files: DataFrame) -> dict[str, DataFrame]:
     key = ["doc_id", "page"]
     sized = rects.join(pages.select(*key, "width_pt", "height_pt"), key)
     framed = P.without_page_frame(sized, F.col("width_pt"), F.col("height_pt")).select(*rects.columns)
-    xs, ys = P.find_grids(framed, key)
+    xs, ys = (lines.persist() for lines in P.find_grids(framed, key))  # a few numbers a page, used four times
     cells = P.table_cells(runs, xs, ys, key)
     inside = P.assign_bands(P.assign_bands(runs, xs, key, "x", "col"), ys, key, "y", "band").where("col is not null and band is not null").select(*key, "run_ix")
     prose = runs.join(inside, [*key, "run_ix"], "left_anti")

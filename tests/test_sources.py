@@ -82,21 +82,16 @@ def test_spans():
     assert markdown.spans_of("[](x)") == [{"v": None, "path": [{"t": "link", "href": "x", "node": 1}]}]
 
 
-@pytest.mark.parametrize("source", ["", "\n\n", "plain", "* * *", "#", "#no heading", "- ", "```\nopen", "| a |\n|---|", "1) x\n\n\n2) y", "> ", "    code\n\n    more", "a\n---", "x\r\ny\r\n\r\nz"])
-def test_odd_sources_reach_a_fixed_point(spark, source):
-    df = spark.createDataFrame([(1, source)], "doc_id long, text string")
-    once = markdown.normalise(df)
-    again = markdown.normalise(once.withColumnRenamed("markdown", "text"))
-    assert [r.markdown for r in once.collect()] == [r.markdown for r in again.collect()]
-
-
-def test_kitchen_sink_reaches_a_fixed_point(spark):
-    df = spark.createDataFrame([(1, KITCHEN), (2, None)], "doc_id long, text string")
-    once = markdown.normalise(df)
-    text = once.first().markdown
+ODD = ["", "\n\n", "plain", "* * *", "#", "#no heading", "- ", "```\nopen", "| a |\n|---|", "1) x\n\n\n2) y", "> ", "    code\n\n    more", "a\n---", "x\r\ny\r\n\r\nz", KITCHEN, None]
+
+
+def test_all_sources_reach_a_fixed_point(spark):
+    df = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
+    once = {r.doc_id: r.markdown for r in markdown.normalise(df).collect()}
+    text = once[ODD.index(KITCHEN)]
     assert text.startswith("# Title of *all*\n\nSome **bold _both_**") and "3. Third\n4. Fourth" in text
-    again = markdown.normalise(once.withColumnRenamed("markdown", "text"))
-    assert again.first().markdown == text
+    again = markdown.normalise(spark.createDataFrame(list(once.items()), df.schema))
+    assert {r.doc_id: r.markdown for r in again.collect()} == once
 
 
 # --- packages
@@ -233,13 +228,17 @@ def page(k, n):
 
 
 def test_pdf_tables_and_prose(spark):
-    for packed in (True, False):
-        got = pdf.read(spark.createDataFrame([(1, bytearray(make_pdf([page(1, 2), page(2, 2)], packed)))], "doc_id long, content binary"))
-        cells = {(r.page, r.row, r.col): r.text for r in got["cells"].collect()}
-        assert cells == {(p_, j, i): f"r{j}c{i}" for p_ in (0, 1) for i in range(2) for j in range(3)}
-        first = [(r.t, r.text) for r in got["blocks"].where("page = 0").orderBy("block_ix").collect()]
-        assert first == [("para", "Letterhead"), ("heading", "Big (head)"), ("para", "some body text"), ("para", "1 / 2")]
-        assert ["1 / 2", "2 / 2"] in [r.texts for r in got["repeated"].collect()]
+    got = pdf.read(spark.createDataFrame([(1, bytearray(make_pdf([page(1, 2), page(2, 2)])))], "doc_id long, content binary"))
+    cells = {(r.page, r.row, r.col): r.text for r in got["cells"].collect()}
+    assert cells == {(p_, j, i): f"r{j}c{i}" for p_ in (0, 1) for i in range(2) for j in range(3)}
+    first = [(r.t, r.text) for r in got["blocks"].where("page = 0").orderBy("block_ix").collect()]
+    assert first == [("para", "Letterhead"), ("heading", "Big (head)"), ("para", "some body text"), ("para", "1 / 2")]
+    assert ["1 / 2", "2 / 2"] in [r.texts for r in got["repeated"].collect()]
+
+
+def test_pdf_streams_packed_or_not():
+    packed, plain = (pdf._decode(make_pdf([page(1, 1)], x))[0] for x in (True, False))
+    assert packed == plain and len(packed[0]["rects"]) == 6
 
 
 def test_pdf_refusals(spark):
