@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from . import decontam, langid, license, linededup, minhash, packing, quality, sharding, tokenscan, warc
 from .common import table
+from .oracles import ORACLE  # noqa: F401
 
 
 def op1_warc_index_merge(spark, sf_dir):
-    return warc.capture_histories(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts", "range_no", "range_pos")
+    return warc.capture_histories(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts")
 
 
 def op2_license_scan(spark, sf_dir):
@@ -50,4 +51,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_warc_index_merge, op2_license_scan, op3_latent_decontamination, op4_hash_tree_sharding, op5_quality_rules, op6_minhash_near_dedup, op7_nnls_packing, op8_line_dedup, op9_language_id, op10_token_counts)
 }
-ORACLE: dict[str, str] = {}
+
