@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_ROWS = 512
-BATCH_BYTES = 8 * 2**20
+BATCH_BYTES = 2 * 2**20  # a batch's numpy arrays take some fifty times its bytes
 
 
 def shared_dir(spark: SparkSession) -> str:
