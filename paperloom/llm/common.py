@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_ROWS = 512
-BATCH_BYTES = 2 * 2**20  # a batch's numpy arrays take some fifty times its bytes
+BATCH_BYTES = 2**20  # a batch's numpy arrays take some fifty times its bytes
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +47,29 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def release() -> None:
+    """Give back what a finished task's arrays took: workers outlive their tasks, and their
+    memory counts beside that of the JVM's next stages."""
+    from .vecwords import POWERS
+
+    POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidily(run):
+    """A function over Arrow batches that gives its memory back at its end."""
+
+    def tidy_run(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidy_run
+
+
 def fold_ascii(col):
     """Lower-case A-Z and nothing else."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, tidily
 from .vecwords import FOLD, U, buffer, sums
 
 FEATURES, SAMPLE, CENTROIDS, ROUNDS = 4096, 2000, 3, 10
@@ -95,7 +95,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> di
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(FEATURES + 1)), pa.array(total)], names=["feature", "df"])
 
     df = np.zeros(FEATURES + 1)
-    for r in train.select("text").mapInArrow(frequency, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).collect():
+    for r in train.select("text").mapInArrow(tidily(frequency), "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).collect():
         df[r["feature"]] = r["df"]
     idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 0.1).astype(np.float32)
 
@@ -111,7 +111,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> di
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in v], pa.binary())], names=["lang", "v"])
 
     rows: dict[str, list] = {}
-    for r in chosen.mapInArrow(embed, "lang string, v binary").collect():  # about `sample` rows of 8 KB
+    for r in chosen.mapInArrow(tidily(embed), "lang string, v binary").collect():  # about `sample` rows of 8 KB
         rows.setdefault(r["lang"], []).append(bytes(r["v"]))
     langs, cs, least = [], [], []
     for lang in sorted(rows):
@@ -140,7 +140,7 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
             pred = [model["langs"][k] if ok else "und" for k, ok in zip(best, known, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(pred, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(far)], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
-    return docs.select(F.col("doc_id").cast("long"), held_out(), F.col("text").cast("string")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return docs.select(F.col("doc_id").cast("long"), held_out(), F.col("text").cast("string")).mapInArrow(tidily(run), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, materialise
+from .common import bounded_batches, materialise, tidily
 from .vecwords import BASE, BASE_INV, SPACE, U, buffer, mix, powers
 
 MIN_WORDS = 10
@@ -125,7 +125,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             once.sort()
             yield pa.RecordBatch.from_arrays([pa.array(key[once].view(np.int64)), b.column(0).take(pa.array(owner[once])), b.column(1).take(pa.array(owner[once])), pa.array(number[once].astype(np.int32))], names=["hash", "k1", "k2", "number"])
 
-    own = materialise(keyed.select("k1", "k2", F.col("row.text").alias("text")).mapInArrow(emit, "hash long, k1 long, k2 long, number int"), "chunks")
+    own = materialise(keyed.select("k1", "k2", F.col("row.text").alias("text")).mapInArrow(tidily(emit), "hash long, k1 long, k2 long, number int"), "chunks")
     repeated = own.groupBy("hash").agg(F.min("k1").alias("first"), F.max("k1").alias("last")).where("first < last").select("hash", "first")
     found = materialise(own.join(repeated, "hash"), "repeated")
 
@@ -140,7 +140,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array([_strip(raw, lo[k], hi[k]) for k in at], pa.binary())], names=["hash", "bytes"])
 
     texts = keyed.select("k1", "k2", F.col("row.text").alias("text"))
-    kept = texts.join(firsts, ["k1", "k2"]).select("text", "numbers").mapInArrow(fetch, "hash long, bytes binary").distinct()
+    kept = texts.join(firsts, ["k1", "k2"]).select("text", "numbers").mapInArrow(tidily(fetch), "hash long, bytes binary").distinct()
     later = found.where("k1 > first").select("hash", "k1", "k2", "number").distinct()
     lists = later.join(kept, "hash").groupBy("k1", "k2").agg(F.collect_set(F.struct("number", "bytes")).alias("cuts"))
 
@@ -190,7 +190,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             fields[text_at] = pa.array(out, text.type)
             yield pa.RecordBatch.from_arrays([*fields, pa.array(lines.astype(np.int64)), pa.array(dropped)], names=[*names, n_lines, n_cut])
 
-    return keyed.join(lists, ["k1", "k2"], "left").select("row", "cuts").mapInArrow(cut_batch, schema)
+    return keyed.join(lists, ["k1", "k2"], "left").select("row", "cuts").mapInArrow(tidily(cut_batch), schema)
 
 
 def _fresh(names: list[str], want: str) -> str:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise
+from .common import bounded_batches, materialise, tidily
 from .graph import components
 from .vecwords import FOLD, SPACE, U, Words, buffer, grams, mix
 
@@ -102,7 +102,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             sketch = pa.ListArray.from_arrays(np.arange(0, len(n) * N_HASH + 1, N_HASH, dtype=np.int32), pa.array(bits.reshape(-1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), keys, sketch], names=["doc_id", "n_shingles", "d1", "d2", "halves", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, halves array<long>, sketch array<short>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidily(run), "doc_id long, n_shingles long, d1 long, d2 long, halves array<long>, sketch array<short>")
 
 
 def compare(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -124,7 +124,7 @@ def compare(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             ok = (both > 0) & (100 * both >= percent * total)
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(both), pa.array(total)], names=["hu", "hv", "u", "v", "both", "total"]).filter(pa.array(ok))
 
-    return pairs.join(left, "hu").join(right, "hv").where(near).select("hu", "hv", "u", "v", "tu", "tv").mapInArrow(run, "hu long, hv long, u long, v long, both long, total long")
+    return pairs.join(left, "hu").join(right, "hv").where(near).select("hu", "hv", "u", "v", "tu", "tv").mapInArrow(tidily(run), "hu long, hv long, u long, v long, both long, total long")
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -161,7 +161,7 @@ def cluster_links(clusters: DataFrame, found: DataFrame, texts: DataFrame, perce
             s, o = shingle_sets(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s[o[k] : o[k + 1]].tobytes() for k in range(b.num_rows)], pa.binary())], names=["id", "set"])
 
-    sets = texts.join(members.select("id"), "id", "left_semi").select("id", "text").mapInArrow(pack_sets, "id long, set binary")
+    sets = texts.join(members.select("id"), "id", "left_semi").select("id", "text").mapInArrow(tidily(pack_sets), "id long, set binary")
     spot = lambda n: F.pmod(F.xxhash64("id", F.lit("block")), F.col(n)).cast("int")
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, materialise
+from .common import bounded_batches, materialise, tidily
 from .vecwords import NEWLINE, SPACE, Words, buffer, grams, mix, sums
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -84,7 +84,7 @@ def with_counts(docs: DataFrame, text: str = "text", name: str = "_counts") -> D
             column = pa.StructArray.from_arrays([pa.array(got[c].astype(np.int64)) for c in COUNTS], names=list(COUNTS))
             yield pa.RecordBatch.from_arrays([*b.columns, column], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidily(run), schema)
 
 
 def signals(c) -> dict[str, Column]:

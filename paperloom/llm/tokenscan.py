@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, shared_dir
+from .common import bounded_batches, materialise, shared_dir, tidily
 from .tokens import encoder, qualified, store, vocabulary_path
 
 BLOCK = 1 << 20  # tokens
@@ -56,7 +56,7 @@ def write_files(docs: DataFrame, path: str | None = None, separator: int = SEPAR
                 yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(np.arange(ordinal, ordinal + n)), b.column(0), pa.array(ends, pa.int64())], names=["file", "doc_no", "doc_id", "tokens_after"])
                 ordinal += n
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "file string, doc_no long, doc_id long, tokens_after long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidily(run), "file string, doc_no long, doc_id long, tokens_after long")
     return folder, materialise(rows, "manifest")
 
 
@@ -78,7 +78,7 @@ def scan(files: DataFrame, folder: str, separator: int = SEPARATOR, block: int =
                 before = np.concatenate((np.full(min(n, 1), -1, np.int64), ends[:-1]))
                 yield pa.RecordBatch.from_arrays([pa.array([file] * n, pa.string()), pa.array(np.full(n, k)), pa.array(np.arange(n)), pa.array(ends), pa.array(before)], names=["file", "block", "at", "end", "before"])
 
-    found = materialise(blocks.mapInArrow(run, "file string, block long, at long, end long, before long"), "separators")
+    found = materialise(blocks.mapInArrow(tidily(run), "file string, block long, at long, end long, before long"), "separators")
     summary = found.groupBy("file", "block").agg(F.count("*").alias("n"), F.max("end").alias("last"))
     past = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select("file", "block", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("docs_before"), F.coalesce(F.max("last").over(past), F.lit(-1)).alias("end_before"))

@@ -54,12 +54,15 @@ def sums(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def powers(n: int, base: np.uint64, cache: dict = {}) -> np.ndarray:  # noqa: B006
-    have = cache.get(int(base))
+POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(n: int, base: np.uint64) -> np.ndarray:
+    have = POWERS.get(int(base))
     if have is None or len(have) < n:
         have = np.full(max(n, 1 << 16), base, U)
         have[0] = U(1)
-        have = cache[int(base)] = np.multiply.accumulate(have)
+        have = POWERS[int(base)] = np.multiply.accumulate(have)
     return have[:n]
 
 

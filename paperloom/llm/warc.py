@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, shared_dir
+from .common import bounded_batches, materialise, shared_dir, tidily
 from .tokens import qualified, store
 
 EPOCH = "2020-01-01T00:00:00Z"
@@ -161,7 +161,7 @@ def write_archives(pages: DataFrame) -> tuple[str, DataFrame]:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["archive", "records"])
 
-    return folder, materialise(rows.mapInArrow(run, "archive string, records long"), "archives")
+    return folder, materialise(rows.mapInArrow(tidily(run), "archive string, records long"), "archives")
 
 
 def read_archives(archives: DataFrame, folder: str) -> DataFrame:
@@ -179,7 +179,7 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
                 for k in range(0, len(rows), 10_000):
                     yield entries(rows[k : k + 10_000])
 
-    return archives.select("archive").repartition(F.col("archive")).mapInArrow(run, ENTRY)
+    return archives.select("archive").repartition(F.col("archive")).mapInArrow(tidily(run), ENTRY)
 
 
 # --- the merge
@@ -260,7 +260,7 @@ def merge_index(runs: DataFrame, n_entries: int, per_range: int = ENTRIES_PER_RA
         if out:
             yield placed(out, number, at)
 
-    return dealt.mapInArrow(run, ENTRY + ", range_no long, range_pos long")
+    return dealt.mapInArrow(tidily(run), ENTRY + ", range_no long, range_pos long")
 
 
 def placed(rows: list[tuple], number: int, at: int) -> pa.RecordBatch:
