@@ -138,7 +138,8 @@ def write_archives(pages: DataFrame) -> tuple[str, DataFrame]:
     folder = qualified(spark, shared_dir(spark))
     body = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", body.alias("html"), "ts", F.sha1(body.cast("binary")).alias("sha1"))
-    first = rows.groupBy("sha1").agg(F.min("page_id").alias("first"))
+    # written, so that both sides of the join are dealt out for it alone and a hot payload can be split
+    first = materialise(rows.groupBy("sha1").agg(F.min("page_id").alias("first")), "first")
     rows = rows.join(first, "sha1").select("page_id", "url", "html", F.coalesce("ts", F.lit(EPOCH)).alias("ts"), F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
     def run(batches):
