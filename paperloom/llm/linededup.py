@@ -127,7 +127,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     own = materialise(keyed.select("k1", "k2", F.col("row.text").alias("text")).mapInArrow(tidily(emit), "hash long, k1 long, k2 long, number int"), "chunks")
     repeated = own.groupBy("hash").agg(F.min("k1").alias("first"), F.max("k1").alias("last")).where("first < last").select("hash", "first")
-    found = materialise(own.join(repeated, "hash"), "repeated")
+    # written first, so that a very common chunk's rows can be split in the join
+    found = materialise(own.join(materialise(repeated, "hashes"), "hash"), "repeated")
 
     # bytes of the first occurrences
     firsts = found.where("k1 = first").groupBy("k1", "k2").agg(F.collect_set("number").alias("numbers"))
