@@ -154,7 +154,7 @@ def cluster_links(clusters: DataFrame, found: DataFrame, texts: DataFrame, perce
     sizes = tagged.groupBy("cluster", "comp").count()
     main = sizes.groupBy("cluster").agg(F.max(F.struct("count", "comp")).alias("m"), F.sum("count").alias("n")).where("n > m.count")
     main = main.select("cluster", F.col("m.comp").alias("main"), F.ceil((F.col("n") - F.col("m.count")) / BLOCK).cast("int").alias("minor_blocks"), F.ceil(F.col("m.count") / BLOCK).cast("int").alias("main_blocks"))
-    members = materialise(tagged.join(main, "cluster"), "clusters")
+    members = materialise(tagged.join(materialise(main, "mixed"), "cluster"), "clusters")
 
     def pack_sets(batches):
         for b in batches:
@@ -191,7 +191,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = materialise(signatures(docs), "signatures")
     able = sig.where("n_shingles > 0 and doc_id is not null")
-    classes = able.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    # aggregates are written before they are joined: then both sides are dealt out for the join
+    # alone, and the rows of a hot key (very many copies, a very common table) can be split
+    classes = materialise(able.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     mine = F.col("doc_id") == F.col("rep")
     member = materialise(able.join(classes, ["d1", "d2"]).select("doc_id", "n_shingles", "rep", F.when(mine, F.col("halves")).alias("halves"), F.when(mine, F.col("sketch")).alias("sketch")), "members")
     reps = member.where("doc_id = rep").withColumn("h", F.xxhash64("rep"))
@@ -200,7 +202,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     tables = F.flatten(F.transform(half(0), lambda a, i: F.transform(half(1), lambda b, j: F.xxhash64(a, b, i, j))))
     keys = reps.select("h", F.explode(tables).alias("key"))
     shared = keys.groupBy("key").agg(F.min("h").alias("center"), F.max("h").alias("last")).where("center < last").select("key", "center")
-    held = materialise(keys.join(shared, "key"), "tables")  # rows of all tables with two members or more
+    held = materialise(keys.join(materialise(shared, "shared"), "key"), "tables")  # rows of all tables with two members or more
 
     star = held.where("h <> center").select(F.col("h").alias("hu"), F.col("center").alias("hv")).distinct()
     wanted = held.select("h").distinct().join(reps.select("h", "rep", F.col("n_shingles").alias("n")), "h")
