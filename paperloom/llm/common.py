@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -31,14 +33,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/paperloom-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there, and
-    the loss of an executor costs nothing that was already written."""
-    path = f"{shared_dir(df.sparkSession)}/{name}"
+def materialise(df: DataFrame, name: str = "t", folder: str | None = None) -> DataFrame:
+    """Write a table to the shared folder (or a folder in it) and read it back: lineage ends there,
+    and the loss of an executor costs nothing that was already written."""
+    path = f"{folder or shared_dir(df.sparkSession)}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of tables that nothing reads any more, and let Spark drop the shuffles behind them."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for _ in range(2):  # Python's references to plans are let go of first, in the background
+        gc.collect()
+        time.sleep(0.3)
+        jvm.System.gc()
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small enough for whole texts (rows and, where known, bytes)."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:

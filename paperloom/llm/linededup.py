@@ -1,18 +1,25 @@
-"""Line dedup by content-defined chunks of lines (operator 8).
-
-A line ends at a newline or after a sentence's end that a space follows, so a passage is
-found even if it was pasted into the middle of a line. A rolling hash over two neighbouring
-line hashes is taken at every line; a boundary falls where it is smaller than its two
-neighbours. So a boundary depends on a few lines around it only (inserted lines shift
-nothing further on), and every chunk inside a text has two lines or more. Chunks whose
-hash stands in several documents, or again in one, are removed if their bytes equal those
-of the first occurrence, which stays; first is the smallest doc_id, then the position.
-
-Cases: null and empty text have no line and pass unchanged; chunks of one line, or with
-fewer than ``min_words`` words, never go; rows that share a doc_id (all null ones too) are
-one document, and none of them loses a chunk to another; a chunk's hash that another chunk
-has by chance fails the comparison and stays; empty tables give empty results; input
-columns keep their names.
+"""Line dedup by content-defined windows of lines (operator 8).
+
+A line ends at a newline or after a sentence's end that a space follows. Lines of
+``min_words`` words or more are divided into blocks of that many words, counted from the
+line's end, so that a passage pasted into the middle of a line shares its blocks with other
+places; what is left at such a line's start, and every shorter line, is a unit too. Of every
+unit the shortest run of units that ends with it and has ``min_words`` words is a window, and
+the shortest that starts with it if no other window starts there. A window depends on its own
+words and line ends only, and windows overlap, so a repeated passage of ``min_words`` words
+that starts with a line and ends with one is covered by repeated windows from its first word
+to its last; if it has twice as many and starts inside a line, fewer than ``min_words`` words at its
+start may stay.
+
+Windows whose hash stands in several documents, or again in one, are removed if their bytes
+equal those of the first occurrence, which stays unless other windows of it go; first is the
+smallest doc_id, then the position. So whatever is cut stands at an earlier place.
+
+Cases: null and empty text have no line and pass unchanged; passages with fewer than
+``min_words`` words never go; rows that share a doc_id (all null ones too) are one document,
+and none of them loses a window to another; a window's hash that another window has by chance
+fails the comparison and stays; of a passage that repeats itself without a break, the first
+unit stays; empty tables give empty results; input columns keep their names.
 """
 
 from __future__ import annotations
@@ -23,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, materialise, tidily
-from .vecwords import BASE, BASE_INV, SPACE, U, buffer, mix, powers
+from .common import bounded_batches, discard, materialise, shared_dir, tidily
+from .vecwords import BASE, BASE_INV, SPACE, U, Words, buffer, mix, powers
 
 MIN_WORDS = 10
 STOP = np.zeros(256, bool)
@@ -32,74 +39,70 @@ STOP[list(b".!?")] = True
 
 
 def cut(raw: np.ndarray, offsets: np.ndarray):
-    """Lines of a batch: where each starts and ends, its text's index, its hash (blanks around it
-    don't count), and a function that hashes bytes from the first of one line to the last of another."""
+    """Lines of a batch: where each starts and ends, and its text's index."""
     if not len(raw):
         e = np.zeros(0, np.int64)
-        return e, e, e, np.zeros(0, U), None
+        return e, e, e
     ends = raw == 0x0A
     ends[:-1] |= STOP[raw[:-1]] & (raw[1:] == 0x20)
     filled = np.diff(offsets) > 0
     ends[offsets[1:][filled] - 1] = True
     end = np.flatnonzero(ends) + 1
     start = np.concatenate((np.zeros(1, np.int64), end[:-1]))
-    owner = np.searchsorted(offsets, start, "right") - 1
-    blank = SPACE[raw]
-    # nearest byte that isn't blank, from the left and from the right
-    ink = np.flatnonzero(~blank)
-    a = np.searchsorted(ink, start)
-    b = np.searchsorted(ink, end) - 1
-    some = b >= a
-    lo = np.where(some, ink[np.minimum(a, max(len(ink) - 1, 0))] if len(ink) else 0, start)
-    hi = np.where(some, (ink[np.maximum(b, 0)] if len(ink) else 0) + 1, start)
-    prefix = np.zeros(len(raw) + 1, U)
-    np.cumsum((raw.astype(U) + U(1)) * powers(len(raw), BASE), out=prefix[1:])
-
-    def between(a: np.ndarray, z: np.ndarray) -> np.ndarray:
-        x, y = lo[a], np.maximum(hi[z], lo[a])
-        return mix((prefix[y] - prefix[x]) * powers(len(raw) + 1, BASE_INV)[x] + (y - x).astype(U) * U(0xA24BAED4963EE407))
+    return start, end, np.searchsorted(offsets, start, "right") - 1
 
-    every = np.arange(len(start))
-    return start, end, owner, between(every, every), between
 
-
-def chunks(raw: np.ndarray, offsets: np.ndarray):
-    """Chunks of a batch: first and last line (numbers in the batch), text's index, hash; and the lines."""
-    start, end, owner, h, between = cut(raw, offsets)
-    n = len(h)
+def chunks(raw: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS):
+    """Windows of a batch: first and last word (numbers in the batch), text's index, hash; and of each
+    word where it starts and ends (blanks up to the next word or the line's ends included) and its text's index."""
+    lines, line_ends, texts = cut(raw, offsets)
+    words = Words(raw, offsets, SPACE)
+    n = len(words.start)
     if not n:
         e = np.zeros(0, np.int64)
-        return e, e, e, np.zeros(0, U), (start, end, owner)
-    same = np.concatenate((np.zeros(1, bool), owner[1:] == owner[:-1]))
-    roll = mix(np.where(same, np.concatenate((np.zeros(1, U), h[:-1])), U(0)) * U(0x9E3779B97F4A7C15) + h)
-    left = np.concatenate((np.zeros(1, U), roll[:-1]))
-    right = np.concatenate((roll[1:], np.zeros(1, U)))
-    last = np.concatenate((owner[1:] != owner[:-1], np.ones(1, bool)))
-    inside = same & ~last  # neither the first nor the last line of a text
-    edge = last | (inside & (roll < left) & (roll < right))
-    to = np.flatnonzero(edge)
-    frm = np.concatenate((np.zeros(1, np.int64), to[:-1] + 1))
-    key = between(frm, to)
-    return frm, to, owner[frm], key, (start, end, owner)
-
+        return e, e, e, np.zeros(0, U), (e, e, e)
+    line = np.searchsorted(lines, words.start, "right") - 1
+    owner = texts[line]
+    opens = np.concatenate((np.ones(1, bool), line[1:] != line[:-1]))
+    closes = np.concatenate((opens[1:], np.ones(1, bool)))
+    start = np.where(opens, lines[line], words.start)
+    end = np.where(closes, line_ends[line], np.concatenate((words.start[1:], np.zeros(1, np.int64))))
+
+    # units: first word, and the word after the last
+    stops = np.flatnonzero(closes) + 1
+    left = stops[np.searchsorted(stops, np.arange(n), "right")] - np.arange(n)  # words to the line's end
+    a = np.flatnonzero(opens | (left % min_words == 0))
+    z = np.concatenate((a[1:], np.full(1, n)))
+    least = words.first[owner[a]]
+    # windows that end with a unit; the rest at a long line's start can't end a passage
+    ending = np.flatnonzero(closes[z - 1] | (z - a >= min_words))
+    first = np.searchsorted(a, z[ending] - min_words, "right") - 1
+    ok = (first >= 0) & (a[np.maximum(first, 0)] >= least[ending])
+    first, ending = first[ok], ending[ok]
+    # windows that start with a unit at which none of those starts
+    begun = np.zeros(len(a), bool)
+    begun[first] = True
+    more = np.flatnonzero(~begun)
+    last = np.searchsorted(z, a[more] + min_words, "left")
+    ok = last < len(z)
+    ok[ok] &= owner[a[last[ok]]] == owner[a[more[ok]]]
+    frm = np.concatenate((a[first], a[more[ok]]))
+    to = np.concatenate((z[ending], z[last[ok]])) - 1
+    order = np.lexsort((to, frm))
+    frm, to = frm[order], to[order]
 
-def wordy(raw, starts, ends, least):
-    ink = ~SPACE[raw]
-    opens = ink & ~np.concatenate((np.zeros(1, bool), ink[:-1]))
-    total = np.concatenate((np.zeros(1, np.int64), np.cumsum(opens)))
-    return total[ends] - total[starts] >= least
+    prefix = np.zeros(len(raw) + 1, U)
+    np.cumsum((raw.astype(U) + U(1)) * powers(len(raw), BASE), out=prefix[1:])
+    x, y = words.start[frm], words.end[to]
+    key = mix((prefix[y] - prefix[x]) * powers(len(raw) + 1, BASE_INV)[x] + (y - x).astype(U) * U(0xA24BAED4963EE407))
+    return frm, to, owner[frm], key, (start, end, owner)
 
 
 def candidates(column, min_words: int):
-    """Chunks that may go: text's index, number of the chunk in its text, hash, byte range."""
+    """Windows that may go: text's index, number of the window in its text, hash, byte range."""
     raw, offsets = buffer(column)
-    frm, to, owner, key, (start, end, _) = chunks(raw, offsets)
-    if not len(frm):
-        return owner, owner, key, owner, owner, raw, offsets
-    number = np.arange(len(frm)) - np.searchsorted(owner, owner)
-    lo, hi = start[frm], end[to]
-    ok = (to > frm) & wordy(raw, lo, hi, min_words)
-    return owner[ok], number[ok], key[ok], lo[ok], hi[ok], raw, offsets
+    frm, to, owner, key, (start, end, _) = chunks(raw, offsets, min_words)
+    return owner, np.arange(len(frm)) - np.searchsorted(owner, owner), key, start[frm], end[to], raw, offsets
 
 
 def _strip(raw: np.ndarray, lo: int, hi: int) -> bytes:
@@ -107,7 +110,7 @@ def _strip(raw: np.ndarray, lo: int, hi: int) -> bytes:
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs(doc_id, text, ...) with repeated chunks cut from text, and n_lines and n_cut lines.
+    """docs(doc_id, text, ...) with repeated windows cut from text, the number of lines, and of lines cut in whole or part.
 
     Small rows (hash, document) find what is repeated; texts are shuffled twice, once to
     fetch the first occurrences' bytes and once to compare and cut.
@@ -125,10 +128,13 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             once.sort()
             yield pa.RecordBatch.from_arrays([pa.array(key[once].view(np.int64)), b.column(0).take(pa.array(owner[once])), b.column(1).take(pa.array(owner[once])), pa.array(number[once].astype(np.int32))], names=["hash", "k1", "k2", "number"])
 
-    own = materialise(keyed.select("k1", "k2", F.col("row.text").alias("text")).mapInArrow(tidily(emit), "hash long, k1 long, k2 long, number int"), "chunks")
+    folder = shared_dir(spark)
+    own = materialise(keyed.select("k1", "k2", F.col("row.text").alias("text")).mapInArrow(tidily(emit), "hash long, k1 long, k2 long, number int"), "windows", folder)
     repeated = own.groupBy("hash").agg(F.min("k1").alias("first"), F.max("k1").alias("last")).where("first < last").select("hash", "first")
-    # written first, so that a very common chunk's rows can be split in the join
-    found = materialise(own.join(materialise(repeated, "hashes"), "hash"), "repeated")
+    # written first, so that a very common window's rows can be split in the join
+    found = materialise(own.join(materialise(repeated, "hashes", folder), "hash"), "repeated")
+    del own, repeated
+    discard(spark, folder)
 
     # bytes of the first occurrences
     firsts = found.where("k1 = first").groupBy("k1", "k2").agg(F.collect_set("number").alias("numbers"))
@@ -136,12 +142,14 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     def fetch(batches):
         for b in batches:
             owner, number, key, lo, hi, raw, _ = candidates(b.column(0), min_words)
-            wanted = [set(x) for x in b.column(1).to_pylist()]
-            at = [k for k in range(len(owner)) if number[k] in wanted[owner[k]]]
+            base = np.searchsorted(owner, np.arange(b.num_rows))
+            at = [int(base[o]) + k for o, x in enumerate(b.column(1).to_pylist()) for k in x]
             yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array([_strip(raw, lo[k], hi[k]) for k in at], pa.binary())], names=["hash", "bytes"])
 
     texts = keyed.select("k1", "k2", F.col("row.text").alias("text"))
-    kept = texts.join(firsts, ["k1", "k2"]).select("text", "numbers").mapInArrow(tidily(fetch), "hash long, bytes binary").distinct()
+    # written, so that only one shuffle of the texts is on disk at a time
+    kept = materialise(texts.join(firsts, ["k1", "k2"]).select("text", "numbers").mapInArrow(tidily(fetch), "hash long, bytes binary").distinct(), "firsts")
+    discard(spark, folder)
     later = found.where("k1 > first").select("hash", "k1", "k2", "number").distinct()
     lists = later.join(kept, "hash").groupBy("k1", "k2").agg(F.collect_set(F.struct("number", "bytes")).alias("cuts"))
 
@@ -156,36 +164,34 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             fields = [row.field(k) for k in range(len(full))]
             text = fields[text_at]
             owner, number, key, lo, hi, raw, offsets = candidates(text, min_words)
-            start, _, of, *_ = cut(raw, offsets)
-            cuts = b.column(1).to_pylist()
+            start, end, of = cut(raw, offsets)
+            base = np.searchsorted(owner, np.arange(b.num_rows))
             gone: list[list[tuple[int, int]]] = [[] for _ in range(b.num_rows)]
-            lists_of = [{} for _ in range(b.num_rows)]
-            for k, x in enumerate(cuts):
+            earlier: dict[int, set[bytes]] = {}
+            for o, x in enumerate(b.column(1).to_pylist()):
                 for c in x or ():
-                    lists_of[k].setdefault(c["number"], []).append(c["bytes"])
-            seen: dict[tuple[int, bytes], int] = {}
+                    earlier.setdefault(int(base[o]) + c["number"], set()).add(c["bytes"])
+            seen: set[tuple[int, bytes]] = set()
             _, inverse, counts = np.unique(key ^ mix(owner.astype(U)), return_inverse=True, return_counts=True)
-            twice = counts[inverse] > 1 if len(key) else np.zeros(0, bool)
-            for k in range(len(owner)):
+            twice = np.flatnonzero(counts[inverse] > 1) if len(key) else []
+            for k in sorted({*earlier, *map(int, twice)}):
                 o = int(owner[k])
-                if not twice[k] and not lists_of[o]:
-                    continue
-                mine = _strip(raw, int(lo[k]), int(hi[k])) if twice[k] or int(number[k]) in lists_of[o] else None
-                if mine is None:
-                    continue
-                if mine in lists_of[o].get(int(number[k]), ()) or (o, mine) in seen:
+                mine = _strip(raw, int(lo[k]), int(hi[k]))
+                if mine in earlier.get(k, ()) or (o, mine) in seen:
                     gone[o].append((int(lo[k]), int(hi[k])))
-                seen[o, mine] = k
+                seen.add((o, mine))
             lines = np.bincount(of, minlength=b.num_rows)
             out, dropped = text.to_pylist(), np.zeros(b.num_rows, np.int64)
             for o, spans in enumerate(gone):
                 if not spans:
                     continue
-                at, parts = int(offsets[o]), []
-                for a, z in spans:
+                at, counted, parts = int(offsets[o]), 0, []
+                for a, z in spans:  # by start and by end; they overlap
                     parts.append(raw[at:a].tobytes())
                     at = z
-                    dropped[o] += int(np.searchsorted(start, z) - np.searchsorted(start, a))
+                    since, until = max(counted, int(np.searchsorted(end, a, "right"))), int(np.searchsorted(start, z))
+                    dropped[o] += until - since
+                    counted = until
                 parts.append(raw[at : int(offsets[o + 1])].tobytes())
                 out[o] = b"".join(parts).decode("utf-8", "replace")
             fields[text_at] = pa.array(out, text.type)

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pyarrow as pa
 
@@ -88,3 +89,58 @@ def test_columns_and_empty(docs, spark):
     assert D.dedup_lines(docs([])).count() == 0
     df = spark.createDataFrame([(1, "x y", 3, 4)], "doc_id long, text string, n_lines int, k1 int")
     assert D.dedup_lines(df).columns == ["doc_id", "text", "n_lines", "k1", "n_lines_", "n_cut"]
+
+
+def line_ends(t):
+    """Words of a text, and the numbers of those that end a line."""
+    words, ends = [], set()
+    for line in re.split(r"(?<=[.!?])(?= )|(?<=\n)", t):
+        words += line.split()
+        ends.add(len(words) - 1)
+    return words, ends
+
+
+def test_short_passages_at_random_places(docs):
+    """Passages of 50 to 60 words in 1 to 5 sentences, against a search of common runs of words."""
+    fresh = (f"w{k}" for k in range(10**6))
+
+    def sentences(total, n):
+        cuts = [0, *sorted(rnd.sample(range(1, total), n - 1)), total]
+        return " ".join(" ".join(next(fresh) for _ in range(z - a)) + "." for a, z in zip(cuts, cuts[1:], strict=False))
+
+    passages = [sentences(rnd.randrange(50, 61), n) for n in (1, 1, 2, 3, 4, 5, 5)]
+    rows = []
+    for i in range(90):
+        host = [next(fresh) + rnd.choice((".", "", "", "", "\n")) for _ in range(rnd.randrange(100, 200))]
+        at = rnd.randrange(len(host) + 1)
+        rows.append((i, " ".join([*host[:at], passages[i % len(passages)], *host[at:]])))
+    got = {r.doc_id: set(r.text.split()) for r in D.dedup_lines(docs(rows)).collect()}
+    lines = {i: line_ends(t) for i, t in rows}
+    lost = 0
+    for i, _ in rows:
+        words, ends = lines[i]
+        may, must = set(), set()
+        for j in range(i):
+            other, theirs = lines[j]
+            place = {w: k for k, w in enumerate(other)}
+            k = 0
+            while k < len(words):
+                a, b = k, place.get(words[k])
+                while b is not None and k < len(words) and b < len(other) and words[k] == other[b]:
+                    k, b = k + 1, b + 1
+                if k - a >= D.MIN_WORDS:
+                    may |= set(words[a:k])
+                    last = max(x for x in range(a, k) if x in ends and place[words[x]] in theirs)
+                    whole = (a == 0 or a - 1 in ends) and (b - (k - a) == 0 or b - (k - a) - 1 in theirs)
+                    must |= set(words[a if whole else a + D.MIN_WORDS - 1 : last + 1])
+                k = max(k, a + 1)
+        assert not must & got[i] and set(words) - may <= got[i]
+        lost += len(must)
+    assert lost > 83 * 40
+
+
+def test_a_repeated_line_goes(docs):
+    line = " ".join(f"v{k}" for k in range(14)) + "."
+    rows = [(i, f"{text(3)}\n{line}\n{text(3)}") for i in range(3)]
+    got = {r.doc_id: (r.text, r.n_cut) for r in D.dedup_lines(docs(rows)).collect()}
+    assert got[0] == (rows[0][1], 0) and all(got[i] == (rows[i][1].replace(f"{line}\n", ""), 1) for i in (1, 2))
