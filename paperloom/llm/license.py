@@ -79,7 +79,7 @@ _CC = (
     ("by", r"attribution", "by"),
 )
 _PLAIN = (
-    # label, keyword, expression; whole notices and names without a version
+    # label, keyword (in whatever the expression finds), expression; whole notices and names without a version
     ("mit", "permission", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("isc", "permission", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
@@ -87,7 +87,8 @@ _PLAIN = (
     ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
     ("bsl-1-0", "permission", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
     ("wtfpl", "want", r"do what the (?:fuck|f) you want to(?: public licen[cs]e)?"),
-    ("public-domain", "dedicated", r"(?:placed in|dedicated to) the public domain"),
+    ("public-domain", "placed", r"placed in the public domain"),
+    ("public-domain", "dedicated", r"dedicated to the public domain"),
     ("cc0", "cc0", r"cc0(?: 1 0)?(?: universal)?"),
     ("cc0", "zero", r"creative commons zero(?: 1 0)?(?: universal)?"),
     ("all-rights-reserved", "reserved", r"all rights reserved"),
@@ -104,7 +105,8 @@ _PLAIN = (
     ("zlib", "zlib", r"zlib(?: libpng)? licen[cs]e"),
     ("unlicense", "unlicense", r"(?:the )?unlicense"),
     ("ncsa", "ncsa", r"(?:university of illinois )?ncsa open source licen[cs]e"),
-    ("python-2", "python", r"(?:python software foundation|psf) licen[cs]e(?: version 2)?"),
+    ("python-2", "python", r"python software foundation licen[cs]e(?: version 2)?"),
+    ("python-2", "psf", r"psf licen[cs]e(?: version 2)?"),
     ("ruby", "ruby", r"ruby licen[cs]e"),
     ("php", "php", r"php licen[cs]e(?: version 3(?: 01)?)?"),
     ("openssl", "openssl", r"openssl licen[cs]e"),
@@ -114,13 +116,13 @@ _PLAIN = (
     ("vim", "vim", r"vim licen[cs]e"),
     ("x11", "x11", r"x11 licen[cs]e"),
     ("curl", "curl", r"curl licen[cs]e"),
-    ("beerware", "beerware", r"beer ?ware(?: licen[cs]e)?"),
+    ("beerware", "beer", r"beer ?ware(?: licen[cs]e)?"),
     ("json", "evil", r"the software shall be used for good not evil"),
     ("odc-by", "commons", r"open data commons attribution licen[cs]e"),
     ("pddl", "dedication", r"public domain dedication and licen[cs]e"),
     ("gpl", "gnu", r"gnu general public licen[cs]e"),
     ("lgpl", "gnu", r"gnu lesser general public licen[cs]e"),
-    ("proprietary", "proprietary", r"proprietary(?: and confidential|licen[cs]e| software)"),
+    ("proprietary", "proprietary", r"proprietary(?: and confidential| licen[cs]e| software)"),
     ("non-commercial", "commercial", r"(?:for )?non commercial use only"),
     ("non-commercial", "noncommercial", r"(?:for )?noncommercial use only"),
 )

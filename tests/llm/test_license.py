@@ -1,5 +1,6 @@
 import random
 import re
+from re import _constants, _parser
 
 from paperloom.llm import license as L
 
@@ -58,3 +59,51 @@ def test_hundreds_of_rules():
 
 def test_empty_table(docs):
     assert L.scan(docs([])).count() == 0
+
+
+def ungated(text):
+    """Labels and number of detections when every rule's expression runs on every text."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+    norm = " " + "  ".join(words) + " "
+    base = {label for p, label in L.BASE if f" {p.replace(' ', '  ')} " in norm}
+    found = [(m.start(), m.end(), rank, label) for rank, (label, _, e) in enumerate(L.rules()) for m in re.finditer(L.spaced(e), norm)]
+    outer, kept = [], []
+    for d in sorted(found, key=lambda d: (d[0], -d[1], d[2])):
+        if not outer or d[1] > outer[-1][1]:
+            outer.append(d)
+    for d in outer:
+        if not kept or kept[-1][1] <= d[0]:
+            kept.append(d)
+        elif d[2] < kept[-1][2]:
+            kept[-1] = d
+    return ",".join(sorted(base | {d[3] for d in kept})), len(kept)
+
+
+def example(parts, rnd):
+    """Some text that an expression finds."""
+    out = ""
+    for op, value in parts:
+        if op is _constants.LITERAL:
+            out += chr(value)
+        elif op is _constants.IN:
+            kind, x = rnd.choice(value)
+            out += chr(x if kind is _constants.LITERAL else rnd.randint(*x))
+        elif op is _constants.BRANCH:
+            out += example(rnd.choice(value[1]), rnd)
+        elif op is _constants.SUBPATTERN:
+            out += example(value[3], rnd)
+        else:
+            assert op is _constants.MAX_REPEAT
+            out += "".join(example(value[2], rnd) for _ in range(rnd.randint(value[0], min(value[1], 3))))
+    return out
+
+
+def test_keywords_pass_whatever_an_expression_finds(docs):
+    rnd = random.Random(8)
+    texts = ["It was placed in the public domain.", "The PSF license", "the beer-ware license", "proprietary license", "Proprietary licence of ours"]
+    texts += [example(_parser.parse(e), rnd) for _, _, e in L.rules() for _ in range(6)]
+    got = {r.doc_id: (r.labels, r.n_detections) for r in L.scan(docs(list(enumerate(texts)))).collect()}
+    want = {i: ungated(t) for i, t in enumerate(texts)}
+    assert {i: (texts[i], got[i]) for i in want if got[i] != want[i]} == {}
+    assert all(n for _, n in want.values())
+    assert [got[i][0] for i in range(5)] == ["public-domain", "python-2", "beerware", "proprietary", "proprietary"]
