@@ -50,6 +50,19 @@ def build(spark: SparkSession, folder: str, formats: list[str], theme: str = C.D
     return out.select("doc_id", "target", "content"), clash
 
 
+def unbuilt(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
+    """(path, why) of the inputs that ``build`` gives no output: kinds it has no reader for, and broken rules."""
+    from .sources import markdown
+
+    files = D.load(spark, folder, recursive)
+    text = F.col("ext").isin(".md", ".markdown")
+    other = files.where(~text).select("path", F.concat(F.lit("build does not read "), F.col("ext")).alias("why"))
+    blocks, _ = markdown.read(files.where(text).select("doc_id", F.decode("content", "UTF-8").alias("text")))
+    _, rest = markdown.with_titles(blocks)
+    broken = B.violations(rest).select("doc_id", "why").distinct()
+    return other.unionByName(files.select("doc_id", "path").join(broken, "doc_id").select("path", "why"))
+
+
 def proposals(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(one row a proposal: weeks, roles, total; violations) of a folder of JSON data files."""
     raw = spark.read.text(folder, wholetext=True).select(F.xxhash64("value").alias("prop_id"), F.col("value").alias("raw"))
@@ -105,7 +118,11 @@ def main(args: list[str]) -> int:
     outputs, clash = build(spark, a.folder, a.to or ["md"], recursive=a.recursive)
     outputs.write.mode("overwrite").parquet(a.out)
     clash.show(truncate=False)
-    return 3 if clash.limit(1).count() else 0
+    refused = bool(clash.limit(1).count())
+    for line in unbuilt(spark, a.folder, a.recursive).toJSON().toLocalIterator():
+        print(line)
+        refused = True
+    return 3 if refused else 0
 
 
 if __name__ == "__main__":

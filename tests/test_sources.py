@@ -272,6 +272,19 @@ def test_inspect_and_build(spark, tmp_path):
     assert inputs.count() == 4 and own.count() == 0
 
 
+def test_inputs_without_output_are_rows(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.md").write_text("# A\n\ntext")
+    build = lambda: jobs.main(["build", str(tmp_path / "in"), str(tmp_path / "out")])
+    left = lambda: {os.path.basename(r.path): r.why for r in jobs.unbuilt(spark, str(tmp_path / "in")).collect()}
+    assert build() == 0 and left() == {}
+    (tmp_path / "in/b.docx").write_bytes(word(p("x")))
+    (tmp_path / "in/c.pdf").write_text("no")
+    assert build() == 3 and left() == {"b.docx": "build does not read .docx", "c.pdf": "build does not read .pdf"}
+    monkeypatch.setattr(jobs.B, "violations", lambda blocks: blocks.selectExpr("doc_id", "block_ix", "'broken' AS why"))
+    assert left()["a.md"] == "broken"
+
+
 def test_proposals(spark, tmp_path):
     data = {"template": "t", "kind": "k", "project": "p", "date": "d", "author": {"name": "n", "email": "e"}, "team": [{"role": "r", "rate": 45, "hoursPerWeek": [4, 16]}]}
     (tmp_path / "a.json").write_text(json.dumps(data))
