@@ -12,40 +12,91 @@ import time
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BATCH_ROWS = 512
 BATCH_BYTES = 2**20  # a batch's numpy arrays take some fifty times its bytes
+MOST_TASKS = 20_000  # of a stage that takes an archive, a file's block or the like a task
+SPARE = 4  # a sample is drawn from about so many times its rows
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new, unique folder name under the cluster's shared checkpoint folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary folder takes its place.
+    The folder is the session's ``spark.checkpoint.dir``; only where that is unset and the
+    whole session is one machine (tests) a temporary folder takes its place.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="paperloom-")
         spark.conf.set("spark.checkpoint.dir", root)
         atexit.register(shutil.rmtree, root.removeprefix("file://"), True)
     return f"{root.rstrip('/')}/paperloom-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches that suit whole texts, for the actions inside; the caller's settings come back."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, most in names.items():
+        if not 0 < int(before[k].rstrip("b")) <= most:
+            spark.conf.set(k, str(most))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def materialise(df: DataFrame, name: str = "t", folder: str | None = None) -> DataFrame:
     """Write a table to the shared folder (or a folder in it) and read it back: lineage ends there,
     and the loss of an executor costs nothing that was already written."""
     path = f"{folder or shared_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_sample(rows: DataFrame, stratum: str, sizes: dict[str, int], wanted: int, salt: str) -> DataFrame:
+    """``wanted`` distinct rows of each stratum (all, where there are no more), the same in every run.
+
+    Rows are ordered by a hash of all their columns. ``sizes`` says about how many rows the
+    strata in question have, and so below which hash some ``SPARE`` times the rows wanted
+    lie, whatever the size; only these move. Where repeated rows leave fewer than wanted, the
+    bound of that stratum grows until there are enough or all were looked at. Strata are few
+    hundreds at most: their bounds stand in the plan, and no row moves to meet one.
+    """
+    names = rows.columns
+    if not sizes:
+        return rows.where("false")
+    hashed = rows.withColumn("_hash", F.xxhash64(*[F.col(f"`{c}`") for c in names], F.lit(salt)))
+    share = {s: SPARE * wanted / max(n, 1) for s, n in sizes.items()}
+    while True:
+        upto = F.create_map(*[F.lit(x) for s, part in sorted(share.items()) for x in (s, -(2**63) + min(int(part * 2**64), 2**64 - 1))]).cast("map<string,long>")
+        near = materialise(hashed.where(F.col("_hash") <= F.try_element_at(upto, F.col(stratum))).dropDuplicates([stratum, "_hash"]), "sample")
+        got = {r[0]: r[1] for r in near.groupBy(stratum).count().collect()}
+        short = [s for s in share if got.get(s, 0) < wanted and share[s] < 1]
+        if not short:
+            break
+        share |= {s: 8 * share[s] for s in short}
+    place = F.row_number().over(Window.partitionBy(stratum).orderBy("_hash"))
+    return near.withColumn("_place", place).where(F.col("_place") <= wanted).select(*names)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of tables that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(spark: SparkSession, folder: str) -> None:
     """Delete a folder of tables that nothing reads any more, and let Spark drop the shuffles behind them."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, folder)
     for _ in range(2):  # Python's references to plans are let go of first, in the background
         gc.collect()
         time.sleep(0.3)
@@ -53,11 +104,7 @@ def discard(spark: SparkSession, folder: str) -> None:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for whole texts (rows and, where known, bytes)."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= BATCH_BYTES:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Nothing any more: `tidily` cuts batches."""
 
 
 def release() -> None:
@@ -71,18 +118,40 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def slices(batch: pa.RecordBatch):
+    """A batch in parts of at most BATCH_ROWS rows and about BATCH_BYTES bytes (a row is never cut)."""
+    if batch.num_rows <= BATCH_ROWS and batch.nbytes <= BATCH_BYTES:
+        yield batch
+    elif batch.num_rows <= 1:
+        yield batch
+    else:
+        half = batch.num_rows // 2
+        yield from slices(batch.slice(0, half))
+        yield from slices(batch.slice(half))
+
+
 def tidily(run):
-    """A function over Arrow batches that gives its memory back at its end."""
+    """A function over Arrow batches that gets them in small parts, whatever the session's
+    batches are, and gives its memory back at its end."""
 
     def tidy_run(batches):
         try:
-            yield from run(batches)
+            yield from run(part for b in batches for part in slices(b))
         finally:
             release()
 
     return tidy_run
 
 
+def dealt_out(rows: DataFrame, n: int, *key: str) -> DataFrame:
+    """n small rows that stand for independent work (archives, blocks), a task each up to MOST_TASKS.
+
+    The number is given, for adaptive execution merges partitions that are small in bytes; and
+    ranges of the rows' key are of even size, where hashing would leave some tasks without a row.
+    """
+    return rows.repartitionByRange(max(1, min(n, MOST_TASKS)), *key)
+
+
 def fold_ascii(col):
     """Lower-case A-Z and nothing else."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, discard, materialise, shared_dir, tidily
+from .common import discard, materialise, shared_dir, tidily
 from .vecwords import BASE, BASE_INV, SPACE, U, Words, buffer, mix, powers
 
 MIN_WORDS = 10
@@ -116,7 +116,6 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     fetch the first occurrences' bytes and once to compare and cut.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     names = docs.columns
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), id_.alias("k1"), F.xxhash64(F.col("text")).alias("k2"))

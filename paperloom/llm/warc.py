@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, shared_dir, tidily
+from .common import dealt_out, materialise, shared_dir, tidily
 from .tokens import qualified, store
 
 EPOCH = "2020-01-01T00:00:00Z"
@@ -134,7 +134,6 @@ def write_archives(pages: DataFrame) -> tuple[str, DataFrame]:
     (archive, records). An archive counts only if its row was written; files of lost
     attempts have other names and are never read."""
     spark = pages.sparkSession
-    bounded_batches(spark)
     folder = qualified(spark, shared_dir(spark))
     body = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", body.alias("html"), "ts", F.sha1(body.cast("binary")).alias("sha1"))
@@ -165,8 +164,9 @@ def write_archives(pages: DataFrame) -> tuple[str, DataFrame]:
     return folder, materialise(rows.mapInArrow(tidily(run), "archive string, records long"), "archives")
 
 
-def read_archives(archives: DataFrame, folder: str) -> DataFrame:
-    """Index entries of archives(archive), each archive a run sorted by URL key, time and page_id."""
+def read_archives(archives: DataFrame, folder: str, n_archives: int) -> DataFrame:
+    """Index entries of archives(archive), each archive a run sorted by URL key, time and page_id;
+    a task reads one archive as long as there are no more than ``common.MOST_TASKS``."""
     def run(batches):
         files, at = store(folder)
         for b in batches:
@@ -180,7 +180,7 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
                 for k in range(0, len(rows), 10_000):
                     yield entries(rows[k : k + 10_000])
 
-    return archives.select("archive").repartition(F.col("archive")).mapInArrow(tidily(run), ENTRY)
+    return dealt_out(archives.select("archive"), n_archives, "archive").mapInArrow(tidily(run), ENTRY)
 
 
 # --- the merge
@@ -277,5 +277,5 @@ def capture_histories(pages: DataFrame, ts: Column | None = None, per_range: int
     if ts is None:
         ts = F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit(EPOCH).cast("timestamp")) + F.pmod(F.col("page_id"), F.lit(10**9))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     folder, archives = write_archives(pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), ts.cast("string").alias("ts")))
-    n = archives.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
-    return merge_index(materialise(read_archives(archives, folder), "runs"), n, per_range)
+    n, n_archives = archives.agg(F.coalesce(F.sum("records"), F.lit(0)), F.count("*")).first()
+    return merge_index(materialise(read_archives(archives, folder, n_archives), "runs"), n, per_range)
