@@ -1,8 +1,9 @@
 """Token ids of texts by a public byte-level BPE vocabulary file, and flat token files.
 
-The vocabulary comes from a ``tokenizers`` JSON file whose path is a parameter; its merges
-run in ``tiktoken`` with the ids as ranks, which gives the same ids (tests compare them)
-several times faster. Strings of special tokens in a text are ordinary text.
+The vocabulary comes from a ``tokenizers`` JSON file whose path is a parameter. The ids are
+those that the library's ``encode(text, add_special_tokens=False)`` gives: the string of an
+added token, wherever it stands in a text, is that token. Merges run in ``tiktoken`` with
+the ids as ranks, which gives the same ids (tests compare them) several times faster.
 """
 
 from __future__ import annotations
@@ -30,19 +31,30 @@ def _byte_letters() -> dict[str, int]:
 
 @functools.lru_cache(4)
 def encoder(path: str):
+    """The encoder, and the added tokens by their strings."""
     import public_tokenizers
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    special = {t["content"] for t in spec.get("added_tokens", ()) if t.get("special")}
+    added = {t["content"]: int(t["id"]) for t in spec.get("added_tokens", ())}
+    if any(t.get(k) for t in spec.get("added_tokens", ()) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens that take in their neighbourhood are not known here")
     letters = _byte_letters()
-    ranks = {bytes(letters[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
-    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {bytes(letters[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in added}
+    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added), frozenset(added)
 
 
 def encode(path: str, text: str | None) -> np.ndarray:
-    return np.array(encoder(path).encode_ordinary(text), np.uint32) if text else np.zeros(0, np.uint32)
+    if not text:
+        return np.zeros(0, np.uint32)
+    code, added = encoder(path)
+    plain = not any(x in text for x in added)
+    return np.array(code.encode_ordinary(text) if plain else code.encode(text, allowed_special="all"), np.uint32)
+
+
+def largest_id(path: str) -> int:
+    return encoder(path)[0].max_token_value
 
 
 def qualified(spark, path: str) -> str:

@@ -18,11 +18,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, shared_dir, tidily
-from .tokens import encoder, qualified, store, vocabulary_path
+from .common import dealt_out, materialise, shared_dir, tidily
+from .tokens import encode, largest_id, qualified, store, vocabulary_path
 
-BLOCK = 1 << 20  # tokens
-SEPARATOR = 50_256  # free in the vocabulary
+BLOCK = 1 << 22  # tokens
+SEPARATOR = 65_535  # outside the vocabulary, which must be smaller
 
 
 def write_files(docs: DataFrame, path: str | None = None, separator: int = SEPARATOR) -> tuple[str, DataFrame]:
@@ -33,7 +33,6 @@ def write_files(docs: DataFrame, path: str | None = None, separator: int = SEPAR
     attempts have other names and are never read.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     folder, path = qualified(spark, shared_dir(spark)), path or vocabulary_path()
 
     def run(batches):
@@ -42,14 +41,14 @@ def write_files(docs: DataFrame, path: str | None = None, separator: int = SEPAR
         files, at = store(folder)
         files.create_dir(at, recursive=True)
         ordinal = total = 0
-        code = encoder(path)
+        if largest_id(path) >= separator:
+            raise ValueError(f"the separator {separator} is an id of the vocabulary")
         with files.open_output_stream(f"{at}/{name}") as out:
             for b in batches:
                 ends = []
                 for text in b.column(1).to_pylist():
-                    ids = code.encode_ordinary(text) if text else []
-                    ids.append(separator)
-                    out.write(np.array(ids, "<u2").tobytes())
+                    ids = np.append(encode(path, text), np.uint32(separator))
+                    out.write(ids.astype("<u2").tobytes())
                     total += len(ids)
                     ends.append(total)
                 n = b.num_rows
@@ -62,10 +61,10 @@ def write_files(docs: DataFrame, path: str | None = None, separator: int = SEPAR
 
 def scan(files: DataFrame, folder: str, separator: int = SEPARATOR, block: int = BLOCK) -> DataFrame:
     """file, doc_no, token_start, n_tokens, closed for every document of files(file, n_tokens) in a folder."""
-    bounded_batches(files.sparkSession)
-    blocks = files.where("n_tokens > 0").select("file", "n_tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_tokens") - 1) / block).cast("long"))).alias("block"))
-    # blocks are small rows: deal them out evenly, as a file's blocks are independent work
-    blocks = blocks.repartition(F.col("file"), F.col("block"))
+    last = F.floor((F.col("n_tokens") - 1) / block).cast("long")
+    filled = files.where("n_tokens > 0")
+    n_blocks = filled.agg(F.coalesce(F.sum(last + 1), F.lit(0))).first()[0]
+    blocks = dealt_out(filled.select("file", "n_tokens", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block")), n_blocks, "file", "block")
 
     def run(batches):
         store_, at = store(folder)
