@@ -2,11 +2,13 @@
 
 A text is a vector of its byte pairs and byte triples (A-Z lower-cased), hashed to
 ``FEATURES`` numbers: square roots of counts times the inverse document frequency over all
-training documents, normalised. From a bounded sample of labelled documents (``SAMPLE``
-in all, chosen by a hash of doc_id) each language gets up to ``CENTROIDS`` centroids by
-spherical k-means. A text takes the language of the centroid of the largest cosine; where
-the cosine lies below what nearly all of that centroid's own sample reach, it is marked
-``rejected``. The score is the cosine.
+training documents, normalised. The languages learned are the ``LANGUAGES`` labels with
+most training documents (ties by name). From a bounded sample of labelled texts
+(``SAMPLE`` different ones in all, as many of each language, the least by a hash) each
+language gets up to ``CENTROIDS`` centroids by spherical k-means. A text takes the language
+of the centroid of the largest cosine (ties: the language first by name); where the cosine
+lies below what nearly all of that centroid's own sample reach, it is marked ``rejected``.
+The score is the cosine.
 
 Cases: null text, or one without a letter, is ``und`` with score 0; if there is nothing to
 learn from, every text is ``und``; a null lang teaches nothing; a null doc_id counts as the
@@ -20,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, tidily
+from .common import bounded_sample, small_batches, tidily
 from .vecwords import FOLD, U, buffer, sums
 
-FEATURES, SAMPLE, CENTROIDS, ROUNDS = 4096, 2000, 3, 10
+FEATURES, SAMPLE, LANGUAGES, CENTROIDS, ROUNDS = 4096, 2000, 200, 3, 10
 REJECT_BELOW = 0.005  # quantile of a centroid's own sample
 ASCII_LETTER = np.zeros(256, bool)
 ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -79,10 +81,11 @@ def held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> dict | None:
+def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, languages: int = LANGUAGES) -> dict | None:
     """A model from the rows of docs(doc_id, text, lang) outside the held-out fold."""
-    train = docs.where(~held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
+    train = docs.where(~held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    most = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    sizes = {r["lang"]: r["count"] for r in most.collect()}
     if not sizes:
         return None
 
@@ -95,15 +98,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> di
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(FEATURES + 1)), pa.array(total)], names=["feature", "df"])
 
     df = np.zeros(FEATURES + 1)
-    for r in train.select("text").mapInArrow(tidily(frequency), "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).collect():
-        df[r["feature"]] = r["df"]
+    with small_batches(docs.sparkSession):
+        for r in train.select("text").mapInArrow(tidily(frequency), "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).collect():
+            df[r["feature"]] = r["df"]
     idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 0.1).astype(np.float32)
 
-    share = max(1, sample // len(sizes))
-    part = F.lit(0.0)
-    for lang, n in sizes.items():
-        part = F.when(F.col("lang") == lang, min(1.0, share / n)).otherwise(part)
-    chosen = train.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(10**6)) < part * 10**6).select("lang", "text")
+    chosen = bounded_sample(train, "lang", sizes, max(1, sample // len(sizes)), "languages")
 
     def embed(batches):
         for b in batches:
@@ -111,7 +111,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> di
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in v], pa.binary())], names=["lang", "v"])
 
     rows: dict[str, list] = {}
-    for r in chosen.mapInArrow(tidily(embed), "lang string, v binary").collect():  # about `sample` rows of 8 KB
+    for r in chosen.mapInArrow(tidily(embed), "lang string, v binary").collect():  # `sample` rows of 8 KB at most
         rows.setdefault(r["lang"], []).append(bytes(r["v"]))
     langs, cs, least = [], [], []
     for lang in sorted(rows):
@@ -144,5 +144,4 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    bounded_batches(docs.sparkSession)
     return predict(docs, fit(docs))
