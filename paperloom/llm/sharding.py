@@ -7,9 +7,12 @@ out of that child, and below an unchanged subtree nothing moves. A planned grid
 and racks holds the first shards; each shard beyond it hangs in a region of its own, so
 one more shard takes rows only into itself.
 
-Slots are gapless numbers within a shard without sorting a shard in one task: rows of a
-shard fall into hashed buckets, a prefix sum over the buckets' counts gives each its first
-slot, and rows are numbered within their bucket.
+Slots are gapless numbers within a shard without sorting a shard in one task. Equal rows
+(id, size, checksum) are counted first, and only the different ones, with their counts, are
+shuffled, placed and numbered: those of a shard fall into hashed buckets of about
+``PER_BUCKET`` rows, a prefix sum over the buckets' counts gives each its first slot, and
+another one runs within a bucket. At the end a row is made again for each of its copies,
+those of very many in parts of ``PART``.
 
 Cases: a null text has size 8 and the checksum of an empty text; a null doc_id is a key of
 its own; repeated rows get different slots in the same shard; an empty table gives an empty
@@ -24,6 +27,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
+PER_BUCKET, PART = 100_000, 1 << 16
 BITS = 52  # 13 hexadecimal digits of an MD5
 
 
@@ -83,17 +89,24 @@ def with_shard(df: DataFrame, key: Column, topology: Topology, name: str) -> Dat
     return df.withColumn(name, pick(F.col(region), leaf).cast("int")).drop(region, rack)
 
 
-def place(docs: DataFrame, shards: int = 24, rows_per_bucket: int = 100_000) -> DataFrame:
+def place(docs: DataFrame, shards: int = 24, per_bucket: int = PER_BUCKET) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs(doc_id, text)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    alike = materialise(rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n")), "alike")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    rows = with_shard(with_shard(rows, key, Topology.planned(shards), "shard"), key, Topology.planned(shards + 1), "grown_shard")
-    buckets = max(64, min(65_536, -(-docs.count() // (shards * rows_per_bucket))))
-    rows = rows.withColumn("bucket", F.floor(draw(F.concat_ws("|", key, "text_crc32"), "slot") * buckets))
-    counts = rows.groupBy("shard", "bucket").count()
+    alike_placed = with_shard(with_shard(alike, key, Topology.planned(shards), "shard"), key, Topology.planned(shards + 1), "grown_shard")
+    buckets = max(64, -(-alike.count() // (shards * per_bucket)))
+    alike_placed = materialise(alike_placed.withColumn("bucket", F.floor(draw(F.concat_ws("|", key, "text_crc32"), "slot") * buckets)), "placed")
+    counts = materialise(alike_placed.groupBy("shard", "bucket").agg(F.sum("n").alias("rows")), "buckets")
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    inside = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size"))
-    numbered = rows.withColumn("inside", inside).join(first, ["shard", "bucket"])
-    return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("inside") - 1).cast("long").alias("slot"), "grown_shard")
+    first = counts.select("shard", "bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))
+    inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = alike_placed.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(first, ["shard", "bucket"])
+    numbered = numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("inside")).cast("long").alias("slot"), "grown_shard", "n")
+    names = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    copies = lambda df: df.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("slot", F.col("slot") + F.col("k")).select(*names)
+    # copies beyond a part are dealt out, a part a row
+    many = numbered.where(F.col("n") > PART).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PART))))
+    many = many.withColumn("slot", F.col("slot") + F.col("part") * PART).withColumn("n", F.least(F.lit(PART).cast("long"), F.col("n") - F.col("part") * PART)).repartition("slot")
+    return copies(numbered.where(F.col("n") <= PART)).unionByName(copies(many))

@@ -27,6 +27,20 @@ def test_sizes_checksums_slots_and_growth(docs):
     assert all(len(v) == 1 for v in by_id.values())
 
 
+def test_very_many_equal_rows(spark):
+    """Equal rows are shuffled as one row with their number, and numbered without a gap beside the others."""
+    from pyspark.sql import functions as F
+
+    same = spark.range(150_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    other = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    got = S.place(same.unionByName(other), 4)
+    assert got.count() == 155_000
+    gaps = got.groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.max("slot").alias("last")).collect()
+    assert len(gaps) == 4 and all(r.n == r.slots == r.last + 1 for r in gaps)
+    null = got.where("doc_id is null").agg(F.count("*"), F.count_distinct("shard"), F.max("slot") - F.min("slot")).first()
+    assert tuple(null) == (150_000, 1, 149_999)
+
+
 def test_weights_and_confined_movement(spark):
     from pyspark.sql import functions as F
 
