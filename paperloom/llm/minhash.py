@@ -4,29 +4,32 @@ Two collections of ``SIDE`` half-keys each, every half-key from ``ROWS`` minhash
 ``SIDE * SIDE`` tables: table (i, j) has the key (left half i, right half j). So 64 tables
 of four minhashes cost 32 minhashes in place of 256. A pair of similarity s shares a table
 unless all left halves or all right halves differ: with probability at most
-``2 * (1 - s**ROWS) ** SIDE``, 7e-5 at s = 0.85.
-
-Exact copies (equal shingle sets) are first reduced to one representative. Representatives
-that share a table are candidates, and each pair of candidates is settled in one of three
-ways, none of which emits all pairs of a group:
-
-* in every table each member is compared with one center, the member that is least by a
-  hash, so the center most likely comes from the table's largest family;
-* members at least ``FIRM`` percent similar to a center form clusters with all that are at
-  least ``FIRM - (100 - percent)`` similar to it. As Jaccard distance is a metric, both ends of
-  a link are then in one cluster. Clusters that the links found so far have not merged are
-  compared block by block: a task takes two blocks of representatives and gets all their
-  intersections from matrix products;
-* members less similar to their center than that, and of different clusters, are compared
-  with each other in the table after a test on size and on the agreement of their minhashes,
-  which passes few.
+``2 * (1 - s**ROWS) ** SIDE``, 7e-5 at s = 0.85 and 6e-4 at s = 0.80. Nothing else is left to
+chance.
+
+Exact copies (equal shingle sets) are first reduced to one representative. In every table
+each member is compared with one center, the member that is least by a hash, so the center
+most likely comes from the table's largest family. These stars settle a table whose members
+they put into one component. In the others, members are compared with a center of their
+table's own, so a member of a loose family meets many centers (``AGAIN`` rounds of that).
+
+The members of tables that are still not settled are joined exactly, by prefixes: two sets
+that are ``percent`` similar share a shingle among the first ``n - ceil(n * percent / 100) + 1``
+of each, in any common order. The order puts rare shingles first, by counts of ``BUCKETS``
+hashed shingles, so what a whole family has in common stands in few prefixes. That join tests
+sizes, components, places in the prefix, and bitmaps (``WORDS`` numbers in which every shingle
+turns a bit: as many bits differ as the sets have shingles of their own, or fewer), and
+emits only pairs that pass; the tests are exact bounds and lose no pair. A shingle that is among the rarest
+of very many sets of like size and different components costs a test for each two of
+them; its rows can be split.
 
 Every link is confirmed on the full shingle sets.
 
 Cases: null or wordless text has an empty set, is linked with nothing and kept; a text of
 one to four words has its whole sequence as its one shingle; rows that share a doc_id are
-one document; a null doc_id is linked with nothing, has a null component and is kept; ties
-take the smallest doc_id; an empty table gives an empty result; extra columns are ignored.
+one document, which has the links of all of them; a null doc_id is linked with nothing, has a
+null component and is kept; ties take the smallest doc_id; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,14 +40,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, tidily
+from .common import materialise, remove, shared_dir, tidily
 from .graph import components
 from .vecwords import FOLD, SPACE, U, Words, buffer, grams, mix
 
 SHINGLE, SIDE, ROWS = 5, 8, 2
-FIRM = 50  # percent
-BLOCK = 64  # representatives in a block of a cluster
-COLUMNS = 4096  # shingles in one matrix product
+BUCKETS, PARTS = 1 << 18, 16  # hashed shingles that are counted; parts in which the counts are added up
+AGAIN = 1  # rounds with centers of a table's own
+WORDS = 8  # 64-bit numbers of a bitmap
 N_HASH = 2 * SIDE * ROWS
 _rng = np.random.default_rng(20240607)
 MULTIPLIERS = _rng.integers(1, 2**63, N_HASH, dtype=np.uint64) * U(2) + U(1)
@@ -86,149 +89,157 @@ def signature_batch(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digests d1 and d2, half-keys, and 16 bits of each minhash."""
-    bounded_batches(docs.sparkSession)
-
+    """doc_id, th (which text), n_shingles, digests d1 and d2, and half-keys of docs(doc_id, th, text)."""
     def run(batches):
         for b in batches:
-            n, d1, d2, low = signature_batch(b.column(1))
+            n, d1, d2, low = signature_batch(b.column(2))
             half = np.zeros((len(n), 2 * SIDE), U)
             for k in range(2 * SIDE):
                 for j in range(ROWS):
                     half[:, k] = mix(half[:, k] ^ low[:, k * ROWS + j] + U(k + 1))
             offsets = np.arange(0, len(n) * 2 * SIDE + 1, 2 * SIDE, dtype=np.int32)
             keys = pa.ListArray.from_arrays(offsets, pa.array(half.reshape(-1).view(np.int64)))
-            bits = (mix(low) & U(0xFFFF)).astype(np.int16)
-            sketch = pa.ListArray.from_arrays(np.arange(0, len(n) * N_HASH + 1, N_HASH, dtype=np.int32), pa.array(bits.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), keys, sketch], names=["doc_id", "n_shingles", "d1", "d2", "halves", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), keys], names=["doc_id", "th", "n_shingles", "d1", "d2", "halves"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidily(run), "doc_id long, n_shingles long, d1 long, d2 long, halves array<long>, sketch array<short>")
+    return docs.select("doc_id", "th", "text").mapInArrow(tidily(run), "doc_id long, th long, n_shingles long, d1 long, d2 long, halves array<long>")
 
 
 def compare(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (hu, hv) those whose full sets are at least so similar: hu, hv, their ids u and
-    v, and the sizes of intersection and union; texts(h, id, n, text)."""
+    """Links (u, v), the documents' ids, of those pairs (hu, hv) whose full sets are so similar; texts(h, id, n, text)."""
     near = F.expr(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)")
-    left = texts.select(F.col("h").alias("hu"), F.col("id").alias("u"), F.col("n").alias("nu"), F.col("text").alias("tu"))
-    right = texts.select(F.col("h").alias("hv"), F.col("id").alias("v"), F.col("n").alias("nv"), F.col("text").alias("tv"))
+    side = lambda s: texts.select(F.col("h").alias(f"h{s}"), F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("text").alias(f"t{s}"))
 
     def run(batches):
         for b in batches:
-            a, fa = shingle_sets(b.column(4))
-            c, fc = shingle_sets(b.column(5))
-            both, total = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+            a, fa = shingle_sets(b.column(2))
+            c, fc = shingle_sets(b.column(3))
+            ok = np.zeros(b.num_rows, bool)
             for k in range(b.num_rows):
                 x, y = a[fa[k] : fa[k + 1]], c[fc[k] : fc[k + 1]]
-                both[k] = len(np.intersect1d(x, y, assume_unique=True))
-                total[k] = len(x) + len(y) - both[k]
-            ok = (both > 0) & (100 * both >= percent * total)
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(both), pa.array(total)], names=["hu", "hv", "u", "v", "both", "total"]).filter(pa.array(ok))
-
-    return pairs.join(left, "hu").join(right, "hv").where(near).select("hu", "hv", "u", "v", "tu", "tv").mapInArrow(tidily(run), "hu long, hv long, u long, v long, both long, total long")
-
-
-def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs of sets."""
-    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = counts > 1
-    column = np.cumsum(shared) - 1
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    ok = shared[inverse]
-    owner, column = owner[ok], column[inverse[ok]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    out = np.zeros((len(sets), len(sets)))
-    for k in range(0, int(shared.sum()), COLUMNS):
-        a, z = np.searchsorted(column, (k, k + COLUMNS))
-        m = np.zeros((len(sets), COLUMNS), np.float32)
-        m[owner[a:z], column[a:z] - k] = 1
-        out += m @ m.T
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok[k] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["u", "v"]).filter(pa.array(ok))
+
+    return pairs.join(side("u"), "hu").join(side("v"), "hv").where(near).select("u", "v", "tu", "tv").mapInArrow(tidily(run), "u long, v long")
+
+
+def bucket(shingles: np.ndarray) -> np.ndarray:
+    return (mix(shingles ^ U(0x5DEECE66D)) >> U(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+
+
+def shingle_counts(texts: DataFrame) -> np.ndarray:
+    """How many sets of texts(text) hold a shingle of each bucket: BUCKETS numbers, whatever the size."""
+    part = BUCKETS // PARTS
+
+    def run(batches):
+        total = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            np.add.at(total, bucket(shingle_sets(b.column(0))[0]), 1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([total[k : k + part].tobytes() for k in range(0, BUCKETS, part)], pa.binary())], names=["part", "n"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "n": [sum(np.frombuffer(x, np.int64) for x in pdf["n"]).tobytes()]})
+
+    out = np.zeros(BUCKETS, np.int64)
+    for r in texts.select("text").mapInArrow(tidily(run), "part int, n binary").groupBy("part").applyInPandas(add, "part int, n binary").collect():
+        out[r["part"] * part : (r["part"] + 1) * part] = np.frombuffer(r["n"], np.int64)
     return out
 
 
-def cluster_links(clusters: DataFrame, found: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) between different components inside clusters(node, component), found by
-    comparing all that is not in a cluster's largest component with the whole cluster."""
-    bounded_batches(clusters.sparkSession)
-    tagged = clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")).join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "cluster", F.coalesce("component", "id").alias("comp"))
-    sizes = tagged.groupBy("cluster", "comp").count()
-    main = sizes.groupBy("cluster").agg(F.max(F.struct("count", "comp")).alias("m"), F.sum("count").alias("n")).where("n > m.count")
-    main = main.select("cluster", F.col("m.comp").alias("main"), F.ceil((F.col("n") - F.col("m.count")) / BLOCK).cast("int").alias("minor_blocks"), F.ceil(F.col("m.count") / BLOCK).cast("int").alias("main_blocks"))
-    members = materialise(tagged.join(materialise(main, "mixed"), "cluster"), "clusters")
+def bitmaps(s: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """For each of n sets WORDS numbers: a bit is on if an odd number of shingles falls on it."""
+    spot = (mix(s + U(0x632BE59BD9B4E019)) >> U(64 - (64 * WORDS).bit_length() + 1)).astype(np.int64)
+    odd = (np.bincount(owner * (64 * WORDS) + spot, minlength=n * 64 * WORDS) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8").reshape(n, WORDS)
 
-    def pack_sets(batches):
+
+def prefixes(texts: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """(shingle, at, h, comp, n, b0...): the rarest shingles of each set of texts(h, comp, text), as many as a
+    similar set must share one of, with their place in the common order, and the set's bitmap."""
+    names = ["shingle", "at", "h", "comp", "n", *[f"b{k}" for k in range(WORDS)]]
+
+    def run(batches):
         for b in batches:
-            s, o = shingle_sets(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s[o[k] : o[k + 1]].tobytes() for k in range(b.num_rows)], pa.binary())], names=["id", "set"])
-
-    sets = texts.join(members.select("id"), "id", "left_semi").select("id", "text").mapInArrow(tidily(pack_sets), "id long, set binary")
-    spot = lambda n: F.pmod(F.xxhash64("id", F.lit("block")), F.col(n)).cast("int")
-    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
-    mine = spot("minor_blocks")
-    among = F.transform(upto("minor_blocks"), lambda k: cell(0, F.least(mine, k), F.greatest(mine, k)))
-    across = F.transform(upto("main_blocks"), lambda k: cell(1, mine, k))
-    below = F.transform(upto("minor_blocks"), lambda k: cell(1, k, spot("main_blocks")))
-    minor = F.col("comp") != F.col("main")
-    rows = members.withColumn("cell", F.explode(F.when(minor, F.concat(among, across)).otherwise(below))).withColumn("minor", minor)
-    rows = rows.select("cluster", "cell.kind", "cell.i", "cell.j", "id", "comp", "minor").join(sets, "id")
-
-    def settle(key, pdf):
-        kind, i, j = key[1:]
-        s = [np.frombuffer(x, np.uint64) for x in pdf["set"]]
-        n, comp, ids = np.array([len(x) for x in s]), pdf["comp"].to_numpy(), pdf["id"].to_numpy()
-        both = intersections(s)
-        ok = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (comp[:, None] != comp[None, :]) & (ids[:, None] < ids[None, :])
-        u, v = np.nonzero(ok)
-        return pd.DataFrame({"u": ids[u], "v": ids[v]})
-
-    return rows.groupBy("cluster", "kind", "i", "j").applyInPandas(settle, "u long, v long")
+            s, offsets = shingle_sets(b.column(2))
+            n = np.diff(offsets)
+            owner = np.repeat(np.arange(len(n)), n)
+            bits = bitmaps(s, owner, len(n))
+            order = np.lexsort((s, counts[bucket(s)], owner))
+            at = np.arange(len(s)) - offsets[owner]
+            ok = at < (n - -(-n * percent // 100) + 1)[owner]
+            s, at, owner = s[order][ok], at[ok], owner[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(at), b.column(0).take(pa.array(owner)), b.column(1).take(pa.array(owner)), pa.array(n[owner]), *[pa.array(bits[owner, k]) for k in range(WORDS)]], names=names)
+
+    return texts.select("h", "comp", "text").mapInArrow(tidily(run), ", ".join(f"{x} long" for x in names))
+
+
+def prefix_pairs(texts: DataFrame, percent: int, keep) -> DataFrame:
+    """Pairs (hu, hv) of texts(h, comp, text) of different components that can be similar; none that is gets lost."""
+    rare = keep(prefixes(texts, shingle_counts(texts), percent), "prefixes")
+    several = keep(rare.groupBy("shingle").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("shingle"), "several")
+    rare = keep(rare.join(several, "shingle", "left_semi"), "rare")
+    side = lambda x: rare.select("shingle", *[F.col(c).alias(c + x) for c in rare.columns[1:]])
+    # of nu + nv shingles so many must be common; at most what is left from the first common one on, and at most what differing bits leave
+    needed = f"{percent} * (nu + nv)"
+    rest = f"(100 + {percent}) * least(nu - atu, nv - atv) >= {needed}"
+    differ = " + ".join(f"bit_count(b{k}u ^ b{k}v)" for k in range(WORDS))
+    bits = f"(100 + {percent}) * (nu + nv - ({differ})) >= 2 * {needed}"
+    test = F.expr(f"hu < hv and compu <> compv and 100 * least(nu, nv) >= {percent} * greatest(nu, nv) and {rest} and {bits}")
+    return side("u").join(side("v"), "shingle").where(test).select("hu", "hv").distinct()
+
+
+def unsettled(held: DataFrame, wanted: DataFrame, found: DataFrame, keep, name: str) -> DataFrame:
+    """(key, h, comp) of tables whose members lie in several components."""
+    comp = keep(wanted.join(found, F.col("id") == F.col("node"), "left").select("h", F.coalesce("component", "id").alias("comp")), f"comps{name}")
+    tagged = keep(held.select("key", "h").join(comp, "h"), f"tagged{name}")
+    mixed = keep(tagged.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("key"), f"mixed{name}")
+    return keep(tagged.join(mixed, "key", "left_semi"), f"open{name}")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text); links are
     pairs with 100 * intersection >= percent * union."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sig = materialise(signatures(docs), "signatures")
+    spark = docs.sparkSession
+    folder, last = shared_dir(spark), shared_dir(spark)
+    keep = lambda df, name: materialise(df, name, folder)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    sig = materialise(signatures(docs), "signatures", last)
     able = sig.where("n_shingles > 0 and doc_id is not null")
     # aggregates are written before they are joined: then both sides are dealt out for the join
     # alone, and the rows of a hot key (very many copies, a very common table) can be split
-    classes = materialise(able.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
-    mine = F.col("doc_id") == F.col("rep")
-    member = materialise(able.join(classes, ["d1", "d2"]).select("doc_id", "n_shingles", "rep", F.when(mine, F.col("halves")).alias("halves"), F.when(mine, F.col("sketch")).alias("sketch")), "members")
-    reps = member.where("doc_id = rep").withColumn("h", F.xxhash64("rep"))
+    rep = F.min(F.struct("doc_id", "th")).alias("rep")
+    classes = able.groupBy("d1", "d2").agg(rep, F.first("n_shingles").alias("n"), F.first("halves").alias("halves"))
+    classes = keep(classes.select("d1", "d2", F.xxhash64("d1", "d2").alias("h"), F.col("rep.doc_id").alias("id"), F.col("rep.th").alias("th"), "n", "halves"), "classes")
+    member = materialise(able.join(classes.select("d1", "d2", F.col("id").alias("rep")), ["d1", "d2"]).select("doc_id", "n_shingles", "rep"), "members", last)
+    several = keep(member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("doc_id"), "several-texts")
+    same = member.join(several, "doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u <> v").distinct()
 
     half = lambda k: F.slice("halves", 1 + k * SIDE, SIDE)
     tables = F.flatten(F.transform(half(0), lambda a, i: F.transform(half(1), lambda b, j: F.xxhash64(a, b, i, j))))
-    keys = reps.select("h", F.explode(tables).alias("key"))
+    keys = classes.select("h", F.explode(tables).alias("key"))
     shared = keys.groupBy("key").agg(F.min("h").alias("center"), F.max("h").alias("last")).where("center < last").select("key", "center")
-    held = materialise(keys.join(materialise(shared, "shared"), "key"), "tables")  # rows of all tables with two members or more
+    held = keep(keys.join(keep(shared, "shared"), "key"), "tables")  # rows of all tables with two members or more
+    wanted = keep(classes.join(held.select("h").distinct(), "h", "left_semi").select("h", "id", F.col("th").alias("which"), "n"), "wanted")
+    texts = keep(docs.join(wanted.hint("merge"), (F.col("doc_id") == F.col("id")) & (F.col("th") == F.col("which"))).select("h", "id", "n", "text"), "texts")
+    if texts.count() != wanted.count():  # repeated rows
+        texts = keep(texts.dropDuplicates(["h", "id"]), "texts-once")
 
     star = held.where("h <> center").select(F.col("h").alias("hu"), F.col("center").alias("hv")).distinct()
-    wanted = held.select("h").distinct().join(reps.select("h", "rep", F.col("n_shingles").alias("n")), "h")
-    texts = materialise(docs.join(wanted, F.col("doc_id") == F.col("rep")).select(F.col("doc_id").alias("id"), "h", "n", "text"), "texts")
-    akin = materialise(compare(star, texts, max(1, FIRM - (100 - percent))), "akin")
-    close = f"100 * both >= {percent} * total"
-    links = materialise(akin.where(close).select("u", "v"), "links")
-    found = components(links)
-    clusters = components(akin.select("u", "v"))
-    more = cluster_links(clusters, found, texts, percent)
-
-    # members far from their table's center with each other, unless a cluster has compared them
-    firm = akin.where(f"100 * both >= {FIRM} * total").select(F.col("hu").alias("h"), F.col("hv").alias("center"))
-    far = held.where("h <> center").join(firm, ["h", "center"], "left_anti").select("key", "h")
-    several = far.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("key")
-    named = reps.join(clusters.withColumnRenamed("node", "rep"), "rep", "left").select("h", F.coalesce("component", "rep").alias("c"), "n_shingles", "sketch")
-    far = materialise(far.join(several, "key").join(named, "h"), "far")
-    side = lambda s: far.select("key", F.col("h").alias(f"h{s}"), F.col("c").alias(f"c{s}"), F.col("n_shingles").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
-    x, y = side("u"), side("v")
-    agree = F.expr("aggregate(zip_with(su, sv, (p, q) -> if(p = q, 1, 0)), 0, (s, z) -> s + z)")
-    least = max(0, int(N_HASH * percent / 100 - 6 * (N_HASH * percent * (100 - percent) / 1e4) ** 0.5))
-    fit = F.expr(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)") & (agree >= least)
-    pairs = x.join(y, (x["key"] == y["key"]) & (F.col("hu") < F.col("hv")) & (F.col("cu") != F.col("cv")) & fit).select("hu", "hv").distinct()
-    found = components(links.unionByName(more).unionByName(compare(pairs, texts, percent).where(close).select("u", "v")))
-
-    named = member.select("doc_id", "n_shingles", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    found = components(compare(star, texts, percent).unionByName(same))
+    grown = lambda pairs: components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(compare(pairs, texts, percent)))
+
+    for k in range(AGAIN):
+        rows = unsettled(held, wanted, found, keep, f"-{k}")
+        center = F.min(F.struct(F.xxhash64("h", "key", F.lit(k)).alias("by"), F.col("h").alias("hv"), F.col("comp").alias("compv"))).alias("c")
+        centers = keep(rows.groupBy("key").agg(center).select("key", "c.hv", "c.compv"), f"centers-{k}")
+        star = rows.join(centers, "key").where("comp <> compv").select(F.least("h", "hv").alias("hu"), F.greatest("h", "hv").alias("hv")).distinct()
+        found = grown(star)
+    left = keep(unsettled(held, wanted, found, keep, "").select("h", "comp").distinct(), "left")
+    pairs = keep(prefix_pairs(texts.join(left.hint("merge"), "h"), percent, keep), "pairs")
+    found = grown(pairs)
+    remove(spark, folder)
+
+    named = member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = sig.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return named.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

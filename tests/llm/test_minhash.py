@@ -69,3 +69,58 @@ def test_long_chain_of_links(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(900, 900), (5, 4)], "u long, v long")
     assert {r.component for r in graph.components(chain).collect()} == {0}
     assert graph.components(chain).count() == n + 1
+
+
+def test_one_id_with_two_texts_has_the_links_of_both(docs):
+    a, b, near = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60)), " ".join(f"a{k}" for k in range(59))
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in M.near_duplicates(docs([(7, a), (7, b), (3, b), (2, near), (9, near + " z"), (9, "own " * 9)])).collect())
+    assert got == [(2, 2, True), (3, 2, False), (7, 2, False), (7, 2, False), (9, 2, False), (9, 2, False)]
+
+
+def test_repeated_rows_are_fetched_once(docs, monkeypatch):
+    from paperloom.llm import common
+
+    sizes = {}
+    real = common.materialise
+
+    def spy(df, name="t", folder=None):
+        out = real(df, name, folder)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(M, "materialise", spy)
+    text = " ".join(map(str, range(200)))
+    rows = [(1, text)] * 100 + [(2, text + " and one")]
+    got = {(r.doc_id, r.component_id) for r in M.near_duplicates(docs(rows)).collect()}
+    assert got == {(1, 1), (2, 1)}
+    assert sizes["texts"] == 101 and sizes["texts-once"] == 2
+
+
+def test_links_between_members_of_a_family_that_no_center_has(docs):
+    """Texts that share half of their words, in pairs of near copies: no center links the pairs, the prefixes do."""
+    common = [f"c{k}" for k in range(300)]
+    rows = []
+    for i in range(60):
+        own = [f"o{i}x{k}" for k in range(220)]
+        rows += [(2 * i, " ".join(common + own)), (2 * i + 1, " ".join(common + own[:215]))]
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in M.near_duplicates(docs(rows)).collect()} == brute(rows, 85)
+
+
+def test_prefixes_lose_no_similar_pair(docs):
+    """Every pair of similar sets shares a shingle of its prefixes, and passes the tests there."""
+    from pyspark.sql import functions as F
+
+    rows = corpus()[:80]
+    texts = docs(rows).select(F.col("doc_id").alias("h"), F.col("doc_id").alias("comp"), "text").where("text <> ''")
+    low = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, (t or "").split()) for i, t in rows)}
+    for percent in (80, 85):
+        got = {(r.hu, r.hv) for r in M.prefix_pairs(texts, percent, lambda df, name: df).collect()}
+        want = {(a, b) for a in low for b in low if a < b and 100 * len(low[a] & low[b]) >= percent * len(low[a] | low[b]) and low[a]}
+        assert want and want <= got
+
+
+def test_a_node_with_very_many_neighbours(spark):
+    hub = spark.range(1, 3000).selectExpr("id as u", "0L as v")
+    other = spark.range(5000, 5010).selectExpr("id as u", "4000L as v")
+    got = {r.component: r["count"] for r in graph.components(hub.unionByName(other)).groupBy("component").count().collect()}
+    assert got == {0: 3000, 4000: 11}
