@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import license
+
 #: The CRC-32 table from its polynomial, and a checksum of a hexadecimal string's bytes.
 _CRC = """crc_bits AS (SELECT n, list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(0, 256) r(n)),
 crc_table AS (SELECT list(v ORDER BY n) AS crc FROM crc_bits)"""
@@ -33,7 +35,7 @@ def _shard(key: str, extra: int) -> str:
 OP4 = f"""
 WITH {_CRC},
 d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k, CAST(octet_length(encode(coalesce(text, ''))) + 8 AS BIGINT) AS size, CAST({crc32("coalesce(text, '')")} AS BIGINT) AS text_crc32 FROM documents, crc_table),
-n AS (SELECT greatest(64, least(65536, CAST(ceil(count(*) / 2400000.0) AS BIGINT))) AS buckets FROM documents),
+n AS (SELECT greatest(64, CAST(ceil(count(*) / 2400000.0) AS BIGINT)) AS buckets FROM (SELECT DISTINCT doc_id, size, text_crc32 FROM d)),
 s AS (SELECT doc_id, size, text_crc32, {_shard('k', 0)} AS shard, {_shard('k', 1)} AS grown_shard, floor({_draw("(k || '|' || text_crc32)", 'slot')} * buckets) AS bucket FROM d, n)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM s"""
 
@@ -51,4 +53,54 @@ SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
  strftime(TIMESTAMP '2020-01-01 00:00:00' + to_seconds(page_id % 1000000000), '%Y-%m-%dT%H:%M:%SZ') AS ts
 FROM b"""
 
-ORACLE = {"op1_warc_index_merge": OP1, "op4_hash_tree_sharding": OP4}
+
+# --- licences: the same rules, every pair of matches compared, then kept one by one by priority
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _op2() -> str:
+    values = ",\n".join(f"({k}, {_quoted(label)}, {_quoted(key)}, {_quoted(license.spaced(e))})" for k, (label, key, e) in enumerate(license.rules()))
+    places, labels = [], []
+    for phrase, label in license.BASE:
+        words = phrase.split()
+        test = " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(words))
+        places.append(f"list_filter(range(0, greatest(0, len(w) - {len(words) - 1})), lambda i: {test})")
+        labels.append(f"CASE WHEN len({places[-1]}) > 0 THEN ['{label}'] ELSE [] END")
+    return rf"""
+WITH rules(rank, label, key, expr) AS (VALUES {values}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+n AS (SELECT rid, doc_id, w, CASE WHEN len(w) = 0 THEN ' ' ELSE ' ' || array_to_string(w, '  ') || ' ' END AS norm, {' || '.join(places)} AS places, {' || '.join(labels)} AS base FROM d),
+parts AS (SELECT rid, rank, label, string_split(regexp_replace(norm, expr, chr(1) || '\0' || chr(2), 'g'), chr(1)) AS p FROM n JOIN rules ON contains(norm, key)),
+part AS (SELECT rid, rank, label, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM parts WHERE len(p) > 1),
+spot AS (SELECT rid, rank, label, x, coalesce(sum(length(replace(x, chr(2), ''))) OVER (PARTITION BY rid, rank ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM part),
+found AS (SELECT rid, rank, label, CAST(a AS BIGINT) AS a, CAST(a + length(split_part(x, chr(2), 1)) AS BIGINT) AS z FROM spot WHERE contains(x, chr(2))),
+outermost AS (SELECT * FROM found d WHERE NOT EXISTS (SELECT 1 FROM found e WHERE e.rid = d.rid AND e.a <= d.a AND d.z <= e.z AND (e.a <> d.a OR e.z <> d.z OR e.rank < d.rank))),
+lists AS (SELECT rid, list({{'a': a, 'z': z, 'label': label}} ORDER BY rank, a) AS l FROM outermost GROUP BY rid),
+kept AS (SELECT rid, list_reduce(list_prepend(l[1:0], list_transform(l, lambda x: [x])), lambda k, x: CASE WHEN len(list_filter(k, lambda y: y.a < x[1].z AND x[1].a < y.z)) > 0 THEN k ELSE list_concat(k, x) END) AS l FROM lists)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, CAST(list_min(places) AS BIGINT) AS first_word, CAST(list_max(places) AS BIGINT) AS last_word,
+ array_to_string(list_sort(base), ',') AS base_labels, array_to_string(list_sort(list_distinct(base || list_transform(coalesce(l, []), lambda y: y.label))), ',') AS labels,
+ CASE WHEN len(base) > 0 OR list_max(list_transform(l, lambda y: y.z - y.a)) >= {license.NOTICE} THEN 1.0 WHEN len(l) > 0 THEN 0.8 ELSE 0.0 END::DOUBLE AS score, CAST(coalesce(len(l), 0) AS INTEGER) AS n_detections
+FROM n LEFT JOIN kept USING (rid)"""
+
+
+# --- near duplicates: exact shingle sets, all pairs that share a shingle, smallest reachable ids
+
+OP6 = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT rid, doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g, len(w) >= 5 AS whole FROM d),
+n AS (SELECT rid, doc_id, count(*) AS n FROM s GROUP BY rid, doc_id),
+class AS (SELECT rid, doc_id, n, h FROM n JOIN (SELECT rid, md5(string_agg(g, chr(10) ORDER BY g) || CASE WHEN bool_and(whole) THEN 'f' ELSE 's' END) AS h FROM s GROUP BY rid) USING (rid) WHERE doc_id IS NOT NULL),
+rep AS (SELECT h, any_value(n) AS n, min(rid) AS rid, min(doc_id) AS id FROM class GROUP BY h),
+rs AS (SELECT r.rid, r.id, r.n, s.g, s.whole FROM rep r JOIN s USING (rid)),
+overlap AS (SELECT x.id AS u, y.id AS v, x.n AS nx, y.n AS ny, count(*) AS c FROM rs x JOIN rs y ON x.g = y.g AND x.whole = y.whole AND x.rid < y.rid AND 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n) GROUP BY x.rid, y.rid, x.id, y.id, x.n, y.n),
+link AS (SELECT u, v FROM overlap WHERE 100 * c >= 85 * (nx + ny - c) AND u <> v UNION SELECT v, u FROM overlap WHERE 100 * c >= 85 * (nx + ny - c) AND u <> v
+ UNION SELECT doc_id, id FROM class JOIN rep USING (h) WHERE doc_id <> id UNION SELECT id, doc_id FROM class JOIN rep USING (h) WHERE doc_id <> id),
+reach AS (SELECT DISTINCT doc_id AS node, doc_id AS low FROM class UNION SELECT link.v, reach.low FROM reach JOIN link ON reach.node = link.u WHERE reach.low < link.v),
+comp AS (SELECT node, min(low) AS low FROM reach GROUP BY node)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(low, d.doc_id) AS component_id, coalesce(d.doc_id = coalesce(low, d.doc_id), true) AS kept
+FROM d LEFT JOIN n USING (rid) LEFT JOIN comp ON comp.node = d.doc_id"""
+
+ORACLE = {"op1_warc_index_merge": OP1, "op2_license_scan": _op2(), "op4_hash_tree_sharding": OP4, "op6_minhash_near_dedup": OP6}
