@@ -103,10 +103,6 @@ def discard(spark: SparkSession, folder: str) -> None:
         jvm.System.gc()
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Nothing any more: `tidily` cuts batches."""
-
-
 def release() -> None:
     """Give back what a finished task's arrays took: workers outlive their tasks, and their
     memory counts beside that of the JVM's next stages."""
