@@ -7,7 +7,9 @@ their repeat counts are solved against the histogram by non-negative least squar
 rounded down to what is there, and what is left is packed greedily (largest first, then
 the largest that fits). A pattern repeated n times takes n consecutive ranks of each of
 its lengths, so a piece finds its place from its length and its rank among the pieces of
-that length alone. Ranks come from counts by task and length and a prefix sum.
+that length alone. Ranks come from counts by task and length and a prefix sum, of which a
+file for each task is written to the shared folder; a reader fetches those of the few tasks
+whose pieces it meets, so nothing that grows with the number of tasks is sent to all.
 
 Cases: null and empty text is the end id alone; rows that share a doc_id, or repeat, are
 packed each on its own; a null doc_id is kept; an empty table gives an empty result; other
@@ -25,12 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, tidily
-from .tokens import encode, vocabulary_path
+from .common import materialise, shared_dir, tidily
+from .tokens import encode, qualified, store, vocabulary_path
 
 WINDOW, END_ID = 1024, 0
 FREQUENT = 48  # lengths of which triples are formed
 SWEEPS = 100
+KNOWN = 256  # tasks whose ranks a reader holds
 
 
 def combinations(hist: np.ndarray, window: int) -> list[tuple[int, ...]]:
@@ -110,7 +113,6 @@ def places(patterns: Iterable[tuple[tuple[int, ...], int]], window: int) -> dict
 
 def pieces(docs: DataFrame, path: str, window: int) -> DataFrame:
     """A row for each piece with its task and its rank among the task's pieces of that length."""
-    bounded_batches(docs.sparkSession)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "rank"]
 
     def run(batches):
@@ -129,6 +131,33 @@ def pieces(docs: DataFrame, path: str, window: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidily(run), ", ".join(f"{n} long" for n in names))
 
 
+def write_ranks(counts: DataFrame, window: int) -> str:
+    """A folder with a file for each task of counts(length, task, count): by length, how many
+    pieces earlier tasks have. A file is the same whoever writes it, and appears whole or not at all."""
+    spark = counts.sparkSession
+    folder = qualified(spark, shared_dir(spark))
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("length", "task", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+
+    def run(batches):
+        files, at = store(folder)
+        files.create_dir(at, recursive=True)
+        for b in batches:
+            for task, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ranks = np.zeros(window + 1, "<i8")
+                for r in rows:
+                    ranks[r["length"]] = r["first"]
+                own = f"{at}/{task}-{TaskContext.get().taskAttemptId()}.part"
+                with files.open_output_stream(own) as out:
+                    out.write(ranks.tobytes())
+                files.move(own, f"{at}/{task}.ranks")
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64())], names=["done"])
+
+    by_task = first.groupBy("task").agg(F.collect_list(F.struct("length", "first")).alias("rows"))
+    by_task.mapInArrow(tidily(run), "done long").count()
+    return folder
+
+
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset for every piece of docs(doc_id, text)."""
     cut = materialise(pieces(docs, path or vocabulary_path(), window), "pieces")
@@ -138,15 +167,28 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> Data
         hist[r["length"]] = r["n"]
     table = places(plan(hist, window), window)
     key = table["length"] * (1 << 44) + table["rank"]
-    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("length", "task", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+    folder = write_ranks(counts, window)
 
     def run(batches):
-        for b in batches:
-            length, rank = (b.column(k).to_numpy(zero_copy_only=False) for k in (2, 5))
-            at = np.searchsorted(key, length * (1 << 44) + rank, "right") - 1
-            sequence = table["sequence"][at] + rank - table["rank"][at]
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(table["offset"][at])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        files, at = store(folder)
+        known: dict[int, np.ndarray] = {}
+
+        def ranks(task: int) -> np.ndarray:
+            if task not in known:
+                if len(known) >= KNOWN:
+                    known.clear()
+                with files.open_input_stream(f"{at}/{task}.ranks") as f:
+                    known[task] = np.frombuffer(f.read(), "<i8")
+            return known[task]
 
-    ranked = cut.join(first, ["length", "task"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("rank") + F.col("first")).alias("rank"))
-    return ranked.mapInArrow(tidily(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+        for b in batches:
+            length, task, rank = (b.column(k).to_numpy(zero_copy_only=False) for k in (2, 5, 6))
+            rank = rank.copy()
+            for t in np.unique(task):
+                mine = task == t
+                rank[mine] += ranks(int(t))[length[mine]]
+            spot = np.searchsorted(key, length * (1 << 44) + rank, "right") - 1
+            sequence = table["sequence"][spot] + rank - table["rank"][spot]
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(table["offset"][spot])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+    return cut.mapInArrow(tidily(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
