@@ -126,56 +126,86 @@ class TemplateError(ValueError):
 
 
 DIRECTIVES = ("summary", "budget", "schedule", "heatmap", "annex", "clientlogo", "pagebreak", "section")
-PATH = re.compile(r"[A-Za-z]\w*(?:\.[A-Za-z]\w*)*")
+PATH = r"[A-Za-z]\w*(?:\.[A-Za-z]\w*)*"
+# one alternative for each kind of tag; the last one takes whatever the others don't
+TAG = re.compile(
+    rf"""\{{\{{\s*(?:
+        (?P<close>/[?^])
+      | (?P<when>[?^])\s*(?P<of>{PATH})
+      | @(?P<directive>[^\s{{}}]*)(?P<args>(?:\s+[^\s{{}}]+)*)
+      | section:(?P<section>[^\n]*?)
+      | (?P<path>{PATH})
+      | (?P<other>[^\n]*?)
+    )\s*\}}\}}""",
+    re.VERBOSE,
+)
+ALONE = re.compile(r"^[^\S\n]*(\{\{\s*@[^\n]*?\}\})[^\S\n]*$", re.MULTILINE)
+ARGUMENT = re.compile(r"([^=\s]+)=(\S*)")
+
+
+def tokens(source: str):
+    """(text, None) and (tag's text, its match) in turn."""
+    at = 0
+    for m in TAG.finditer(source):
+        if m.start() > at:
+            yield source[at : m.start()], None
+        yield m[0], m
+        at = m.end()
+    if at < len(source):
+        yield source[at:], None
+
+
+def leaf(m: re.Match, alone: set[int]) -> tuple[Node, list[str]]:
+    """The node of a tag that opens and closes nothing, and what is wrong with it."""
+    if m["path"]:
+        return Node("field", m["path"]), []
+    if m["section"] is not None:
+        return Node("directive", "section", args={"name": m["section"].strip()}), []
+    if m["directive"] is None:
+        return Node("text"), [f"cannot read {m[0]}"]
+    given = {x: ARGUMENT.fullmatch(x) for x in (m["args"] or "").split()}
+    wrong = [f"{m[0]}: cannot read argument {x}" for x, ok in given.items() if not ok]
+    if m.start() not in alone:
+        wrong.append(f"{m[0]} must stand alone on its own line")
+    if m["directive"] not in DIRECTIVES:
+        wrong.append(f"unknown directive {m[0]}")
+    return Node("directive", m["directive"], args=dict(ok.groups() for ok in given.values() if ok)), wrong
 
 
 def parse_template(source: str) -> list[Node]:
-    """{{field}}, {{?there}}..{{/?}}, {{^absent}}..{{/^}}, {{@directive k=v}} alone on its line, {{section:name}}."""
+    """{{field}}, {{?there}}..{{/?}}, {{^absent}}..{{/^}}, {{@directive k=v}} alone on its line, {{section:name}}.
+
+    ``template = (text | leaf | open template close)*``, read by descent; everything that is wrong is reported at once.
+    """
     errors: list[str] = []
-    root = Node("root")
-    open_: list[tuple[Node, str]] = [(root, "")]
-    pieces = re.split(r"(\{\{.*?\}\})", source)
-    for k, piece in enumerate(pieces):
-        into = open_[-1][0].children
-        if k % 2 == 0:
-            if piece:
-                into.append(Node("text", piece))
-            continue
-        body = piece[2:-2].strip()
-        if body in ("/?", "/^"):
-            node = open_[-1][0]
-            if node.kind == "presence" and node.positive == (body == "/?"):
-                open_.pop()
+    alone = {m.start(1) for m in ALONE.finditer(source)}
+    stream = tokens(source)
+
+    def sequence(end: str | None) -> tuple[list[Node], bool]:
+        """Nodes up to the closing mark ``end``, and whether it came."""
+        nodes: list[Node] = []
+        for text, m in stream:
+            if m is None:
+                nodes.append(Node("text", text))
+            elif m["when"]:
+                inside, closed = sequence("/" + m["when"])
+                nodes.append(Node("presence", m["of"], m["when"] == "?", children=inside))
+                if not closed:
+                    errors.append(f"{text} is not closed")
+            elif m["close"]:
+                if m["close"] == end:
+                    return nodes, True
+                errors.append(f"{text} closes no open block")
             else:
-                errors.append(f"{piece} closes no open block")
-        elif body[:1] in ("?", "^"):
-            path = body[1:].strip()
-            if PATH.fullmatch(path):
-                node = Node("presence", path, body[0] == "?")
-                into.append(node)
-                open_.append((node, piece))
-            else:
-                errors.append(f"cannot read {piece}: a block opens with a field's path")
-        elif body.startswith("@"):
-            line = "".join(pieces[:k]).rpartition("\n")[2] + "".join(pieces[k + 1 :]).partition("\n")[0]
-            if line.strip():
-                errors.append(f"{piece} must stand alone on its own line")
-            name, *rest = body[1:].split() or [""]
-            args = dict(x.split("=", 1) for x in rest if x.find("=") > 0)
-            errors += [f"{piece}: cannot read argument {x}" for x in rest if x.find("=") <= 0]
-            if name not in DIRECTIVES:
-                errors.append(f"unknown directive {piece}")
-            into.append(Node("directive", name, args=args))
-        elif body.startswith("section:"):
-            into.append(Node("directive", "section", args={"name": body[8:].strip()}))
-        elif PATH.fullmatch(body):
-            into.append(Node("field", body))
-        else:
-            errors.append(f"cannot read {piece}")
-    errors += [f"{mark} is not closed" for _, mark in open_[:0:-1]]
+                node, wrong = leaf(m, alone)
+                nodes.append(node)
+                errors.extend(wrong)
+        return nodes, end is None
+
+    nodes, _ = sequence(None)
     if errors:
         raise TemplateError(errors)
-    return root.children
+    return nodes
 
 
 def fill_template(nodes: list[Node], fields: dict[str, Column]) -> Column:

@@ -230,6 +230,33 @@ def test_filling_adds_up(seed):
     assert sum(W.fill(9000, demand, [rnd.choice((300, 700, 1600)) for _ in range(n)])) == 9000
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_fill_is_the_proportional_fill_within_bounds(seed):
+    """One level for all columns between their bounds, found here by bisection."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(1, 9))
+    total = float(rng.integers(2000, 12000))
+    demand, floor = rng.integers(1, 120, n).astype(float), rng.integers(100, 1600, n).astype(float)
+    low, high = W.bounds(total, floor)
+    a, z = 0.0, total
+    for _ in range(200):
+        mid = (a + z) / 2
+        a, z = (mid, z) if np.clip(mid * demand, low, high).sum() < total else (a, mid)
+    want = np.clip(z * demand, low, high)
+    got = W.fill(total, demand.tolist(), floor.tolist())
+    assert sum(got) == int(total) and np.abs(np.array(got) - want).max() < 1.001
+    assert (low <= high).all() and high.sum() >= total - 1e-6
+
+
+def test_fill_without_demand_and_with_floors_that_do_not_fit():
+    assert W.fill(900, [0, 0, 0], [10, 10, 10]) == [300, 300, 300]
+    assert W.fill(100, [1, 3], [90, 90]) == [25, 75]
+    assert W.fill(1000, [0, 0, 9], [100, 100, 100]) == [275, 275, 450]
+    assert W.fill(1000, [5], [100]) == [1000]
+
+
 def test_largest_remainder_ties_go_left():
     assert W.largest_remainder([1.5, 1.5, 2.0], 5) == [2, 1, 2]
     assert W.fill(100, [1, 1], [0, 0]) == [50, 50]
