@@ -88,13 +88,24 @@ def warnings(blocks: DataFrame, titles: DataFrame, page: str = "A4", margin_pt:
 
 
 def inspect(blocks: DataFrame) -> DataFrame:
-    """One row a document: counts by kind, tokens, whether it has a title, and warnings."""
-    titles, rest = lift_title(blocks)
-    tokens = rest.where(F.col("t").isin(*WITH_TEXT)).groupBy("doc_id").agg(F.sum(F.size(tokenise("text"))).alias("n_tokens"))
-    jumps = heading_jumps(rest).groupBy("doc_id").count().withColumnRenamed("count", "n_jumps")
-    out = titles.join(count_blocks(rest), "doc_id", "left").join(tokens, "doc_id", "left").join(jumps, "doc_id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return out.select("doc_id", "title", *[zero(f"n_{k}").alias(f"n_{k}") for k in KINDS], zero("n_tokens").alias("n_tokens"), (zero("n_jumps") + F.when(F.col("title") == "Untitled", 1).otherwise(0)).alias("n_warnings"))
+    """One row a document: counts by kind, tokens, whether it has a title, and warnings.
+
+    One pass: what is needed of a text, its tokens' number and a title, is taken before blocks
+    are dealt out, and windows and totals share that one exchange by document.
+    """
+    is_title = (F.col("t") == "heading") & (F.col("level") == 1)
+    n_tokens = F.when(F.col("t").isin(*WITH_TEXT), F.size(tokenise("text"))).otherwise(0)
+    rows = blocks.select("doc_id", "block_ix", "t", "level", n_tokens.alias("n_tokens"), F.when(is_title, F.col("text")).alias("title"))
+    whole = Window.partitionBy("doc_id")
+    rows = rows.withColumn("first", F.min(F.when(is_title, F.struct("block_ix", "title"))).over(whole))
+    rest = ~F.col("block_ix").eqNullSafe(F.col("first.block_ix"))
+    level = F.when(rest & (F.col("t") == "heading"), F.col("level"))
+    past = whole.orderBy("block_ix").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("jump", F.coalesce(level > F.last(level, ignorenulls=True).over(past) + 1, F.lit(False)))
+    title = F.coalesce(F.max("first.title"), F.lit("Untitled"))
+    kinds = [F.count_if(rest & (F.col("t") == k)).alias(f"n_{k}") for k in KINDS]
+    out = rows.groupBy("doc_id").agg(title.alias("title"), *kinds, F.sum(F.when(rest, F.col("n_tokens")).otherwise(0)).alias("n_tokens"), F.count_if("jump").alias("n_jumps"))
+    return out.withColumn("n_warnings", F.col("n_jumps") + F.when(F.col("title") == "Untitled", 1).otherwise(0)).drop("n_jumps")
 
 
 def understood(counts: DataFrame) -> DataFrame:
@@ -122,17 +133,25 @@ def split_at_pagebreak(blocks: DataFrame) -> DataFrame:
 
 
 def doc_tokens(blocks: DataFrame) -> DataFrame:
-    """(doc_id, pos, token) in block order; kinds without text give none."""
-    words = blocks.where(F.col("t").isin(*WITH_TEXT)).select("doc_id", "block_ix", F.posexplode(tokenise("text")).alias("k", "token"))
-    return words.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("block_ix", "k")) - 1).alias("pos"), "token")
+    """(doc_id, tokens): a document's tokens as one list in block order; kinds without text give none."""
+    words = F.struct("block_ix", F.when(F.col("t").isin(*WITH_TEXT), tokenise("text")).alias("words"))
+    lists = F.transform(F.array_sort(F.collect_list(words)), lambda x: F.coalesce(x["words"], F.array().cast("array<string>")))
+    return blocks.groupBy("doc_id").agg(F.flatten(lists).alias("tokens"))
+
+
+def divergence(expected: Column, found: Column) -> Column:
+    """(pos, expected, found) at the first position where two lists differ, their lengths included; null if they are equal."""
+    differ = F.zip_with(expected, found, lambda a, b: ~a.eqNullSafe(b))
+    at = (F.array_position(differ, F.lit(True)) - 1).cast("int")
+    return F.when(at >= 0, F.struct(at.alias("pos"), F.get(expected, at).alias("expected"), F.get(found, at).alias("found")))
 
 
 def first_divergence(source: DataFrame, assembled: DataFrame) -> DataFrame:
-    """The first position, by document, where two token sequences differ, their lengths included."""
-    a, b = source.withColumnRenamed("token", "expected"), assembled.withColumnRenamed("token", "found")
-    apart = a.join(b, ["doc_id", "pos"], "full_outer").where(~F.col("expected").eqNullSafe(F.col("found")))
-    first = apart.groupBy("doc_id").agg(F.min(F.struct("pos", "expected", "found")).alias("x"))
-    return first.select("doc_id", "x.pos", "x.expected", "x.found")
+    """The first position, by document, where two token lists (doc_id, tokens) differ; a missing list is empty."""
+    both = source.withColumnRenamed("tokens", "a").join(assembled.withColumnRenamed("tokens", "b"), "doc_id", "full_outer")
+    none = F.array().cast("array<string>")
+    x = divergence(F.coalesce("a", none), F.coalesce("b", none))
+    return both.select("doc_id", x.alias("x")).where("x is not null").select("doc_id", "x.pos", "x.expected", "x.found")
 
 
 def violations(blocks: DataFrame) -> DataFrame:

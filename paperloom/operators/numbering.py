@@ -42,22 +42,19 @@ def item_numbers(paras: DataFrame) -> DataFrame:
     and 0 none. The reset epoch of a level is how many resetting items came before, so the
     number is a rank within (number, level, epoch).
     """
-    before = Window.partitionBy("doc_id", "num_id").orderBy("para_ix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    own = Window.partitionBy("doc_id", "num_id", "ilvl")
-    restart = F.max("lvl_restart").over(own)
-    rows = paras.withColumn("restart", restart)
-    # what resets level d is up to d's own rule, which every row of the number needs to know
-    rule = F.map_from_entries(F.array_distinct(F.collect_list(F.struct("ilvl", F.coalesce("restart", F.lit(-1)).alias("r"))).over(Window.partitionBy("doc_id", "num_id"))))
-    rows = rows.withColumn("rules", rule)
+    number = Window.partitionBy("doc_id", "num_id")
+    before = number.orderBy("para_ix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # what resets level d is up to d's own rule, which every row of the number needs to know: one value a level
+    rows = paras.withColumns({f"_rule{d}": F.max(F.when(F.col("ilvl") == d, F.col("lvl_restart"))).over(number) for d in range(DEPTH)})
 
     def resets(d: int) -> Column:
-        r = F.try_element_at("rules", F.lit(d))
-        reach = F.when(r == -1, F.lit(d)).otherwise(F.least(r, F.lit(d)))
+        reach = F.least(F.coalesce(F.col(f"_rule{d}"), F.lit(d)), F.lit(d))
         return F.sum(F.when(F.col("ilvl") < reach, 1).otherwise(0)).over(before)
 
     epoch = F.element_at(F.array(*[resets(d) for d in range(DEPTH)]), F.col("ilvl") + 1)
-    rank = F.row_number().over(Window.partitionBy("doc_id", "num_id", "ilvl", "epoch").orderBy("para_ix"))
-    return rows.withColumn("epoch", epoch).withColumn("number", F.col("start") + rank - 1).drop("restart", "rules", "epoch")
+    rows = rows.withColumn("_epoch", epoch)
+    rank = F.row_number().over(Window.partitionBy("doc_id", "num_id", "ilvl", "_epoch").orderBy("para_ix"))
+    return rows.select(*paras.columns, (F.col("start") + rank - 1).alias("number"))
 
 
 def islands(df: DataFrame, key: list[str], order: str, *same: Column, name: str = "island") -> DataFrame:

@@ -214,13 +214,29 @@ def prose_blocks(runs: DataFrame, levels: DataFrame, key: list[str], doc: list[s
     return sized.select(*key, order.alias("block_ix"), F.when(F.col("level").isNull(), "para").otherwise("heading").alias("t"), "level", "text")
 
 
+def _means(values: Column, tol: float) -> Column:
+    """For each of sorted distinct values the mean of its anchored cluster."""
+    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.array().cast("array<array<double>>").alias("of"))
+    opens = lambda acc, v: acc["anchor"].isNull() | (v - acc["anchor"] > tol)
+    done = lambda acc: F.slice(acc["of"], 1, F.greatest(F.size(acc["of"]) - 1, F.lit(0)))
+    step = lambda acc, v: F.when(opens(acc, v), F.struct(v.alias("anchor"), F.array_append(acc["of"], F.array(v)).alias("of"))).otherwise(F.struct(acc["anchor"].alias("anchor"), F.array_append(done(acc), F.array_append(F.element_at(acc["of"], -1), v)).alias("of")))
+    clusters = F.aggregate(values, start, step, lambda acc: acc["of"])
+    mean = lambda vs: F.aggregate(vs, F.lit(0.0), lambda s, v: s + v) / F.size(vs)
+    return F.flatten(F.transform(clusters, lambda vs: F.array_repeat(mean(vs), F.size(vs))))
+
+
 def find_repeated(runs: DataFrame, doc: list[str], page: str = "page", least_pages: int = 2) -> DataFrame:
-    """Texts that stand at one place of every page and are equal but for digits: doc..., texts, x, y_top, y_bottom, pages."""
-    pages = runs.groupBy(*doc).agg(F.count_distinct(page).alias("n_pages")).where(F.col("n_pages") >= least_pages)
-    mean = lambda c: cluster_means(runs, doc, c).withColumnRenamed("mean", f"{c}_mean")
-    placed = runs.join(mean("x"), [*doc, "x"]).join(mean("y"), [*doc, "y"])
-    g = placed.groupBy(*doc, "x_mean", "y_mean").agg(F.count_distinct(page).alias("pages"), F.count_distinct(strip_digits("text")).alias("kinds"), F.array_sort(F.collect_set("text")).alias("texts"), F.max("y").alias("y_top"), F.min("y").alias("y_bottom"))
-    return g.join(pages, doc).where("pages = n_pages and kinds = 1").select(*doc, "texts", F.col("x_mean").alias("x"), "y_top", "y_bottom", "pages")
+    """Texts that stand at one place of every page and are equal but for digits: doc..., texts, x, y_top, y_bottom, pages.
+
+    One aggregate finds a document's pages and the clusters of both axes; runs are read once more to meet them.
+    """
+    seen = lambda c: F.array_sort(F.collect_set(F.col(c).cast("double")))
+    found = runs.groupBy(*doc).agg(F.count_distinct(page).alias("n_pages"), seen("x").alias("_x"), seen("y").alias("_y")).where(F.col("n_pages") >= least_pages)
+    found = found.withColumns({"_x_mean": _means(F.col("_x"), POSITION_TOL), "_y_mean": _means(F.col("_y"), POSITION_TOL)})
+    of = lambda c: F.get(f"_{c}_mean", (F.array_position(f"_{c}", F.col(c).cast("double")) - 1).cast("int"))
+    placed = runs.join(found, doc).select(*doc, page, "text", "y", "n_pages", of("x").alias("x_mean"), of("y").alias("y_mean"))
+    g = placed.groupBy(*doc, "x_mean", "y_mean").agg(F.first("n_pages").alias("n_pages"), F.count_distinct(page).alias("pages"), F.count_distinct(strip_digits("text")).alias("kinds"), F.array_sort(F.collect_set("text")).alias("texts"), F.max("y").alias("y_top"), F.min("y").alias("y_bottom"))
+    return g.where("pages = n_pages and kinds = 1").select(*doc, "texts", F.col("x_mean").alias("x"), "y_top", "y_bottom", "pages")
 
 
 def split_chrome(runs: DataFrame, above: Column, below: Column) -> DataFrame:

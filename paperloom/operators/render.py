@@ -113,11 +113,15 @@ def block_html() -> Column:
     )
 
 
+def gap_after(follows: Column) -> Column:
+    """What stands after a block: one line break between neighbouring lists and at the end, else a blank line."""
+    return F.when(follows.isNull(), "\n").when((F.col("t") == "list") & (follows == "list"), "\n").otherwise("\n\n")
+
+
 def render_markdown(docs: DataFrame, blocks: DataFrame) -> DataFrame:
     """(doc_id, markdown): title, subtitle, then blocks, with one line break between neighbouring lists, else a blank line."""
     nxt = F.lead("t").over(Window.partitionBy("doc_id").orderBy("block_ix"))
-    gap = F.when(nxt.isNull(), "\n").when((F.col("t") == "list") & (nxt == "list"), "\n").otherwise("\n\n")
-    rows = blocks.select("doc_id", "block_ix", F.concat(block_markdown(), gap).alias("md"))
+    rows = blocks.select("doc_id", "block_ix", F.concat(block_markdown(), gap_after(nxt)).alias("md"))
     body = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_ix", "md"))), lambda x: x["md"]), "").alias("body"))
     head = F.concat(F.lit("# "), F.col("title"), F.when(F.coalesce("subtitle", F.lit("")) != "", F.concat(F.lit("\n\n*"), F.col("subtitle"), F.lit("*"))).otherwise(""))
     return docs.join(body, "doc_id", "left").select("doc_id", F.concat(head, F.when(F.col("body").isNull(), "\n").otherwise(F.concat(F.lit("\n\n"), "body"))).alias("markdown"))

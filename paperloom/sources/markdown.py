@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.render import render_markdown
+from ..operators.render import block_markdown, gap_after
 from .base import rows_by_document
 
 SPAN = "struct<v:string,path:array<struct<t:string,href:string,node:int>>>"
@@ -280,8 +280,21 @@ def with_titles(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return titles.withColumn("subtitle", F.lit(None).cast("string")), rest
 
 
-def normalise(docs: DataFrame) -> DataFrame:
-    """(doc_id, markdown): documents read and written again in one fixed form."""
-    blocks, _ = read(docs)
-    titles, rest = with_titles(blocks)
-    return render_markdown(titles, rest)
+def normalise(docs: DataFrame, tag: str | None = None) -> DataFrame:
+    """(doc_id, markdown): documents read and written again in one fixed form; a column ``tag`` of docs comes along.
+
+    A text is lexed once, and its blocks are dealt out once: title and neighbours by windows, then the text.
+    """
+    src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), (F.col(tag) if tag else F.lit(None)).cast("string").alias("tag"))
+    rows = rows_by_document(src, lambda doc_id, text, tag: [r | {"tag": tag} for r in block_rows(doc_id, text)], BLOCK_SCHEMA + ", tag string")
+    whole = Window.partitionBy("doc_id")
+    ordered = whole.orderBy("block_ix")
+    first = F.min(F.when((F.col("t") == "heading") & (F.col("level") == 1), F.struct("block_ix", "text"))).over(whole)
+    rows = rows.withColumn("first", first).withColumn("is_title", F.col("block_ix").eqNullSafe(F.col("first.block_ix")))
+    follows = F.when(F.lead("is_title").over(ordered), F.lead("t", 2).over(ordered)).otherwise(F.lead("t").over(ordered))
+    rows = rows.withColumn("follows", follows)
+    piece = F.when(~F.col("is_title"), F.struct("block_ix", F.concat(block_markdown(), gap_after(F.col("follows"))).alias("md")))
+    pieces = F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["md"])
+    out = rows.groupBy("doc_id").agg(F.coalesce(F.max("first.text"), F.lit("Untitled")).alias("title"), pieces.alias("pieces"), F.max("tag").alias("tag"))
+    text = F.concat(F.lit("# "), F.col("title"), F.when(F.size("pieces") > 0, F.concat(F.lit("\n\n"), F.array_join("pieces", ""))).otherwise("\n"))
+    return out.select("doc_id", text.alias("markdown"), *([F.col("tag").alias(tag)] if tag else []))

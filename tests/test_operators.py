@@ -42,9 +42,26 @@ def test_cover_zones(spark):
 
 
 def test_divergence(spark):
-    a = spark.createDataFrame([(1, 0, "x"), (1, 1, "y"), (2, 0, "a"), (3, 0, "q")], "doc_id long, pos int, token string")
-    b = spark.createDataFrame([(1, 0, "x"), (1, 1, "z"), (2, 0, "a"), (2, 1, "more"), (3, 0, "q")], "doc_id long, pos int, token string")
-    assert rows(B.first_divergence(a, b), "doc_id") == [(1, 1, "y", "z"), (2, 1, None, "more")]
+    a = spark.createDataFrame([(1, ["x", "y"]), (2, ["a"]), (3, ["q"]), (4, []), (5, ["only"])], "doc_id long, tokens array<string>")
+    b = spark.createDataFrame([(1, ["x", "z"]), (2, ["a", "more"]), (3, ["q"]), (4, []), (6, ["new"])], "doc_id long, tokens array<string>")
+    assert rows(B.first_divergence(a, b), "doc_id") == [(1, 1, "y", "z"), (2, 1, None, "more"), (5, 0, "only", None), (6, 0, None, "new")]
+    blocks = spark.createDataFrame([(1, 1, "para", "c d"), (1, 0, "heading", "a b"), (1, 2, "rule", None), (2, 0, "pagebreak", None)], "doc_id long, block_ix int, t string, text string")
+    assert rows(B.doc_tokens(blocks), "doc_id") == [(1, ["a", "b", "c", "d"]), (2, [])]
+
+
+def scans(df):
+    """How many times a plan reads files."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("Relation [")
+
+
+def test_plans_read_their_table_once(spark):
+    """Counted on the optimised plan: inventory, renumbering and round trip in one scan, repeats in two (clusters, then runs)."""
+    from paperloom.plans import documents, geometry
+
+    d = "/root/testdata/sf0.001"
+    for query, most in ((documents.q01_block_counts, 1), (documents.q46_markdown_round_trip, 1), (documents.q03_first_divergence, 2), (geometry.q31_numbering, 1), (geometry.q23_repeated, 2)):
+        assert scans(query(spark, d)) <= most, query.__name__
 
 
 # --- sheets
