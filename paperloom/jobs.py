@@ -16,8 +16,12 @@ from pyspark.sql import functions as F
 from .operators import blocks as B
 from .operators import config as C
 from .operators import proposals as P
+from .operators import offers as O
 from .sinks.writers import render
 from .sources import discover as D
+from .sources.base import kept
+
+WRITERS = ("md", "html", "docx")
 
 
 def inspect(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
@@ -27,57 +31,75 @@ def inspect(spark: SparkSession, folder: str, recursive: bool = False) -> DataFr
     counts = B.count_blocks(got["blocks"])
     lost = got["dropped"].groupBy("doc_id").agg(F.count_if(F.col("kind") != "advisory").alias("n_dropped"), F.max(F.when(F.col("kind") == "refused", F.col("message"))).alias("reason"))
     out = files.select("doc_id", "path").join(got["docs"], "doc_id", "left").join(counts, "doc_id", "left").join(lost, "doc_id", "left")
-    status = F.when(F.col("reason").isNotNull() & F.col("n_para").isNull(), "refused").otherwise("ok")
+    status = F.when(F.col("reason").isNotNull(), "refused").otherwise("ok")
     return out.withColumns({"status": status, "n_dropped": F.coalesce("n_dropped", F.lit(0)), **{f"n_{k}": F.coalesce(f"n_{k}", F.lit(0)) for k in B.KINDS}})
 
 
-def build(spark: SparkSession, folder: str, formats: list[str], theme: str = C.DEFAULT_THEME, recursive: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(outputs (doc_id, target, content), refused (path, target, others)): targets that several inputs share are written by none."""
-    from .sources import markdown
-
-    files = D.load(spark, folder, recursive)
-    names = C.targets(files.select("doc_id", "path"), F.array(*[F.lit(f) for f in formats]), F.lit(theme), F.lit(theme == C.DEFAULT_THEME))
-    clash = C.collisions(names)
-    blocks, _ = markdown.read(files.where(F.col("ext").isin(".md", ".markdown")).select("doc_id", F.decode("content", "UTF-8").alias("text")))
-    titles, rest = markdown.with_titles(blocks)
-    broken = B.violations(rest).select("doc_id").distinct()
-    titles, rest = titles.join(broken, "doc_id", "left_anti"), rest.join(broken, "doc_id", "left_anti")
-    free = names.join(clash.select("path", "target"), ["path", "target"], "left_anti")
-    out = None
-    for f in formats:
-        made = render(f, titles, rest).join(free.where(F.col("format") == f).select("doc_id", "target"), "doc_id")
-        out = made if out is None else out.unionByName(made)
-    return out.select("doc_id", "target", "content"), clash
-
-
-def unbuilt(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
-    """(path, why) of the inputs that ``build`` gives no output: kinds it has no reader for, and broken rules."""
-    from .sources import markdown
-
-    files = D.load(spark, folder, recursive)
-    text = F.col("ext").isin(".md", ".markdown")
-    other = files.where(~text).select("path", F.concat(F.lit("build does not read "), F.col("ext")).alias("why"))
-    blocks, _ = markdown.read(files.where(text).select("doc_id", F.decode("content", "UTF-8").alias("text")))
-    _, rest = markdown.with_titles(blocks)
-    broken = B.violations(rest).select("doc_id", "why").distinct()
-    return other.unionByName(files.select("doc_id", "path").join(broken, "doc_id").select("path", "why"))
+def build(spark: SparkSession, folder: str, formats: list[str] | None = None, theme: str | None = None, recursive: bool = False, plain: bool | None = None, out: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(outputs (path, format, target, content), results: one row an input with status, reason, what was lost, targets).
+
+    Every readable file of the folder, by its reader, with the settings file beside it. Nothing is left out without a row: settings that
+    don't resolve fail their input; targets that several inputs share, documents that can't be read or break a
+    rule, and formats that have no writer here refuse it.
+    """
+    files = kept(D.load(spark, folder, recursive))
+    settled, wanted = C.plan_build(files.select("doc_id", "path"), D.load_sidecars(spark, folder, recursive), formats, theme, plain, out)
+    settled, wanted = kept(settled), kept(wanted)
+    ready = files.join(settled.where("status = 'ok'").select("doc_id"), "doc_id", "left_semi")
+    got = D.read_all(ready, settled.where("above is not null or below is not null").select("doc_id", "above", "below"))
+    dropped = kept(got["dropped"])
+    unreadable = dropped.where("kind = 'refused'").groupBy("doc_id").agg(F.min("message").alias("unreadable"))
+    blocks = kept(got["blocks"])
+    broken = B.violations(blocks).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("why")), "; ").alias("broken"))
+    unwritable = wanted.where(~F.col("format").isin(*WRITERS)).join(settled.select("path", "doc_id"), "path").groupBy("doc_id").agg(F.concat(F.lit("no writer for "), F.array_join(F.array_sort(F.collect_set("format")), ", ")).alias("unwritable"))
+    why = F.coalesce("unreadable", "broken")
+    faults = kept(unreadable.join(broken, "doc_id", "full_outer").join(unwritable, "doc_id", "full_outer").withColumn("why", why))
+
+    good = settled.where("status = 'ok'").join(faults.where("why is not null").select("doc_id"), "doc_id", "left_anti")
+    titles = got["docs"].join(good.select("doc_id", F.col("title").alias("own_title"), "subtitle", F.col("theme")), "doc_id").withColumn("title", F.coalesce("own_title", "title"))
+    rest = blocks.join(good.select("doc_id"), "doc_id", "left_semi")
+    targets = wanted.join(good.select("path", "doc_id"), "path")
+    outputs = None
+    for f in WRITERS:
+        made = render(f, titles, rest).join(targets.where(F.col("format") == f).select("doc_id", "path", "format", "target"), "doc_id")
+        outputs = made if outputs is None else outputs.unionByName(made)
+    outputs = kept(outputs.select("doc_id", "path", "format", "target", "content", "lost"))
+
+    losses = dropped.where("kind not in ('refused', 'advisory')").select("doc_id", "message").unionByName(outputs.select("doc_id", F.explode("lost").alias("message")))
+    lost = losses.groupBy("doc_id").agg(F.count("*").alias("n_lost"), F.array_sort(F.collect_set("message")).alias("lost"))
+    written = outputs.groupBy("doc_id").agg(F.array_sort(F.collect_list("target")).alias("written"))
+    results = settled.join(faults, "doc_id", "left").join(lost, "doc_id", "left").join(written, "doc_id", "left")
+    ok = F.col("status") == "ok"
+    results = results.withColumns({"reason": F.when(ok, F.coalesce("why", "unwritable")).otherwise(F.col("reason")), "status": F.when(ok & F.coalesce("why", "unwritable").isNotNull(), "refused").otherwise(F.col("status"))})
+    return outputs.select("path", "format", "target", "content"), results.select("path", "status", "reason", "has_sidecar", F.coalesce("n_lost", F.lit(0)).alias("n_lost"), F.coalesce("lost", F.array().cast("array<string>")).alias("lost"), F.coalesce("written", F.array().cast("array<string>")).alias("written"))
+
+
+def summary(results: DataFrame) -> DataFrame:
+    """A batch in one row: its exit code, how many of each status, how many settings files, what was lost by message."""
+    code = C.exit_code(results, [])
+    more = results.agg(F.count_if("has_sidecar").alias("n_sidecars"), F.count_if(F.col("status") == "own output").alias("n_own_outputs"))
+    lost = C.group_messages(results.select(C.stem("path").alias("file"), F.explode("lost").alias("message")))
+    lines = lost.agg(F.array_sort(F.collect_list(F.concat_ws(": ", "message", "files"))).alias("lost"))
+    return code.crossJoin(F.broadcast(more)).crossJoin(F.broadcast(lines))  # three single rows
 
 
 def proposals(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(one row a proposal: weeks, roles, total; violations) of a folder of JSON data files."""
-    raw = spark.read.text(folder, wholetext=True).select(F.xxhash64("value").alias("prop_id"), F.col("value").alias("raw"))
+    raw = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json").select(F.xxhash64("value").alias("prop_id"), F.col("value").alias("raw"))
     bad = P.data_violations(raw)
     good = raw.join(bad.select("prop_id").distinct(), "prop_id", "left_anti")
-    return P.inspect(team_hours(good), ["prop_id"]), bad
+    return P.inspect(P.team_hours(good), ["prop_id"]), bad
 
 
-def team_hours(files: DataFrame) -> DataFrame:
-    """team(prop_id, role_ix, role, rate_cents, week_ix, hours) of valid data files (prop_id, raw)."""
-    from .functions.money import to_cents
-
-    d = files.select("prop_id", F.from_json("raw", P.SCHEMA).alias("d"))
-    roles = d.select("prop_id", F.posexplode("d.team").alias("role_ix", "r"))
-    return roles.select("prop_id", "role_ix", F.col("r.role").alias("role"), to_cents("r.rate").alias("rate_cents"), F.posexplode("r.hoursPerWeek").alias("week_ix", "hours")).withColumn("hours", F.col("hours").cast("long"))
+def propose(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents (doc_id, path, stem, title), their blocks, what refuses a proposal (path, why)) of a folder's
+    *.proposal.json files, with the template, annex and logo that each names by a path beside it."""
+    read = lambda pattern: spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    files = read("*")
+    data = read("*.proposal.json").select(F.xxhash64("path").alias("prop_id"), "path", F.decode("content", "UTF-8").alias("raw"))
+    made = O.assemble(data, files.select("path", "content"))
+    docs = made["docs"].join(data.select(F.col("prop_id").alias("doc_id"), "path"), "doc_id").select("doc_id", "path", C.proposal_stem("path").alias("stem"), "title")
+    return docs, made["blocks"], made["violations"].join(data.select("prop_id", "path"), "prop_id").select("path", "why")
 
 
 def doctor(spark: SparkSession) -> DataFrame:
@@ -92,7 +114,9 @@ def main(args: list[str]) -> int:
     parser.add_argument("command", choices=("inspect", "build", "proposal", "doctor"))
     parser.add_argument("folder", nargs="?")
     parser.add_argument("out", nargs="?")
-    parser.add_argument("--to", action="append", choices=("md", "html", "docx"))
+    parser.add_argument("--to", action="append", choices=("md", "html", "docx", "pdf"))
+    parser.add_argument("--theme")
+    parser.add_argument("--plain-names", action="store_true", default=None)
     parser.add_argument("--recursive", action="store_true")
     a = parser.parse_args(args)
     spark = SparkSession.builder.getOrCreate()
@@ -105,24 +129,27 @@ def main(args: list[str]) -> int:
         parser.print_usage()
         return 2
     if a.command == "inspect":
-        result = inspect(spark, a.folder, a.recursive).cache()
+        result = kept(inspect(spark, a.folder, a.recursive))
         for line in result.toJSON().toLocalIterator():
             print(line)
-        code = C.exit_code(result, []).first()
-        return code["exit_code"]
+        return C.exit_code(result, []).first()["exit_code"]
     if a.command == "proposal":
-        good, bad = proposals(spark, a.folder)
-        good.show(truncate=False)
-        bad.show(truncate=False)
+        docs, _, bad = propose(spark, a.folder)
+        for line in docs.toJSON().toLocalIterator():
+            print(line)
+        bad = kept(bad)
+        for line in bad.toJSON().toLocalIterator():
+            print(line)
         return 3 if bad.limit(1).count() else 0
-    outputs, clash = build(spark, a.folder, a.to or ["md"], recursive=a.recursive)
+    outputs, results = build(spark, a.folder, a.to, a.theme, a.recursive, a.plain_names, a.out)
+    if not results.limit(1).count():
+        print(f"no readable input in {a.folder}", file=sys.stderr)
+        return 2
     outputs.write.mode("overwrite").parquet(a.out)
-    clash.show(truncate=False)
-    refused = bool(clash.limit(1).count())
-    for line in unbuilt(spark, a.folder, a.recursive).toJSON().toLocalIterator():
+    results = kept(results)
+    for line in results.toJSON().toLocalIterator():
         print(line)
-        refused = True
-    return 3 if refused else 0
+    return summary(results).first()["exit_code"]
 
 
 if __name__ == "__main__":

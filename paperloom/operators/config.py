@@ -88,6 +88,56 @@ def own_outputs(inputs: DataFrame, rows: DataFrame) -> DataFrame:
     return inputs.join(t, (F.regexp_extract("path", "([^/]*)$", 1) == F.col("_t")) & (F.col("path") != F.col("_src")), "left_semi")
 
 
+SIDECAR = "title string, subtitle string, date string, entity string, theme string, to array<string>, plainNames boolean, pdfChrome struct<dropAbovePt: double, dropBelowPt: double>"
+
+
+def plan_build(inputs: DataFrame, sidecars: DataFrame, formats: list[str] | None = None, theme: str | None = None, plain: bool | None = None, out: str | None = None, themes: tuple[str, ...] = (DEFAULT_THEME,)) -> tuple[DataFrame, DataFrame]:
+    """(one row an input: path, has_sidecar, status, reason, settings; one row a target: path, format, target).
+
+    inputs(path) and their settings files sidecars(path, raw), with the run's flags. An input is ``failed`` if its
+    settings don't resolve, ``own output`` if another input's target has its name, ``refused`` if a target is
+    another input's too, else ``ok``; only ok inputs have targets.
+    """
+    s = sidecars.select(F.col("path").alias("sidecar"), F.col("raw").alias("sidecar_raw"))
+    wrong = sidecar_violations(sidecars).groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("why")), "; ").alias("wrong")).withColumnRenamed("path", "sidecar")
+    rows = inputs.withColumn("sidecar", sidecar_path("path")).join(s, "sidecar", "left").join(wrong, "sidecar", "left").withColumn("c", F.from_json("sidecar_raw", SIDECAR))
+    none = lambda kind: F.lit(None).cast(kind)
+    flag = lambda v, kind: F.lit(v).cast(kind) if v is not None and not isinstance(v, list) else F.lit(v) if v is not None else none(kind)
+    rows = rows.select(
+        *inputs.columns,
+        F.col("sidecar_raw").isNotNull().alias("has_sidecar"),
+        "wrong",
+        precedence(flag(formats, "array<string>"), F.col("c.to"), none("array<string>"), F.lit([DEFAULT_TO])).alias("formats"),
+        precedence(flag(theme, "string"), F.col("c.theme"), none("string"), DEFAULT_THEME).alias("theme"),
+        precedence(flag(plain, "boolean"), F.col("c.plainNames"), none("boolean"), False).alias("plain"),
+        *[F.col(f"c.{k}").alias(k) for k in ("title", "subtitle", "date", "entity")],
+        F.col("c.pdfChrome.dropAbovePt").alias("above"),
+        F.col("c.pdfChrome.dropBelowPt").alias("below"),
+    )
+    unknown = unknown_formats("formats")
+    unsafe = F.col("plain") & F.lit(out is None) & F.arrays_overlap("formats", F.lit(["md", "docx"]))
+    failed = F.coalesce(
+        F.col("wrong"),
+        F.when(F.size(unknown) > 0, F.concat(F.lit("unknown format "), F.array_join(unknown, ", "))),
+        F.when(~F.col("theme").isin(*themes), F.concat(F.lit("unknown theme "), F.col("theme"))),
+        F.when(unsafe, "plain names would write md or docx beside the sources, which a rerun would read"),
+    )
+    rows = rows.withColumn("failed", failed).drop("wrong")
+
+    base = F.lit(out.rstrip("/") + "/") if out else F.regexp_extract("path", "^(.*/)?", 0)
+    named = targets(rows.where("failed is null").select("path", "formats", "theme", "plain"), F.col("formats"), F.col("theme"), F.col("plain"))
+    named = named.select("path", "format", F.concat(base, "target").alias("target"))
+    made = named.select(F.col("target").alias("_t"), F.col("path").alias("_src"))
+    own = rows.select("path").join(made, (F.col("path") == F.col("_t")) & (F.col("path") != F.col("_src")), "left_semi").withColumn("own", F.lit(True))
+    left = named.join(own, "path", "left_anti")
+    clash = collisions(left).groupBy("path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("others")))).alias("others"))
+    rows = rows.join(own, "path", "left").join(clash, "path", "left")
+    status = F.when(F.col("failed").isNotNull(), "failed").when(F.col("own"), "own output").when(F.col("others").isNotNull(), "refused").otherwise("ok")
+    reason = F.when(F.col("failed").isNotNull(), F.col("failed")).when(F.col("own"), "is the output of another input").when(F.col("others").isNotNull(), F.concat(F.lit("its output would also be that of "), listed(F.col("others"))))
+    rows = rows.withColumns({"status": status, "reason": reason}).drop("failed", "own", "others")
+    return rows, left.join(clash.select("path"), "path", "left_anti")
+
+
 def listed(items: Column, n: int = LISTED) -> Column:
     """The first n items and how many more there are."""
     more = F.size(items) - n

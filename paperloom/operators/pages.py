@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import strip_digits
+from ..sources.base import kept
 
 # fixed values: tolerances in points, the frame's share of a page, the least repeats, caps
 EDGE_TOL = LINE_TOL = CLOSE_TOL = POSITION_TOL = 2.0
@@ -151,11 +152,11 @@ def largest_component(rects: DataFrame, key: list[str]) -> DataFrame:
 
 def find_grids(rects: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
     """(xs, ys) of each page's grid: lines (key..., ix, value). A grid has two lines each way and isn't a lone box."""
-    # each is read several times below, so each is kept: a page's largest component and its few lines
-    one = largest_component(components(distinct_rects(rects, key), key), key).persist()
+    # what is read several times below is written once: a page's largest component and its few lines
+    one = kept(largest_component(components(distinct_rects(rects, key), key), key))
     edge = lambda p, q: one.select(*key, "rect_ix", F.explode(F.array(p, q)).alias("value"))
-    xs, ys = boundaries(edge("x0", "x1"), key).persist(), boundaries(edge("y0", "y1"), key).persist()
-    closed = closed_at_top(one, ys, key).persist()
+    xs, ys = kept(boundaries(edge("x0", "x1"), key)), kept(boundaries(edge("y0", "y1"), key))
+    closed = closed_at_top(one, ys, key)
     ys = ys.join(closed, key, "left_semi").unionByName(implied_top(ys.join(closed, key, "left_anti"), key))
     nx, ny = (d.groupBy(*key).count().withColumnRenamed("count", c) for d, c in ((xs, "nx"), (ys, "ny")))
     # a single line across has no implied second one
@@ -265,18 +266,24 @@ def join_anchor(blocks: DataFrame, doc: list[str], repeated: Column) -> DataFram
 
 
 def continue_tables(tables: DataFrame, doc: list[str]) -> DataFrame:
-    """Tables page by page (doc..., page, n_cols, head, xs) with ``table_no``: a table goes on from
-    the one before if the columns agree in number and, within 3 points, in place, and its
-    first row doesn't repeat the head."""
-    w = Window.partitionBy(*doc).orderBy("page")
-    lag = lambda c: F.lag(c).over(w)
-    near = F.forall(F.zip_with("xs", lag("xs"), lambda a, b: F.abs(a - b) <= COLUMN_TOL), lambda x: F.coalesce(x, F.lit(False)))
-    goes_on = F.coalesce((lag("n_cols") == F.col("n_cols")) & (F.size("xs") == F.size(lag("xs"))) & near & ~F.col("head").eqNullSafe(lag("head")), F.lit(False))
-    marked = tables.withColumn("goes_on", goes_on)
-    return marked.withColumn("table_no", F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(w))
-
-
-def source_tokens_order(runs: DataFrame, grid_top: Column, grid_bottom: Column) -> list[Column]:
-    """Sort keys of the source's own reading order: above the grid, its rows, below it."""
-    zone = F.when(F.col("y") >= grid_top, 0).when(F.col("y") >= grid_bottom, 1).otherwise(2)
-    return [zone, F.desc("y"), F.col("x"), F.col("run_ix")]
+    """(doc..., page, table_no) of tables page by page (doc..., page, head, xs, free).
+
+    A table goes on from the one before if nothing but repeated furniture lies between them
+    (``free``), the columns agree in number with the running table's head and, within 3 points,
+    in place with the page before, and its first row doesn't repeat the running table's head. That
+    head is the first fragment's, so pages (sixty at most) are folded in order.
+    """
+    page = tables.schema["page"].dataType.simpleString()
+    near = lambda a, b: (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda p, q: F.abs(p - q) <= COLUMN_TOL), lambda x: F.coalesce(x, F.lit(False)))
+    goes_on = lambda acc, t: F.coalesce(t["free"] & (acc["no"] > 0) & (F.size(acc["head"]) == F.size(t["head"])) & (acc["head"] != t["head"]) & near(acc["xs"], t["xs"]), F.lit(False))
+    number = lambda acc, t: acc["no"] + F.when(goes_on(acc, t), 0).otherwise(1)
+
+    def step(acc, t):
+        head = F.when(goes_on(acc, t), acc["head"]).otherwise(t["head"])
+        out = F.array_append(acc["out"], F.struct(t["page"].alias("page"), number(acc, t).alias("table_no")))
+        return F.struct(number(acc, t).alias("no"), head.alias("head"), t["xs"].alias("xs"), out.alias("out"))
+
+    start = F.struct(F.lit(0).cast("long").alias("no"), F.array().cast("array<string>").alias("head"), F.array().cast("array<double>").alias("xs"), F.array().cast(f"array<struct<page:{page},table_no:long>>").alias("out"))
+    rows = F.array_sort(F.collect_list(F.struct("page", "head", "xs", "free")))
+    folded = tables.groupBy(*doc).agg(F.aggregate(rows, start, lambda acc, t: step(acc, t), lambda acc: acc["out"]).alias("out"))
+    return folded.select(*doc, F.explode("out").alias("o")).select(*doc, "o.page", "o.table_no")

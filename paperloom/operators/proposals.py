@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.color import step_of, week_label
-from ..functions.money import cents_error, days_label, format_money
+from ..functions.money import cents_error, days_label, format_money, to_cents
 from ..functions.text import number_text
 
 STYLES = ("scale", "numbers", "marks")  # fixed value
@@ -105,6 +105,13 @@ def data_violations(files: DataFrame) -> DataFrame:
     return whole.select("prop_id", F.explode(why).alias("why"))
 
 
+def team_hours(files: DataFrame) -> DataFrame:
+    """team(prop_id, role_ix, role, rate_cents, week_ix, hours) of valid data files (prop_id, raw)."""
+    d = files.select("prop_id", F.from_json("raw", SCHEMA).alias("d"))
+    roles = d.select("prop_id", F.posexplode("d.team").alias("role_ix", "r"))
+    return roles.select("prop_id", "role_ix", F.col("r.role").alias("role"), to_cents("r.rate").alias("rate_cents"), F.posexplode("r.hoursPerWeek").alias("week_ix", "hours")).withColumn("hours", F.col("hours").cast("long"))
+
+
 # --- the template language: parsed once on the driver, run as a column expression
 
 
@@ -251,12 +258,14 @@ def directives(nodes: list[Node]) -> list[Node]:
 def splice(blocks: DataFrame, expanded: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Put what directives stand for in the place of their paragraphs.
 
-    ``blocks(doc_id, block_ix, t, text)`` and ``expanded(doc_id, directive_ix, sub_ix, t, text)``. The spliced
-    blocks, and (doc_id, directive_ix) of directives that had no paragraph of their own.
+    ``blocks(doc_id, block_ix, t, text, ...)`` and ``expanded(doc_id, directive_ix, sub_ix, t, text, ...)`` with the same
+    further columns. The spliced blocks with sub_ix, and (doc_id, directive_ix) of directives that had no paragraph of their own.
     """
+    rest = [c for c in blocks.columns if c not in ("doc_id", "block_ix")]
     mark = F.regexp_extract("text", "^\\[\\[([0-9]+):[a-z]+\\]\\]$", 1)
     tagged = blocks.withColumn("directive_ix", F.when((F.col("t") == "para") & (mark != ""), F.try_to_number(F.nullif(mark, F.lit("")), F.lit("999999")).cast("int")))
-    plain = tagged.where("directive_ix is null").select("doc_id", "block_ix", F.lit(0).alias("sub_ix"), "t", "text")
-    put = tagged.where("directive_ix is not null").select("doc_id", "block_ix", "directive_ix").join(expanded, ["doc_id", "directive_ix"]).select("doc_id", "block_ix", "sub_ix", "t", "text")
+    kind = expanded.schema["sub_ix"].dataType
+    plain = tagged.where("directive_ix is null").select("doc_id", "block_ix", F.lit(0).cast(kind).alias("sub_ix"), *rest)
+    put = tagged.where("directive_ix is not null").select("doc_id", "block_ix", "directive_ix").join(expanded.select("doc_id", "directive_ix", "sub_ix", *rest), ["doc_id", "directive_ix"]).select("doc_id", "block_ix", "sub_ix", *rest)
     lost = expanded.select("doc_id", "directive_ix").distinct().join(tagged.where("directive_ix is not null"), ["doc_id", "directive_ix"], "left_anti")
     return plain.unionByName(put), lost

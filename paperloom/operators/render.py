@@ -35,6 +35,20 @@ def table_markdown(head: Column, align: Column, rows: Column) -> Column:
     return F.concat_ws("\n", table_row(head), separator_row(align), F.array_join(F.transform(rows, table_row), "\n"))
 
 
+def heat_marks(style: Column, rows: Column) -> Column:
+    """A heatmap's rows (label, then numbers as text) as cells: squares for 'marks', else the number if there is one."""
+    value = lambda v: F.coalesce(F.try_to_number(v, F.lit("999999999.999999")).cast("double"), F.lit(0.0))
+    numbers = lambda r: F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0)))
+    most = F.coalesce(F.array_max(F.flatten(F.transform(rows, lambda r: F.transform(numbers(r), value)))), F.lit(0.0))
+    step = lambda v: F.when((value(v) <= 0) | (most <= 0), 0).otherwise(F.least(F.lit(3), F.ceil(value(v) / most * 3))).cast("int")
+    mark = lambda v: F.when(style == "marks", F.repeat(F.lit("▪"), step(v))).otherwise(F.when(value(v) > 0, v).otherwise(""))
+    return F.transform(rows, lambda r: F.concat(F.slice(r, 1, 1), F.transform(numbers(r), mark)))
+
+
+def heat_markdown(style: Column, head: Column, rows: Column) -> Column:
+    return table_markdown(head, F.transform(head, lambda _, i: F.when(i == 0, "l").otherwise("c")), heat_marks(style, rows))
+
+
 def span_markup(spans: Column, open_, close_, leaf=lambda v: v) -> Column:
     """Markup of spans (v, path of t, href, node): what a span shares with its neighbours stays open."""
     step = lambda acc, s: F.struct(
@@ -70,7 +84,8 @@ def spans_html(spans: Column) -> Column:
 
 
 def block_markdown() -> Column:
-    """Markdown of a block row (t, level, text, ordered, depth, start, items, head, align, rows, src, alt, lang)."""
+    """Markdown of a block row (t, level, text, ordered, depth, start, items, head, align, rows, src, alt, lang);
+    a heatmap's style stands in lang, its weeks in head, its labels and numbers in rows."""
     t = F.col("t")
     pad = F.repeat(F.lit("  "), F.coalesce("depth", F.lit(0)))
     first = F.coalesce("start", F.lit(1))
@@ -82,6 +97,7 @@ def block_markdown() -> Column:
         .when(t == "para", F.col("text"))
         .when(t == "list", items)
         .when(t == "table", table_markdown(F.col("head"), F.col("align"), F.col("rows")))
+        .when(t == "heatmap", heat_markdown(F.col("lang"), F.col("head"), F.col("rows")))
         .when(t == "image", F.concat(F.lit("!["), F.coalesce("alt", F.lit("")), F.lit("]("), F.col("src"), F.lit(")")))
         .when(t == "code", code)
         .when(t == "quote", F.array_join(F.transform("items", lambda x: F.concat(F.lit("> "), x)), "\n>\n"))
@@ -99,12 +115,14 @@ def block_html() -> Column:
     row = lambda cells, name: F.concat(F.lit("<tr>"), F.array_join(F.transform(cells, lambda x: tag(name, escape_html(x))), ""), F.lit("</tr>"))
     start = F.when(F.coalesce("start", F.lit(1)) != 1, F.concat(F.lit(' start="'), F.col("start").cast("string"), F.lit('"'))).otherwise("")
     table = F.concat(F.lit("<table><thead>"), row(F.col("head"), "th"), F.lit("</thead><tbody>"), F.array_join(F.transform("rows", lambda r: row(r, "td")), ""), F.lit("</tbody></table>"))
+    heat = F.concat(F.lit('<table class="heat '), F.col("lang"), F.lit('"><thead>'), row(F.col("head"), "th"), F.lit("</thead><tbody>"), F.array_join(F.transform(heat_marks(F.col("lang"), F.col("rows")), lambda r: row(r, "td")), ""), F.lit("</tbody></table>"))
     return (
         F.when(t == "heading", F.concat(F.lit("<h"), level, F.lit(">"), text, F.lit("</h"), level, F.lit(">")))
         .when(t == "para", tag("p", text))
         .when((t == "list") & F.col("ordered"), F.concat(F.lit("<ol"), start, F.lit(">"), items, F.lit("</ol>")))
         .when(t == "list", tag("ul", items))
         .when(t == "table", table)
+        .when(t == "heatmap", heat)
         .when(t == "image", image_markup("src", F.coalesce("alt", F.lit(""))))
         .when(t == "code", F.concat(F.lit("<pre><code>"), text, F.lit("</code></pre>")))
         .when(t == "quote", tag("blockquote", F.array_join(F.transform("items", lambda x: tag("p", escape_html(x))), "")))

@@ -11,13 +11,13 @@ import re
 import xml.etree.ElementTree as ET
 import zipfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.images import SIGNATURES
 from ..functions.text import letters_to_index
 from ..operators import sheets as S
-from .base import rows_by_document
+from .base import kept, rows_by_document
 
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
@@ -202,6 +202,61 @@ def rendered_rows(cells: DataFrame, key: list[str]) -> DataFrame:
     return full.groupBy(*key, "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]).alias("texts"))
 
 
+def sheet_names(doc_id, data) -> list[dict]:
+    p = Package(bytes(data or b""))
+    book = p.xml("xl/workbook.xml")
+    return [] if book is None else [{"doc_id": doc_id, "sheet_ix": k, "sheet": x.get("name", "")} for k, x in enumerate(children(first(book, "sheets"), "sheet"))]
+
+
+def workbook_blocks(files: DataFrame, max_rows: int = S.MAX_ROWS) -> dict[str, DataFrame]:
+    """blocks (doc_id, block_ix, t, level, text, head, rows), titles (doc_id, title) lifted from a caption, dropped, and the cells.
+
+    Each sheet gives a heading with its name (not a lone 'Sheet1'), its captions as paragraphs and a table. The one
+    caption of a workbook's only sheet is the title instead. A workbook all of whose sheets are refused is refused.
+    """
+    key = ["doc_id", "sheet_ix"]
+    cells, lost = read_workbooks(files)
+    cells = kept(cells)
+    tables, status = sheet_tables(cells, max_rows)
+    tables, status = kept(tables), kept(status)
+    sheets = rows_by_document(files.select("doc_id", "content"), sheet_names, "doc_id long, sheet_ix int, sheet string")
+    sheets = kept(sheets.withColumn("n_sheets", F.count("*").over(Window.partitionBy("doc_id"))))
+    good = sheets.join(status.where("status = 'ok'").select(*key), key)
+
+    captions = tables.where("part = 'preamble' and trim(text) <> ''").groupBy(*key, "row").agg(F.min_by("text", "col").alias("text"))
+    alone = captions.join(sheets.where("n_sheets = 1").select(*key), key).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("text").alias("title")).where("n = 1").select("doc_id", "title")
+    paras = captions.join(alone.select("doc_id"), "doc_id", "left_anti")
+
+    body = tables.where("part = 'table'")
+    bounds = S.used_range(body, key).select(*key, "r1", "r2").join(S.used_range(tables, key).select(*key, "c1", "c2"), key)
+    spine = bounds.withColumn("row", F.explode(F.sequence("r1", "r2"))).withColumn("col", F.explode(F.sequence("c1", "c2")))
+    full = spine.join(body.select(*key, "row", "col", "text"), [*key, "row", "col"], "left")
+    rows = full.groupBy(*key, "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]).alias("texts"))
+    heads = body.groupBy(*key).agg(F.bool_or("is_header").alias("headed"))
+    whole = rows.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "texts"))), lambda x: x["texts"]).alias("all")).join(heads, key)
+    blank = F.transform(F.col("all")[0], lambda x: F.lit(""))
+    table = whole.select(*key, F.when(F.col("headed"), F.col("all")[0]).otherwise(blank).alias("head"), F.when(F.col("headed"), F.slice("all", 2, 2**31 - 1)).otherwise(F.col("all")).alias("rows"), "headed")
+
+    nothing = [F.lit(None).cast("array<string>").alias("head"), F.lit(None).cast("array<array<string>>").alias("rows")]
+    place = lambda at: (F.col("sheet_ix").cast("long") * 10_000_000 + at).alias("block_ix")
+    level = F.lit(None).cast("int").alias("level")
+    heading = good.where("not (n_sheets = 1 and sheet = 'Sheet1')").select("doc_id", place(F.lit(0)), F.lit("heading").alias("t"), F.lit(1).alias("level"), F.col("sheet").alias("text"), *nothing)
+    para = paras.join(good.select(*key), key).select("doc_id", place(F.col("row") + 1), F.lit("para").alias("t"), level, "text", *nothing)
+    grid = table.join(good.select(*key), key).select("doc_id", place(F.lit(9_999_999)), F.lit("table").alias("t"), level, F.array_join(F.flatten(F.concat(F.array("head"), F.col("rows"))), " ").alias("text"), "head", "rows")
+
+    say = lambda df, kind, message: df.select("doc_id", F.lit(kind).alias("kind"), message.alias("message"))
+    named = sheets.join(status, key)
+    named = named.withColumn("named", F.concat(F.lit('sheet "'), F.col("sheet"), F.lit('"')))
+    dropped = lost.withColumn("kind", F.when(F.col("kind") == "refused", "sheet").otherwise(F.col("kind")))
+    dropped = dropped.unionByName(say(named.where("status = 'refused'"), "sheet", F.concat(F.col("named"), F.lit(" refused: "), F.col("reason"), F.lit(f"; at most {max_rows} rows and {S.MAX_COLS} columns are taken"))))
+    dropped = dropped.unionByName(say(named.where("status = 'empty'"), "empty", F.concat(F.col("named"), F.lit(" is empty"))))
+    dropped = dropped.unionByName(say(table.where("not headed").join(named.select(*key, "named"), key), "header", F.concat(F.col("named"), F.lit(": the first row is not a header, every row is kept as data"))))
+    unreadable = lost.where("kind = 'refused'").select("doc_id").distinct()
+    none = unreadable.unionByName(named.where("status = 'refused'").select("doc_id")).distinct().join(good.select("doc_id"), "doc_id", "left_anti")
+    dropped = dropped.unionByName(say(none, "refused", F.lit("every sheet in the workbook was refused")))
+    return {"blocks": heading.unionByName(para).unionByName(grid), "titles": alone, "dropped": dropped, "cells": cells}
+
+
 # --- word-processing documents
 
 PARAS = "doc_id long, para_ix int, kind string, style string, num_id string, ilvl int, text string, n_rows int, error string"
@@ -402,6 +457,40 @@ def read_word(files: DataFrame) -> dict[str, DataFrame]:
     return {"blocks": blocks, "atoms": rows_by_document(src, atom_rows, ATOMS), "dropped": dropped.unionByName(lost).unionByName(errors), "dates": rows_by_document(src, date_rows, "doc_id long, part string, date string")}
 
 
+def word_blocks(files: DataFrame) -> dict[str, DataFrame]:
+    """blocks of word-processing files with spans, whole lists, page breaks and images, and what was dropped.
+
+    blocks(doc_id, block_ix, t, level, text, spans, ordered, depth, start, items, src, alt). Neighbouring items of
+    one list and depth are one block; an image's bytes stand in its src.
+    """
+    from ..operators.numbering import islands
+
+    word = read_word(files)
+    atoms, blocks = kept(word["atoms"]), kept(word["blocks"])
+    node = lambda t, href: F.struct(F.lit(t).alias("t"), href.cast("string").alias("href"), F.lit(0).alias("node"))
+    path = F.array_compact(F.array(F.when(F.col("href").isNotNull(), node("link", F.col("href"))), F.when(F.col("bold"), node("strong", F.lit(None))), F.when(F.col("italic"), node("em", F.lit(None)))))
+    spans = atoms.where("kind = 'text'").groupBy("doc_id", "para_ix").agg(F.transform(F.array_sort(F.collect_list(F.struct("atom_ix", "v", path.alias("path")))), lambda x: F.struct(x["v"].alias("v"), x["path"].alias("path"))).alias("spans"))
+
+    none = lambda kind: F.lit(None).cast(kind)
+    place = (F.col("block_ix").cast("long") * 1000 + 500).alias("block_ix")
+    prose = blocks.where("t <> 'list'").join(spans.withColumnRenamed("para_ix", "block_ix"), ["doc_id", "block_ix"], "left")
+    prose = prose.select("doc_id", place, "t", "level", "text", "spans", none("boolean").alias("ordered"), none("int").alias("depth"), none("int").alias("start"), none("array<string>").alias("items"), none("string").alias("src"), none("string").alias("alt"))
+    runs = islands(blocks, ["doc_id"], "block_ix", F.col("t"), F.col("ordered"), F.col("depth"), F.col("num_id")).where("t = 'list'")
+    items = runs.groupBy("doc_id", "island", "ordered", "depth").agg(F.min("block_ix").alias("block_ix"), F.min("number").cast("int").alias("start"), F.transform(F.array_sort(F.collect_list(F.struct("block_ix", "text"))), lambda x: x["text"]).alias("items"))
+    lists = items.select("doc_id", place, F.lit("list").alias("t"), none("int").alias("level"), F.array_join("items", " ").alias("text"), F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), "ordered", "depth", F.when(F.col("ordered"), F.col("start")).alias("start"), "items", none("string").alias("src"), none("string").alias("alt"))
+
+    # page breaks and images stand before their paragraph's text if they come first in it, else after
+    opens = F.min(F.when((F.col("kind") == "text") & (F.trim("v") != ""), F.col("atom_ix"))).over(Window.partitionBy("doc_id", "para_ix"))
+    other = atoms.withColumn("opens", opens).where("kind <> 'text'")
+    media = read_media(files)
+    other = other.join(media.select("doc_id", "r_id", "mime", "content"), ["doc_id", "r_id"], "left")
+    src = F.when(F.col("kind") == "drawing", F.concat(F.lit("data:"), F.col("mime"), F.lit(";base64,"), F.base64("content")))
+    at = F.col("para_ix").cast("long") * 1000 + F.when(F.col("atom_ix") < F.col("opens"), 0).otherwise(501) + F.least(F.col("atom_ix"), F.lit(400))
+    marks = other.where("kind = 'pagebreak' or content is not null").select("doc_id", at.alias("block_ix"), F.when(F.col("kind") == "pagebreak", "pagebreak").otherwise("image").alias("t"), none("int").alias("level"), none("string").alias("text"), F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), none("boolean").alias("ordered"), none("int").alias("depth"), none("int").alias("start"), none("array<string>").alias("items"), src.alias("src"), F.when(F.col("kind") == "drawing", "").alias("alt"))
+    lost = media.where("dropped is not null").select("doc_id", F.lit("image").alias("kind"), F.concat(F.lit("an image is left out: "), F.col("dropped")).alias("message"))
+    return {"blocks": prose.unionByName(lists).unionByName(marks), "dropped": word["dropped"].unionByName(lost), "dates": word["dates"]}
+
+
 def media_rows(doc_id, data) -> list[dict]:
     """Every image relationship: its bytes if they are of a known format, else why not."""
     p = Package(bytes(data or b""))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -21,3 +25,19 @@ def rows_by_document(df: DataFrame, make: Callable[..., list[dict]], schema: str
             yield from pa.Table.from_pylist(rows, schema=arrow).to_batches() if rows else [pa.RecordBatch.from_pylist([], schema=arrow)]
 
     return df.mapInArrow(run, kind)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, written to the folder that ``spark.checkpoint.dir`` names and read again, for what is used
+    several times: a lost executor then costs no finished work. Only a session on one machine may do without the setting."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="paperloom-")
+        spark.conf.set("spark.checkpoint.dir", root)
+        atexit.register(shutil.rmtree, root.removeprefix("file://"), True)
+    path = f"{root.rstrip('/')}/paperloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -14,8 +14,9 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import assembly as A
 from ..operators import pages as P
-from .base import rows_by_document
+from .base import kept, rows_by_document
 
 PAGES = "doc_id long, page int, width_pt double, height_pt double, rotated int, images int, error string"
 
@@ -342,29 +343,32 @@ def decoded_rows(doc_id, data) -> list[dict]:
 
 
 def geometry(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rects, runs, pages) of files(doc_id, content); a file is decoded once and kept while they are used."""
-    pages = rows_by_document(files.select("doc_id", "content"), decoded_rows, DECODED).persist()
+    """(rects, runs, pages) of files(doc_id, content); a file is decoded once, and its pages are written for all that follows."""
+    pages = kept(rows_by_document(files.select("doc_id", "content"), decoded_rows, DECODED))
     rects = pages.select("doc_id", "page", F.posexplode("rects").alias("rect_ix", "r")).select("doc_id", "page", "rect_ix", "r.*")
     runs = pages.select("doc_id", "page", F.posexplode("runs").alias("run_ix", "r")).select("doc_id", "page", "run_ix", "r.*")
     return rects, runs, pages.drop("rects", "runs")
 
 
-def read(files: DataFrame) -> dict[str, DataFrame]:
-    """blocks, cells of tables, repeated furniture and what was lost, of files(doc_id, content)."""
+def read(files: DataFrame, rules: DataFrame | None = None) -> dict[str, DataFrame]:
+    """blocks, cells of tables, repeated furniture and what was lost, of files(doc_id, content).
+
+    rules(doc_id, above, below) declares which furniture goes. A document whose blocks would not hold
+    the source's tokens in the source's order is refused and gives no block.
+    """
     rects, runs, pages = geometry(files)
     key = ["doc_id", "page"]
+    body, said = A.chrome(runs, rules)
     sized = rects.join(pages.select(*key, "width_pt", "height_pt"), key)
     framed = P.without_page_frame(sized, F.col("width_pt"), F.col("height_pt")).select(*rects.columns)
-    xs, ys = (lines.persist() for lines in P.find_grids(framed, key))  # a few numbers a page, used four times
-    cells = P.table_cells(runs, xs, ys, key)
-    inside = P.assign_bands(P.assign_bands(runs, xs, key, "x", "col"), ys, key, "y", "band").where("col is not null and band is not null").select(*key, "run_ix")
-    prose = runs.join(inside, [*key, "run_ix"], "left_anti")
-    levels = P.heading_levels(runs.withColumn("run_ix", F.col("page") * 1_000_000 + F.col("run_ix")), ["doc_id"])
-    blocks = P.prose_blocks(prose, levels, key, ["doc_id"])
-    blocks = blocks.select("doc_id", (F.col("page") * 1_000_000 + F.col("block_ix")).alias("block_ix"), "t", "level", "text", "page")
-    refused = pages.where("error is not null").select("doc_id", F.lit("refused").alias("kind"), F.col("error").alias("message"))
-    turned = pages.where("rotated > 0").select("doc_id", F.lit("rotated").alias("kind"), F.format_string("page %d: %d rotated runs", F.col("page") + 1, "rotated").alias("message"))
-    images = pages.where("images > 0").select("doc_id", F.lit("image").alias("kind"), F.format_string("page %d: %d images", F.col("page") + 1, "images").alias("message"))
-    repeated = P.find_repeated(runs, ["doc_id"])
-    advisory = repeated.select("doc_id", F.lit("advisory").alias("kind"), F.concat(F.lit("repeats on every page: "), F.array_join("texts", " / ")).alias("message"))
-    return {"blocks": blocks, "cells": cells, "repeated": repeated, "dropped": refused.unionByName(turned).unionByName(images).unionByName(advisory)}
+    xs, ys = (kept(lines) for lines in P.find_grids(framed, key))  # a few numbers a page, used several times
+    cells = kept(P.table_cells(body, xs, ys, key))
+    made = A.assemble(body, xs, ys, cells)
+    apart = kept(made["divergence"])
+    blocks = made["blocks"].join(apart.select("doc_id"), "doc_id", "left_anti")
+    say = lambda df, kind, message: df.select("doc_id", F.lit(kind).alias("kind"), message.alias("message"))
+    dropped = say(pages.where("error is not null"), "refused", F.col("error"))
+    dropped = dropped.unionByName(say(apart, "refused", F.format_string("token %d: the source reads %s, the document %s", "pos", F.coalesce("expected", F.lit("nothing")), F.coalesce("found", F.lit("nothing")))))
+    dropped = dropped.unionByName(say(pages.where("rotated > 0"), "rotated", F.format_string("page %d: %d rotated runs", F.col("page") + 1, "rotated")))
+    dropped = dropped.unionByName(say(pages.where("images > 0"), "image", F.format_string("page %d: %d images", F.col("page") + 1, "images")))
+    return {"blocks": blocks, "cells": cells, "repeated": P.find_repeated(body, ["doc_id"]), "dropped": dropped.unionByName(said).unionByName(made["dropped"])}

@@ -1,6 +1,7 @@
 import io
 import json
 import os
+import re
 import zipfile
 import zlib
 
@@ -232,7 +233,8 @@ def test_pdf_tables_and_prose(spark):
     cells = {(r.page, r.row, r.col): r.text for r in got["cells"].collect()}
     assert cells == {(p_, j, i): f"r{j}c{i}" for p_ in (0, 1) for i in range(2) for j in range(3)}
     first = [(r.t, r.text) for r in got["blocks"].where("page = 0").orderBy("block_ix").collect()]
-    assert first == [("para", "Letterhead"), ("heading", "Big (head)"), ("para", "some body text"), ("para", "1 / 2")]
+    assert first == [("para", "Letterhead"), ("heading", "Big (head)"), ("para", "some body text"), ("table", "r0c0 r0c1 r1c0 r1c1 r2c0 r2c1"), ("para", "1 / 2")]
+    assert got["blocks"].where("t = 'table'").count() == 2  # the second page repeats the head
     assert ["1 / 2", "2 / 2"] in [r.texts for r in got["repeated"].collect()]
 
 
@@ -256,44 +258,210 @@ def test_matrices_and_rotation():
 # --- jobs and streams
 
 
+def text_at(s, x, y, size=10):
+    return f"BT /F1 {size} Tf 1 0 0 1 {x} {y} Tm ({s}) Tj ET "
+
+
+def sheet(rows, top=600, left=50, extra=""):
+    """A page's content: a letterhead, a footer, a grid with one text a cell, and whatever else."""
+    grid = "".join(f"{left + 150 * i} {top - 20 * j} 150 20 re S " for j in range(len(rows)) for i in range(len(rows[0])))
+    cells = "".join(text_at(c, left + 5 + 150 * i, top + 5 - 20 * j) for j, r in enumerate(rows) for i, c in enumerate(r))
+    return text_at("Letterhead", 50, 780) + text_at("Footer", 50, 20) + grid + cells + extra
+
+
+def pdf_blocks(spark, *docs, rules=None):
+    files = spark.createDataFrame([(k, bytearray(make_pdf(pages))) for k, pages in enumerate(docs, 1)], "doc_id long, content binary")
+    got = pdf.read(files, None if rules is None else spark.createDataFrame(rules, "doc_id long, above double, below double"))
+    blocks, said = {}, {}
+    for r in got["blocks"].orderBy("doc_id", "block_ix").collect():
+        blocks.setdefault(r.doc_id, []).append((r.t, r.head, r.rows) if r.t == "table" else (r.t, r.text))
+    for r in got["dropped"].collect():
+        said.setdefault(r.doc_id, []).append((r.kind, r.message))
+    return blocks, said
+
+
+def test_pdf_table_goes_on_over_furniture(spark):
+    one, two = [["name", "sum"], ["a", "1"]], [["b", "2"], ["c", "3"]]
+    joined = [sheet(one), sheet(two), sheet([["d", "4"]])]
+    headed = [sheet(one), sheet(one)]
+    parted = [sheet(one), sheet(two, extra=text_at("A section of its own", 50, 700))]
+    moved = [sheet(one), sheet(two, left=80)]
+    gap = [sheet(one), text_at("Letterhead", 50, 780) + text_at("Footer", 50, 20), sheet(two)]
+    blocks, said = pdf_blocks(spark, joined, headed, parted, moved, gap)
+    head, tail = ("para", "Letterhead"), ("para", "Footer")
+    assert blocks[1] == [head, ("table", ["name", "sum"], [["a", "1"], ["b", "2"], ["c", "3"], ["d", "4"]]), tail]
+    assert sum("repeated furniture between" in m for _, m in said[1]) == 3  # above pages 2 and 3 with the footers before them
+    table = lambda rows: ("table", rows[0], rows[1:])
+    assert blocks[2] == [head, table(one), tail, head, table(one), tail]
+    assert blocks[3] == [head, table(one), tail, head, ("para", "A section of its own"), table(two), tail]
+    assert blocks[4] == [head, table(one), tail, head, table(two), tail]
+    assert blocks[5] == [head, table(one), tail, head, tail, head, table(two), tail]
+    assert not any(k == "refused" for v in said.values() for k, _ in v)
+
+
+def test_pdf_declared_furniture(spark):
+    pages = [sheet([["h", "k"], ["a", "1"]]), sheet([["b", "2"]])]
+    blocks, said = pdf_blocks(spark, pages, pages, pages, rules=[(1, 770.0, 30.0), (2, 790.0, None), (3, 10.0, 20.0)])
+    assert blocks[1] == [("table", ["h", "k"], [["a", "1"], ["b", "2"]])]
+    assert [m for k, m in said[1] if k == "furniture"] == ["page furniture: 4 runs removed by the declared rule: Footer, Letterhead"]
+    assert any(m.startswith("the declared rule removed nothing") for _, m in said[2])
+    assert ("rule", "the upper line must lie above the lower") in said[3] and len(blocks[3]) == 3
+
+
+def test_pdf_token_gate_refuses(spark):
+    """Wrapped lines of a cell that stand at different places: cell by cell they read otherwise than from the left."""
+    page = "50 600 150 40 re S 200 600 150 40 re S 50 560 150 40 re S 200 560 150 40 re S " + text_at("first", 90, 625) + text_at("second", 55, 610) + text_at("x", 205, 620) + text_at("y", 55, 570) + text_at("z", 205, 570)
+    blocks, said = pdf_blocks(spark, [page])
+    assert 1 not in blocks and said[1][0] == ("refused", "token 0: the source reads second, the document first")
+
+
+def book(sheets, numbers=""):
+    """A workbook of sheets (name, {ref: text or number})."""
+    parts = {"xl/workbook.xml": f'<workbook xmlns:r="{archive.REL[1:-1]}"><sheets>' + "".join(f'<sheet name="{n}" r:id="r{k}"/>' for k, (n, _) in enumerate(sheets)) + "</sheets></workbook>"}
+    parts["xl/_rels/workbook.xml.rels"] = "<Relationships>" + "".join(f'<Relationship Id="r{k}" Type="x/worksheet" Target="worksheets/s{k}.xml"/>' for k in range(len(sheets))) + "</Relationships>"
+    cell = lambda ref, v: f'<c r="{ref}"><v>{v}</v></c>' if isinstance(v, int) else f'<c r="{ref}" t="inlineStr"><is><t>{v}</t></is></c>'
+    for k, (_, cells) in enumerate(sheets):
+        parts[f"xl/worksheets/s{k}.xml"] = "<worksheet><sheetData><row>" + "".join(cell(r, v) for r, v in cells.items()) + f"</row></sheetData>{numbers}</worksheet>"
+    return make_zip(parts)
+
+
+def test_workbooks_as_blocks(spark):
+    table = {"A3": "item", "C3": "n", "A4": "x", "C4": 7, "A6": "y", "C6": 8}
+    wide = {f"{chr(65 + k)}1": f"c{k}" for k in range(26)}
+    books = [book([("Register", {"A1": "Of things"} | table)]), book([("Sheet1", {"A1": 1, "B1": 2, "A2": 3, "B2": 4})]), book([("One", {"A1": "cap"} | table), ("Two", {"A1": "z", "B1": "w"}), ("None", {})]), book([("Wide", wide)]), b"no"]
+    files = spark.createDataFrame([(k, bytearray(b)) for k, b in enumerate(books, 1)], "doc_id long, content binary")
+    got = archive.workbook_blocks(files)
+    blocks = {}
+    for r in got["blocks"].orderBy("doc_id", "block_ix").collect():
+        blocks.setdefault(r.doc_id, []).append((r.t, r.head, r.rows) if r.t == "table" else (r.t, r.text))
+    rows = [["x", "7"], ["", ""], ["y", "8"]]
+    assert blocks[1] == [("heading", "Register"), ("table", ["item", "n"], rows)]
+    assert blocks[2] == [("table", ["", ""], [["1", "2"], ["3", "4"]])]
+    assert blocks[3] == [("heading", "One"), ("para", "cap"), ("table", ["item", "n"], rows), ("heading", "Two"), ("table", ["z", "w"], [])]
+    assert {r.doc_id: r.title for r in got["titles"].collect()} == {1: "Of things"}
+    lost = {(r.doc_id, r.kind) for r in got["dropped"].collect()}
+    assert {(2, "header"), (4, "sheet"), (4, "refused"), (5, "refused")} <= lost and 4 not in blocks and 5 not in blocks
+
+
+def results_of(spark, folder, *args, **more):
+    outputs, results = jobs.build(spark, str(folder), *args, **more)
+    return outputs, {os.path.basename(r.path): (r.status, r.reason, sorted(os.path.basename(x) for x in r.written)) for r in results.collect()}, results
+
+
 def test_inspect_and_build(spark, tmp_path):
+    (tmp_path / "a.md").write_text("# A\n\ntext [to](http://x) and `code`\n\n![dot](data:image/gif;base64,R0lGODlhAQABAAAAACw=)")
+    (tmp_path / "b.docx").write_bytes(word(p("x") + p("one", num=1) + p("two", num=1), '<w:abstractNum w:abstractNumId="0"><w:lvl w:ilvl="0"><w:start w:val="3"/><w:numFmt w:val="decimal"/></w:lvl></w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="0"/></w:num>'))
+    (tmp_path / "c.xlsx").write_bytes(book([("S", {"A1": "h", "B1": "k", "A2": "v", "B2": 1})]))
+    (tmp_path / "d.pdf").write_bytes(make_pdf([sheet([["h", "k"], ["a", "1"]])]))
+    (tmp_path / "broken.pdf").write_text("no")
+    (tmp_path / "skip.txt").write_text("no")
+    got = {os.path.basename(r.path): (r.status, r.title, r.n_para, r.n_table) for r in jobs.inspect(spark, str(tmp_path)).collect()}
+    assert got == {"a.md": ("ok", "A", 1, 0), "b.docx": ("ok", "b", 1, 0), "c.xlsx": ("ok", "c", 0, 1), "d.pdf": ("ok", "d", 2, 1), "broken.pdf": ("refused", "broken", 0, 0)}
+    outputs, got, results = results_of(spark, tmp_path, ["md", "docx"], out="/out")
+    assert {k: v[0] for k, v in got.items()} == {"a.md": "ok", "b.docx": "ok", "c.xlsx": "ok", "d.pdf": "ok", "broken.pdf": "refused"}
+    assert got["a.md"][2] == ["a.plain.docx", "a.plain.md"] and got["broken.pdf"][1] == "not a PDF"
+    text = {os.path.basename(r.target): r.content.decode() for r in outputs.where("format = 'md'").collect()}
+    assert text["b.plain.md"] == "# b\n\nx\n\n3. one\n4. two\n" and "| h | k |\n| :-- | :-- |\n| v | 1 |" in text["c.plain.md"] and "| a | 1 |" in text["d.plain.md"]
+    made = {os.path.basename(r.target): zipfile.ZipFile(io.BytesIO(r.content)) for r in outputs.where("format = 'docx'").collect()}
+    main, links = made["a.plain.docx"].read("word/document.xml").decode(), made["a.plain.docx"].read("word/_rels/document.xml.rels").decode()
+    assert 'Target="http://x" TargetMode="External"' in links and "w:hyperlink" in main and "Courier New" in main and "word/media/image1.gif" in made["a.plain.docx"].namelist()
+    assert 'w:type="dxa"' in made["c.plain.docx"].read("word/document.xml").decode()
+    assert jobs.summary(results).first().exit_code == 3
+
+
+def test_settings_files_and_refused_targets(spark, tmp_path):
+    (tmp_path / "a.md").write_text("text")
+    (tmp_path / "a.settings.json").write_text('{"title": "Given", "to": ["md"], "theme": "plain"}')
+    (tmp_path / "a.docx").write_bytes(word(p("x")))
+    (tmp_path / "b.md").write_text("b")
+    (tmp_path / "b.settings.json").write_text('{"titel": "x"}')
+    (tmp_path / "c.md").write_text("c")
+    (tmp_path / "c.plain.md").write_text("made before")
+    (tmp_path / "d.markdown").write_text("d")
+    (tmp_path / "d.settings.json").write_text('{"to": ["pdf", "md"]}')
+    outputs, got, results = results_of(spark, tmp_path, ["md"])
+    assert got["a.md"][0] == got["a.docx"][0] == "refused" and "a.docx" in got["a.md"][1]
+    assert got["b.md"][:2] == ("failed", "unknown key titel")
+    assert got["c.plain.md"][0] == "own output" and got["c.md"] == ("ok", None, ["c.plain.md"])
+    assert jobs.summary(results).first().exit_code == 1
+    (tmp_path / "a.docx").unlink()
+    outputs, got, _ = results_of(spark, tmp_path)
+    assert got["a.md"] == ("ok", None, ["a.plain.md"])
+    assert outputs.where("path like '%/a.md'").first().content.decode() == "# Given\n\ntext\n"
+    assert got["d.markdown"][:2] == ("refused", "no writer for pdf") and got["d.markdown"][2] == ["d.plain.md"]
+    assert got["c.md"][:2] == ("refused", "no writer for pdf")
+
+
+def test_build_writes_and_returns_codes(spark, tmp_path, monkeypatch):
     (tmp_path / "in").mkdir()
+    args = ["build", str(tmp_path / "in"), str(tmp_path / "out"), "--to", "md"]
+    assert jobs.main(args) == 2
     (tmp_path / "in/a.md").write_text("# A\n\ntext")
-    (tmp_path / "in/b.docx").write_bytes(word(p("x")))
-    (tmp_path / "in/a.markdown").write_text("# A2")
-    (tmp_path / "in/broken.pdf").write_text("no")
-    (tmp_path / "in/skip.txt").write_text("no")
-    got = {os.path.basename(r.path): (r.status, r.title, r.n_para) for r in jobs.inspect(spark, str(tmp_path / "in")).collect()}
-    assert got == {"a.md": ("ok", "A", 1), "a.markdown": ("ok", "A2", 0), "b.docx": ("ok", "b", 1), "broken.pdf": ("refused", "broken", 0)}
-    outputs, clash = jobs.build(spark, str(tmp_path / "in"), ["md", "docx"])
-    assert {r.target for r in clash.collect()} == {"a.md", "a.docx"}
-    assert outputs.count() == 0
-    inputs, own = discover.discover(spark, str(tmp_path / "in"), theme="plain")
-    assert inputs.count() == 4 and own.count() == 0
-
-
-def test_inputs_without_output_are_rows(spark, tmp_path, monkeypatch):
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.md").write_text("# A\n\ntext")
-    build = lambda: jobs.main(["build", str(tmp_path / "in"), str(tmp_path / "out")])
-    left = lambda: {os.path.basename(r.path): r.why for r in jobs.unbuilt(spark, str(tmp_path / "in")).collect()}
-    assert build() == 0 and left() == {}
-    (tmp_path / "in/b.docx").write_bytes(word(p("x")))
-    (tmp_path / "in/c.pdf").write_text("no")
-    assert build() == 3 and left() == {"b.docx": "build does not read .docx", "c.pdf": "build does not read .pdf"}
+    assert jobs.main(args) == 0 and spark.read.parquet(str(tmp_path / "out")).count() == 1
     monkeypatch.setattr(jobs.B, "violations", lambda blocks: blocks.selectExpr("doc_id", "block_ix", "'broken' AS why"))
-    assert left()["a.md"] == "broken"
+    assert jobs.main(args) == 3
+
+
+DATA = {"template": "./t.md", "kind": "k", "project": "p", "date": "d", "author": {"name": "n", "email": "e"}, "team": [{"role": "r", "rate": 45, "hoursPerWeek": [4, 16]}]}
 
 
 def test_proposals(spark, tmp_path):
-    data = {"template": "t", "kind": "k", "project": "p", "date": "d", "author": {"name": "n", "email": "e"}, "team": [{"role": "r", "rate": 45, "hoursPerWeek": [4, 16]}]}
-    (tmp_path / "a.json").write_text(json.dumps(data))
-    (tmp_path / "b.json").write_text(json.dumps(data | {"date": ""}))
+    (tmp_path / "a.json").write_text(json.dumps(DATA))
+    (tmp_path / "b.json").write_text(json.dumps(DATA | {"date": ""}))
     good, bad = jobs.proposals(spark, str(tmp_path))
     assert [(r.weeks, r.roles, r.total_cents) for r in good.collect()] == [(2, 1, 90000)]
     assert [r.why for r in bad.collect()] == ["date is required"]
 
 
+def test_proposals_as_documents(spark, tmp_path):
+    template = "# Offer {{number}}\n\nFor {{author.name}}.{{?annex}} With annex.{{/?}}\n\n{{@summary}}\n\n{{@budget}}\n\n{{@schedule}}\n\n{{@heatmap style=marks}}\n\n{{section:end}}\n"
+    (tmp_path / "t.md").write_text(template)
+    (tmp_path / "annex.md").write_text(template + "\n{{@pagebreak}}\n\n{{@annex}}\n\n{{@clientlogo}}\n")
+    (tmp_path / "inline.md").write_text("- {{number}}\n\n  text\n\n{{@budget}}\n\n> a\n")
+    (tmp_path / "list.xlsx").write_bytes(book([("Sheet1", {"A1": "h", "B1": "k", "A2": "v", "B2": 1})]))
+    (tmp_path / "logo.png").write_bytes(b"\x89PNG\r\n\x1a\nrest")
+    full = DATA | {"number": "7", "sections": {"end": "Last *words*."}, "summary": [{"item": "all", "price": 900, "covers": "budget"}]}
+    cases = {
+        "good": full,
+        "whole": full | {"template": "annex.md", "annex": "list.xlsx", "clientLogo": "logo.png"},
+        "absent": full | {"template": "none.md"},
+        "nofield": {k: v for k, v in full.items() if k != "number"},
+        "differs": full | {"summary": [{"item": "all", "price": 901, "covers": "budget"}]},
+        "unplaced": full | {"annex": "list.xlsx"},
+        "noannex": full | {"template": "annex.md", "clientLogo": "logo.png"},
+        "broken": full | {"date": ""},
+        "nosection": full | {"sections": {}},
+    }
+    for name, d in cases.items():
+        (tmp_path / f"{name}.proposal.json").write_text(json.dumps(d))
+    docs, blocks, bad = jobs.propose(spark, str(tmp_path))
+    got = {r.stem: r.doc_id for r in docs.collect()}
+    assert set(got) == {"good", "whole"} and {r.title for r in docs.collect()} == {"Offer 7"}
+    why = {}
+    for r in bad.collect():
+        why.setdefault(os.path.basename(r.path).split(".")[0], []).append(r.why)
+    money = lambda s: s.replace(" ", "\u00a0")
+    assert why == {
+        "absent": ["cannot read the template none.md"],
+        "nofield": ["{{number}} has no value"],
+        "differs": ['summary line "all" says ' + money("€ 901,00") + ", hours times rates come to " + money("€ 900,00")],
+        "unplaced": ["annex is named in the data, but the template never places it"],
+        "noannex": ["{{@annex}} has nothing to print: the data file names none"],
+        "broken": ["date is required"],
+        "nosection": ["the data file has no section end"],
+    }
+    rows = [(r.t, r.head, r.rows) if r.head else (r.t, r.text) for r in blocks.where(F.col("doc_id") == got["good"]).orderBy("block_ix").collect()]
+    assert rows[0] == ("para", "For n.") and rows[-1] == ("para", "Last *words*.")
+    assert rows[1] == ("table", ["DESCRIPTION", "PRICE"], [["all", money("€ 900,00")]])
+    assert rows[2][2] == [["r", "20", money("€ 45,00"), money("€ 900,00")], ["TOTAL", "", "", money("€ 900,00")]]
+    assert rows[3] == ("table", ["Discipline", "W01", "W02"], [["r", "0.5 day / week", "2 days / week"]])
+    assert rows[4] == ("heatmap", ["", "W01", "W02"], [["r", "4", "16"]])
+    kinds = [r.t for r in blocks.where(F.col("doc_id") == got["whole"]).orderBy("block_ix").collect()]
+    assert kinds == ["para", "table", "table", "table", "heatmap", "para", "pagebreak", "table", "image"]
+    md = render_markdown(docs.withColumn("subtitle", F.lit(None).cast("string")), blocks).where(F.col("doc_id") == got["good"]).first().markdown
+    assert "|  | W01 | W02 |\n| :-- | :-: | :-: |\n| r | ▪ | ▪▪▪ |" in md
+
+
 def test_doctor(spark):
     assert jobs.doctor(spark).where("not ok").count() == 0
 
@@ -333,6 +501,46 @@ def test_tokens_and_recolouring(spark):
     assert [r.name for r in misses.collect()] == ["none"]
 
 
+def test_themes(spark, tmp_path):
+    good = {"id": "b", "colors": {"ink": "#000000"}, "type": {"h1Pt": 20}, "logo": {"svg": "<svg><path class='x'/></svg>"}, "letterhead": ["One", "Two"]}
+    bad = {"id": "a", "colors": {"ink": "black"}, "page": {"size": "A9", "marginPt": 300}, "type": {"bodyPt": 0}, "font": {"embed": "x"}, "logo": {"svg": "<svg fill='red'/>", "png": "a.png"}, "cornerMark": {"svg": "no"}}
+    for d in (good, bad):
+        (tmp_path / f"{d['id']}.json").write_text(json.dumps(d))
+    a, b = discover.load_themes(spark, str(tmp_path)).collect()
+    assert (b.id, b.title, b.title_pt, b.h2_pt, b.muted, b.page, b.margin_pt, b.letterhead, b.violations) == ("b", "#000000", 20.0, 13.0, "#6B6B6B", "A4", 48.0, ["One", "Two"], [])
+    assert {v.split(":")[0] for v in a.violations} == {"colors.ink", "colors.title", "page.size", "page.marginPt", "type.bodyPt", "font.embed", "logo.svg", "logo.png", "cornerMark.svg"}
+    one = discover.theme_json(discover.load_themes(spark, str(tmp_path))).where("id = 'b'").first().json
+    assert json.loads(one)["brand_on_light"] == "#1A1A1A" and "violations" not in one
+    tokens = spark.createDataFrame([(1, "g", "brand", "#111111"), (2, "g", "other", "x")], "doc_id long, group string, name string, value string")
+    assert sorted((r.doc_id, r.value, r.why) for r in discover.required_token(tokens, "brand").collect()) == [(1, "#111111", None), (2, None, "token source carries no brand")]
+
+
+def test_layout(spark):
+    from paperloom.functions import layout as Y
+
+    df = spark.createDataFrame([("A4", 48.0, "E", "", 86400, '<svg><a style="fill:red"/></svg>'), ("Letter", 72.0, None, "d", -1, "<svg><style>.x{stroke: red}</style></svg>"), ("A4", 48.0, "", None, 0, "<svg STROKE='x'/>")], "size string, margin double, entity string, date string, epoch long, svg string")
+    got = df.select(Y.column_dxa("size", "margin"), Y.landscape_dxa("size", "margin"), Y.sizing("size", "margin", F.lit(9))["body_pt"], Y.letterhead_lines("entity", "date"), F.date_format(Y.date_of("epoch"), "yyyy-MM-dd"), Y.inline_paint("svg")["where"], Y.to_mm("margin"), Y.cover_statement_pt("margin", F.lit(30.0)), Y.units("margin", 2)).collect()
+    assert [tuple(r) for r in got] == [
+        (9986, 14918, 9.0, ["E"], "1970-01-02", '"fill:" inside a style attribute', "16.93mm", 30.0, 96),
+        (9360, 12960, 9.0, ["d"], None, '"stroke:" inside a <style> element', "25.40mm", 36.0, 144),
+        (9986, 14918, 9.0, [], "1970-01-01", 'a "STROKE" attribute', "16.93mm", 30.0, 96),
+    ]
+    when = spark.sql("select timestamp_seconds(-5) as m union all select timestamp_seconds(7)")
+    assert sorted(r[0] for r in when.select(Y.epoch_of("m")).collect()) == [0, 7]
+    assert when.select(Y.epoch_of("m", "9")).first()[0] == 9
+    with pytest.raises(ValueError):
+        Y.epoch_of("m", "x")
+
+
+def test_word_tables_headings_and_turned_sections():
+    blocks = [{"t": "table", "head": ["a"] * 3, "rows": [["1", "2", "3"]]}, {"t": "table", "head": ["b"], "rows": []}, {"t": "table", "head": [f"c{k}" for k in range(18)], "rows": []}, {"t": "heatmap", "lang": "scale", "head": ["", "W01", "W02"], "rows": [["r", "1", "4"]]}, {"t": "para", "text": "x", "spans": [{"v": "bad", "path": [{"t": "link", "href": "java script:x"}]}]}]
+    data, lost = writers.package("T", blocks)
+    main = zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml").decode()
+    assert main.count('w:line="20"') == 1 and main.count("w:sectPr>") == 6 and main.count('w:orient="landscape"') == 1
+    assert lost == ["a link is left out: java script:x"] and 'w:fill="BABABA"' not in main and main.count("w:shd ") == 2
+    assert sum(int(x) for x in re.findall(r'gridCol w:w="(\d+)"', main)[:3]) == 9986
+
+
 def test_render_markdown_of_bare_document(spark):
     docs = spark.createDataFrame([(1, "T", "S")], "doc_id long, title string, subtitle string")
     blocks, _ = markdown.read(spark.createDataFrame([], "doc_id long, text string"))
