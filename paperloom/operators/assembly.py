@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenise
+from ..sources.base import kept
 from . import blocks as B
 from . import pages as P
 from .config import listed
@@ -72,19 +73,21 @@ def assemble(runs: DataFrame, xs: DataFrame, ys: DataFrame, cells: DataFrame) ->
     """blocks (doc_id, block_ix, t, level, text, head, rows, page) in reading order, the furniture that joined tables
     leave out (dropped), and the documents whose blocks don't hold the source's tokens in the source's order (divergence)."""
     texts = P.find_repeated(runs, ["doc_id"]).select("doc_id", F.explode("texts").alias("text")).distinct().withColumn("repeated", F.lit(True))
-    placed = zoned(runs, xs, ys).join(texts, ["doc_id", "text"], "left").withColumn("repeated", F.coalesce("repeated", F.lit(False)))
+    placed = kept(zoned(runs, xs, ys).join(texts, ["doc_id", "text"], "left").withColumn("repeated", F.coalesce("repeated", F.lit(False))))
 
     lines = xs.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.col("value").cast("double"))).alias("xs"))
     tables = page_tables(cells).join(lines, KEY).join(free_tables(placed), KEY, "left").withColumn("free", F.coalesce("free", F.lit(False)))
+    tables = kept(tables)
     numbered = tables.join(P.continue_tables(tables, ["doc_id"]), KEY)
     ordered = Window.partitionBy("doc_id").orderBy("page")
     numbered = numbered.withColumns({"joins": F.col("table_no").eqNullSafe(F.lag("table_no").over(ordered)), "goes_on": F.col("table_no").eqNullSafe(F.lead("table_no").over(ordered))})
 
     # between the halves of a joined table furniture is not printed again, on either page
+    numbered = kept(numbered)
     marks = numbered.select(*KEY, "joins", "goes_on")
     out = (F.col("joins") & (F.col("zone") == 0)) | (F.col("goes_on") & (F.col("zone") == 2))
     marked = placed.join(marks, KEY, "left").withColumn("out", F.coalesce(out, F.lit(False))).drop("joins", "goes_on")
-    dropped = marked.where("out").groupBy(*KEY).agg(F.array_sort(F.collect_set("text")).alias("texts"))
+    dropped = marked.where("out").groupBy(*KEY, "zone").agg(F.array_sort(F.collect_set("text")).alias("texts"))
     dropped = dropped.select("doc_id", F.lit("furniture").alias("kind"), F.concat(F.lit("page "), (F.col("page") + 1).cast("string"), F.lit(": repeated furniture between two halves of a table is not repeated: "), listed(F.col("texts"))).alias("message"))
     stay = marked.where("not out").drop("out")
 

@@ -126,6 +126,14 @@ def cover_zones(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("zone", zone)
 
 
+def separate_tables(blocks: DataFrame) -> DataFrame:
+    """blocks(doc_id, block_ix, t) with ``sub_ix`` 1, and a row of kind 'hairline' (sub_ix 0) before a table that follows a table."""
+    after = F.lag("t").over(Window.partitionBy("doc_id").orderBy("block_ix"))
+    touching = (F.col("t") == "table") & (after == "table")
+    parts = F.when(touching, F.array(F.struct(F.lit(0).alias("sub_ix"), F.lit("hairline").alias("t")), F.struct(F.lit(1).alias("sub_ix"), F.col("t").alias("t")))).otherwise(F.array(F.struct(F.lit(1).alias("sub_ix"), F.col("t").alias("t"))))
+    return blocks.withColumn("_parts", parts).select("doc_id", "block_ix", F.explode("_parts").alias("p")).select("doc_id", "block_ix", "p.sub_ix", "p.t")
+
+
 def split_at_pagebreak(blocks: DataFrame) -> DataFrame:
     """'page' up to the first page break, 'rest' from it on."""
     at = F.min(F.when(F.col("t") == "pagebreak", F.col("block_ix"))).over(Window.partitionBy("doc_id"))

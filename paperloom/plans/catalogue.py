@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import documents, geometry, offers, settings, sheets
+from . import documents, geometry, offers, settings, sheets, whole
 
-_PARTS = (documents, offers, sheets, geometry, settings)
+_PARTS = (documents, offers, sheets, geometry, settings, whole)
 QUERIES = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
 ORACLE = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}

@@ -40,9 +40,15 @@ def q33_heading_jumps(spark, d):
 
 
 def q33b_warnings(spark, d):
-    b = _blocks(spark, d)
+    """Every kind of warning, on blocks made of events: headings that jump, tables too wide, images that can't be embedded, no title."""
+    e = read(spark, d, "events")
+    k = F.col("event_id") % 4
+    t = F.when(k == 0, "table").when(k == 1, "image").otherwise("heading")
+    level = F.when(F.col("user_id") % 5 == 0, 2 + F.col("event_id") % 2).otherwise(1 + (F.col("event_id") / 2).cast("long") % 3)
+    src = F.when(F.col("event_id") % 8 == 1, "data:image/png;base64,iVBORw0KGgoAAAANSUhEUgAAAAEAAAABCAYAAAAfFcSJ").otherwise("data:image/svg+xml;base64,PHN2Zy8+")
+    b = e.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("block_ix"), t.alias("t"), F.when(t == "heading", level).cast("int").alias("level"), F.col("event_type").alias("text"), F.when(t == "table", (F.col("event_id") / 4).cast("long") % 14).cast("int").alias("n_cols"), F.when(t == "image", src).alias("src"))
     titles, rest = B.lift_title(b)
-    return B.warnings(rest, titles).select("doc_id", "kind", F.col("ordinal").cast("long").alias("ordinal"))
+    return B.warnings(rest, titles).select("doc_id", "kind", F.col("ordinal").cast("long").alias("ordinal"), "message")
 
 
 def q45_table_markdown(spark, d):
@@ -119,11 +125,14 @@ SELECT doc_id, p, expected, found FROM (
 WITH h AS (SELECT user_id AS doc_id, event_id, CAST(event_id % 3 + 1 AS INTEGER) AS to_level, event_type AS text,
   lag(CAST(event_id % 3 + 1 AS INTEGER)) OVER w AS from_level, row_number() OVER w AS ordinal FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
 SELECT doc_id, CAST(ordinal AS BIGINT) AS ordinal, from_level, to_level, text FROM h WHERE to_level > from_level + 1""",
-    "q33b_warnings": f"""
-WITH {ORACLE_BLOCKS}, {_JUMPS},
-titles AS (SELECT doc_id, max(title_ix) AS ix FROM lifted GROUP BY doc_id)
-SELECT doc_id, 'untitled' AS kind, CAST(0 AS BIGINT) AS ordinal FROM titles WHERE ix IS NULL
-UNION ALL SELECT doc_id, 'heading_jump', CAST(ordinal AS BIGINT) FROM jumps WHERE level > was + 1""",
+    "q33b_warnings": """
+WITH b AS (SELECT user_id AS doc_id, event_id AS ix, CASE event_id % 4 WHEN 0 THEN 'table' WHEN 1 THEN 'image' ELSE 'heading' END AS t, CASE WHEN user_id % 5 = 0 THEN 2 + event_id % 2 ELSE 1 + event_id // 2 % 3 END AS level, event_type AS text, event_id // 4 % 14 AS n_cols, event_id % 8 = 1 AS good FROM events),
+l AS (SELECT *, min(CASE WHEN t = 'heading' AND level = 1 THEN ix END) OVER (PARTITION BY doc_id) AS title_ix FROM b),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, t ORDER BY ix) AS n, lag(level) OVER (PARTITION BY doc_id, t ORDER BY ix) AS was FROM l WHERE ix IS DISTINCT FROM title_ix)
+SELECT DISTINCT doc_id, 'untitled' AS kind, CAST(0 AS BIGINT) AS ordinal, 'no title found' AS message FROM l WHERE title_ix IS NULL
+UNION ALL SELECT doc_id, 'heading_jump', n, 'heading levels jump H' || was || '→H' || level || ' at heading ' || n || ' ("' || text || '")' FROM o WHERE t = 'heading' AND level > was + 1
+UNION ALL SELECT doc_id, 'wide_table', n, 'table ' || n || ' has ' || n_cols || ' columns (will not fit A4 portrait)' FROM o WHERE t = 'table' AND n_cols > 10
+UNION ALL SELECT doc_id, 'image', n, 'image ' || n || ' will not embed in Word' FROM o WHERE t = 'image' AND NOT good""",
     "q44_escaped_html": """
 SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) AS escaped_md5 FROM pages""",
     "q45_table_markdown": r"""

@@ -97,7 +97,7 @@ def q29_reading_order(spark, d):
 
 def q30_table_continues(spark, d):
     o = read(spark, d, "orders")
-    t = o.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("page"), (3 + F.col("o_orderkey") % 2).alias("n_cols"), F.col("o_orderpriority").alias("head"), F.array(F.lit(0.0), F.lit(100.0) + (F.col("o_orderkey") % 3) * 2, F.lit(200.0)).alias("xs"))
+    t = o.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("page"), F.when(F.col("o_orderkey") % 7 > 0, F.array("o_orderpriority", F.lit("b"))).otherwise(F.array("o_orderpriority", F.lit("b"), F.lit("c"))).alias("head"), (F.col("o_orderkey") % 5 > 0).alias("free"), F.array(F.lit(0.0), F.lit(100.0) + (F.col("o_orderkey") % 3) * 2, F.lit(200.0)).alias("xs"))
     return P.continue_tables(t, ["doc_id"]).select("doc_id", "page", "table_no")
 
 
@@ -195,9 +195,11 @@ SELECT page, axis, CAST(ix AS INTEGER) AS ix, v AS value FROM k UNION ALL SELECT
  m AS (SELECT label, vec_id, x, (SELECT max(a) FROM an WHERE an.k = label AND a <= v) AS anchor FROM p)
  SELECT label, string_agg('v' || vec_id, ' ' ORDER BY anchor, x, vec_id) AS text FROM m GROUP BY label""",
     "q30_table_continues": """
-WITH t AS (SELECT o_custkey AS doc_id, o_orderkey AS page, o_orderkey % 2 AS c, o_orderpriority AS h, (o_orderkey % 3) * 2 AS x FROM orders),
-g AS (SELECT *, CASE WHEN lag(c) OVER w = c AND abs(lag(x) OVER w - x) <= 3 AND lag(h) OVER w <> h THEN 0 ELSE 1 END AS starts FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY page))
-SELECT doc_id, page, CAST(sum(starts) OVER (PARTITION BY doc_id ORDER BY page) AS BIGINT) AS table_no FROM g""",
+WITH RECURSIVE t AS (SELECT o_custkey AS doc_id, o_orderkey AS page, o_orderkey % 7 > 0 AS c, o_orderkey % 5 > 0 AS free, o_orderpriority AS h, (o_orderkey % 3) * 2 AS x, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders),
+f AS (SELECT doc_id, page, r, c, h, x, 1 AS no FROM t WHERE r = 1
+ UNION ALL SELECT t.doc_id, t.page, t.r, CASE WHEN g THEN f.c ELSE t.c END, CASE WHEN g THEN f.h ELSE t.h END, t.x, CASE WHEN g THEN f.no ELSE f.no + 1 END
+ FROM f JOIN (SELECT * FROM t) t ON t.doc_id = f.doc_id AND t.r = f.r + 1, LATERAL (SELECT t.free AND f.c = t.c AND f.h <> t.h AND abs(f.x - t.x) <= 3 AS g))
+SELECT doc_id, page, CAST(no AS BIGINT) AS table_no FROM f""",
     "q30b_join_anchor": """
 SELECT user_id AS doc_id, event_id AS block_ix, max(CASE WHEN event_type <> 'error' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id) AS anchor_ix FROM events""",
     "q31_numbering": """

@@ -118,6 +118,7 @@ _WHY = "CASE WHEN v < 0 THEN 'negative' WHEN abs(v * 100 - floor(v * 100 + 0.5))
 _CELLS = """cells AS (SELECT 'customer' AS name, c_custkey AS row_ix, unnest([0, 1]) AS col_ix, unnest([c_name, c_mktsegment]) AS text FROM customer
  UNION ALL SELECT 'part', p_partkey, unnest([0, 1, 2]), unnest([p_name, p_brand, p_type]) FROM part
  UNION ALL SELECT 'customer', -1, unnest([0, 1]), ' ' UNION ALL SELECT 'part', -1, unnest([0, 1, 2]), unnest(['p_name', 'p_brand', 'p_type']))"""
+_WIDE = lambda chars: f"floor((12 + {chars} * 10.0::DOUBLE * 0.55::DOUBLE) * 20 + 0.5)"
 _MIX = lambda k: f"lpad(upper(to_hex(CAST(floor(CAST(('0x' || substr(color, {2 + 2 * k}, 2)) AS INTEGER) * t + 255 * (1 - t) + 0.5) AS BIGINT))), 2, '0')"
 _LIN = lambda e: f"(CASE WHEN {e} <= 0.03928 THEN {e} / 12.92 ELSE pow(({e} + 0.055) / 1.055, 2.4) END)"
 _CH = lambda c, k: f"(CAST(('0x' || substr({c}, {2 + 2 * k}, 2)) AS INTEGER) / 255.0::DOUBLE)"
@@ -138,6 +139,18 @@ ORACLE = {
  CASE WHEN h = 0 THEN '—' ELSE CASE WHEN h % 8 = 0 THEN CAST(h // 8 AS VARCHAR) ELSE CAST(h / 8.0::DOUBLE AS VARCHAR) END || CASE WHEN h <= 8 THEN ' day / week' ELSE ' days / week' END END AS label FROM e""",
     "q11_demand": f"WITH {_CELLS} SELECT name, col_ix, greatest(CAST(max(CASE WHEN row_ix = -1 THEN length(text) END) AS DOUBLE), quantile_cont(CASE WHEN row_ix >= 0 THEN length(text) END, 0.75)) AS demand FROM cells GROUP BY name, col_ix",
     "q12_longest": f"WITH {_CELLS} SELECT name, col_ix, max(length(text)) AS longest, NOT bool_or(row_ix = -1 AND trim(text) <> '') AS blank_head FROM cells GROUP BY name, col_ix",
+    "q13_widths": f"""
+WITH {_CELLS}, q AS (SELECT name, col_ix, greatest(CAST(max(CASE WHEN row_ix = -1 THEN length(text) END) AS DOUBLE), quantile_cont(CASE WHEN row_ix >= 0 THEN length(text) END, 0.75)) AS d, max(length(text)) AS longest, NOT bool_or(row_ix = -1 AND trim(text) <> '') AS blank FROM cells GROUP BY name, col_ix),
+k AS (SELECT *, bool_and(blank) OVER w AS kv, count(*) OVER w AS n, {_WIDE('greatest(4, least(longest, 12))')} AS floor_, {_WIDE('greatest(d, 4)')} AS hug FROM q WINDOW w AS (PARTITION BY name)),
+l AS (SELECT *, CASE WHEN sum(floor_) OVER w <= 9978 THEN floor_ ELSE 0 END AS low, sum(hug) OVER w AS hugged FROM k WINDOW w AS (PARTITION BY name)),
+b AS (SELECT *, greatest(low, CASE WHEN n * 0.45::DOUBLE >= 1 THEN least(9978 * 0.45::DOUBLE, 9978 - (sum(low) OVER w - low)) ELSE 9978 - (sum(low) OVER w - low) END) AS high FROM l WINDOW w AS (PARTITION BY name)),
+bends AS (SELECT DISTINCT name, unnest([low / d, high / d]) AS bend FROM b WHERE d > 0),
+sums AS (SELECT e.name, e.bend, sum(least(high, greatest(low, e.bend * d))) AS s FROM bends e JOIN b ON b.name = e.name GROUP BY ALL),
+steps AS (SELECT *, lag(bend) OVER w AS bend0, lag(s) OVER w AS s0 FROM sums WINDOW w AS (PARTITION BY name ORDER BY bend)),
+lev AS (SELECT name, arg_min(bend0 + (bend - bend0) * (9978 - s0) / (s - s0), bend) AS level FROM steps WHERE s >= 9978 AND s0 < 9978 GROUP BY name),
+f AS (SELECT b.*, least(high, greatest(low, level * d)) AS w FROM b LEFT JOIN lev USING (name)),
+r AS (SELECT *, floor(w) AS whole, row_number() OVER (PARTITION BY name ORDER BY floor(w) - w, col_ix) AS place, 9978 - sum(floor(w)) OVER (PARTITION BY name) AS more FROM f)
+SELECT name, col_ix, CAST(CASE WHEN kv AND hugged <= 9978 THEN hug + CASE WHEN col_ix = n - 1 THEN 9978 - hugged ELSE 0 END ELSE whole + CASE WHEN place <= more THEN 1 ELSE 0 END END AS BIGINT) AS width FROM r""",
     "q14_fits": "SELECT DISTINCT p_size, CAST(floor((12 + p_size * 10.0::DOUBLE * 0.55::DOUBLE) * 20 + 0.5) AS BIGINT) AS width, p_size * CAST(floor((12 + 4 * 10.0 * 0.55) * 20 + 0.5) AS BIGINT) <= 9978 AS fits FROM part",
     "q47_template": f"""SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN 'Segment ' || c_mktsegment || ': ' ELSE '' END || 'Offer for ' || c_name || CASE WHEN c_custkey % 3 > 0 THEN '' ELSE ' (no segment)' END
  || ', balance ' || {_money('CAST(floor(c_acctbal * 100 + 0.5) AS BIGINT)')} || chr(10) || chr(10) || '[[0:budget]]' || chr(10) || chr(10) || 'Terms.' AS md FROM customer""",

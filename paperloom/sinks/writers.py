@@ -59,7 +59,8 @@ class Parts:
 
 def _run(text: str, code: bool = False, **marks: bool) -> str:
     properties = ('<w:rFonts w:ascii="Courier New" w:hAnsi="Courier New"/>' if code else "") + "".join(f"<w:{k}/>" for k, on in marks.items() if on)
-    return f"<w:r>{f'<w:rPr>{properties}</w:rPr>' if properties else ''}<w:t xml:space=\"preserve\">{escape(text)}</w:t></w:r>"
+    clean = re.sub("[^\t\n\r\x20-\uD7FF\uE000-\uFFFD\U00010000-\U0010FFFF]", "", text)  # what XML can hold
+    return f"<w:r>{f'<w:rPr>{properties}</w:rPr>' if properties else ''}<w:t xml:space=\"preserve\">{escape(clean)}</w:t></w:r>"
 
 
 def _para(inner: str, properties: str = "") -> str:

@@ -290,7 +290,7 @@ def test_pdf_table_goes_on_over_furniture(spark):
     blocks, said = pdf_blocks(spark, joined, headed, parted, moved, gap)
     head, tail = ("para", "Letterhead"), ("para", "Footer")
     assert blocks[1] == [head, ("table", ["name", "sum"], [["a", "1"], ["b", "2"], ["c", "3"], ["d", "4"]]), tail]
-    assert sum("repeated furniture between" in m for _, m in said[1]) == 3  # above pages 2 and 3 with the footers before them
+    assert sum("repeated furniture between" in m for _, m in said[1]) == 4  # above pages 2 and 3, and the footers before them
     table = lambda rows: ("table", rows[0], rows[1:])
     assert blocks[2] == [head, table(one), tail, head, table(one), tail]
     assert blocks[3] == [head, table(one), tail, head, ("para", "A section of its own"), table(two), tail]
