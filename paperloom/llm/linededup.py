@@ -26,14 +26,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialise, shared_dir, tidily
+from .common import discard, lasting_batches, materialise, shared_dir, tidily
 from .vecwords import BASE, BASE_INV, SPACE, U, Words, buffer, mix, powers
 
 MIN_WORDS = 10
+SLICE = 1 << 14  # windows whose bytes are compared at a time
 STOP = np.zeros(256, bool)
 STOP[list(b".!?")] = True
 
@@ -53,14 +55,14 @@ def cut(raw: np.ndarray, offsets: np.ndarray):
 
 
 def chunks(raw: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS):
-    """Windows of a batch: first and last word (numbers in the batch), text's index, hash; and of each
-    word where it starts and ends (blanks up to the next word or the line's ends included) and its text's index."""
+    """Windows of a batch: text's index, hash, the bytes of their words (from, to), and the bytes that go with
+    them (blanks up to the next word or the line's ends included)."""
     lines, line_ends, texts = cut(raw, offsets)
     words = Words(raw, offsets, SPACE)
     n = len(words.start)
     if not n:
         e = np.zeros(0, np.int64)
-        return e, e, e, np.zeros(0, U), (e, e, e)
+        return e, np.zeros(0, U), e, e, e, e
     line = np.searchsorted(lines, words.start, "right") - 1
     owner = texts[line]
     opens = np.concatenate((np.ones(1, bool), line[1:] != line[:-1]))
@@ -95,18 +97,45 @@ def chunks(raw: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS):
     np.cumsum((raw.astype(U) + U(1)) * powers(len(raw), BASE), out=prefix[1:])
     x, y = words.start[frm], words.end[to]
     key = mix((prefix[y] - prefix[x]) * powers(len(raw) + 1, BASE_INV)[x] + (y - x).astype(U) * U(0xA24BAED4963EE407))
-    return frm, to, owner[frm], key, (start, end, owner)
+    return owner[frm], key, x, y, start[frm], end[to]
 
 
-def candidates(column, min_words: int):
-    """Windows that may go: text's index, number of the window in its text, hash, byte range."""
-    raw, offsets = buffer(column)
-    frm, to, owner, key, (start, end, _) = chunks(raw, offsets, min_words)
-    return owner, np.arange(len(frm)) - np.searchsorted(owner, owner), key, start[frm], end[to], raw, offsets
+def numbers(owner: np.ndarray, n: int) -> np.ndarray:
+    """Where each text's windows begin; owner is sorted."""
+    return np.searchsorted(owner, np.arange(n))
 
 
-def _strip(raw: np.ndarray, lo: int, hi: int) -> bytes:
-    return raw[lo:hi].tobytes().strip(b" \t\n\r\x0b\x0c")
+def gather(raw: np.ndarray, a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of ranges one after the other, and their offsets."""
+    offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum(z - a)))
+    return raw[np.arange(offsets[-1]) + np.repeat(a - offsets[:-1], z - a)], offsets
+
+
+def same_bytes(raw: np.ndarray, a: np.ndarray, z: np.ndarray, other: np.ndarray, b: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether raw[a:z] and other[b:y] are equal, range by range."""
+    out = (z - a) == (y - b)
+    at = np.flatnonzero(out)
+    for k in range(0, len(at), SLICE):
+        some = at[k : k + SLICE]
+        mine, offsets = gather(raw, a[some], z[some])
+        theirs, _ = gather(other, b[some], y[some])
+        differ = np.concatenate((np.zeros(1, np.int64), np.cumsum(mine != theirs)))
+        out[some] = differ[offsets[1:]] == differ[offsets[:-1]]
+    return out
+
+
+def binaries(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary())
+
+
+def repeats(owner: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(windows whose hash an earlier one of the same text has, that earlier one: the first)."""
+    order = np.lexsort((np.arange(len(key)), key, owner))
+    new = np.ones(len(key), bool)
+    new[1:] = (owner[order][1:] != owner[order][:-1]) | (key[order][1:] != key[order][:-1])
+    first = order[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+    again = ~new
+    return order[again], first[again]
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -116,16 +145,20 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     fetch the first occurrences' bytes and once to compare and cut.
     """
     spark = docs.sparkSession
+    lasting_batches(spark)
     names = docs.columns
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), id_.alias("k1"), F.xxhash64(F.col("text")).alias("k2"))
 
     def emit(batches):
         for b in batches:
-            owner, number, key, *_ = candidates(b.column(2), min_words)
+            raw, offsets = buffer(b.column(2))
+            owner, key, *_ = chunks(raw, offsets, min_words)
             _, once = np.unique(key ^ mix(owner.astype(U)), return_index=True)
             once.sort()
-            yield pa.RecordBatch.from_arrays([pa.array(key[once].view(np.int64)), b.column(0).take(pa.array(owner[once])), b.column(1).take(pa.array(owner[once])), pa.array(number[once].astype(np.int32))], names=["hash", "k1", "k2", "number"])
+            at = np.arange(len(owner)) - numbers(owner, b.num_rows)[owner] if len(owner) else owner
+            of = pa.array(owner[once])
+            yield pa.RecordBatch.from_arrays([pa.array(key[once].view(np.int64)), b.column(0).take(of), b.column(1).take(of), pa.array(at[once].astype(np.int32))], names=["hash", "k1", "k2", "number"])
 
     folder = shared_dir(spark)
     own = materialise(keyed.select("k1", "k2", F.col("row.text").alias("text")).mapInArrow(tidily(emit), "hash long, k1 long, k2 long, number int"), "windows", folder)
@@ -140,10 +173,12 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     def fetch(batches):
         for b in batches:
-            owner, number, key, lo, hi, raw, _ = candidates(b.column(0), min_words)
-            base = np.searchsorted(owner, np.arange(b.num_rows))
-            at = [int(base[o]) + k for o, x in enumerate(b.column(1).to_pylist()) for k in x]
-            yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array([_strip(raw, lo[k], hi[k]) for k in at], pa.binary())], names=["hash", "bytes"])
+            raw, offsets = buffer(b.column(0))
+            owner, key, x, y, *_ = chunks(raw, offsets, min_words)
+            wanted = b.column(1)
+            of = np.repeat(np.arange(b.num_rows), np.diff(wanted.offsets.to_numpy()))
+            at = numbers(owner, b.num_rows)[of] + wanted.flatten().to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), binaries(*gather(raw, x[at], y[at]))], names=["hash", "bytes"])
 
     texts = keyed.select("k1", "k2", F.col("row.text").alias("text"))
     # written, so that only one shuffle of the texts is on disk at a time
@@ -162,39 +197,30 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             row = b.column(0)
             fields = [row.field(k) for k in range(len(full))]
             text = fields[text_at]
-            owner, number, key, lo, hi, raw, offsets = candidates(text, min_words)
-            start, end, of = cut(raw, offsets)
-            base = np.searchsorted(owner, np.arange(b.num_rows))
-            gone: list[list[tuple[int, int]]] = [[] for _ in range(b.num_rows)]
-            earlier: dict[int, set[bytes]] = {}
-            for o, x in enumerate(b.column(1).to_pylist()):
-                for c in x or ():
-                    earlier.setdefault(int(base[o]) + c["number"], set()).add(c["bytes"])
-            seen: set[tuple[int, bytes]] = set()
-            _, inverse, counts = np.unique(key ^ mix(owner.astype(U)), return_inverse=True, return_counts=True)
-            twice = np.flatnonzero(counts[inverse] > 1) if len(key) else []
-            for k in sorted({*earlier, *map(int, twice)}):
-                o = int(owner[k])
-                mine = _strip(raw, int(lo[k]), int(hi[k]))
-                if mine in earlier.get(k, ()) or (o, mine) in seen:
-                    gone[o].append((int(lo[k]), int(hi[k])))
-                seen.add((o, mine))
-            lines = np.bincount(of, minlength=b.num_rows)
-            out, dropped = text.to_pylist(), np.zeros(b.num_rows, np.int64)
-            for o, spans in enumerate(gone):
-                if not spans:
-                    continue
-                at, counted, parts = int(offsets[o]), 0, []
-                for a, z in spans:  # by start and by end; they overlap
-                    parts.append(raw[at:a].tobytes())
-                    at = z
-                    since, until = max(counted, int(np.searchsorted(end, a, "right"))), int(np.searchsorted(start, z))
-                    dropped[o] += until - since
-                    counted = until
-                parts.append(raw[at : int(offsets[o + 1])].tobytes())
-                out[o] = b"".join(parts).decode("utf-8", "replace")
-            fields[text_at] = pa.array(out, text.type)
-            yield pa.RecordBatch.from_arrays([*fields, pa.array(lines.astype(np.int64)), pa.array(dropped)], names=[*names, n_lines, n_cut])
+            raw, offsets = buffer(text)
+            owner, key, x, y, lo, hi = chunks(raw, offsets, min_words)
+            # windows that the first occurrence elsewhere has
+            cuts = b.column(1)
+            of = np.repeat(np.arange(b.num_rows), np.diff(cuts.offsets.to_numpy()))
+            given = cuts.flatten()
+            k = numbers(owner, b.num_rows)[of] + given.field(0).to_numpy()
+            theirs, ends = buffer(given.field(1))
+            gone = np.zeros(len(owner), bool)
+            gone[k[same_bytes(raw, x[k], y[k], theirs, ends[:-1], ends[1:])]] = True
+            # windows that stand earlier in the same text
+            again, first = repeats(owner, key)
+            gone[again[same_bytes(raw, x[again], y[again], raw, x[first], y[first])]] = True
+            edge = np.zeros(len(raw) + 1, np.int64)
+            np.add.at(edge, lo[gone], 1)
+            np.add.at(edge, hi[gone], -1)
+            out = np.cumsum(edge[:-1]) > 0
+            before = np.concatenate((np.zeros(1, np.int64), np.cumsum(out)))
+            start, end, line_of = cut(raw, offsets)
+            lines = np.bincount(line_of, minlength=b.num_rows)
+            dropped = np.bincount(line_of[before[end] > before[start]], minlength=b.num_rows) if len(start) else lines
+            left = binaries(raw[~out], offsets - before[offsets]).cast(pa.string())
+            fields[text_at] = pc.if_else(text.is_valid(), left.cast(text.type), pa.scalar(None, text.type))
+            yield pa.RecordBatch.from_arrays([*fields, pa.array(lines.astype(np.int64)), pa.array(dropped.astype(np.int64))], names=[*names, n_lines, n_cut])
 
     return keyed.join(lists, ["k1", "k2"], "left").select("row", "cuts").mapInArrow(tidily(cut_batch), schema)
 
