@@ -37,14 +37,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/paperloom-{uuid.uuid4().hex}"
 
 
+def lasting_batches(spark: SparkSession) -> None:
+    """Arrow batches that suit whole texts, for plans over texts that run after an operator has returned. The
+    session keeps these two limits, if its own were larger: at the default of 64 MB a batch, the buffers of a
+    batch on both sides cost an executor several hundred MB."""
+    for k, most in {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}.items():
+        if not 0 < int(spark.conf.get(k).rstrip("b")) <= most:
+            spark.conf.set(k, str(most))
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession):
-    """Arrow batches that suit whole texts, for the actions inside; the caller's settings come back."""
-    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
-    before = {k: spark.conf.get(k) for k in names}
-    for k, most in names.items():
-        if not 0 < int(before[k].rstrip("b")) <= most:
-            spark.conf.set(k, str(most))
+    """The same for the actions inside; the caller's settings come back."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")}
+    lasting_batches(spark)
     try:
         yield
     finally:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, small_batches, tidily
+from .common import bounded_sample, lasting_batches, small_batches, tidily
 from .vecwords import FOLD, U, buffer, sums
 
 FEATURES, SAMPLE, LANGUAGES, CENTROIDS, ROUNDS = 4096, 2000, 200, 3, 10
@@ -127,6 +127,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, langu
 
 def predict(docs: DataFrame, model: dict | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for every row of docs(doc_id, text)."""
+    lasting_batches(docs.sparkSession)
+
     def run(batches):
         for b in batches:
             n = b.num_rows

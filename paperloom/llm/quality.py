@@ -1,7 +1,7 @@
 """Quality rules whose cutoffs are certified on labelled holdouts (operator 5).
 
-A rule is a signal that is high in poor text. Labelled documents are halved by a hash of
-doc_id. From the first half each rule learns, in each stratum (length class of a document),
+A rule is a signal that is high in poor text. Labelled documents are halved by an MD5
+of doc_id. From the first half each rule learns, in each stratum (length class of a document),
 how many good and poor documents reach each of its ``GRID`` values; where poor ones are more
 than twice as frequent, the value gets a level, which is the higher the fewer good documents
 reach it. A document's level is the highest that any rule gives it. So all rules' cutoffs of
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, tidily
+from .common import lasting_batches, materialise, tidily
 from .vecwords import NEWLINE, SPACE, Words, buffer, grams, mix, sums
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -82,6 +82,7 @@ def count_batch(column) -> dict[str, np.ndarray]:
 
 def with_counts(docs: DataFrame, text: str = "text", name: str = "_counts") -> DataFrame:
     """All columns of docs and a struct of the counts of its texts, in one pass without a shuffle."""
+    lasting_batches(docs.sparkSession)
     kind = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
     schema = T.StructType([*docs.schema.fields, T.StructField(name, kind)])
 
@@ -207,13 +208,17 @@ def severity(c, ladders: dict[tuple[int, str], np.ndarray]) -> Column:
     return out
 
 
+def held_out() -> Column:
+    """Whether a labelled document is of the holdout: by the first digit of an MD5 of its id."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit("holdout "), F.col("doc_id").cast("string")).cast("binary")), 1, 1), 16, 10).cast("int") < 8
+
+
 def calibrate(counts: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> tuple[dict[tuple[int, str], np.ndarray], dict[int, int]]:
     """(levels by stratum and rule, the certified level by stratum). ``counts(doc_id, _counts)`` meets
     ``labels(doc_id, quality)`` by doc_id; what reaches the driver is two histograms of bounded size."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     c = lambda x: F.col(f"_counts.{x}")
-    held = F.pmod(F.xxhash64("doc_id", F.lit("holdout")), F.lit(2)) == 0
-    got = materialise(counts.join(known, "doc_id").select("_counts", (F.col("quality") > 0).cast("int").alias("good"), held.alias("held")), "labelled")
+    got = materialise(counts.join(known, "doc_id").select("_counts", (F.col("quality") > 0).cast("int").alias("good"), held_out().alias("held")), "labelled")
     bins = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.floor(v * GRID).cast("int").alias("bin")) for r, v in signals(c).items()])).alias("x")
     table: dict[tuple[int, str], np.ndarray] = {}
     for r in got.where("not held").select(stratum(c).alias("s"), "good", bins).groupBy("s", "good", "x.rule", "x.bin").count().collect():

@@ -91,7 +91,7 @@ def test_kept_against_a_plain_computation(spark):
     counts = counted(spark, rows)
     labels = spark.createDataFrame([(i, int(g)) for i, g, _, _ in rows], "doc_id long, quality int")
     rules = Q.calibrate(counts, labels)
-    held = {r.doc_id: r.h for r in counts.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit("holdout")), F.lit(2)) == 0).alias("h")).collect()}
+    held = {r.doc_id: r.h for r in counts.select("doc_id", Q.held_out().alias("h")).collect()}
     c = lambda x: F.col(f"_counts.{x}")
     got = {r.doc_id: r.k for r in counts.select("doc_id", Q.verdict(c, rules).alias("k")).collect()}
     want, n_rejected = {}, 0
