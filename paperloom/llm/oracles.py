@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license
+from . import license, quality
 
 #: The CRC-32 table from its polynomial, and a checksum of a hexadecimal string's bytes.
 _CRC = """crc_bits AS (SELECT n, list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(0, 256) r(n)),
@@ -103,4 +103,47 @@ comp AS (SELECT node, min(low) AS low FROM reach GROUP BY node)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(low, d.doc_id) AS component_id, coalesce(d.doc_id = coalesce(low, d.doc_id), true) AS kept
 FROM d LEFT JOIN n USING (rid) LEFT JOIN comp ON comp.node = d.doc_id"""
 
-ORACLE = {"op1_warc_index_merge": OP1, "op2_license_scan": _op2(), "op4_hash_tree_sharding": OP4, "op6_minhash_near_dedup": OP6}
+
+# --- quality rules: counts, the ladders of the first half of the labels, the binomial test on the other half
+
+_UNIT = lambda x: f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, ({x})::DOUBLE))"
+_MEAN = "(word_chars::DOUBLE / greatest(n_words, 1))"
+_SIGNALS = {
+    "symbols": _UNIT("n_symbols::DOUBLE / greatest(n_words, 1)"),
+    "repeats": _UNIT("n_repeat_words::DOUBLE / greatest(n_words, 1)"),
+    "dup_lines": _UNIT("n_dup_lines::DOUBLE / greatest(n_lines, 1)"),
+    "long_words": _UNIT(f"({_MEAN} - 5) / 15::DOUBLE"),
+    "short_words": _UNIT(f"(5 - {_MEAN}) / 5::DOUBLE"),
+}
+_BINS = f"unnest([{', '.join(repr(k) for k in _SIGNALS)}]) AS rule, unnest([{', '.join(f'CAST(floor({v} * {quality.GRID}) AS INTEGER)' for v in _SIGNALS.values())}]) AS bin"
+_REACH = lambda c: f"sum({c}) OVER (PARTITION BY s, rule ORDER BY bin DESC)"
+_ALL = lambda c: f"sum({c}) OVER (PARTITION BY s, rule)"
+_ALPHA, _DELTA = 0.02, 0.05
+OP5 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+tri AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT rid, w, unnest(range(1, greatest(1, len(w) - 1))) AS i FROM d)),
+rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM tri) WHERE n > 1),
+cov AS (SELECT rid, count(DISTINCT j) AS n_repeat FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS j FROM rep) GROUP BY rid),
+lin AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup FROM (SELECT rid, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY rid),
+c AS (SELECT rid, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+ CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, CASE WHEN len(w) < 100 THEN 0 WHEN len(w) < 300 THEN 1 WHEN len(w) < 1000 THEN 2 ELSE 3 END AS s FROM d LEFT JOIN cov USING (rid) LEFT JOIN lin USING (rid)),
+b AS (SELECT rid, s, {_BINS} FROM c),
+l AS (SELECT doc_id, min(quality) > 0 AS good, substr(md5('holdout ' || doc_id), 1, 1) < '8' AS held FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+k AS (SELECT rid, good, held FROM c JOIN l USING (doc_id)),
+h AS (SELECT s, rule, bin, count(*) FILTER (good) AS g, count(*) FILTER (NOT good) AS p FROM b JOIN k USING (rid) WHERE NOT held GROUP BY ALL),
+grid AS (SELECT s, rule, bin, coalesce(g, 0) AS g, coalesce(p, 0) AS p FROM (SELECT * FROM (SELECT DISTINCT s, rule FROM h) CROSS JOIN (SELECT CAST(range AS INTEGER) AS bin FROM range(0, {quality.GRID + 1}))) LEFT JOIN h USING (s, rule, bin)),
+r AS (SELECT s, rule, bin, {_REACH('g')} AS gr, {_REACH('p')} AS pr, {_ALL('g')} AS gt, {_ALL('p')} AS pt FROM grid),
+v AS (SELECT s, rule, bin, CASE WHEN bin > 0 AND pr::DOUBLE / greatest(1, pt) > 2 * (gr::DOUBLE / greatest(1, gt)) THEN greatest(0, least({quality.LEVELS}, floor(log2(2 * {_ALPHA}::DOUBLE / ((gr + 0.5::DOUBLE) / (gt + 1))) * 6 + 1e-9::DOUBLE))) ELSE 0 END AS level FROM r),
+ladder AS (SELECT s, rule, bin, max(level) OVER (PARTITION BY s, rule ORDER BY bin) AS level FROM v),
+sev AS (SELECT rid, s, coalesce(max(level), 0) AS level FROM b LEFT JOIN ladder USING (s, rule, bin) GROUP BY rid, s),
+seen AS (SELECT s, level FROM sev JOIN k USING (rid) WHERE held AND good),
+n AS (SELECT s, count(*) AS n FROM seen GROUP BY s),
+pmf AS (SELECT s, x, exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln({_ALPHA}::DOUBLE) + (n - x) * ln(1 - {_ALPHA}::DOUBLE)) AS q FROM n, LATERAL (SELECT unnest(range(0, CAST(floor(n.n * {_ALPHA}::DOUBLE) AS BIGINT) + 1)) AS x)),
+cdf AS (SELECT s, x, sum(q) OVER (PARTITION BY s ORDER BY x) AS q FROM pmf),
+most AS (SELECT s, max(x) AS most FROM cdf WHERE q <= {_DELTA / 4}::DOUBLE GROUP BY s),
+tries AS (SELECT m.s, t.k, count(*) FILTER (e.level >= t.k) AS rejected, any_value(m.most) AS most FROM most m JOIN seen e ON e.s = m.s, (SELECT range AS k FROM range(1, {quality.LEVELS + 1})) t GROUP BY m.s, t.k),
+cut AS (SELECT s, min(k) AS cut FROM tries WHERE rejected <= most GROUP BY s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(level >= cut, false) AS kept
+FROM c JOIN sev USING (rid) LEFT JOIN cut ON cut.s = c.s"""
+
+ORACLE = {"op1_warc_index_merge": OP1, "op2_license_scan": _op2(), "op4_hash_tree_sharding": OP4, "op5_quality_rules": OP5, "op6_minhash_near_dedup": OP6}
