@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import discard, lasting_batches, materialise, shared_dir, tidily
-from .vecwords import BASE, BASE_INV, SPACE, U, Words, buffer, mix, powers
+from .vecwords import SPACE, U, Words, buffer, mix
 
 MIN_WORDS = 10
-SLICE = 1 << 14  # windows whose bytes are compared at a time
+SLICE = 1 << 12  # windows whose bytes are taken at a time
 STOP = np.zeros(256, bool)
 STOP[list(b".!?")] = True
 
@@ -93,11 +93,8 @@ def chunks(raw: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS):
     order = np.lexsort((to, frm))
     frm, to = frm[order], to[order]
 
-    prefix = np.zeros(len(raw) + 1, U)
-    np.cumsum((raw.astype(U) + U(1)) * powers(len(raw), BASE), out=prefix[1:])
     x, y = words.start[frm], words.end[to]
-    key = mix((prefix[y] - prefix[x]) * powers(len(raw) + 1, BASE_INV)[x] + (y - x).astype(U) * U(0xA24BAED4963EE407))
-    return owner[frm], key, x, y, start[frm], end[to]
+    return owner[frm], words.span(x, y), x, y, start[frm], end[to]
 
 
 def numbers(owner: np.ndarray, n: int) -> np.ndarray:
@@ -108,7 +105,11 @@ def numbers(owner: np.ndarray, n: int) -> np.ndarray:
 def gather(raw: np.ndarray, a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of ranges one after the other, and their offsets."""
     offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum(z - a)))
-    return raw[np.arange(offsets[-1]) + np.repeat(a - offsets[:-1], z - a)], offsets
+    out = np.empty(offsets[-1], np.uint8)
+    for k in range(0, len(a), SLICE):  # an index takes eight bytes a byte
+        lo, hi = offsets[k], offsets[min(k + SLICE, len(a))]
+        out[lo:hi] = raw[np.arange(lo, hi) + np.repeat(a[k : k + SLICE] - offsets[k : min(k + SLICE, len(a))], (z - a)[k : k + SLICE])]
+    return out, offsets
 
 
 def same_bytes(raw: np.ndarray, a: np.ndarray, z: np.ndarray, other: np.ndarray, b: np.ndarray, y: np.ndarray) -> np.ndarray:

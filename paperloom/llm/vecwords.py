@@ -8,6 +8,8 @@ the whole batch, then mixed.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 
@@ -82,10 +84,23 @@ class Words:
         self.start = np.flatnonzero(opens)
         self.end = np.flatnonzero(closes) + 1
         self.first = np.concatenate((np.zeros(1, np.int64), np.cumsum(sums(opens, offsets))))
-        prefix = np.zeros(len(raw) + 1, U)
-        np.cumsum((raw.astype(U) + U(1)) * powers(len(raw), BASE), out=prefix[1:])
-        h = (prefix[self.end] - prefix[self.start]) * powers(len(raw) + 1, BASE_INV)[self.start]
-        self.hash = mix(h + (self.end - self.start).astype(U) * U(0xA24BAED4963EE407))
+
+    @functools.cached_property
+    def prefix(self) -> np.ndarray:
+        """Prefix sums of the polynomial, in one array of eight bytes a byte."""
+        out = np.zeros(len(self.raw) + 1, U)
+        np.add(self.raw, U(1), out=out[1:])
+        out[1:] *= powers(len(self.raw), BASE)
+        return np.cumsum(out, out=out)
+
+    def span(self, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """Hashes of the byte ranges [a, z)."""
+        h = (self.prefix[z] - self.prefix[a]) * powers(len(self.raw) + 1, BASE_INV)[a]
+        return mix(h + (z - a).astype(U) * U(0xA24BAED4963EE407))
+
+    @functools.cached_property
+    def hash(self) -> np.ndarray:
+        return self.span(self.start, self.end)
 
     def owner(self) -> np.ndarray:
         """The text's index of each word."""
