@@ -76,11 +76,12 @@ def build(spark: SparkSession, folder: str, formats: list[str] | None = None, th
 
 def summary(results: DataFrame) -> DataFrame:
     """A batch in one row: its exit code, how many of each status, how many settings files, what was lost by message."""
-    code = C.exit_code(results, [])
-    more = results.agg(F.count_if("has_sidecar").alias("n_sidecars"), F.count_if(F.col("status") == "own output").alias("n_own_outputs"))
-    lost = C.group_messages(results.select(C.stem("path").alias("file"), F.explode("lost").alias("message")))
-    lines = lost.agg(F.array_sort(F.collect_list(F.concat_ws(": ", "message", "files"))).alias("lost"))
-    return code.crossJoin(F.broadcast(more)).crossJoin(F.broadcast(lines))  # three single rows
+    batch = results.withColumn("batch", F.lit(1))
+    code = C.exit_code(batch, ["batch"])
+    more = batch.groupBy("batch").agg(F.count_if("has_sidecar").alias("n_sidecars"), F.count_if(F.col("status") == "own output").alias("n_own_outputs"))
+    lost = C.group_messages(batch.select(C.stem("path").alias("file"), F.explode("lost").alias("message")))
+    lines = lost.groupBy(F.lit(1).alias("batch")).agg(F.array_sort(F.collect_list(F.concat_ws(": ", "message", "files"))).alias("lost"))
+    return code.join(more, "batch").join(lines, "batch", "left").withColumn("lost", F.coalesce("lost", F.array().cast("array<string>"))).drop("batch")
 
 
 def proposals(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
