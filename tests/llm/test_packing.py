@@ -9,7 +9,6 @@ from tokenizers import Tokenizer
 
 from paperloom.llm import packing as P
 from paperloom.llm import tokens
-from paperloom.llm import tokenscan as K
 
 END = "<|endoftext|>"
 CASES = [None, "", "a", "Hello  world\n\n  x\tüßé 你好 😀 don't I'll", END, f"{END} text", f"a {END} b", f"a{END}{END}  b\n{END}", f"<{END}|endoftext|", f"x  {END}\n\ny" * 300, "word " * 1023, "word " * 3000, "12345 67,890.12!!!???", "z" * 5000, " \n \n "]
@@ -84,29 +83,3 @@ def test_nnls_solves_an_exact_system():
 
 def test_empty(docs):
     assert P.pack(docs([])).count() == 0
-    assert K.token_counts(docs([])).count() == 0
-
-
-@pytest.mark.parametrize("block", (7, 64, 1 << 20))
-def test_separator_scan(docs, reference, block):
-    rows = [r for r in corpus() if not r[1] or len(r[1]) < 40 * block][:60]
-    got = K.token_counts(docs(rows), block=block).collect()
-    assert sorted(((r.doc_id, r.n_tokens) for r in got), key=str) == sorted(((i, len(reference(t))) for i, t in rows), key=str)
-    files = defaultdict(list)
-    for r in got:
-        assert r.closed
-        files[r.file_no].append((r.doc_no, r.token_start, r.n_tokens))
-    for v in files.values():
-        at = 0
-        for k, (doc_no, start, n) in enumerate(sorted(v)):
-            assert (doc_no, start) == (k, at)
-            at += n + 1
-
-
-def test_scan_of_open_and_empty_files(spark, tmp_path):
-    ids = {"a": [5, 6, 9, 7, 9, 9, 8], "b": [1, 2, 3], "c": [9], "d": []}
-    for name, x in ids.items():
-        (tmp_path / name).write_bytes(np.array(x, "<u2").tobytes())
-    files = spark.createDataFrame([(k, len(v)) for k, v in ids.items()], "file string, n_tokens long")
-    got = sorted(tuple(r) for r in K.scan(files, f"file://{tmp_path}", separator=9, block=2).select("file", "doc_no", "token_start", "n_tokens", "closed").collect())
-    assert got == [("a", 0, 0, 2, True), ("a", 1, 3, 1, True), ("a", 2, 5, 0, True), ("a", 3, 6, 1, False), ("b", 0, 0, 3, False), ("c", 0, 0, 0, True)]
