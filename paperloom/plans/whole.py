@@ -16,7 +16,7 @@ from ..operators import proposals as PR
 from ..operators import render as R
 from ..sinks import writers as W
 from ..sources import archive, discover, markdown, pdf
-from ..sources.base import rows_by_document
+from ..sources.base import kept, rows_by_document
 from . import made
 from .base import ORACLE_BLOCKS, ORACLE_WS, oracle_tokens, read, synthesised
 
@@ -98,7 +98,7 @@ def q59_workbooks(spark, d):
     row = F.struct(F.col("o_orderkey").alias("number"), day.alias("day"), F.col("o_orderpriority").alias("shared"), F.col("o_orderstatus").alias("text"))
     books = o.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.slice(F.array_sort(F.collect_list(row)), 1, 150).alias("rows"))
     make = lambda doc_id, rows: [{"doc_id": doc_id, "content": made.workbook(f"Customer {doc_id}", ["key", "day", "priority", "status"], [tuple(r.values()) for r in rows])}]
-    got = archive.workbook_blocks(rows_by_document(books, make, "doc_id long, content binary"))
+    got = archive.workbook_blocks(kept(rows_by_document(books, make, "doc_id long, content binary")))
     body = F.array_join(F.transform(F.concat(F.array("head"), F.col("rows")), lambda r: F.array_join(r, "|")), "\n")
     table = got["blocks"].where("t = 'table'").select("doc_id", F.size("rows").cast("long").alias("n_rows"), F.md5(body.cast("binary")).alias("table_md5"))
     heads = got["blocks"].where("t = 'heading'").select("doc_id", F.col("text").alias("heading"))
@@ -118,7 +118,7 @@ def _made_documents(spark, d):
 def q60_word_round_trip(spark, d):
     """Documents written as word-processing files and read back: kinds of blocks, and the tokens of headings and paragraphs."""
     titles, rest = _made_documents(spark, d)
-    got = archive.word_blocks(W.render_docx(titles, rest).select("doc_id", "content"))["blocks"]
+    got = archive.word_blocks(kept(W.render_docx(titles, rest).select("doc_id", "content")))["blocks"]
     plain = F.when(F.col("t").isin("heading", "para"), F.struct("block_ix", "text"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(plain)), lambda x: x["text"]), " ")
     return got.groupBy("doc_id").agg(*[F.count_if(F.col("t") == k).alias(f"n_{k}") for k in ("heading", "list", "pagebreak")], F.md5(F.array_join(tokenise(text), " ").cast("binary")).alias("tokens_md5"))

@@ -139,8 +139,9 @@ def read_workbooks(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     Shared strings and dates are resolved by joins; ranges that span rows refuse their sheet,
     ranges within a row keep their first cell; formulas keep their cached value and are reported.
     """
-    raw = rows_by_document(files.select("doc_id", "content"), sheet_rows, CELLS)
-    side = rows_by_document(files.select("doc_id", "content"), side_rows, SIDE)
+    # a part is decoded once, and its rows are written for the lookups that follow
+    raw = kept(rows_by_document(files.select("doc_id", "content"), sheet_rows, CELLS))
+    side = kept(rows_by_document(files.select("doc_id", "content"), side_rows, SIDE))
     strings = side.where("kind = 'string'").select("doc_id", "ix", F.col("text").alias("found"))
     formats = side.where("kind = 'format'").select("doc_id", F.col("ix").alias("s"), "num_fmt_id")
     codes = side.where("kind = 'code'").select("doc_id", "num_fmt_id", F.col("text").alias("code"))
@@ -440,8 +441,8 @@ def read_word(files: DataFrame) -> dict[str, DataFrame]:
     from ..operators.numbering import item_numbers, resolve_levels
 
     src = files.select("doc_id", "content")
-    paras = rows_by_document(src, para_rows, PARAS)
-    numbering = rows_by_document(src, numbering_rows, NUMBERING)
+    paras = kept(rows_by_document(src, para_rows, PARAS))
+    numbering = kept(rows_by_document(src, numbering_rows, NUMBERING))
     part = lambda kind, *cols: numbering.where(F.col("kind") == kind).select("doc_id", *cols)
     links = numbering.where("kind in ('styleLink', 'numStyleLink')").select("doc_id", "style", "abstract_id", "kind")
     listed = paras.where("kind = 'p' and num_id is not null")
