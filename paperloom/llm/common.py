@@ -12,7 +12,7 @@ import time
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BATCH_ROWS = 512
@@ -160,5 +160,22 @@ def fold_ascii(col):
     return F.translate(col, upper, upper.lower())
 
 
+def quoted(name: str) -> Column:
+    """The column of that very name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(taken: list[str], *wanted: str) -> dict[str, str]:
+    """A name for each one wanted that no other column has (Spark compares names without case): itself or with ``_`` behind."""
+    have, out = {c.lower() for c in taken}, {}
+    for w in wanted:
+        name = w
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out[w] = name
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

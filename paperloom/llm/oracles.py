@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license, quality
+from . import fim, license, quality
 
 #: The CRC-32 table from its polynomial, and a checksum of a hexadecimal string's bytes.
 _CRC = """crc_bits AS (SELECT n, list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(0, 256) r(n)),
@@ -146,4 +146,4 @@ cut AS (SELECT s, min(k) AS cut FROM tries WHERE rejected <= most GROUP BY s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(level >= cut, false) AS kept
 FROM c JOIN sev USING (rid) LEFT JOIN cut ON cut.s = c.s"""
 
-ORACLE = {"op1_warc_index_merge": OP1, "op2_license_scan": _op2(), "op4_hash_tree_sharding": OP4, "op5_quality_rules": OP5, "op6_minhash_near_dedup": OP6}
+ORACLE = {"op1_warc_index_merge": OP1, "op2_license_scan": _op2(), "op4_hash_tree_sharding": OP4, "op5_quality_rules": OP5, "op6_minhash_near_dedup": OP6, "op12_fill_in_middle": fim.ORACLE}

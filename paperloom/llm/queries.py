@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, license, linededup, minhash, packing, quality, sharding, tokenscan, warc
+from . import aligntok, decontam, fim, langid, license, linededup, minhash, packing, quality, sharding, subword, tokenscan, warc
 from .common import table
 from .oracles import ORACLE  # noqa: F401
 
@@ -47,8 +47,20 @@ def op10_token_counts(spark, sf_dir):
     return tokenscan.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_cross_tokenizer_alignment(spark, sf_dir):
+    return aligntok.align(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    return fim.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_quality_classifier(spark, sf_dir):
+    return subword.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc_index_merge, op2_license_scan, op3_latent_decontamination, op4_hash_tree_sharding, op5_quality_rules, op6_minhash_near_dedup, op7_nnls_packing, op8_line_dedup, op9_language_id, op10_token_counts)
+    for f in (op1_warc_index_merge, op2_license_scan, op3_latent_decontamination, op4_hash_tree_sharding, op5_quality_rules, op6_minhash_near_dedup, op7_nnls_packing, op8_line_dedup, op9_language_id, op10_token_counts, op11_cross_tokenizer_alignment, op12_fill_in_middle, op13_quality_classifier)
 }
 
