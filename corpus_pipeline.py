@@ -25,9 +25,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated chunks of lines are cut; a document of which nothing is left goes."""
-    out = linededup.dedup_lines(docs)
-    left = out.where((F.col("n_cut") == 0) | F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")))
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    left = linededup.keep_filled(docs)
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,25 +1,27 @@
-"""Line dedup by content-defined windows of lines (operator 8).
-
-A line ends at a newline or after a sentence's end that a space follows. Lines of
-``min_words`` words or more are divided into blocks of that many words, counted from the
-line's end, so that a passage pasted into the middle of a line shares its blocks with other
-places; what is left at such a line's start, and every shorter line, is a unit too. Of every
-unit the shortest run of units that ends with it and has ``min_words`` words is a window, and
-the shortest that starts with it if no other window starts there. A window depends on its own
-words and line ends only, and windows overlap, so a repeated passage of ``min_words`` words
-that starts with a line and ends with one is covered by repeated windows from its first word
-to its last; if it has twice as many and starts inside a line, fewer than ``min_words`` words at its
-start may stay.
-
-Windows whose hash stands in several documents, or again in one, are removed if their bytes
-equal those of the first occurrence, which stays unless other windows of it go; first is the
-smallest doc_id, then the position. So whatever is cut stands at an earlier place.
+"""Line dedup by content-defined chunks of lines (operator 8).
+
+A line ends at a newline or after a sentence's end that a space follows; one of more than
+``FOLD`` words is folded after every word whose hash is the least of ``FOLD_WINDOW`` words in a row,
+so that a passage without line ends has lines of its own wherever it stands. A rolling hash is
+taken over each two neighbouring lines. Boundaries are the rolling hashes that are the least of
+``WINDOW`` in a row, so a boundary depends on a few lines around it only, inserted lines shift
+nothing further on, and a passage of some 50 words shares two boundaries or more with its
+other places. A chunk reaches from one boundary to the next, both lines of either included (at
+least two lines, in all but a text's ends three), and on to ``min_words`` words.
+
+Chunks whose hash stands in several documents, or again in one, are removed if their bytes
+equal those of the first occurrence, which stays unless another chunk of it goes; first is
+the smallest doc_id, then the position. A second step takes what chunk edges miss: where a
+chunk goes and its neighbour doesn't, the words beside it go as far as they are those beside the
+first occurrence, byte by byte, up to ``CONTEXT`` words (more than lie between a passage's end and
+its first boundary). So whatever is cut stands at an earlier place.
 
 Cases: null and empty text have no line and pass unchanged; passages with fewer than
 ``min_words`` words never go; rows that share a doc_id (all null ones too) are one document,
-and none of them loses a window to another; a window's hash that another window has by chance
+and none of them loses a chunk to another; a chunk's hash that another chunk has by chance
 fails the comparison and stays; of a passage that repeats itself without a break, the first
-unit stays; empty tables give empty results; input columns keep their names.
+stays; empty tables give empty results; input columns keep their names, and the counts take a
+trailing ``_`` where theirs (compared without case) is taken.
 """
 
 from __future__ import annotations
@@ -27,15 +29,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, lasting_batches, materialise, shared_dir, tidily
+from .common import discard, fresh, lasting_batches, materialise, quoted, shared_dir, tidily
 from .vecwords import SPACE, U, Words, buffer, mix
 
-MIN_WORDS = 10
-SLICE = 1 << 12  # windows whose bytes are taken at a time
+MIN_WORDS, FOLD, FOLD_WINDOW, WINDOW, CONTEXT = 10, 6, 5, 3, 48
+SLICE = 1 << 12  # chunks whose bytes are taken at a time
 STOP = np.zeros(256, bool)
 STOP[list(b".!?")] = True
 
@@ -54,51 +56,118 @@ def cut(raw: np.ndarray, offsets: np.ndarray):
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
-def chunks(raw: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS):
-    """Windows of a batch: text's index, hash, the bytes of their words (from, to), and the bytes that go with
-    them (blanks up to the next word or the line's ends included)."""
-    lines, line_ends, texts = cut(raw, offsets)
-    words = Words(raw, offsets, SPACE)
-    n = len(words.start)
-    if not n:
-        e = np.zeros(0, np.int64)
-        return e, np.zeros(0, U), e, e, e, e
-    line = np.searchsorted(lines, words.start, "right") - 1
-    owner = texts[line]
-    opens = np.concatenate((np.ones(1, bool), line[1:] != line[:-1]))
-    closes = np.concatenate((opens[1:], np.ones(1, bool)))
-    start = np.where(opens, lines[line], words.start)
-    end = np.where(closes, line_ends[line], np.concatenate((words.start[1:], np.zeros(1, np.int64))))
-
-    # units: first word, and the word after the last
-    stops = np.flatnonzero(closes) + 1
-    left = stops[np.searchsorted(stops, np.arange(n), "right")] - np.arange(n)  # words to the line's end
-    a = np.flatnonzero(opens | (left % min_words == 0))
-    z = np.concatenate((a[1:], np.full(1, n)))
-    least = words.first[owner[a]]
-    # windows that end with a unit; the rest at a long line's start can't end a passage
-    ending = np.flatnonzero(closes[z - 1] | (z - a >= min_words))
-    first = np.searchsorted(a, z[ending] - min_words, "right") - 1
-    ok = (first >= 0) & (a[np.maximum(first, 0)] >= least[ending])
-    first, ending = first[ok], ending[ok]
-    # windows that start with a unit at which none of those starts
-    begun = np.zeros(len(a), bool)
-    begun[first] = True
-    more = np.flatnonzero(~begun)
-    last = np.searchsorted(z, a[more] + min_words, "left")
-    ok = last < len(z)
-    ok[ok] &= owner[a[last[ok]]] == owner[a[more[ok]]]
-    frm = np.concatenate((a[first], a[more[ok]]))
-    to = np.concatenate((z[ending], z[last[ok]])) - 1
-    order = np.lexsort((to, frm))
-    frm, to = frm[order], to[order]
-
-    x, y = words.start[frm], words.end[to]
-    return owner[frm], words.span(x, y), x, y, start[frm], end[to]
+def least_of(h: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    """Marks of the hashes that are the least of n in a row of their group; of equal ones the last."""
+    out = np.zeros(len(h), bool)
+    m = len(h) - n + 1
+    if m > 0:
+        at = np.arange(m)
+        low = h[:m].copy()
+        for k in range(1, n):
+            take = h[k : k + m] <= low
+            at[take] = np.flatnonzero(take) + k
+            low[take] = h[k : k + m][take]
+        out[at[group[:m] == group[n - 1 :]]] = True
+    return out
+
+
+class Chunks:
+    """Chunks of a batch: ``owner`` (text's index), ``key`` (hash), ``first`` and ``last`` word, ``x`` and ``y``
+    (bytes from the first word to the last); and of every word the bytes ``lo`` to ``hi`` that go with it
+    (blanks up to the next word or the line's ends included)."""
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS):
+        lines, line_ends, texts = cut(raw, offsets)
+        self.raw, self.words = raw, Words(raw, offsets, SPACE)
+        words, n = self.words, len(self.words.start)
+        none = np.zeros(0, np.int64)
+        self.owner = self.first = self.last = self.x = self.y = self.lo = self.hi = none
+        self.key = np.zeros(0, U)
+        if not n:
+            return
+        line = np.searchsorted(lines, words.start, "right") - 1
+        text = texts[line]
+        opens = np.concatenate((np.ones(1, bool), line[1:] != line[:-1]))
+        closes = np.concatenate((opens[1:], np.ones(1, bool)))
+        self.lo = np.where(opens, lines[line], words.start)
+        self.hi = np.where(closes, line_ends[line], np.concatenate((words.start[1:], np.zeros(1, np.int64))))
+
+        # long lines are folded
+        long = (np.diff(np.append(np.flatnonzero(opens), n)) > FOLD)[np.cumsum(opens) - 1]
+        stops = np.flatnonzero(closes | (long & least_of(words.hash, line, FOLD_WINDOW)))
+        a, z = np.concatenate((np.zeros(1, np.int64), stops[:-1] + 1)), stops + 1
+        of = text[a]
+        # the rolling hash of a line and the one before it
+        h = words.span(words.start[a], words.end[stops])
+        before = np.concatenate((np.zeros(1, U), h[:-1]))
+        roll = mix(before * U(0x9E3779B97F4A7C15) + h)
+        head = np.concatenate((np.ones(1, bool), of[1:] != of[:-1]))
+        pair = np.flatnonzero(~head)
+        bound = pair[least_of(roll[pair], of[pair], WINDOW)]
+        # from a boundary's first line to the next one's second
+        ends = np.flatnonzero(np.append(head[1:], True))
+        start = np.concatenate((np.flatnonzero(head), bound - 1))
+        stop = np.concatenate((bound, ends))
+        # a text's chunks start with its first line or a boundary, and there are as many ends
+        order, stop = np.lexsort((start, of[start])), np.sort(stop)
+        start = start[order]
+        wide = np.searchsorted(z, a[start] + min_words, "left")
+        stop = np.maximum(stop, wide)
+        ok = stop < len(z)
+        ok[ok] &= of[stop[ok]] == of[start[ok]]
+        start, stop = start[ok], stop[ok]
+        # a text's first line may open its first boundary too
+        new = np.ones(len(start), bool)
+        new[1:] = (start[1:] != start[:-1]) | (stop[1:] != stop[:-1])
+        start, stop = start[new], stop[new]
+        self.owner, self.first, self.last = of[start], a[start], z[stop] - 1
+        self.x, self.y = words.start[self.first], words.end[self.last]
+        self.key = words.span(self.x, self.y)
+
+    def __len__(self) -> int:
+        return len(self.owner)
+
+    def before(self, k: int) -> tuple[int, int]:
+        """Bytes of the words before a chunk, CONTEXT at most."""
+        j = max(self.words.first[self.owner[k]], self.first[k] - CONTEXT)
+        return (int(self.words.start[j]) if j < self.first[k] else int(self.x[k])), int(self.x[k])
+
+    def after(self, k: int) -> tuple[int, int]:
+        """Bytes of the words after a chunk, CONTEXT at most."""
+        j = min(self.words.first[self.owner[k] + 1] - 1, self.last[k] + CONTEXT)
+        return int(self.y[k]), (int(self.words.end[j]) if j > self.last[k] else int(self.y[k]))
+
+    def reach_left(self, k: int, context: np.ndarray) -> int:
+        """The first word of those before a chunk that are the last words of context."""
+        a, z = self.before(k)
+        n = min(z - a, len(context))
+        differ = np.flatnonzero(self.raw[z - n : z] != context[len(context) - n :])
+        least = z - n if not len(differ) else z - n + int(differ[-1]) + 1
+        j = int(self.first[k])
+        while j > self.words.first[self.owner[k]] and self.words.start[j - 1] >= least:
+            p = len(context) - (z - int(self.words.start[j - 1]))
+            if p and not SPACE[context[p - 1]]:
+                break
+            j -= 1
+        return j
+
+    def reach_right(self, k: int, context: np.ndarray) -> int:
+        """The last word of those after a chunk that are the first words of context."""
+        a, z = self.after(k)
+        n = min(z - a, len(context))
+        differ = np.flatnonzero(self.raw[a : a + n] != context[:n])
+        most = a + (int(differ[0]) if len(differ) else n)
+        j = int(self.last[k])
+        while j + 1 < self.words.first[self.owner[k] + 1] and self.words.end[j + 1] <= most:
+            q = int(self.words.end[j + 1]) - a
+            if q < len(context) and not SPACE[context[q]]:
+                break
+            j += 1
+        return j
 
 
 def numbers(owner: np.ndarray, n: int) -> np.ndarray:
-    """Where each text's windows begin; owner is sorted."""
+    """Where each text's chunks begin; owner is sorted."""
     return np.searchsorted(owner, np.arange(n))
 
 
@@ -130,7 +199,7 @@ def binaries(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 
 def repeats(owner: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(windows whose hash an earlier one of the same text has, that earlier one: the first)."""
+    """(chunks whose hash an earlier one of the same text has, that earlier one: the first)."""
     order = np.lexsort((np.arange(len(key)), key, owner))
     new = np.ones(len(key), bool)
     new[1:] = (owner[order][1:] != owner[order][:-1]) | (key[order][1:] != key[order][:-1])
@@ -139,58 +208,88 @@ def repeats(owner: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return order[again], first[again]
 
 
+def unglue(raw: np.ndarray, offsets: np.ndarray, out: np.ndarray) -> None:
+    """Takes back the blank that a cut starts with, where the words on both sides of the cut would become one."""
+    if not out.any():
+        return
+    opens = np.zeros(len(raw) + 1, bool)
+    opens[offsets] = True
+    more = np.concatenate((np.zeros(1, bool), out, np.zeros(1, bool)))
+    start = np.flatnonzero(more[1:-1] & (~more[:-2] | opens[:-1]))
+    end = np.flatnonzero(more[1:-1] & (~more[2:] | opens[1:])) + 1
+    ok = ~opens[start] & ~opens[end]
+    start, end = start[ok], end[ok]
+    out[start[SPACE[raw[start]] & ~SPACE[raw[start - 1]] & ~SPACE[raw[end]]]] = False
+
+
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs(doc_id, text, ...) with repeated windows cut from text, the number of lines, and of lines cut in whole or part.
+    """docs(doc_id, text, ...) with repeated chunks cut from text, the number of lines, and of lines cut in whole or part."""
+    names = fresh(docs.columns, "n_lines", "n_cut")
+    return _cut(docs, min_words, names["n_lines"], names["n_cut"])
+
+
+def keep_filled(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """docs with repeated chunks cut from text, without the documents of which no word is left."""
+    names = fresh(docs.columns, "n_lines", "n_cut")
+    out = _cut(docs, min_words, names["n_lines"], names["n_cut"])
+    left = out.where((quoted(names["n_cut"]) == 0) | F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")))
+    return left.select(*[quoted(c) for c in docs.columns])
+
 
-    Small rows (hash, document) find what is repeated; texts are shuffled twice, once to
-    fetch the first occurrences' bytes and once to compare and cut.
-    """
+def _cut(docs: DataFrame, min_words: int, n_lines: str, n_cut: str) -> DataFrame:
+    """Small rows (hash, document, number) find what is repeated; texts are shuffled twice, once to
+    fetch the first occurrences' bytes and once to compare and cut."""
     spark = docs.sparkSession
     lasting_batches(spark)
     names = docs.columns
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), id_.alias("k1"), F.xxhash64(F.col("text")).alias("k2"))
+    keyed = docs.select(F.struct(*[quoted(c) for c in names]).alias("row"), id_.alias("k1"), F.xxhash64(F.col("text")).alias("k2"))
 
     def emit(batches):
         for b in batches:
-            raw, offsets = buffer(b.column(2))
-            owner, key, *_ = chunks(raw, offsets, min_words)
-            _, once = np.unique(key ^ mix(owner.astype(U)), return_index=True)
+            c = Chunks(*buffer(b.column(2)), min_words)
+            _, once = np.unique(c.key ^ mix(c.owner.astype(U)), return_index=True)
             once.sort()
-            at = np.arange(len(owner)) - numbers(owner, b.num_rows)[owner] if len(owner) else owner
-            of = pa.array(owner[once])
-            yield pa.RecordBatch.from_arrays([pa.array(key[once].view(np.int64)), b.column(0).take(of), b.column(1).take(of), pa.array(at[once].astype(np.int32))], names=["hash", "k1", "k2", "number"])
+            at = np.arange(len(c)) - numbers(c.owner, b.num_rows)[c.owner] if len(c) else c.owner
+            of = pa.array(c.owner[once])
+            yield pa.RecordBatch.from_arrays([pa.array(c.key[once].view(np.int64)), b.column(0).take(of), b.column(1).take(of), pa.array(at[once].astype(np.int32))], names=["hash", "k1", "k2", "number"])
 
     folder = shared_dir(spark)
-    own = materialise(keyed.select("k1", "k2", F.col("row.text").alias("text")).mapInArrow(tidily(emit), "hash long, k1 long, k2 long, number int"), "windows", folder)
-    repeated = own.groupBy("hash").agg(F.min("k1").alias("first"), F.max("k1").alias("last")).where("first < last").select("hash", "first")
-    # written first, so that a very common window's rows can be split in the join
-    found = materialise(own.join(materialise(repeated, "hashes", folder), "hash"), "repeated")
+    texts = keyed.select("k1", "k2", F.col("row.text").alias("text"))
+    own = materialise(texts.mapInArrow(tidily(emit), "hash long, k1 long, k2 long, number int"), "chunks", folder)
+    repeated = own.groupBy("hash").agg(F.min(F.struct("k1", "k2", "number")).alias("f"), F.max("k1").alias("last")).where("f.k1 < last").select("hash", F.col("f.k1").alias("f1"), F.col("f.k2").alias("f2"), F.col("f.number").alias("at"))
+    # written first, so that a very common chunk's rows can be split in the join
+    later = own.join(materialise(repeated, "hashes", folder), "hash").where("k1 > f1").select("k1", "k2", "number", "f1", "f2", "at").distinct()
+    # chunks whose neighbour stays
+    beside = Window.partitionBy("k1", "k2").orderBy("number")
+    later = later.withColumns({"left": F.coalesce(F.lag("number").over(beside) != F.col("number") - 1, F.lit(True)), "right": F.coalesce(F.lead("number").over(beside) != F.col("number") + 1, F.lit(True))})
+    later = materialise(later, "later")
     del own, repeated
     discard(spark, folder)
 
-    # bytes of the first occurrences
-    firsts = found.where("k1 = first").groupBy("k1", "k2").agg(F.collect_set("number").alias("numbers"))
+    # bytes of the first occurrences, and of what is beside them where that is asked for
+    asked = later.groupBy("f1", "f2", "at").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    asked = asked.groupBy(F.col("f1").alias("k1"), F.col("f2").alias("k2")).agg(F.collect_list(F.struct("at", "left", "right")).alias("asked"))
 
     def fetch(batches):
         for b in batches:
-            raw, offsets = buffer(b.column(0))
-            owner, key, x, y, *_ = chunks(raw, offsets, min_words)
-            wanted = b.column(1)
-            of = np.repeat(np.arange(b.num_rows), np.diff(wanted.offsets.to_numpy()))
-            at = numbers(owner, b.num_rows)[of] + wanted.flatten().to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), binaries(*gather(raw, x[at], y[at]))], names=["hash", "bytes"])
-
-    texts = keyed.select("k1", "k2", F.col("row.text").alias("text"))
-    # written, so that only one shuffle of the texts is on disk at a time
-    kept = materialise(texts.join(firsts, ["k1", "k2"]).select("text", "numbers").mapInArrow(tidily(fetch), "hash long, bytes binary").distinct(), "firsts")
+            c = Chunks(*buffer(b.column(2)), min_words)
+            asked = b.column(3)
+            of = np.repeat(np.arange(b.num_rows), np.diff(asked.offsets.to_numpy()))
+            given = asked.flatten()
+            at, left, right = (given.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            k = numbers(c.owner, b.num_rows)[of] + at
+            side = lambda want, span: [c.raw[slice(*span(j))].tobytes() if w else None for j, w in zip(k.tolist(), want, strict=True)]  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), b.column(1).take(pa.array(of)), pa.array(at), binaries(*gather(c.raw, c.x[k], c.y[k])), pa.array(side(left, c.before), pa.binary()), pa.array(side(right, c.after), pa.binary())], names=["f1", "f2", "at", "bytes", "before", "after"])
+
+    # written, so that only one shuffle of the texts is on disk at a time; rows of one id and text give the same once
+    kept = materialise(texts.join(asked, ["k1", "k2"]).select("k1", "k2", "text", "asked").mapInArrow(tidily(fetch), "f1 long, f2 long, at int, bytes binary, before binary, after binary").dropDuplicates(["f1", "f2", "at"]), "firsts")
     discard(spark, folder)
-    later = found.where("k1 > first").select("hash", "k1", "k2", "number").distinct()
-    lists = later.join(kept, "hash").groupBy("k1", "k2").agg(F.collect_set(F.struct("number", "bytes")).alias("cuts"))
+    given = later.join(kept, ["f1", "f2", "at"]).select("k1", "k2", F.struct("number", "bytes", F.when(F.col("left"), F.col("before")).alias("before"), F.when(F.col("right"), F.col("after")).alias("after")).alias("cut"))
+    lists = given.groupBy("k1", "k2").agg(F.collect_list("cut").alias("cuts"))
 
     full = [f for f in docs.schema.fields]
     text_at = names.index("text")
-    n_lines, n_cut = _fresh(names, "n_lines"), _fresh(names, "n_cut")
     schema = T.StructType([*full, T.StructField(n_lines, T.LongType()), T.StructField(n_cut, T.LongType())])
 
     def cut_batch(batches):
@@ -199,22 +298,41 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             fields = [row.field(k) for k in range(len(full))]
             text = fields[text_at]
             raw, offsets = buffer(text)
-            owner, key, x, y, lo, hi = chunks(raw, offsets, min_words)
-            # windows that the first occurrence elsewhere has
+            c = Chunks(raw, offsets, min_words)
+            edge = np.zeros(len(raw) + 1, np.int64)
+
+            def go(first, last, edge=edge, c=c):
+                np.add.at(edge, c.lo[first], 1)
+                np.add.at(edge, c.hi[last], -1)
+
+            # chunks that the first occurrence elsewhere has
             cuts = b.column(1)
             of = np.repeat(np.arange(b.num_rows), np.diff(cuts.offsets.to_numpy()))
             given = cuts.flatten()
-            k = numbers(owner, b.num_rows)[of] + given.field(0).to_numpy()
+            k = numbers(c.owner, b.num_rows)[of] + given.field(0).to_numpy(zero_copy_only=False)
             theirs, ends = buffer(given.field(1))
-            gone = np.zeros(len(owner), bool)
-            gone[k[same_bytes(raw, x[k], y[k], theirs, ends[:-1], ends[1:])]] = True
-            # windows that stand earlier in the same text
-            again, first = repeats(owner, key)
-            gone[again[same_bytes(raw, x[again], y[again], raw, x[first], y[first])]] = True
-            edge = np.zeros(len(raw) + 1, np.int64)
-            np.add.at(edge, lo[gone], 1)
-            np.add.at(edge, hi[gone], -1)
+            ok = same_bytes(raw, c.x[k], c.y[k], theirs, ends[:-1], ends[1:])
+            gone = np.zeros(len(c), bool)
+            gone[k[ok]] = True
+            # chunks that stand earlier in the same text
+            again, first = repeats(c.owner, c.key)
+            same = same_bytes(raw, c.x[again], c.y[again], raw, c.x[first], c.y[first])
+            again, first = again[same], first[same]
+            gone[again] = True
+            go(c.first[gone], c.last[gone])
+            # what is beside them
+            for name, reach, low in ((2, c.reach_left, True), (3, c.reach_right, False)):
+                side = given.field(name)
+                for j in np.flatnonzero(side.is_valid().to_numpy(zero_copy_only=False) & ok).tolist():
+                    to = reach(int(k[j]), np.frombuffer(side[j].as_py(), np.uint8))
+                    go(*(([to], [c.first[k[j]]]) if low else ([c.last[k[j]]], [to])))
+            for j, f in zip(again.tolist(), first.tolist(), strict=True):
+                if not (j and gone[j - 1] and c.owner[j - 1] == c.owner[j]):
+                    go([c.reach_left(j, raw[slice(*c.before(f))])], [c.first[j]])
+                if not (j + 1 < len(c) and gone[j + 1] and c.owner[j + 1] == c.owner[j]):
+                    go([c.last[j]], [c.reach_right(j, raw[slice(*c.after(f))])])
             out = np.cumsum(edge[:-1]) > 0
+            unglue(raw, offsets, out)
             before = np.concatenate((np.zeros(1, np.int64), np.cumsum(out)))
             start, end, line_of = cut(raw, offsets)
             lines = np.bincount(line_of, minlength=b.num_rows)
@@ -226,12 +344,6 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return keyed.join(lists, ["k1", "k2"], "left").select("row", "cuts").mapInArrow(tidily(cut_batch), schema)
 
 
-def _fresh(names: list[str], want: str) -> str:
-    while want in names:
-        want += "_"
-    return want
-
-
 def digest(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_lines, n_cut, and length and checksum of what is left, for every row."""
     out = dedup_lines(docs.select("doc_id", "text"), min_words)
