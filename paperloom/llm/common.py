@@ -73,8 +73,8 @@ def bounded_sample(rows: DataFrame, stratum: str, sizes: dict[str, int], wanted:
     Rows are ordered by a hash of all their columns. ``sizes`` says about how many rows the
     strata in question have, and so below which hash some ``SPARE`` times the rows wanted
     lie, whatever the size; only these move. Where repeated rows leave fewer than wanted, the
-    bound of that stratum grows until there are enough or all were looked at. Strata are few
-    hundreds at most: their bounds stand in the plan, and no row moves to meet one.
+    bound of that stratum grows until there are enough or all were looked at. The bounds are a
+    table of a row a stratum, which Spark broadcasts if it is small.
     """
     names = rows.columns
     if not sizes:
@@ -82,8 +82,9 @@ def bounded_sample(rows: DataFrame, stratum: str, sizes: dict[str, int], wanted:
     hashed = rows.withColumn("_hash", F.xxhash64(*[F.col(f"`{c}`") for c in names], F.lit(salt)))
     share = {s: SPARE * wanted / max(n, 1) for s, n in sizes.items()}
     while True:
-        upto = F.create_map(*[F.lit(x) for s, part in sorted(share.items()) for x in (s, -(2**63) + min(int(part * 2**64), 2**64 - 1))]).cast("map<string,long>")
-        near = materialise(hashed.where(F.col("_hash") <= F.try_element_at(upto, F.col(stratum))).dropDuplicates([stratum, "_hash"]), "sample")
+        upto = rows.sparkSession.createDataFrame([(s, -(2**63) + min(int(part * 2**64), 2**64 - 1)) for s, part in sorted(share.items())], "_stratum string, _upto long")
+        near = hashed.join(upto, (F.col(stratum) == F.col("_stratum")) & (F.col("_hash") <= F.col("_upto"))).select(*names, "_hash")
+        near = materialise(near.dropDuplicates([stratum, "_hash"]), "sample")
         got = {r[0]: r[1] for r in near.groupBy(stratum).count().collect()}
         short = [s for s in share if got.get(s, 0) < wanted and share[s] < 1]
         if not short:
@@ -145,6 +146,15 @@ def tidily(run):
     return tidy_run
 
 
+def map_rows(docs: DataFrame, run, schema) -> DataFrame:
+    """`mapInArrow` for a table whose columns may have any name: the rows travel as one struct column."""
+
+    def unpacked(batches):
+        yield from tidily(run)(pa.RecordBatch.from_arrays(b.column(0).flatten(), names=[f.name for f in b.column(0).type]) for b in batches)
+
+    return docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row")).mapInArrow(unpacked, schema)
+
+
 def dealt_out(rows: DataFrame, n: int, *key: str) -> DataFrame:
     """n small rows that stand for independent work (archives, blocks), a task each up to MOST_TASKS.
 

@@ -2,10 +2,10 @@
 
 A text is a vector of its byte pairs and byte triples (A-Z lower-cased), hashed to
 ``FEATURES`` numbers: square roots of counts times the inverse document frequency over all
-training documents, normalised. The languages learned are the ``LANGUAGES`` labels with
-most training documents (ties by name). From a bounded sample of labelled texts
-(``SAMPLE`` different ones in all, as many of each language, the least by a hash) each
-language gets up to ``CENTROIDS`` centroids by spherical k-means. A text takes the language
+training documents, normalised. Every label is learned: from a bounded sample of labelled texts
+(``SAMPLE`` different ones in all, as many of each language, but ``LEAST`` of each at least; the least by a
+hash) each language gets up to ``CENTROIDS`` centroids by spherical k-means; a model has 16 KB a
+centroid, however many documents there are. A text takes the language
 of the centroid of the largest cosine (ties: the language first by name); where the cosine
 lies below what nearly all of that centroid's own sample reach, it is marked ``rejected``.
 The score is the cosine.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, lasting_batches, small_batches, tidily
 from .vecwords import FOLD, U, buffer, sums
 
-FEATURES, SAMPLE, LANGUAGES, CENTROIDS, ROUNDS = 4096, 2000, 200, 3, 10
+FEATURES, SAMPLE, LEAST, CENTROIDS, ROUNDS = 4096, 2000, 20, 3, 10
 REJECT_BELOW = 0.005  # quantile of a centroid's own sample
 ASCII_LETTER = np.zeros(256, bool)
 ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -81,11 +81,10 @@ def held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, languages: int = LANGUAGES) -> dict | None:
+def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> dict | None:
     """A model from the rows of docs(doc_id, text, lang) outside the held-out fold."""
     train = docs.where(~held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    most = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
-    sizes = {r["lang"]: r["count"] for r in most.collect()}
+    sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}  # a row a language
     if not sizes:
         return None
 
@@ -103,7 +102,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, langu
             df[r["feature"]] = r["df"]
     idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 0.1).astype(np.float32)
 
-    chosen = bounded_sample(train, "lang", sizes, max(1, sample // len(sizes)), "languages")
+    chosen = bounded_sample(train, "lang", sizes, max(LEAST, sample // len(sizes)), "languages")
 
     def embed(batches):
         for b in batches:
@@ -111,7 +110,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, langu
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in v], pa.binary())], names=["lang", "v"])
 
     rows: dict[str, list] = {}
-    for r in chosen.mapInArrow(tidily(embed), "lang string, v binary").collect():  # `sample` rows of 8 KB at most
+    for r in chosen.mapInArrow(tidily(embed), "lang string, v binary").collect():  # 8 KB a text of the sample
         rows.setdefault(r["lang"], []).append(bytes(r["v"]))
     langs, cs, least = [], [], []
     for lang in sorted(rows):

@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from .common import discard, fresh, lasting_batches, materialise, quoted, shared_dir, tidily
 from .vecwords import SPACE, U, Words, buffer, mix
 
-MIN_WORDS, FOLD, FOLD_WINDOW, WINDOW, CONTEXT = 10, 6, 5, 3, 48
+MIN_WORDS, FOLD, FOLD_WINDOW, WINDOW, CONTEXT = 10, 4, 4, 6, 48
 SLICE = 1 << 12  # chunks whose bytes are taken at a time
 STOP = np.zeros(256, bool)
 STOP[list(b".!?")] = True
@@ -61,13 +61,13 @@ def least_of(h: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros(len(h), bool)
     m = len(h) - n + 1
     if m > 0:
-        at = np.arange(m)
-        low = h[:m].copy()
-        for k in range(1, n):
-            take = h[k : k + m] <= low
-            at[take] = np.flatnonzero(take) + k
-            low[take] = h[k : k + m][take]
-        out[at[group[:m] == group[n - 1 :]]] = True
+        at = np.full(m, n - 1, np.int8)
+        low = h[n - 1 :].copy()
+        for k in reversed(range(n - 1)):
+            np.putmask(at, h[k : k + m] < low, k)
+            np.minimum(low, h[k : k + m], out=low)
+        start = np.flatnonzero(group[:m] == group[n - 1 :])
+        out[start + at[start]] = True
     return out
 
 
@@ -127,43 +127,63 @@ class Chunks:
     def __len__(self) -> int:
         return len(self.owner)
 
-    def before(self, k: int) -> tuple[int, int]:
-        """Bytes of the words before a chunk, CONTEXT at most."""
-        j = max(self.words.first[self.owner[k]], self.first[k] - CONTEXT)
-        return (int(self.words.start[j]) if j < self.first[k] else int(self.x[k])), int(self.x[k])
-
-    def after(self, k: int) -> tuple[int, int]:
-        """Bytes of the words after a chunk, CONTEXT at most."""
-        j = min(self.words.first[self.owner[k] + 1] - 1, self.last[k] + CONTEXT)
-        return int(self.y[k]), (int(self.words.end[j]) if j > self.last[k] else int(self.y[k]))
-
-    def reach_left(self, k: int, context: np.ndarray) -> int:
-        """The first word of those before a chunk that are the last words of context."""
-        a, z = self.before(k)
-        n = min(z - a, len(context))
-        differ = np.flatnonzero(self.raw[z - n : z] != context[len(context) - n :])
-        least = z - n if not len(differ) else z - n + int(differ[-1]) + 1
-        j = int(self.first[k])
-        while j > self.words.first[self.owner[k]] and self.words.start[j - 1] >= least:
-            p = len(context) - (z - int(self.words.start[j - 1]))
-            if p and not SPACE[context[p - 1]]:
-                break
-            j -= 1
-        return j
-
-    def reach_right(self, k: int, context: np.ndarray) -> int:
-        """The last word of those after a chunk that are the first words of context."""
-        a, z = self.after(k)
-        n = min(z - a, len(context))
-        differ = np.flatnonzero(self.raw[a : a + n] != context[:n])
-        most = a + (int(differ[0]) if len(differ) else n)
-        j = int(self.last[k])
-        while j + 1 < self.words.first[self.owner[k] + 1] and self.words.end[j + 1] <= most:
-            q = int(self.words.end[j + 1]) - a
-            if q < len(context) and not SPACE[context[q]]:
-                break
-            j += 1
-        return j
+    def before(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes from the words before chunks, CONTEXT at most, to the chunk."""
+        j = np.maximum(self.words.first[self.owner[k]], self.first[k] - CONTEXT)
+        return self.words.start[j], self.x[k]
+
+    def after(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes from chunks to the words after them, CONTEXT at most."""
+        j = np.minimum(self.words.first[self.owner[k] + 1] - 1, self.last[k] + CONTEXT)
+        return self.y[k], self.words.end[j]
+
+    def reach_left(self, k: np.ndarray, other: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """The first word of those before chunks that are the last words of other[a:z]."""
+        lo, hi = self.before(k)
+        n = np.minimum(hi - lo, z - a)
+        same = n - last_difference(self.raw, hi - n, other, z - n, n)
+        j = np.searchsorted(self.words.start, hi - same)
+        # a word that is only the end of the other's word doesn't count
+        part = (self.words.start[np.minimum(j, len(self.words.start) - 1)] == hi - same) & (z - same > a)
+        part[part] &= ~SPACE[other[(z - same - 1)[part]]]
+        return np.minimum(j + part, self.first[k])
+
+    def reach_right(self, k: np.ndarray, other: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """The last word of those after chunks that are the first words of other[a:z]."""
+        lo, hi = self.after(k)
+        n = np.minimum(hi - lo, z - a)
+        same = first_difference(self.raw, lo, other, a, n)
+        j = np.searchsorted(self.words.end, lo + same, "right") - 1
+        part = (self.words.end[j] == lo + same) & (a + same < z)
+        part[part] &= ~SPACE[other[(a + same)[part]]]
+        return np.maximum(j - part, self.last[k])
+
+
+def differences(raw: np.ndarray, a: np.ndarray, other: np.ndarray, b: np.ndarray, n: np.ndarray):
+    """(range, place in it) of the bytes in which raw[a:a+n] and other[b:b+n] differ, range by range."""
+    for k in range(0, len(a), SLICE):
+        some = slice(k, k + SLICE)
+        mine, offsets = gather(raw, a[some], (a + n)[some])
+        theirs, _ = gather(other, b[some], (b + n)[some])
+        at = np.flatnonzero(mine != theirs)
+        of = np.searchsorted(offsets, at, "right") - 1
+        yield of + k, at - offsets[of]
+
+
+def first_difference(raw, a, other, b, n) -> np.ndarray:
+    """How many bytes agree from the left."""
+    out = n.copy()
+    for of, at in differences(raw, a, other, b, n):
+        out[of[::-1]] = at[::-1]
+    return out
+
+
+def last_difference(raw, a, other, b, n) -> np.ndarray:
+    """After how many bytes the last one that differs stands."""
+    out = np.zeros(len(n), np.int64)
+    for of, at in differences(raw, a, other, b, n):
+        out[of] = at + 1
+    return out
 
 
 def numbers(owner: np.ndarray, n: int) -> np.ndarray:
@@ -208,6 +228,45 @@ def repeats(owner: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return order[again], first[again]
 
 
+def removed(texts, cuts, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Byte ranges (from, to) that go from texts. cuts: by text, chunks' numbers with the bytes of the first
+    occurrence, and of what is before and after it where the neighbour isn't among them."""
+    raw, offsets = buffer(texts)
+    c = Chunks(raw, offsets, min_words)
+    n = len(texts)
+    # chunks that the first occurrence elsewhere has
+    of = np.repeat(np.arange(n), np.diff(cuts.offsets.to_numpy()))
+    given = cuts.flatten()
+    k = numbers(c.owner, n)[of] + given.field(0).to_numpy(zero_copy_only=False)
+    theirs, ends = buffer(given.field(1))
+    ok = same_bytes(raw, c.x[k], c.y[k], theirs, ends[:-1], ends[1:])
+    gone = np.zeros(len(c), bool)
+    gone[k[ok]] = True
+    # chunks that stand earlier in the same text
+    again, first = repeats(c.owner, c.key)
+    same = same_bytes(raw, c.x[again], c.y[again], raw, c.x[first], c.y[first])
+    again, first = again[same], first[same]
+    gone[again] = True
+    lo, hi = [c.lo[c.first[gone]]], [c.hi[c.last[gone]]]
+    # what is beside them
+    for name, low in ((2, True), (3, False)):
+        side = given.field(name)
+        at = np.flatnonzero(side.is_valid().to_numpy(zero_copy_only=False) & ok)
+        other, ends = buffer(side)
+        if low:
+            lo.append(c.lo[c.reach_left(k[at], other, ends[at], ends[at + 1])])
+            hi.append(c.hi[c.first[k[at]]])
+        else:
+            lo.append(c.lo[c.last[k[at]]])
+            hi.append(c.hi[c.reach_right(k[at], other, ends[at], ends[at + 1])])
+    left, right = (np.append(gone, False)[again + step] & (np.append(c.owner, -1)[again + step] == c.owner[again]) for step in (-1, 1))
+    lo.append(c.lo[c.reach_left(again[~left], raw, *c.before(first[~left]))])
+    hi.append(c.hi[c.first[again[~left]]])
+    lo.append(c.lo[c.last[again[~right]]])
+    hi.append(c.hi[c.reach_right(again[~right], raw, *c.after(first[~right]))])
+    return np.concatenate(lo), np.concatenate(hi)
+
+
 def unglue(raw: np.ndarray, offsets: np.ndarray, out: np.ndarray) -> None:
     """Takes back the blank that a cut starts with, where the words on both sides of the cut would become one."""
     if not out.any():
@@ -252,41 +311,49 @@ def _cut(docs: DataFrame, min_words: int, n_lines: str, n_cut: str) -> DataFrame
             once.sort()
             at = np.arange(len(c)) - numbers(c.owner, b.num_rows)[c.owner] if len(c) else c.owner
             of = pa.array(c.owner[once])
-            yield pa.RecordBatch.from_arrays([pa.array(c.key[once].view(np.int64)), b.column(0).take(of), b.column(1).take(of), pa.array(at[once].astype(np.int32))], names=["hash", "k1", "k2", "number"])
+            twice = np.bincount(c.owner, minlength=b.num_rows) > np.bincount(c.owner[once], minlength=b.num_rows)
+            head = np.concatenate((np.ones(1, bool), np.diff(c.owner[once]) > 0))[: len(once)]
+            yield pa.RecordBatch.from_arrays([pa.array(c.key[once].view(np.int64)), b.column(0).take(of), b.column(1).take(of), pa.array(at[once].astype(np.int32)), pa.array(head & twice[c.owner[once]])], names=["hash", "k1", "k2", "number", "twice"])
 
     folder = shared_dir(spark)
     texts = keyed.select("k1", "k2", F.col("row.text").alias("text"))
-    own = materialise(texts.mapInArrow(tidily(emit), "hash long, k1 long, k2 long, number int"), "chunks", folder)
-    repeated = own.groupBy("hash").agg(F.min(F.struct("k1", "k2", "number")).alias("f"), F.max("k1").alias("last")).where("f.k1 < last").select("hash", F.col("f.k1").alias("f1"), F.col("f.k2").alias("f2"), F.col("f.number").alias("at"))
+    own = materialise(texts.mapInArrow(tidily(emit), "hash long, k1 long, k2 long, number int, twice boolean"), "chunks", folder)
+    repeated = own.groupBy("hash").agg(F.min("k1").alias("first"), F.max("k1").alias("last")).where("first < last").select("hash", "first")
     # written first, so that a very common chunk's rows can be split in the join
-    later = own.join(materialise(repeated, "hashes", folder), "hash").where("k1 > f1").select("k1", "k2", "number", "f1", "f2", "at").distinct()
+    half = shared_dir(spark)
+    found = materialise(own.join(materialise(repeated, "hashes", folder), "hash").drop("twice"), "found", half)
+    inside = materialise(own.where("twice").select("k1", "k2").distinct(), "inside")
+    del own, repeated
+    discard(spark, folder)
     # chunks whose neighbour stays
     beside = Window.partitionBy("k1", "k2").orderBy("number")
+    later = found.where("k1 > first").select("hash", "k1", "k2", "number").distinct()
     later = later.withColumns({"left": F.coalesce(F.lag("number").over(beside) != F.col("number") - 1, F.lit(True)), "right": F.coalesce(F.lead("number").over(beside) != F.col("number") + 1, F.lit(True))})
-    later = materialise(later, "later")
-    del own, repeated
-    discard(spark, folder)
+    later = materialise(later, "later", folder)
 
     # bytes of the first occurrences, and of what is beside them where that is asked for
-    asked = later.groupBy("f1", "f2", "at").agg(F.max("left").alias("left"), F.max("right").alias("right"))
-    asked = asked.groupBy(F.col("f1").alias("k1"), F.col("f2").alias("k2")).agg(F.collect_list(F.struct("at", "left", "right")).alias("asked"))
+    firsts = found.where("k1 = first").groupBy("hash").agg(F.min(F.struct("k1", "k2", "number")).alias("f")).select("hash", "f.*")
+    asked = later.groupBy("hash").agg(F.max("left").alias("left"), F.max("right").alias("right")).join(firsts, "hash")
+    asked = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("number", "left", "right")).alias("asked"))
 
     def fetch(batches):
         for b in batches:
-            c = Chunks(*buffer(b.column(2)), min_words)
-            asked = b.column(3)
+            c = Chunks(*buffer(b.column(0)), min_words)
+            asked = b.column(1)
             of = np.repeat(np.arange(b.num_rows), np.diff(asked.offsets.to_numpy()))
             given = asked.flatten()
             at, left, right = (given.field(k).to_numpy(zero_copy_only=False) for k in range(3))
             k = numbers(c.owner, b.num_rows)[of] + at
-            side = lambda want, span: [c.raw[slice(*span(j))].tobytes() if w else None for j, w in zip(k.tolist(), want, strict=True)]  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), b.column(1).take(pa.array(of)), pa.array(at), binaries(*gather(c.raw, c.x[k], c.y[k])), pa.array(side(left, c.before), pa.binary()), pa.array(side(right, c.after), pa.binary())], names=["f1", "f2", "at", "bytes", "before", "after"])
+            side = lambda want, a, z: binaries(*gather(c.raw, a, np.where(want, z, a)))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(c.key[k].view(np.int64)), binaries(*gather(c.raw, c.x[k], c.y[k])), side(left, *c.before(k)), side(right, *c.after(k))], names=["hash", "bytes", "before", "after"])
 
     # written, so that only one shuffle of the texts is on disk at a time; rows of one id and text give the same once
-    kept = materialise(texts.join(asked, ["k1", "k2"]).select("k1", "k2", "text", "asked").mapInArrow(tidily(fetch), "f1 long, f2 long, at int, bytes binary, before binary, after binary").dropDuplicates(["f1", "f2", "at"]), "firsts")
-    discard(spark, folder)
-    given = later.join(kept, ["f1", "f2", "at"]).select("k1", "k2", F.struct("number", "bytes", F.when(F.col("left"), F.col("before")).alias("before"), F.when(F.col("right"), F.col("after")).alias("after")).alias("cut"))
-    lists = given.groupBy("k1", "k2").agg(F.collect_list("cut").alias("cuts"))
+    kept = materialise(texts.join(asked, ["k1", "k2"]).select("text", "asked").mapInArrow(tidily(fetch), "hash long, bytes binary, before binary, after binary").distinct(), "firsts")
+    del found, firsts, asked
+    discard(spark, half)
+    given = later.join(kept, "hash").select("k1", "k2", F.struct("number", "bytes", F.when(F.col("left"), F.col("before")).alias("before"), F.when(F.col("right"), F.col("after")).alias("after")).alias("cut"))
+    # a list, empty if all that goes stands earlier in the text itself
+    lists = given.unionByName(inside, allowMissingColumns=True).groupBy("k1", "k2").agg(F.collect_list("cut").alias("cuts"))
 
     full = [f for f in docs.schema.fields]
     text_at = names.index("text")
@@ -298,39 +365,17 @@ def _cut(docs: DataFrame, min_words: int, n_lines: str, n_cut: str) -> DataFrame
             fields = [row.field(k) for k in range(len(full))]
             text = fields[text_at]
             raw, offsets = buffer(text)
-            c = Chunks(raw, offsets, min_words)
             edge = np.zeros(len(raw) + 1, np.int64)
-
-            def go(first, last, edge=edge, c=c):
-                np.add.at(edge, c.lo[first], 1)
-                np.add.at(edge, c.hi[last], -1)
-
-            # chunks that the first occurrence elsewhere has
             cuts = b.column(1)
-            of = np.repeat(np.arange(b.num_rows), np.diff(cuts.offsets.to_numpy()))
-            given = cuts.flatten()
-            k = numbers(c.owner, b.num_rows)[of] + given.field(0).to_numpy(zero_copy_only=False)
-            theirs, ends = buffer(given.field(1))
-            ok = same_bytes(raw, c.x[k], c.y[k], theirs, ends[:-1], ends[1:])
-            gone = np.zeros(len(c), bool)
-            gone[k[ok]] = True
-            # chunks that stand earlier in the same text
-            again, first = repeats(c.owner, c.key)
-            same = same_bytes(raw, c.x[again], c.y[again], raw, c.x[first], c.y[first])
-            again, first = again[same], first[same]
-            gone[again] = True
-            go(c.first[gone], c.last[gone])
-            # what is beside them
-            for name, reach, low in ((2, c.reach_left, True), (3, c.reach_right, False)):
-                side = given.field(name)
-                for j in np.flatnonzero(side.is_valid().to_numpy(zero_copy_only=False) & ok).tolist():
-                    to = reach(int(k[j]), np.frombuffer(side[j].as_py(), np.uint8))
-                    go(*(([to], [c.first[k[j]]]) if low else ([c.last[k[j]]], [to])))
-            for j, f in zip(again.tolist(), first.tolist(), strict=True):
-                if not (j and gone[j - 1] and c.owner[j - 1] == c.owner[j]):
-                    go([c.reach_left(j, raw[slice(*c.before(f))])], [c.first[j]])
-                if not (j + 1 < len(c) and gone[j + 1] and c.owner[j + 1] == c.owner[j]):
-                    go([c.last[j]], [c.reach_right(j, raw[slice(*c.after(f))])])
+            some = np.flatnonzero(cuts.is_valid().to_numpy(zero_copy_only=False))
+            if len(some):
+                lo, hi = removed(text.take(pa.array(some)), cuts.take(pa.array(some)), min_words)
+                # places in the texts that something is cut from, as places in the batch
+                base = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.diff(offsets)[some])))
+                of = np.searchsorted(base, lo, "right") - 1
+                shift = offsets[some[of]] - base[of]
+                np.add.at(edge, lo + shift, 1)
+                np.add.at(edge, hi + shift, -1)
             out = np.cumsum(edge[:-1]) > 0
             unglue(raw, offsets, out)
             before = np.concatenate((np.zeros(1, np.int64), np.cumsum(out)))

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, remove, shared_dir, tidily
+from .common import materialise, quoted, remove, shared_dir, tidily
 from .graph import components
 from .vecwords import FOLD, SPACE, U, Words, buffer, grams, mix
 
@@ -247,4 +247,4 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs without the documents whose group keeps another one."""
     gone = near_duplicates(docs, percent).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[quoted(c) for c in docs.columns])

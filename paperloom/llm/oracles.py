@@ -129,7 +129,7 @@ c AS (SELECT rid, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_
  CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, CASE WHEN len(w) < 100 THEN 0 WHEN len(w) < 300 THEN 1 WHEN len(w) < 1000 THEN 2 ELSE 3 END AS s FROM d LEFT JOIN cov USING (rid) LEFT JOIN lin USING (rid)),
 b AS (SELECT rid, s, {_BINS} FROM c),
 l AS (SELECT doc_id, min(quality) > 0 AS good, substr(md5('holdout ' || doc_id), 1, 1) < '8' AS held FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
-k AS (SELECT rid, good, held FROM c JOIN l USING (doc_id)),
+k AS (SELECT rid, good, held FROM c JOIN l USING (doc_id) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines) = 1),
 h AS (SELECT s, rule, bin, count(*) FILTER (good) AS g, count(*) FILTER (NOT good) AS p FROM b JOIN k USING (rid) WHERE NOT held GROUP BY ALL),
 grid AS (SELECT s, rule, bin, coalesce(g, 0) AS g, coalesce(p, 0) AS p FROM (SELECT * FROM (SELECT DISTINCT s, rule FROM h) CROSS JOIN (SELECT CAST(range AS INTEGER) AS bin FROM range(0, {quality.GRID + 1}))) LEFT JOIN h USING (s, rule, bin)),
 r AS (SELECT s, rule, bin, {_REACH('g')} AS gr, {_REACH('p')} AS pr, {_ALL('g')} AS gt, {_ALL('p')} AS pt FROM grid),

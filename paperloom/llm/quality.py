@@ -17,9 +17,10 @@ stratum loses more than ``alpha`` of its good documents. A stratum needs
 anything can be certified there; with fewer nothing is rejected by the rules.
 
 Cases: null and empty text have no words (base_failed, rejected); a null doc_id has no
-label but is judged like any row; repeated rows are judged alike; several labels of one
-document count once, as poor if any says so; empty tables give empty results; input
-columns keep their names and values, whatever they are called.
+label but is judged like any row; repeated rows are judged alike; a labelled doc_id counts once
+in the tests, however many rows have it, by the row of the least counts, and several labels of
+one once, as poor if any says so; empty tables give empty results; input columns keep their
+names and values, whatever they are called.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lasting_batches, materialise, tidily
+from .common import fresh, lasting_batches, map_rows, materialise
 from .vecwords import NEWLINE, SPACE, Words, buffer, grams, mix, sums
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -92,7 +93,7 @@ def with_counts(docs: DataFrame, text: str = "text", name: str = "_counts") -> D
             column = pa.StructArray.from_arrays([pa.array(got[c].astype(np.int64)) for c in COUNTS], names=list(COUNTS))
             yield pa.RecordBatch.from_arrays([*b.columns, column], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(tidily(run), schema)
+    return map_rows(docs, run, schema)
 
 
 def signals(c) -> dict[str, Column]:
@@ -218,7 +219,8 @@ def calibrate(counts: DataFrame, labels: DataFrame, alpha: float = 0.02, delta:
     ``labels(doc_id, quality)`` by doc_id; what reaches the driver is two histograms of bounded size."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     c = lambda x: F.col(f"_counts.{x}")
-    got = materialise(counts.join(known, "doc_id").select("_counts", (F.col("quality") > 0).cast("int").alias("good"), held_out().alias("held")), "labelled")
+    once = counts.join(known, "doc_id").groupBy("doc_id").agg(F.min("_counts").alias("_counts"), F.min("quality").alias("quality"))
+    got = materialise(once.select("_counts", (F.col("quality") > 0).cast("int").alias("good"), held_out().alias("held")), "labelled")
     bins = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.floor(v * GRID).cast("int").alias("bin")) for r, v in signals(c).items()])).alias("x")
     table: dict[tuple[int, str], np.ndarray] = {}
     for r in got.where("not held").select(stratum(c).alias("s"), "good", bins).groupBy("s", "good", "x.rule", "x.bin").count().collect():
@@ -261,8 +263,6 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
     """The rows of docs that pass; texts are read twice and never shuffled."""
     cutoffs = calibrate(with_counts(docs.select("doc_id", "text")).drop("text"), labels, alpha, delta)
-    name = "_counts"
-    while name in docs.columns:
-        name += "_"
+    name = fresh(docs.columns, "_counts")["_counts"]
     c = lambda x: F.col(f"{name}.{x}")
     return with_counts(docs, name=name).where(~base_failed(c) & verdict(c, cutoffs)).drop(name)

@@ -50,6 +50,16 @@ def test_odd_rows(spark):
     assert got[1003] != ["und"] and got[1004] == ["en"] and len(got[1005]) == 2
 
 
+def test_three_hundred_languages(spark):
+    rnd = random.Random(7)
+    parts = {f"l{k:03}": ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(5)] for k in range(300)}
+    rows = [(9 * k + j, " ".join("".join(rnd.choice(parts[lang]) for _ in range(rnd.randrange(1, 3))) for _ in range(60)), lang) for k, lang in enumerate(parts) for j in range(9)]
+    got = {r.doc_id: (r.held_out, r.lang_pred) for r in L.identify(table(spark, rows)).collect()}
+    held = [(got[i][1], lang) for i, _, lang in rows if got[i][0]]
+    assert sum(a == b for a, b in held) > 0.95 * len(held)
+    assert len({a for _, a in got.values()}) >= 295
+
+
 def test_nothing_to_learn(spark):
     assert [r.lang_pred for r in L.identify(table(spark, [(1, "abc", None)])).collect()] == ["und"]
     assert L.identify(table(spark, [])).count() == 0
@@ -119,8 +129,8 @@ def test_document_frequencies_and_the_learned_fold(spark):
 def test_many_dirty_labels(spark):
     rows = corpus(400)
     dirty = rows + [(10_000 + k, "the and ing", f"label {k}") for k in range(600)]
-    model = L.fit(table(spark, dirty), languages=6)
-    assert len(set(model["langs"])) == 6 and set(SYLLABLES) <= set(model["langs"])
+    model = L.fit(table(spark, dirty))
+    assert len(set(model["langs"])) > 300 and set(SYLLABLES) <= set(model["langs"])
     got = L.predict(table(spark, rows), model).collect()
     truth = {i: g for i, _, g in rows}
     assert sum(r.lang_pred == truth[r.doc_id] for r in got) > 0.9 * len(rows)

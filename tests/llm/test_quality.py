@@ -152,6 +152,41 @@ def test_symbols_are_rejected_and_good_documents_kept(spark, docs):
     assert not ids & set(range(3000, 3300))
 
 
+def test_a_doc_id_counts_once_in_the_holdout(spark):
+    """Were its thousand rows counted, one document would speak for a thousand."""
+    import numpy as np
+
+    rows = labelled(np.random.default_rng(4), 4000)
+    labels = spark.createDataFrame([(i, int(g)) for i, g, _, _ in rows], "doc_id long, quality int")
+    once = counted(spark, rows)
+    held = {r.doc_id: r.h for r in once.select("doc_id", Q.held_out().alias("h")).collect()}
+    good = next(r for r in rows if r[1] and held[r[0]] and r[2] == 200)
+    many = counted(spark, rows + [(good[0], True, 200, 190)] * 1000)
+    one, two = Q.calibrate(once, labels), Q.calibrate(many, labels)
+    assert one[1] == two[1] and all((one[0][k] == two[0][k]).all() for k in one[0])
+
+
+def test_oracle_where_rules_reject(spark):
+    """The contract's SQL on a table large enough that cutoffs are certified and reject documents."""
+    import os
+
+    import duckdb
+
+    from paperloom.llm.oracles import ORACLE
+    from paperloom.llm.queries import op5_quality_rules
+
+    d = "/root/testdata/sf0.1"
+    if not os.path.isdir(d):
+        pytest.skip("no test data")
+    db = duckdb.connect()
+    for t in ("documents", "labels"):
+        db.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    want = sorted(db.execute(f"select {', '.join(names)} from ({ORACLE['op5_quality_rules']})").fetchall())
+    got = sorted(tuple(r) for r in op5_quality_rules(spark, d).select(*names).collect())
+    assert got == want and sum(not r[6] and not r[7] for r in got) > 100
+
+
 def test_empty_tables(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert Q.quality_rules(docs([]), none).count() == 0
