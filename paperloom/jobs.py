@@ -74,19 +74,18 @@ def build(spark: SparkSession, folder: str, formats: list[str] | None = None, th
     return outputs.select("path", "format", "target", "content"), results.select("path", "status", "reason", "has_sidecar", F.coalesce("n_lost", F.lit(0)).alias("n_lost"), F.coalesce("lost", F.array().cast("array<string>")).alias("lost"), F.coalesce("written", F.array().cast("array<string>")).alias("written"))
 
 
-def summary(results: DataFrame) -> DataFrame:
-    """A batch in one row: its exit code, how many of each status, how many settings files, what was lost by message."""
-    batch = results.withColumn("batch", F.lit(1))
-    code = C.exit_code(batch, ["batch"])
-    more = batch.groupBy("batch").agg(F.count_if("has_sidecar").alias("n_sidecars"), F.count_if(F.col("status") == "own output").alias("n_own_outputs"))
-    lost = C.group_messages(batch.select(C.stem("path").alias("file"), F.explode("lost").alias("message")))
-    lines = lost.groupBy(F.lit(1).alias("batch")).agg(F.array_sort(F.collect_list(F.concat_ws(": ", "message", "files"))).alias("lost"))
-    return code.join(more, "batch").join(lines, "batch", "left").withColumn("lost", F.coalesce("lost", F.array().cast("array<string>"))).drop("batch")
+def summary(results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a batch in one row: its exit code, how many of each status, how many settings files; what was lost: a row a
+    message with how often and in which documents). The one row is a sum of partial sums; nothing is gathered."""
+    counts = [F.count_if("has_sidecar").alias("n_sidecars"), F.count_if(F.col("status") == "own output").alias("n_own_outputs")]
+    totals = C.exit_code(results, []).crossJoin(results.agg(*counts))  # one row each
+    return totals, C.group_messages(results.select(C.stem("path").alias("file"), F.explode("lost").alias("message")))
 
 
 def proposals(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(one row a proposal: weeks, roles, total; violations) of a folder of JSON data files."""
-    raw = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json").select(F.xxhash64("value").alias("prop_id"), F.col("value").alias("raw"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder)
+    raw = files.select(F.xxhash64("path").alias("prop_id"), F.decode("content", "UTF-8").alias("raw"))
     bad = P.data_violations(raw)
     good = raw.join(bad.select("prop_id").distinct(), "prop_id", "left_anti")
     return P.inspect(P.team_hours(good), ["prop_id"]), bad
@@ -150,7 +149,10 @@ def main(args: list[str]) -> int:
     results = kept(results)
     for line in results.toJSON().toLocalIterator():
         print(line)
-    return summary(results).first()["exit_code"]
+    totals, lost = summary(results)
+    for line in lost.orderBy("message").toJSON().toLocalIterator():
+        print(line)
+    return totals.first()["exit_code"]
 
 
 if __name__ == "__main__":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import col
@@ -75,17 +75,43 @@ def targets(inputs: DataFrame, formats: Column, theme: Column, plain_names: Colu
     return rows.withColumn("target", name).drop("_theme", "_plain")
 
 
-def collisions(rows: DataFrame, source: str = "path", target: str = "target") -> DataFrame:
-    """Sources that share a target with others: (source, target, others sorted)."""
-    g = rows.groupBy(target).agg(F.array_sort(F.collect_set(source)).alias("sources")).where(F.size("sources") > 1)
-    each = g.select(target, "sources", F.explode("sources").alias(source))
-    return each.select(source, target, F.array_except("sources", F.array(source)).alias("others"))
+def first_values(rows: DataFrame, key: list[str], value: str, n: int = LISTED) -> DataFrame:
+    """(key..., n_all, firsts): how many rows a key has, and the n least of its values in order.
 
+    Both are bounded before they move: counts are added up and all but n rows of a key dropped within each
+    partition, and again behind the exchange. A null key is a key, null values are neither counted nor listed.
+    """
+    some = rows.where(F.col(value).isNotNull())
+    counts = some.groupBy(*key).agg(F.count("*").alias("n_all"))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(value))
+    head = some.select(*key, value).withColumn("_place", place).where(F.col("_place") <= n)
+    firsts = head.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", value))), lambda x: x[value]).alias("firsts"))
+    other = firsts.select(*[F.col(k).alias(f"_{k}") for k in key], "firsts")
+    on = [F.equal_null(F.col(k), F.col(f"_{k}")) for k in key]
+    return counts.join(other, on).select(*key, "n_all", "firsts")
+
+
+def collisions(rows: DataFrame, source: str = "path", target: str = "target") -> tuple[DataFrame, DataFrame]:
+    """(classes (target, n_sources, first_sources), members (source, target, n_sources, first_sources)) of targets with several sources.
+
+    A class names its first ``LISTED`` + 1 sources, enough for each member to name that many others; so
+    the rows are as many as the sources, however many share a target.
+    """
+    each = rows.select(source, target).distinct()
+    classes = first_values(each, [target], source, LISTED + 1).where("n_all > 1").select(target, F.col("n_all").alias("n_sources"), F.col("firsts").alias("first_sources"))
+    return classes, each.join(classes, target).select(source, target, "n_sources", "first_sources")
 
-def own_outputs(inputs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Inputs that are another input's target."""
-    t = rows.select(F.col("target").alias("_t"), F.col("path").alias("_src"))
-    return inputs.join(t, (F.regexp_extract("path", "([^/]*)$", 1) == F.col("_t")) & (F.col("path") != F.col("_src")), "left_semi")
+
+def others(source: Column) -> Column:
+    """A member's listing of the other sources of its target."""
+    rest = F.slice(F.array_remove("first_sources", source), 1, LISTED)
+    return with_rest(rest, F.col("n_sources") - 1)
+
+
+def own_outputs(inputs: DataFrame, made: DataFrame) -> DataFrame:
+    """Inputs (path) that are another input's target (path, target), a whole path each."""
+    t = made.select(F.col("target").alias("_t"), F.col("path").alias("_src"))
+    return inputs.join(t, (F.col("path") == F.col("_t")) & (F.col("path") != F.col("_src")), "left_semi")
 
 
 SIDECAR = "title string, subtitle string, date string, entity string, theme string, to array<string>, plainNames boolean, pdfChrome struct<dropAbovePt: double, dropBelowPt: double>"
@@ -127,26 +153,32 @@ def plan_build(inputs: DataFrame, sidecars: DataFrame, formats: list[str] | None
     base = F.lit(out.rstrip("/") + "/") if out else F.regexp_extract("path", "^(.*/)?", 0)
     named = targets(rows.where("failed is null").select("path", "formats", "theme", "plain"), F.col("formats"), F.col("theme"), F.col("plain"))
     named = named.select("path", "format", F.concat(base, "target").alias("target"))
-    made = named.select(F.col("target").alias("_t"), F.col("path").alias("_src"))
-    own = rows.select("path").join(made, (F.col("path") == F.col("_t")) & (F.col("path") != F.col("_src")), "left_semi").withColumn("own", F.lit(True))
+    own = own_outputs(rows.select("path"), named).withColumn("own", F.lit(True))
     left = named.join(own, "path", "left_anti")
-    clash = collisions(left).groupBy("path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("others")))).alias("others"))
+    # of a document's targets that clash (one a format at most) the first by name is told
+    told = F.min(F.struct("target", others(F.col("path")).alias("others"))).alias("told")
+    clash = collisions(left)[1].groupBy("path").agg(told).select("path", "told.others")
     rows = rows.join(own, "path", "left").join(clash, "path", "left")
     status = F.when(F.col("failed").isNotNull(), "failed").when(F.col("own"), "own output").when(F.col("others").isNotNull(), "refused").otherwise("ok")
-    reason = F.when(F.col("failed").isNotNull(), F.col("failed")).when(F.col("own"), "is the output of another input").when(F.col("others").isNotNull(), F.concat(F.lit("its output would also be that of "), listed(F.col("others"))))
+    reason = F.when(F.col("failed").isNotNull(), F.col("failed")).when(F.col("own"), "is the output of another input").when(F.col("others").isNotNull(), F.concat(F.lit("its output would also be that of "), F.col("others")))
     rows = rows.withColumns({"status": status, "reason": reason}).drop("failed", "own", "others")
     return rows, left.join(clash.select("path"), "path", "left_anti")
 
 
+def with_rest(items: Column, n_all: Column) -> Column:
+    """Items, and how many more there are than those."""
+    more = n_all - F.size(items)
+    return F.concat(F.array_join(items, ", "), F.when(more > 0, F.concat(F.lit(" …and "), more.cast("string"), F.lit(" more"))).otherwise(""))
+
+
 def listed(items: Column, n: int = LISTED) -> Column:
     """The first n items and how many more there are."""
-    more = F.size(items) - n
-    return F.concat(F.array_join(F.slice(items, 1, n), ", "), F.when(more > 0, F.concat(F.lit(" …and "), more.cast("string"), F.lit(" more"))).otherwise(""))
+    return with_rest(F.slice(items, 1, n), F.size(items))
 
 
 def group_messages(dropped: DataFrame) -> DataFrame:
-    """What was lost, by message: how often, and in which documents (by name, one for each time)."""
-    return dropped.groupBy("message").agg(F.count("*").alias("n"), listed(F.array_sort(F.collect_list("file"))).alias("files"))
+    """What was lost, by message: how often, and in which documents (the first by name, one for each time)."""
+    return first_values(dropped, ["message"], "file").select("message", F.col("n_all").alias("n"), with_rest(F.col("firsts"), F.col("n_all")).alias("files"))
 
 
 def exit_code(results: DataFrame, key: list[str]) -> DataFrame:

@@ -2,13 +2,15 @@
 
 Tables: ``rects(key..., rect_ix, x0, y0, x1, y1)``, ``runs(key..., run_ix, text, x, y, size_pt)``, y
 upward. What is sequential by page (union-find, anchored clusters) works inside one page's
-group; everything else is a plan over all pages.
+group or stream of sorted rows; everything else is a plan over all pages.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,7 @@ FRAME = 0.75
 MIN_REPEAT = 2
 MAX_PAGES, MAX_RECTS = 60, 5000
 LISTED = 20
+SHORT = 64  # values of a key that are taken a step at a time with those of others
 
 
 def distinct_rects(rects: DataFrame, key: list[str]) -> DataFrame:
@@ -34,16 +37,65 @@ def without_page_frame(rects: DataFrame, width: Column, height: Column) -> DataF
     return rects.where((F.col("x1") - F.col("x0") < FRAME * width) | (F.col("y1") - F.col("y0") < FRAME * height))
 
 
-def anchors(values: Column, tol: float) -> Column:
-    """First members of anchored clusters: a value more than tol beyond the last anchor opens a new one."""
-    return F.aggregate(F.array_sort(F.array_distinct(values)), F.array().cast("array<double>"), lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) > tol), F.array_append(acc, x)).otherwise(acc))
-
-
 def anchored(df: DataFrame, key: list[str], value: str, tol: float) -> DataFrame:
-    """df with ``anchor``, the first value of each value's cluster within its key."""
-    found = df.groupBy(*key).agg(anchors(F.collect_set(F.col(value).cast("double")), tol).alias("_anchors"))
-    at = F.array_max(F.filter("_anchors", lambda a: a <= F.col(value)))
-    return df.join(found, key).withColumn("anchor", at).drop("_anchors")
+    """df with ``anchor``, the first value of each value's cluster within its key: a value more than tol beyond
+    the last anchor opens a new cluster. Rows of a key come together and in order, and of those gone by only the
+    last anchor is held, so a key may have any number of values. A null value has no anchor."""
+    kind = T.StructType([*[f for f in df.schema.fields if f.name != "anchor"], T.StructField("anchor", T.DoubleType())])
+    names = [f.name for f in kind.fields[:-1]]
+
+    def run(batches):
+        last, anchor = None, -np.inf
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            opens = np.zeros(n, bool)
+            for k in key:
+                code = pc.fill_null(pc.dictionary_encode(b.column(k), null_encoding="encode").indices, -1).to_numpy(zero_copy_only=False)
+                opens[1:] |= code[1:] != code[:-1]
+            ends = [tuple(b.column(k)[j].as_py() for k in key) for j in (0, n - 1)]
+            opens[0] = ends[0] != last
+            v = pc.cast(b.column(value), pa.float64()).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(opens)
+            at, anchor = anchors(v, np.concatenate(([0], starts)) if not opens[0] else starts, tol, -np.inf if opens[0] else anchor)
+            last = ends[1]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(at, mask=np.isnan(v))], names=[*names, "anchor"])
+
+    return df.repartition(*key).sortWithinPartitions(*key, value).mapInArrow(run, kind)
+
+
+def anchors(v: np.ndarray, starts: np.ndarray, tol: float, carried: float = -np.inf) -> tuple[np.ndarray, float]:
+    """The anchor of each of v, sorted within the parts that begin at starts, and the last part's last one; the first part goes on from one carried over."""
+    out = np.full(len(v), carried)
+    first = starts + np.add.reduceat(np.isnan(v), starts)  # nulls come first
+    end = np.append(starts[1:], len(v))
+    now = np.full(len(starts), -np.inf)
+    now[0] = carried
+    # short parts all at once, a place a step
+    at = np.flatnonzero((end - first <= SHORT) & (first < end))
+    i = first[at]
+    while len(at):
+        now[at] = np.where(v[i] - now[at] > tol, v[i], now[at])
+        out[i] = now[at]
+        more = i + 1 < end[at]
+        at, i = at[more], i[more] + 1
+    # long ones from anchor to anchor
+    for k in np.flatnonzero(end - first > SHORT):
+        j, z, a = int(first[k]), int(end[k]), now[k]
+        while j < z:
+            if v[j] - a > tol:
+                a = v[j]
+            to = j + int(np.searchsorted(v[j:z], a + tol, "right"))
+            while to < z and v[to] - a <= tol:  # the sum may round otherwise than the difference
+                to += 1
+            while to > j + 1 and v[to - 1] - a > tol:
+                to -= 1
+            to = max(to, j + 1)
+            out[j:to] = a
+            j = to
+        now[k] = a
+    return out, float(now[-1])
 
 
 def cluster_means(df: DataFrame, key: list[str], value: str, tol: float = POSITION_TOL) -> DataFrame:

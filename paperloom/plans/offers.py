@@ -85,6 +85,14 @@ def q13_widths(spark, d):
     return W.column_widths(_cells(spark, d), ["name"], 9978)
 
 
+def q13b_table_widths(spark, d):
+    """A table for each customer: their orders' keys, states, priorities and remarks of very different lengths."""
+    o = read(spark, d, "orders").select(F.col("o_custkey").alias("name"), F.col("o_orderkey").alias("row_ix"), F.array(F.col("o_orderkey").cast("string"), F.col("o_orderstatus"), F.col("o_orderpriority"), F.repeat(F.lit("remark "), (F.col("o_orderkey") % 23).cast("int")), F.repeat(F.lit("x"), (F.col("o_custkey") % 31).cast("int"))).alias("texts"))
+    head = o.select("name").distinct().select("name", F.lit(-1).cast("long").alias("row_ix"), F.array(*[F.when(F.col("name") % 4 > 0, x).otherwise("") for x in ("order", "s", "priority", "remarks", "note")]).alias("texts"))
+    cells = o.withColumn("row_ix", F.col("row_ix").cast("long")).unionByName(head).select("name", "row_ix", F.posexplode("texts").alias("col_ix", "text"))
+    return W.column_widths(cells, ["name"], 7200)
+
+
 def q14_fits(spark, d):
     p = read(spark, d, "part").select("p_size").distinct()
     return p.select("p_size", W.column_width("p_size", 10.0).alias("width"), W.fits("p_size", F.lit(9978), 10.0).alias("fits"))
@@ -103,7 +111,7 @@ def q51_colors(spark, d):
     return steps.select("color", "t", fill.alias("fill"), C.readable_on(fill, F.lit("#1A1A1A")).alias("ink"))
 
 
-QUERIES = {f.__name__: f for f in (q04_budget, q04b_covers, q05_money, q06_cents, q07_heatmap, q08_steps, q09_marks, q10_schedule, q11_demand, q12_longest, q13_widths, q14_fits, q47_template, q51_colors)}
+QUERIES = {f.__name__: f for f in (q04_budget, q04b_covers, q05_money, q06_cents, q07_heatmap, q08_steps, q09_marks, q10_schedule, q11_demand, q12_longest, q13_widths, q13b_table_widths, q14_fits, q47_template, q51_colors)}
 
 
 def _money(c: str) -> str:
@@ -124,6 +132,26 @@ _LIN = lambda e: f"(CASE WHEN {e} <= 0.03928 THEN {e} / 12.92 ELSE pow(({e} + 0.
 _CH = lambda c, k: f"(CAST(('0x' || substr({c}, {2 + 2 * k}, 2)) AS INTEGER) / 255.0::DOUBLE)"
 _LUM = lambda c: f"(0.2126::DOUBLE * {_LIN(_CH(c, 0))} + 0.7152::DOUBLE * {_LIN(_CH(c, 1))} + 0.0722::DOUBLE * {_LIN(_CH(c, 2))})"
 
+
+
+def _widths(total: int) -> str:
+    """Widths of cells: shares of what is left, the worst violator of a bound set to it, round by round."""
+    return f"""q AS (SELECT name, col_ix, greatest(CAST(max(CASE WHEN row_ix = -1 THEN length(text) END) AS DOUBLE), quantile_cont(CASE WHEN row_ix >= 0 THEN length(text) END, 0.75)) AS d, max(length(text)) AS longest, NOT bool_or(row_ix = -1 AND trim(text) <> '') AS blank FROM cells GROUP BY name, col_ix),
+k AS (SELECT *, bool_and(blank) OVER w AS kv, count(*) OVER w AS n, {_WIDE('greatest(4, least(longest, 12))')} AS floor_, {_WIDE('greatest(d, 4)')} AS hug FROM q WINDOW w AS (PARTITION BY name)),
+l AS (SELECT *, CASE WHEN sum(floor_) OVER w <= {total} THEN floor_ ELSE 0 END AS lo, sum(hug) OVER w AS hugged FROM k WINDOW w AS (PARTITION BY name)),
+b AS (SELECT *, CASE WHEN n * 0.45::DOUBLE * {total} < {total} THEN 'inf'::DOUBLE ELSE greatest(lo, least({total} * 0.45::DOUBLE, {total} - (sum(lo) OVER w - lo))) END AS hi FROM l WINDOW w AS (PARTITION BY name)),
+st AS (SELECT name, col_ix, d, lo::DOUBLE AS lo, hi, CAST(NULL AS DOUBLE) AS fixed, {total}::DOUBLE AS rest, false AS done FROM b
+ UNION ALL SELECT name, col_ix, d, lo, hi, f, rest - coalesce(sum(f) FILTER (fixed IS NULL) OVER (PARTITION BY name), 0), bool_and(f IS NOT NULL) OVER (PARTITION BY name)
+  FROM (SELECT *, CASE WHEN fixed IS NOT NULL THEN fixed WHEN worst <= 1e-9 THEN p WHEN col_ix = min(col_ix) FILTER (x = worst) OVER (PARTITION BY name) THEN CASE WHEN p < lo THEN lo ELSE hi END END AS f
+   FROM (SELECT *, max(x) OVER (PARTITION BY name) AS worst
+    FROM (SELECT *, CASE WHEN fixed IS NULL AND m > 1 THEN CASE WHEN p < lo THEN lo - p WHEN p > hi THEN p - hi ELSE 0 END ELSE 0 END AS x
+     FROM (SELECT *, CASE WHEN fixed IS NULL THEN CASE WHEN asked > 0 THEN rest * d / asked ELSE rest / m END END AS p
+      FROM (SELECT *, count(*) FILTER (fixed IS NULL) OVER (PARTITION BY name) AS m, sum(d) FILTER (fixed IS NULL) OVER (PARTITION BY name) AS asked FROM st WHERE NOT done)))))),
+f AS (SELECT b.*, st.fixed AS w FROM b JOIN st USING (name, col_ix) WHERE st.done),
+r AS (SELECT *, floor(w) AS whole, row_number() OVER (PARTITION BY name ORDER BY floor(w) - w, col_ix) AS place, {total} - sum(floor(w)) OVER (PARTITION BY name) AS more FROM f)
+SELECT name, col_ix, CAST(CASE WHEN kv AND hugged <= {total} THEN hug + CASE WHEN col_ix = n - 1 THEN {total} - hugged ELSE 0 END ELSE whole + CASE WHEN place <= more THEN 1 ELSE 0 END END AS BIGINT) AS width FROM r"""
+
+
 ORACLE = {
     "q04_budget": f"""WITH {_ROLES} SELECT prop_id, role_ix, role, hours, rate_cents, cents, {_money('cents')} AS amount FROM roles
  UNION ALL SELECT prop_id, CAST(max(role_ix) + 1 AS INTEGER), 'TOTAL', NULL, NULL, CAST(sum(cents) AS BIGINT), {_money('CAST(sum(cents) AS BIGINT)')} FROM roles GROUP BY prop_id""",
@@ -139,18 +167,10 @@ ORACLE = {
  CASE WHEN h = 0 THEN '—' ELSE CASE WHEN h % 8 = 0 THEN CAST(h // 8 AS VARCHAR) ELSE CAST(h / 8.0::DOUBLE AS VARCHAR) END || CASE WHEN h <= 8 THEN ' day / week' ELSE ' days / week' END END AS label FROM e""",
     "q11_demand": f"WITH {_CELLS} SELECT name, col_ix, greatest(CAST(max(CASE WHEN row_ix = -1 THEN length(text) END) AS DOUBLE), quantile_cont(CASE WHEN row_ix >= 0 THEN length(text) END, 0.75)) AS demand FROM cells GROUP BY name, col_ix",
     "q12_longest": f"WITH {_CELLS} SELECT name, col_ix, max(length(text)) AS longest, NOT bool_or(row_ix = -1 AND trim(text) <> '') AS blank_head FROM cells GROUP BY name, col_ix",
-    "q13_widths": f"""
-WITH {_CELLS}, q AS (SELECT name, col_ix, greatest(CAST(max(CASE WHEN row_ix = -1 THEN length(text) END) AS DOUBLE), quantile_cont(CASE WHEN row_ix >= 0 THEN length(text) END, 0.75)) AS d, max(length(text)) AS longest, NOT bool_or(row_ix = -1 AND trim(text) <> '') AS blank FROM cells GROUP BY name, col_ix),
-k AS (SELECT *, bool_and(blank) OVER w AS kv, count(*) OVER w AS n, {_WIDE('greatest(4, least(longest, 12))')} AS floor_, {_WIDE('greatest(d, 4)')} AS hug FROM q WINDOW w AS (PARTITION BY name)),
-l AS (SELECT *, CASE WHEN sum(floor_) OVER w <= 9978 THEN floor_ ELSE 0 END AS low, sum(hug) OVER w AS hugged FROM k WINDOW w AS (PARTITION BY name)),
-b AS (SELECT *, greatest(low, CASE WHEN n * 0.45::DOUBLE >= 1 THEN least(9978 * 0.45::DOUBLE, 9978 - (sum(low) OVER w - low)) ELSE 9978 - (sum(low) OVER w - low) END) AS high FROM l WINDOW w AS (PARTITION BY name)),
-bends AS (SELECT DISTINCT name, unnest([low / d, high / d]) AS bend FROM b WHERE d > 0),
-sums AS (SELECT e.name, e.bend, sum(least(high, greatest(low, e.bend * d))) AS s FROM bends e JOIN b ON b.name = e.name GROUP BY ALL),
-steps AS (SELECT *, lag(bend) OVER w AS bend0, lag(s) OVER w AS s0 FROM sums WINDOW w AS (PARTITION BY name ORDER BY bend)),
-lev AS (SELECT name, arg_min(bend0 + (bend - bend0) * (9978 - s0) / (s - s0), bend) AS level FROM steps WHERE s >= 9978 AND s0 < 9978 GROUP BY name),
-f AS (SELECT b.*, least(high, greatest(low, level * d)) AS w FROM b LEFT JOIN lev USING (name)),
-r AS (SELECT *, floor(w) AS whole, row_number() OVER (PARTITION BY name ORDER BY floor(w) - w, col_ix) AS place, 9978 - sum(floor(w)) OVER (PARTITION BY name) AS more FROM f)
-SELECT name, col_ix, CAST(CASE WHEN kv AND hugged <= 9978 THEN hug + CASE WHEN col_ix = n - 1 THEN 9978 - hugged ELSE 0 END ELSE whole + CASE WHEN place <= more THEN 1 ELSE 0 END END AS BIGINT) AS width FROM r""",
+    "q13_widths": f"WITH RECURSIVE {_CELLS}, {_widths(9978)}",
+    "q13b_table_widths": f"""WITH RECURSIVE o AS (SELECT o_custkey AS name, o_orderkey AS row_ix, [o_orderkey::VARCHAR, o_orderstatus, o_orderpriority, repeat('remark ', (o_orderkey % 23)::INTEGER), repeat('x', (o_custkey % 31)::INTEGER)] AS texts FROM orders
+ UNION ALL SELECT DISTINCT o_custkey, -1, CASE WHEN o_custkey % 4 > 0 THEN ['order', 's', 'priority', 'remarks', 'note'] ELSE ['', '', '', '', ''] END FROM orders),
+cells AS (SELECT name, row_ix, unnest(texts) AS text, generate_subscripts(texts, 1)::INTEGER - 1 AS col_ix FROM o), {_widths(7200)}""",
     "q14_fits": "SELECT DISTINCT p_size, CAST(floor((12 + p_size * 10.0::DOUBLE * 0.55::DOUBLE) * 20 + 0.5) AS BIGINT) AS width, p_size * CAST(floor((12 + 4 * 10.0 * 0.55) * 20 + 0.5) AS BIGINT) <= 9978 AS fits FROM part",
     "q47_template": f"""SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN 'Segment ' || c_mktsegment || ': ' ELSE '' END || 'Offer for ' || c_name || CASE WHEN c_custkey % 3 > 0 THEN '' ELSE ' (no segment)' END
  || ', balance ' || {_money('CAST(floor(c_acctbal * 100 + 0.5) AS BIGINT)')} || chr(10) || chr(10) || '[[0:budget]]' || chr(10) || chr(10) || 'Terms.' AS md FROM customer""",

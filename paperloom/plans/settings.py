@@ -46,13 +46,24 @@ def q37_discovered(spark, d):
 def q37b_own_outputs(spark, d):
     good, own = C.readable(_inputs(spark, d))
     rows = C.targets(good, F.array(F.lit("pdf"), F.lit("md")), F.lit("plain"), F.col("page_id") % 2 == 0)
-    return C.own_outputs(good, rows).select("page_id", "path")
+    return C.own_outputs(good, rows.withColumn("target", F.concat(F.lit("in/"), "target"))).select("page_id", "path")
 
 
-def q38_collisions(spark, d):
+def _targets(spark, d):
     good, _ = C.readable(_inputs(spark, d), "plain")
-    rows = C.targets(good.select("path").distinct(), F.array(F.lit("pdf"), F.lit("docx")), F.lit("plain"), F.endswith("path", F.lit(".md")))
-    return C.collisions(rows).select("path", "target", F.array_join("others", ",").alias("others"))
+    return C.targets(good.select("path"), F.array(F.lit("pdf"), F.lit("docx")), F.lit("plain"), F.endswith("path", F.lit(".md")))
+
+
+def q38_collisions(spark, d):
+    return C.collisions(_targets(spark, d))[1].select("path", "target", "n_sources", C.others(F.col("path")).alias("others"))
+
+
+def q38b_shared_targets(spark, d):
+    """Orders as inputs named after their customer's segment and priority: few targets with very many sources."""
+    o = read(spark, d, "orders").join(read(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")
+    path = F.concat(F.lit("in/"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"), F.lit("/"), F.translate("c_mktsegment", " ", "_"), F.lit("-"), F.substring("o_orderpriority", 1, 1), F.lit(".md"))
+    rows = C.targets(o.select(path.alias("path")), F.array(F.lit("docx")), F.lit("plain"), F.lit(False))
+    return C.collisions(rows)[0].select("target", "n_sources", F.array_join("first_sources", ",").alias("first_sources"))
 
 
 def q39_messages(spark, d):
@@ -98,7 +109,7 @@ def q52_images(spark, d):
     return rows.select("p_partkey", F.col("size.type").alias("type"), F.col("size.width").alias("width"), F.col("size.height").alias("height"))
 
 
-QUERIES = {f.__name__: f for f in (q35_precedence, q36_unknown_keys, q36b_sidecar_violations, q37_discovered, q37b_own_outputs, q38_collisions, q39_messages, q40_refused_links, q41_hosts, q42_plain_text, q43_entities, q50_exit_codes, q52_images)}
+QUERIES = {f.__name__: f for f in (q35_precedence, q36_unknown_keys, q36b_sidecar_violations, q37_discovered, q37b_own_outputs, q38_collisions, q38b_shared_targets, q39_messages, q40_refused_links, q41_hosts, q42_plain_text, q43_entities, q50_exit_codes, q52_images)}
 
 _INPUTS = """i AS (SELECT page_id, 'in/' || regexp_extract(url, '^[^?#]*/([0-9]+)', 1) || ['.md', '.DOCX', '.plain.pdf', '.xlsx', '.html', ''][page_id % 6 + 1] AS path FROM pages WHERE regexp_extract(url, '^[^?#]*/([0-9]+)', 1) <> ''),
 g AS (SELECT *, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]+$', '') AS stem FROM i WHERE page_id % 6 < 4)"""
@@ -120,9 +131,14 @@ SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'x' ELSE array_to_string(list_s
 SELECT CAST(event_id AS VARCHAR) AS path, unnest(CASE event_id % 4 WHEN 0 THEN ['title: expected string', 'unknown key x', 'to: unknown format svg'] WHEN 1 THEN ['the settings file must hold one JSON object'] ELSE [] END) AS why FROM events""",
     "q37_discovered": f"WITH {_INPUTS} SELECT page_id, path, page_id % 6 = 2 AS own_output FROM g",
     "q37b_own_outputs": f"""WITH {_INPUTS}, t AS (SELECT path AS src, unnest(['pdf', 'md']) AS f, stem, page_id FROM g), n AS (SELECT src, stem || CASE WHEN page_id % 2 = 0 THEN '' ELSE '.plain' END || '.' || f AS target FROM t)
- SELECT page_id, path FROM g WHERE EXISTS (SELECT 1 FROM n WHERE n.target = regexp_extract(g.path, '([^/]*)$', 1) AND n.src <> g.path)""",
-    "q38_collisions": f"""WITH {_INPUTS}, s AS (SELECT DISTINCT path, stem FROM g WHERE page_id % 6 <> 2), t AS (SELECT path, stem || CASE WHEN path LIKE '%.md' THEN '' ELSE '.plain' END || '.' || unnest(['pdf', 'docx']) AS target FROM s)
- SELECT a.path, a.target, string_agg(DISTINCT b.path, ',' ORDER BY b.path) AS others FROM t a JOIN t b ON a.target = b.target AND a.path <> b.path GROUP BY a.path, a.target""",
+ SELECT page_id, path FROM g WHERE EXISTS (SELECT 1 FROM n WHERE 'in/' || n.target = g.path AND n.src <> g.path)""",
+    "q38_collisions": f"""WITH {_INPUTS}, s AS (SELECT DISTINCT path, stem FROM g WHERE page_id % 6 <> 2), t AS (SELECT path, stem || CASE WHEN path LIKE '%.md' THEN '' ELSE '.plain' END || '.' || unnest(['pdf', 'docx']) AS target FROM s),
+ o AS (SELECT a.path, a.target, list(DISTINCT b.path ORDER BY b.path) AS x FROM t a JOIN t b ON a.target = b.target AND a.path <> b.path GROUP BY a.path, a.target)
+ SELECT path, target, len(x) + 1 AS n_sources, array_to_string(x[1:20], ', ') || CASE WHEN len(x) > 20 THEN ' …and ' || (len(x) - 20) || ' more' ELSE '' END AS others FROM o""",
+    "q38b_shared_targets": """
+WITH s AS (SELECT replace(c_mktsegment, ' ', '_') || '-' || substr(o_orderpriority, 1, 1) AS stem, 'in/' || lpad(o_orderkey::VARCHAR, 12, '0') || '/' AS dir FROM orders JOIN customer ON c_custkey = o_custkey),
+t AS (SELECT stem || '.plain.docx' AS target, dir || stem || '.md' AS path FROM s)
+SELECT target, count(*) AS n_sources, array_to_string((list(path ORDER BY path))[1:21], ',') AS first_sources FROM t GROUP BY target HAVING count(*) > 1""",
     "q39_messages": """
 WITH e AS (SELECT 'lost a very long explanation of ' || event_type || ' ' || (user_id % 7) AS m, 'doc' || (event_id % 500) AS f FROM events),
 t AS (SELECT CASE WHEN length(m) > 40 THEN left(m, 40) || '…' ELSE m END AS message, f FROM e),

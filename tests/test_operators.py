@@ -157,6 +157,33 @@ def test_clusters_are_anchored(spark):
     assert rows(P.cluster_means(df, ["k"], "v"), "v") == [(1, 0.0, 0.75), (1, 1.5, 0.75), (1, 3.0, 3.0), (1, 10.0, 10.0)]
 
 
+def test_anchors_of_many_keys_and_batches(spark):
+    rnd = random.Random(6)
+    data = [(k, rnd.choice((None, rnd.random() * 40, float(rnd.randrange(30))))) for k in [None, *range(30)] for _ in range(rnd.choice((0, 1, 7, 90, 400)))]
+    want = set()
+    for k in {k for k, _ in data}:
+        a = None
+        for v in sorted({v for i, v in data if i == k and v is not None}):
+            a = v if a is None or v - a > 2.0 else a
+            want.add((k, v, a))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for size in ("10000", "13"):
+            spark.conf.set(name, size)
+            got = P.anchored(spark.createDataFrame(data, "k int, v double"), ["k"], "v", 2.0).collect()
+            assert {tuple(r) for r in got if r.v is not None} == want and len(got) == len(data)
+            assert all(r.anchor is None for r in got if r.v is None)
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_a_key_with_a_million_values(spark):
+    df = spark.range(1_000_000).select(F.lit(1).alias("k"), (F.col("id") * 0.75).alias("value"), F.col("id").alias("rect_ix"))
+    got = P.cluster_edges(df, ["k"]).agg(F.count("*"), F.min("n_rects"), F.max("n_rects"), F.max("anchor")).first()
+    assert tuple(got) == (333_334, 1, 3, 999_999 * 0.75)
+
+
 def run(page, ix, text, x, y):
     return (1, page, ix, text, float(x), float(y), 10.0)
 
@@ -247,24 +274,33 @@ def test_filling_adds_up(seed):
     assert sum(W.fill(9000, demand, [rnd.choice((300, 700, 1600)) for _ in range(n)])) == 9000
 
 
-@pytest.mark.parametrize("seed", range(40))
-def test_fill_is_the_proportional_fill_within_bounds(seed):
-    """One level for all columns between their bounds, found here by bisection."""
-    import numpy as np
-
-    rng = np.random.default_rng(seed)
-    n = int(rng.integers(1, 9))
-    total = float(rng.integers(2000, 12000))
-    demand, floor = rng.integers(1, 120, n).astype(float), rng.integers(100, 1600, n).astype(float)
-    low, high = W.bounds(total, floor)
-    a, z = 0.0, total
-    for _ in range(200):
-        mid = (a + z) / 2
-        a, z = (mid, z) if np.clip(mid * demand, low, high).sum() < total else (a, mid)
-    want = np.clip(z * demand, low, high)
-    got = W.fill(total, demand.tolist(), floor.tolist())
-    assert sum(got) == int(total) and np.abs(np.array(got) - want).max() < 1.001
-    assert (low <= high).all() and high.sum() >= total - 1e-6
+def test_fill_clamps_the_worst_violator_first():
+    # by hand: 6000 in shares of 100:10:10:10 is 4615, 462, 462, 462; the first is furthest beyond (2700), the rest share 3300
+    assert W.fill(6000, [100, 10, 10, 10], [500, 500, 500, 500]) == [2700, 1100, 1100, 1100]
+    # 1000 in shares of 50:1:1:1 is 943, 19, 19, 19; the first goes to 1000 - 3 * 200 = 400
+    assert W.fill(1000, [50, 1, 1, 1], [200, 200, 200, 200]) == [400, 200, 200, 200]
+    # two columns have no ceiling; the small one gets its floor
+    assert W.fill(1000, [99, 1], [100, 100]) == [900, 100]
+    # floors that leave a column less than the ceiling bound it
+    assert W.fill(1000, [90, 5, 5], [100, 300, 400]) == [300, 300, 400]
+
+
+def test_widths_of_many_tables(spark):
+    """The array expression against the loop, for tables of one to eleven columns."""
+    rnd = random.Random(8)
+    cells, want = [], {}
+    for k in range(150):
+        n = rnd.randrange(1, 12)
+        blank = rnd.random() < 0.2
+        grid = [["" if blank else "h" * rnd.choice((0, 3, 20)) for _ in range(n)]] + [["x" * rnd.choice((0, 1, 5, 14, 60, 300)) for _ in range(n)] for _ in range(rnd.randrange(1, 5))]
+        cells += [(k, r, c, t) for r, row in enumerate(grid, -1) for c, t in enumerate(row)]
+        columns = list(zip(*grid, strict=True))
+        demand = [max(len(c[0]), float(np.percentile([len(x) for x in c[1:]], 75))) for c in columns]
+        want[k] = W.solve(demand, [max(map(len, c)) for c in columns], all(not c[0].strip() for c in columns), 9978, 10.0)
+    got = {}
+    for r in W.column_widths(spark.createDataFrame(cells, "k int, row_ix int, col_ix int, text string"), ["k"], 9978).orderBy("k", "col_ix").collect():
+        got.setdefault(r.k, []).append(r.width)
+    assert got == want and all(sum(w) == 9978 for w in got.values())
 
 
 def test_fill_without_demand_and_with_floors_that_do_not_fit():
@@ -341,12 +377,33 @@ def test_names_and_collisions(spark):
     assert {r.path for r in good.collect()} == {"d/a.md", "d/a.docx", "d/E.XLSX"}
     assert {r.path for r in own.collect()} == {"d/b.plain.pdf"}
     t = C.targets(good, F.array(F.lit("pdf")), F.lit("plain"), F.lit(False))
-    assert rows(C.collisions(t).select("path", "others"), "path") == [("d/a.docx", ["d/a.md"]), ("d/a.md", ["d/a.docx"])]
+    classes, members = C.collisions(t)
+    assert rows(classes, "target") == [("a.plain.pdf", 2, ["d/a.docx", "d/a.md"])]
+    assert rows(members.select("path", C.others(F.col("path"))), "path") == [("d/a.docx", "d/a.md"), ("d/a.md", "d/a.docx")]
     assert [r[0] for r in df.select(C.sidecar_path("path")).collect()][:1] == ["d/a.settings.json"]
     p = spark.createDataFrame([("x/o.proposal.json",)], "path string")
     assert p.select(C.proposal_stem("path")).first()[0] == "o"
 
 
+def test_a_target_of_very_many_sources_stays_linear(spark):
+    df = spark.range(100_000).select(F.format_string("in/%06d/x.md", "id").alias("path"), F.lit("x.pdf").alias("target"))
+    classes, members = C.collisions(df.unionByName(df.limit(10)))
+    one = classes.first()
+    assert (one.n_sources, len(one.first_sources), classes.count()) == (100_000, 21, 1)
+    told = members.select("path", C.others(F.col("path")).alias("o")).agg(F.count("*"), F.max(F.length("o")), F.min("o")).first()
+    assert told[0] == 100_000 and told[1] < 400 and told[2].startswith("in/000000/x.md, in/000001") and told[2].endswith(" …and 99979 more")
+
+
+def test_messages_name_the_first_files_and_count_all(spark):
+    rows_ = [("m", f"f{k:03}") for k in range(30) for _ in range(2)] + [("n", "a"), (None, "b"), ("m", None), ("o", None)]
+    got = {r.message: (r.n, r.files) for r in C.group_messages(spark.createDataFrame(rows_, "message string, file string")).collect()}
+    assert got["m"] == (60, ", ".join(f"f{k:03}" for k in range(10) for _ in range(2)) + " …and 40 more")
+    assert got["n"] == (1, "a") and got[None] == (1, "b") and set(got) == {"m", "n", None}
+    # rows beyond the first are dropped before and after the exchange
+    plan = C.group_messages(spark.createDataFrame(rows_, "message string, file string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+
+
 def test_exit_codes_and_listing(spark):
     df = spark.createDataFrame([("a", "ok"), ("a", "refused"), ("b", "failed"), ("b", "refused"), ("c", "ok")], "k string, status string")
     assert {r.k: r.exit_code for r in C.exit_code(df, ["k"]).collect()} == {"a": 3, "b": 1, "c": 0}

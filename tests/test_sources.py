@@ -366,7 +366,7 @@ def test_inspect_and_build(spark, tmp_path):
     main, links = made["a.plain.docx"].read("word/document.xml").decode(), made["a.plain.docx"].read("word/_rels/document.xml.rels").decode()
     assert 'Target="http://x" TargetMode="External"' in links and "w:hyperlink" in main and "Courier New" in main and "word/media/image1.gif" in made["a.plain.docx"].namelist()
     assert 'w:type="dxa"' in made["c.plain.docx"].read("word/document.xml").decode()
-    assert jobs.summary(results).first().exit_code == 3
+    assert jobs.summary(results)[0].first().exit_code == 3
 
 
 def test_settings_files_and_refused_targets(spark, tmp_path):
@@ -383,7 +383,7 @@ def test_settings_files_and_refused_targets(spark, tmp_path):
     assert got["a.md"][0] == got["a.docx"][0] == "refused" and "a.docx" in got["a.md"][1]
     assert got["b.md"][:2] == ("failed", "unknown key titel")
     assert got["c.plain.md"][0] == "own output" and got["c.md"] == ("ok", None, ["c.plain.md"])
-    assert jobs.summary(results).first().exit_code == 1
+    assert jobs.summary(results)[0].first().exit_code == 1
     (tmp_path / "a.docx").unlink()
     outputs, got, _ = results_of(spark, tmp_path)
     assert got["a.md"] == ("ok", None, ["a.plain.md"])
