@@ -38,16 +38,21 @@ def zoned(runs: DataFrame, xs: DataFrame, ys: DataFrame) -> DataFrame:
 
 
 def free_tables(placed: DataFrame) -> DataFrame:
-    """(doc_id, page, free): whether only repeated furniture lies between a page's grid and the grid before it.
+    """(doc_id, page, free): whether only repeated furniture lies between a page's grid and the grid before it,
+    on pages without a grid between them too.
 
-    placed(doc_id, page, zone, has_grid, repeated). On pages between them nothing may stand at all.
+    placed(doc_id, page, zone, has_grid, repeated). What else stands on a page is counted, carried up to its
+    grid and compared with the count behind the last grid.
     """
     other = lambda zone: F.count_if(F.col("has_grid") & (F.col("zone") == zone) & ~F.col("repeated"))
-    pages = placed.groupBy(*KEY).agg(F.max("has_grid").alias("has_grid"), other(0).alias("above"), other(2).alias("below"), F.count_if(~F.col("has_grid")).alias("bare"))
+    bare = F.count_if(~F.col("has_grid") & ~F.col("repeated"))
+    pages = placed.groupBy(*KEY).agg(F.max("has_grid").alias("has_grid"), other(0).alias("above"), other(2).alias("below"), bare.alias("bare"))
     up_to = Window.partitionBy("doc_id").orderBy("page")
     total = F.sum(F.col("above") + F.col("below") + F.col("bare")).over(up_to.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    grids = pages.withColumn("before_below", total - F.col("below")).where("has_grid")
-    return grids.select(*KEY, F.coalesce(F.col("before_below") - F.lag("before_below").over(up_to) == 0, F.lit(False)).alias("free"))
+    # as of the last page with a grid: what was counted before its own lower part
+    passed = pages.withColumn("passed", F.when(F.col("has_grid"), total - F.col("below")))
+    last = F.last("passed", ignorenulls=True).over(up_to.rowsBetween(Window.unboundedPreceding, -1))
+    return passed.withColumn("last", last).where("has_grid").select(*KEY, F.coalesce(F.col("passed") == F.col("last"), F.lit(False)).alias("free"))
 
 
 def chrome(runs: DataFrame, rules: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -80,9 +85,11 @@ def assemble(runs: DataFrame, xs: DataFrame, ys: DataFrame, cells: DataFrame) ->
     tables = kept(tables)
     numbered = tables.join(P.continue_tables(tables, ["doc_id"]), KEY)
     ordered = Window.partitionBy("doc_id").orderBy("page")
-    numbered = numbered.withColumns({"joins": F.col("table_no").eqNullSafe(F.lag("table_no").over(ordered)), "goes_on": F.col("table_no").eqNullSafe(F.lead("table_no").over(ordered))})
+    next_page = F.lead("page").over(ordered) == F.col("page") + 1
+    numbered = numbered.withColumns({"joins": F.col("table_no").eqNullSafe(F.lag("table_no").over(ordered)), "goes_on": next_page & F.col("table_no").eqNullSafe(F.lead("table_no").over(ordered))})
 
-    # between the halves of a joined table furniture is not printed again, on either page
+    # between the halves of a joined table furniture is not printed again, on either page; that of pages without a grid
+    # between them stays, and the gate then refuses the document, whose source has it in the midst of the table
     numbered = kept(numbered)
     marks = numbered.select(*KEY, "joins", "goes_on")
     out = (F.col("joins") & (F.col("zone") == 0)) | (F.col("goes_on") & (F.col("zone") == 2))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import assembly as A
 from ..operators import numbering as N
 from ..operators import pages as P
 from .base import read
@@ -12,7 +13,7 @@ from .base import read
 def _page_runs(spark, d):
     p = read(spark, d, "pages")
     text = F.concat(F.lit("<"), F.col("piece"))
-    pieces = p.select((F.col("page_id") % 5).alias("doc_id"), F.col("page_id").alias("page"), F.posexplode(F.slice(F.split("html", "<"), 2, 2147483647)).alias("run_ix", "piece"))
+    pieces = p.select(F.floor(F.col("page_id") / 5).alias("doc_id"), F.col("page_id").alias("page"), F.posexplode(F.slice(F.split("html", "<"), 2, 2147483647)).alias("run_ix", "piece"))
     return pieces.select("doc_id", "page", "run_ix", text.alias("text"), (F.col("run_ix") % 3 * 100).cast("double").alias("x"), (F.lit(5000.0) - F.col("run_ix") * 10).alias("y"))
 
 
@@ -22,8 +23,8 @@ def q23_repeated(spark, d):
 
 
 def q24_chrome(spark, d):
-    e = read(spark, d, "events").select(F.pmod("user_id", F.lit(50)).alias("doc_id"), F.col("event_type").alias("page"), F.col("value").alias("y"))
-    above = F.when(F.col("doc_id") % 3 > 0, F.lit(90.0) + F.col("doc_id") * 10)
+    e = read(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("page"), F.col("value").alias("y"))
+    above = F.when(F.col("doc_id") % 3 > 0, F.lit(90.0) + F.col("doc_id") % 50 * 10)
     below = F.when(F.col("doc_id") % 3 > 1, F.lit(5.0))
     return P.chrome_report(P.split_chrome(e, above, below), ["doc_id"], above, below).select("doc_id", "status", "n_removed", "n_pages", "y_min", "y_max")
 
@@ -101,6 +102,17 @@ def q30_table_continues(spark, d):
     return P.continue_tables(t, ["doc_id"]).select("doc_id", "page", "table_no")
 
 
+def q30c_over_pages(spark, d):
+    """Customers' orders as pages: grids, pages of furniture only and pages with a text of their own between them."""
+    o = read(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("page"), (F.col("o_orderkey") % 4 > 0).alias("has_grid"))
+    run = lambda zone, repeated: F.struct(F.lit(zone).alias("zone"), repeated.alias("repeated"))
+    of_grid = F.array(run(0, F.lit(True)), run(0, F.col("page") % 11 > 0), run(1, F.lit(False)), run(2, F.col("page") % 13 > 0))
+    runs = F.when(F.col("has_grid"), of_grid).otherwise(F.array(run(0, F.lit(True)), run(0, F.col("page") % 3 > 0)))
+    placed = o.select("doc_id", "page", "has_grid", F.explode(runs).alias("r")).select("doc_id", "page", "has_grid", "r.zone", "r.repeated")
+    tables = A.free_tables(placed).withColumns({"head": F.array((F.col("page") % 17).cast("string"), F.lit("b")), "xs": F.array(F.lit(0.0), (F.col("page") % 3) * 2.0)})
+    return P.continue_tables(tables, ["doc_id"]).join(tables, ["doc_id", "page"]).select("doc_id", "page", "free", "table_no")
+
+
 def q30b_join_anchor(spark, d):
     e = read(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("block_ix"), "event_type")
     return P.join_anchor(e, ["doc_id"], F.col("event_type") == "error").select("doc_id", "block_ix", "anchor_ix")
@@ -143,7 +155,7 @@ def q34_merge_adjacent(spark, d):
     return N.merge_adjacent(e, ["user_id"], "event_id", F.col("event_type")).select("user_id", "event_id", "path", "text")
 
 
-QUERIES = {f.__name__: f for f in (q23_repeated, q24_chrome, q25_clusters, q25b_cluster_means, q26_bands, q26b_grid_lines, q27_components, q27b_largest, q28_heading_levels, q28b_prose, q29_reading_order, q30_table_continues, q30b_join_anchor, q31_numbering, q31b_levels, q32_islands, q32b_sections, q34_merge_adjacent)}
+QUERIES = {f.__name__: f for f in (q23_repeated, q24_chrome, q25_clusters, q25b_cluster_means, q26_bands, q26b_grid_lines, q27_components, q27b_largest, q28_heading_levels, q28b_prose, q29_reading_order, q30_table_continues, q30b_join_anchor, q30c_over_pages, q31_numbering, q31b_levels, q32_islands, q32b_sections, q34_merge_adjacent)}
 
 _ANCHORS = lambda src, key, tol: f"an AS (SELECT {key} AS k, min(v) AS a FROM {src} GROUP BY 1 UNION ALL SELECT an.k, (SELECT min(v) FROM {src} s WHERE s.{key} = an.k AND s.v - an.a > {tol}) FROM an WHERE an.a IS NOT NULL)"
 _ORDER_RECTS = "r AS (SELECT l_orderkey AS page, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + l_suppkey AS i, l_quantity * 3 AS x0, floor(l_discount * 100 + 0.5) * 6 AS y0 FROM lineitem)"
@@ -156,12 +168,12 @@ _SIZES = "n AS (SELECT p_brand AS doc, p_size * 2 AS half_pt, count(*) AS n, min
 
 ORACLE = {
     "q23_repeated": """
-WITH f AS (SELECT page_id % 5 AS doc_id, page_id, unnest(string_split(html, '<')[2:]) AS piece, generate_subscripts(string_split(html, '<')[2:], 1) - 1 AS i FROM pages),
-n AS (SELECT page_id % 5 AS doc_id, count(*) AS n FROM pages GROUP BY 1)
+WITH f AS (SELECT page_id // 5 AS doc_id, page_id, unnest(string_split(html, '<')[2:]) AS piece, generate_subscripts(string_split(html, '<')[2:], 1) - 1 AS i FROM pages),
+n AS (SELECT page_id // 5 AS doc_id, count(*) AS n FROM pages GROUP BY 1)
 SELECT f.doc_id, string_agg(DISTINCT '<' || piece, '¦' ORDER BY '<' || piece) AS texts, CAST(i % 3 * 100 AS DOUBLE) AS x, CAST(5000 - i * 10 AS DOUBLE) AS y_top, CAST(5000 - i * 10 AS DOUBLE) AS y_bottom, count(DISTINCT page_id) AS pages
 FROM f JOIN n ON f.doc_id = n.doc_id GROUP BY f.doc_id, i, n.n HAVING count(DISTINCT page_id) = n.n AND n.n >= 2 AND count(DISTINCT regexp_replace(piece, '[0-9]+', '', 'g')) = 1""",
     "q24_chrome": """
-WITH e AS (SELECT user_id % 50 AS doc_id, event_type, value AS y, CASE WHEN user_id % 50 % 3 > 0 THEN 90.0 + user_id % 50 * 10 END AS a, CASE WHEN user_id % 50 % 3 > 1 THEN 5.0 END AS b FROM events),
+WITH e AS (SELECT user_id AS doc_id, event_type, value AS y, CASE WHEN user_id % 3 > 0 THEN 90.0 + user_id % 50 * 10 END AS a, CASE WHEN user_id % 3 > 1 THEN 5.0 END AS b FROM events),
 s AS (SELECT *, coalesce(y > a, false) OR coalesce(y < b, false) AS removed FROM e)
 SELECT doc_id, CASE WHEN count(*) FILTER (removed) > 0 THEN 'removed' WHEN max(a) IS NOT NULL THEN 'inert' WHEN count(DISTINCT event_type) < 2 THEN 'single page' ELSE 'advisory' END AS status,
  count(*) FILTER (removed) AS n_removed, count(DISTINCT event_type) AS n_pages, min(y) AS y_min, max(y) AS y_max FROM s GROUP BY doc_id""",
@@ -200,6 +212,16 @@ f AS (SELECT doc_id, page, r, c, h, x, 1 AS no FROM t WHERE r = 1
  UNION ALL SELECT t.doc_id, t.page, t.r, CASE WHEN g THEN f.c ELSE t.c END, CASE WHEN g THEN f.h ELSE t.h END, t.x, CASE WHEN g THEN f.no ELSE f.no + 1 END
  FROM f JOIN (SELECT * FROM t) t ON t.doc_id = f.doc_id AND t.r = f.r + 1, LATERAL (SELECT t.free AND f.c = t.c AND f.h <> t.h AND abs(f.x - t.x) <= 3 AS g))
 SELECT doc_id, page, CAST(no AS BIGINT) AS table_no FROM f""",
+    "q30c_over_pages": """
+WITH RECURSIVE p AS (SELECT o_custkey AS doc_id, o_orderkey AS page, o_orderkey % 4 > 0 AS g, CASE WHEN o_orderkey % 4 > 0 THEN CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS above,
+ CASE WHEN o_orderkey % 4 > 0 AND o_orderkey % 13 = 0 THEN 1 ELSE 0 END AS below FROM orders),
+b AS (SELECT a.doc_id, a.page, max(b.page) AS prev FROM p a LEFT JOIN p b ON a.doc_id = b.doc_id AND b.page < a.page AND b.g WHERE a.g GROUP BY ALL),
+fr AS (SELECT b.doc_id, b.page, b.prev IS NOT NULL AND NOT EXISTS (SELECT 1 FROM p x WHERE x.doc_id = b.doc_id AND (x.page > b.prev AND x.page <= b.page AND x.above > 0 OR x.page >= b.prev AND x.page < b.page AND x.below > 0)) AS free FROM b),
+t AS (SELECT *, page % 17 AS h, (page % 3) * 2 AS x, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS r FROM fr),
+f AS (SELECT doc_id, page, free, r, h, x, 1 AS no FROM t WHERE r = 1
+ UNION ALL SELECT t.doc_id, t.page, t.free, t.r, CASE WHEN g THEN f.h ELSE t.h END, t.x, CASE WHEN g THEN f.no ELSE f.no + 1 END
+ FROM f JOIN (SELECT * FROM t) t ON t.doc_id = f.doc_id AND t.r = f.r + 1, LATERAL (SELECT t.free AND f.h <> t.h AND abs(f.x - t.x) <= 3 AS g))
+SELECT doc_id, page, free, CAST(no AS BIGINT) AS table_no FROM f""",
     "q30b_join_anchor": """
 SELECT user_id AS doc_id, event_id AS block_ix, max(CASE WHEN event_type <> 'error' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id) AS anchor_ix FROM events""",
     "q31_numbering": """

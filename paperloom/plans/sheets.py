@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import letters_to_index
@@ -12,10 +13,12 @@ KEY = ["sheet"]
 
 
 def _cells(spark, d):
-    """Orders as the sheets of customers: an empty column, blank rows and a caption above them."""
-    o = read(spark, d, "orders")
-    body = o.select((F.col("o_custkey") % 50).alias("sheet"), (F.col("o_orderkey") + 10).alias("row"), F.posexplode(F.array(F.col("o_orderstatus"), F.lit(""), F.col("o_orderpriority"), F.col("o_totalprice").cast("string"))).alias("col", "text"))
-    heads = o.select((F.col("o_custkey") % 50).alias("sheet")).distinct()
+    """Orders as the sheets of customers, one each: an empty column, blank rows and a caption above them. The
+    orders of every fourth lie far apart, so that its sheet is too large."""
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    o = read(spark, d, "orders").withColumn("row", F.when(F.col("o_custkey") % 4 == 0, F.col("o_orderkey")).otherwise(place) + 10)
+    body = o.select(F.col("o_custkey").alias("sheet"), "row", F.posexplode(F.array(F.col("o_orderstatus"), F.lit(""), F.col("o_orderpriority"), F.col("o_totalprice").cast("string"))).alias("col", "text"))
+    heads = o.select(F.col("o_custkey").alias("sheet")).distinct()
     top = heads.select("sheet", F.explode(F.lit([0, 1, 2, 3])).alias("row"))
     caption = top.select("sheet", F.col("row").cast("long").alias("row"), F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.when((F.col("row") == 2) & F.lit(c == 0), "Register").when(F.col("row") == 3, F.lit(["status", "", "priority", "total"][c])).otherwise("").alias("text")) for c in range(4)])).alias("x")).select("sheet", "row", "x.col", "x.text")
     return body.unionByName(caption).withColumn("is_numeric", (F.col("col") == 3) & (F.col("row") > 3))
@@ -61,7 +64,7 @@ def q20_serial_dates(spark, d):
 
 
 def q21_shared_strings(spark, d):
-    e = read(spark, d, "events").select((F.col("user_id") % 20).alias("doc_id"), "event_id", F.pmod("event_id", F.lit(6)).cast("int").alias("ix"))
+    e = read(spark, d, "events").select(F.col("user_id").alias("doc_id"), "event_id", F.pmod("event_id", F.lit(6)).cast("int").alias("ix"))
     strings = e.select("doc_id").distinct().select("doc_id", F.posexplode(F.lit(["signup", "error", "click", "view"])).alias("ix", "text"))
     return S.shared_strings(e, strings, ["doc_id"]).select("event_id", "text", "missed")
 
@@ -84,11 +87,11 @@ def q22b_merges(spark, d):
 
 QUERIES = {f.__name__: f for f in (q15_kept_columns, q15b_used_range, q16_preamble, q17_headers, q18_trimmed, q18b_refusals, q19_references, q20_serial_dates, q21_shared_strings, q22_date_formats, q22b_merges)}
 
-_C = """c AS (SELECT o_custkey % 50 AS sheet, o_orderkey + 10 AS row, unnest([0, 1, 2, 3]) AS col, unnest([o_orderstatus, '', o_orderpriority, 'n']) AS text, unnest([false, false, false, true]) AS num FROM orders
- UNION ALL SELECT sheet, r, k, CASE WHEN r = 2 AND k = 0 THEN 'Register' WHEN r = 3 THEN ['status', '', 'priority', 'total'][k + 1] ELSE '' END, false FROM (SELECT DISTINCT o_custkey % 50 AS sheet FROM orders), range(0, 4) a(r), range(0, 4) b(k))"""
+_C = """c AS (SELECT o_custkey AS sheet, CASE WHEN o_custkey % 4 = 0 THEN o_orderkey ELSE row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) END + 10 AS row, unnest([0, 1, 2, 3]) AS col, unnest([o_orderstatus, '', o_orderpriority, 'n']) AS text, unnest([false, false, false, true]) AS num FROM orders
+ UNION ALL SELECT sheet, r, k, CASE WHEN r = 2 AND k = 0 THEN 'Register' WHEN r = 3 THEN ['status', '', 'priority', 'total'][k + 1] ELSE '' END, false FROM (SELECT DISTINCT o_custkey AS sheet FROM orders), range(0, 4) a(r), range(0, 4) b(k))"""
 _IX = lambda n: f"((({n}) % 26 + 1) * 26 + (({n}) * 7) % 26)"
 ORACLE = {
-    "q15_kept_columns": """WITH o AS (SELECT o_custkey % 50 AS sheet, o_orderstatus, o_orderpriority, CAST(o_totalprice AS VARCHAR) AS v FROM orders)
+    "q15_kept_columns": """WITH o AS (SELECT o_custkey AS sheet, o_orderstatus, o_orderpriority, CAST(o_totalprice AS VARCHAR) AS v FROM orders)
  SELECT sheet, 0 AS col, count(*) + 4 AS n, greatest(max(o_orderstatus), 'status') AS largest FROM o GROUP BY sheet
  UNION ALL SELECT sheet, 1, count(*) + 4, greatest(max(o_orderpriority), 'priority') FROM o GROUP BY sheet UNION ALL SELECT sheet, 2, count(*) + 4, 'total' FROM o GROUP BY sheet""",
     "q15b_used_range": f"WITH {_C} SELECT sheet, min(row) AS r1, max(row) AS r2, min(CAST(col AS INTEGER)) AS c1, max(CAST(col AS INTEGER)) AS c2, count(*) AS n_cells FROM c GROUP BY sheet",

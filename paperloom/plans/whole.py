@@ -27,8 +27,8 @@ TEXT_ROWS = 9  # customers on a page
 
 
 def _grid(spark, d):
-    """Customers as pages of a grid: three boxes a row; the second cell has two lines."""
-    c = read(spark, d, "customer").select((F.col("c_custkey") % 40).alias("doc_id"), F.floor(F.col("c_custkey") / 400).alias("page"), F.floor(F.col("c_custkey") / 40).alias("k"), "c_custkey", "c_name", F.concat(F.lit("nation "), F.col("c_nationkey").cast("string")).alias("note"), "c_mktsegment")
+    """Customers as documents of four pages of a grid: three boxes a row; the second cell has two lines."""
+    c = read(spark, d, "customer").select((F.floor(F.col("c_custkey") / 1600) * 40 + F.col("c_custkey") % 40).alias("doc_id"), (F.floor(F.col("c_custkey") / 400) % 4).alias("page"), F.floor(F.col("c_custkey") / 40).alias("k"), "c_custkey", "c_name", F.concat(F.lit("nation "), F.col("c_nationkey").cast("string")).alias("note"), "c_mktsegment")
     y = F.lit(700.0) - (F.col("k") % 10) * 30
     box = F.explode(F.array(*[F.struct(F.lit(50.0 + 100 * i).alias("x0"), F.lit(150.0 + 100 * i).alias("x1")) for i in range(3)])).alias("b")
     rects = c.select("doc_id", "page", "c_custkey", y.alias("y"), box).select("doc_id", "page", (F.col("c_custkey") * 10 + F.floor(F.col("b.x0") / 100)).alias("rect_ix"), "b.x0", F.col("y").alias("y0"), "b.x1", (F.col("y") + 30).alias("y1"))
@@ -82,10 +82,12 @@ def q03b_gate(spark, d):
 
 
 def q70_closed_tops(spark, d):
+    """Pages whose topmost band a box spans; the boxes of every third customer end below its line."""
+    key = ["doc_id", "page"]
     rects, _ = _grid(spark, d)
-    ys = rects.select("page", F.explode(F.array("y0", "y1")).alias("value")).distinct().select("page", (F.row_number().over(P.Window.partitionBy("page").orderBy("value")) - 1).alias("ix"), "value")
-    odd = rects.where("page % 2 = 0 or y1 < 730").select("page", "x0", "y0", "x1", "y1")
-    return P.closed_at_top(odd, ys, ["page"]).select("page")
+    ys = rects.select(*key, F.explode(F.array("y0", "y1")).alias("value")).distinct().select(*key, (F.row_number().over(P.Window.partitionBy(*key).orderBy("value")) - 1).alias("ix"), "value")
+    low = rects.withColumn("y1", F.col("y1") - F.when(F.floor(F.col("rect_ix") / 10) % 3 == 0, 5).otherwise(0))
+    return P.closed_at_top(low, ys, key)
 
 
 # --- files
@@ -96,7 +98,7 @@ def q59_workbooks(spark, d):
     o = read(spark, d, "orders")
     day = F.datediff("o_orderdate", F.lit("1899-12-30").cast("date"))
     row = F.struct(F.col("o_orderkey").alias("number"), day.alias("day"), F.col("o_orderpriority").alias("shared"), F.col("o_orderstatus").alias("text"))
-    books = o.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.slice(F.array_sort(F.collect_list(row)), 1, 150).alias("rows"))
+    books = o.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
     make = lambda doc_id, rows: [{"doc_id": doc_id, "content": made.workbook(f"Customer {doc_id}", ["key", "day", "priority", "status"], [tuple(r.values()) for r in rows])}]
     got = archive.workbook_blocks(kept(rows_by_document(books, make, "doc_id long, content binary")))
     body = F.array_join(F.transform(F.concat(F.array("head"), F.col("rows")), lambda r: F.array_join(r, "|")), "\n")
@@ -298,7 +300,8 @@ def q55_data_violations(spark, d):
 
 
 def q55b_hours(spark, d):
-    good = _data(spark, d).where("prop_id % 5 <> 0")
+    data = _data(spark, d)
+    good = data.join(PR.data_violations(data.select("prop_id", "raw")).select("prop_id").distinct(), "prop_id", "left_anti")
     return PR.inspect(PR.team_hours(good), ["prop_id"]).select("prop_id", F.col("weeks").cast("long").alias("weeks"), "roles", "total_cents")
 
 
@@ -316,7 +319,7 @@ def q72_offers(spark, d):
 
 def q72b_refused(spark, d):
     files = spark.createDataFrame([("p/t.md", bytearray((FILLED + "\n{{stage}}\n").encode()))], "path string, content binary")
-    return O.assemble(_data(spark, d).where("prop_id % 5 <> 0"), files)["violations"]
+    return O.assemble(_data(spark, d), files)["violations"]
 
 
 def q56_spliced(spark, d):
@@ -334,7 +337,7 @@ QUERIES = {
     for f in (q03b_gate, q53_grid_cells, q53b_assembled, q53c_left_out, q54_batch, q54b_targets, q55_data_violations, q55b_hours, q56_spliced, q57_markdown, q57b_html, q57c_heatmaps, q58_names, q58b_numbers, q59_workbooks, q60_word_round_trip, q61_pdf_documents, q62_markdown_blocks, q63_styles, q64_themes, q65_layout, q66_recoloured, q69_spans, q70_closed_tops, q72_offers, q72b_refused, q73_understood, q74_between_tables)
 }
 
-_G = "g AS (SELECT c_custkey % 40 AS doc_id, c_custkey // 400 AS page, c_custkey // 40 % 10 AS k, c_custkey, c_name, 'nation ' || c_nationkey AS note, c_mktsegment FROM customer)"
+_G = "g AS (SELECT c_custkey // 1600 * 40 + c_custkey % 40 AS doc_id, c_custkey // 400 % 4 AS page, c_custkey // 40 % 10 AS k, c_custkey, c_name, 'nation ' || c_nationkey AS note, c_mktsegment FROM customer)"
 # a table's running number: pages of one document are joined unless a part's heading stands between
 _ROWS = "r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY k) - 1 AS row FROM g)"
 _TABLES = f"""{_G}, {_ROWS}, t AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN page ELSE min(page) OVER (PARTITION BY doc_id) END AS first, page, row, c_name || ' ' || note || ' second line ' || c_mktsegment AS text FROM r),
@@ -370,7 +373,7 @@ ORACLE = {
  k IN (2, 3, 4, 6, 7, 8) AS has_sidecar, CASE WHEN k = 8 THEN 't' END AS title FROM s""",
     "q54b_targets": f"WITH {_BATCH} SELECT path, CASE WHEN k = 2 THEN 'md' ELSE 'pdf' END AS format, 'in/' || stem || '.plain.' || CASE WHEN k = 2 THEN 'md' ELSE 'pdf' END AS target FROM s WHERE k NOT IN (3, 4, 6, 7) AND NOT own AND other IS NULL",
     "q55_data_violations": """SELECT c_custkey AS prop_id, unnest(list_filter([CASE WHEN c_custkey % 10 = 0 THEN 'template is required' END, CASE WHEN c_custkey % 25 = 5 THEN 'unknown key colour' END, CASE WHEN c_custkey % 15 = 5 THEN 'team[0].rate: more than two decimals' END], lambda x: x IS NOT NULL)) AS why FROM customer""",
-    "q55b_hours": "SELECT c_custkey AS prop_id, CAST(3 AS BIGINT) AS weeks, CAST(2 AS BIGINT) AS roles, CAST((c_custkey % 41 + (c_custkey + 1) % 41 + (c_custkey + 2) % 41) * (40 + c_custkey % 7) * 100 + 24 * 3000 AS BIGINT) AS total_cents FROM customer WHERE c_custkey % 5 <> 0",
+    "q55b_hours": "SELECT c_custkey AS prop_id, CAST(3 AS BIGINT) AS weeks, CAST(2 AS BIGINT) AS roles, CAST((c_custkey % 41 + (c_custkey + 1) % 41 + (c_custkey + 2) % 41) * (40 + c_custkey % 7) * 100 + 24 * 3000 AS BIGINT) AS total_cents FROM customer WHERE c_custkey % 10 <> 0 AND c_custkey % 25 <> 5 AND c_custkey % 15 <> 5",
     "q56_spliced": """WITH e AS (SELECT user_id AS doc_id, event_type = 'click' AND event_id % 3 = 0 AS marked FROM events)
  SELECT doc_id, count(*) + count(*) FILTER (marked) AS n, 2 * count(*) FILTER (marked) AS n_tables, count(*) FILTER (marked) = 0 AS lost FROM e GROUP BY doc_id""",
     "q57_markdown": f"""WITH {ORACLE_BLOCKS}, {_TITLES},
@@ -389,7 +392,7 @@ ORACLE = {
  'a.b/' || page_id || CASE e WHEN '.tar.gz' THEN '.tar' WHEN '.json' THEN '' ELSE replace(e, '.json', '') END || '.settings.json' AS sidecar, CASE page_id % 3 WHEN 0 THEN 'a.b/x.md' WHEN 1 THEN 'a.b/y/z.md' ELSE '/abs.md' END AS beside FROM p""",
     "q58b_numbers": "SELECT o_orderkey, CASE WHEN o_orderkey % 8 = 0 THEN CAST(o_orderkey // 8 AS VARCHAR) ELSE CAST(o_orderkey / 8.0::DOUBLE AS VARCHAR) END AS eighths, CAST(o_orderkey AS VARCHAR) AS whole FROM orders",
     "q59_workbooks": """WITH o AS (SELECT o_custkey, o_orderkey || '|' || CAST(o_orderdate AS DATE) || '|' || o_orderpriority || '|' || o_orderstatus AS line, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders)
- SELECT o_custkey AS doc_id, 'Customer ' || o_custkey AS title, 'Orders' AS heading, count(*) AS n_rows, md5('key|day|priority|status' || chr(10) || string_agg(line, chr(10) ORDER BY k)) AS table_md5 FROM o WHERE k <= 150 GROUP BY o_custkey""",
+ SELECT o_custkey AS doc_id, 'Customer ' || o_custkey AS title, 'Orders' AS heading, count(*) AS n_rows, md5('key|day|priority|status' || chr(10) || string_agg(line, chr(10) ORDER BY k)) AS table_md5 FROM o GROUP BY o_custkey HAVING count(*) + 3 <= 200""",
     "q60_word_round_trip": f"""WITH {ORACLE_BLOCKS}, {_TITLES}, x AS (SELECT doc_id, -1 AS block_ix, 'para' AS t, title AS text FROM titles UNION ALL SELECT doc_id, block_ix, t, text FROM rest)
  SELECT doc_id, count(*) FILTER (t = 'heading') AS n_heading, count(*) FILTER (t = 'list') AS n_list, count(*) FILTER (t = 'pagebreak') AS n_pagebreak, md5(array_to_string({oracle_tokens("coalesce(string_agg(CASE WHEN t IN ('heading', 'para') THEN text END, ' ' ORDER BY block_ix), '')")}, ' ')) AS tokens_md5 FROM x GROUP BY doc_id""",
     "q61_pdf_documents": f"""WITH c AS (SELECT c_custkey // 100 AS doc_id, c_custkey % 100 // {TEXT_ROWS} AS page, c_custkey, c_name || ' c' || c_custkey || ' ' || c_mktsegment AS text FROM customer),
@@ -408,12 +411,13 @@ ORACLE = {
     "q69_spans": """SELECT event_id, CASE event_id % 6 WHEN 0 THEN '**a<' || event_type || '**z' WHEN 1 THEN '**a<*' || event_type || '***z' WHEN 2 THEN '**a<**`' || event_type || '`z' WHEN 3 THEN '**a<**[' || event_type || '](http://a/?b&c)z' WHEN 4 THEN '**a<**' || event_type || ' (javascript:)z' ELSE '**a<**' || event_type || 'z' END AS md,
  CASE event_id % 6 WHEN 0 THEN '<strong>a&lt;' || event_type || '</strong>z' WHEN 1 THEN '<strong>a&lt;<em>' || event_type || '</em></strong>z' WHEN 2 THEN '<strong>a&lt;</strong><code>' || event_type || '</code>z' WHEN 3 THEN '<strong>a&lt;</strong><a href="http://a/?b&amp;c">' || event_type || '</a>z' WHEN 4 THEN '<strong>a&lt;</strong>' || event_type || ' <span class="muted">(javascript:)</span>z' ELSE '<strong>a&lt;</strong>' || event_type || 'z' END AS html,
  event_type || ' (host)' AS named, repeat('`', greatest(3, CAST(event_id % 6 AS INTEGER) + 1)) AS fence FROM events""",
-    "q70_closed_tops": f"WITH {_G}, y AS (SELECT page, 700 - k * 30 AS y0, max(730 - k * 30) OVER (PARTITION BY page) AS top FROM g) SELECT DISTINCT page FROM y WHERE y0 + 30 = top AND (page % 2 = 0 OR top < 730)",
+    "q70_closed_tops": f"WITH {_G}, y AS (SELECT doc_id, page, k, c_custkey, min(k) OVER (PARTITION BY doc_id, page) AS first FROM g) SELECT doc_id, page FROM y WHERE k = first AND c_custkey % 3 <> 0",
     "q72_offers": f"""WITH c AS (SELECT c_custkey AS k, c_name, CASE WHEN c_custkey % 4 = 0 THEN 'In ' || c_mktsegment || ': ' ELSE '' END AS stage, c_custkey % 41 AS a, (c_custkey + 1) % 41 AS b, (c_custkey + 2) % 41 AS c, CAST((40 + c_custkey % 7) * 100 AS BIGINT) AS rate FROM customer WHERE c_custkey % 10 <> 0 AND c_custkey % 25 <> 5 AND c_custkey % 15 <> 5),
  t AS (SELECT *, (a + b + c) * rate AS cents FROM c)
  SELECT k AS doc_id, c_name AS title, 'para~' || stage || 'an offer.' || chr(10) || 'table~DESCRIPTION+Hours+Rate+Budget~lead+' || (a + b + c) || '+' || {_MONEY('rate')} || '+' || {_MONEY('cents')} || '/dev+24+' || {_MONEY('3000')} || '+' || {_MONEY('72000')} || '/TOTAL+++' || {_MONEY('(cents + 72000)')} || chr(10)
  || 'table~Discipline+W01+W02+W03~lead+' || {_DAYS('a')} || '+' || {_DAYS('b')} || '+' || {_DAYS('c')} || '/dev+1 day / week+—+2 days / week' AS body FROM t""",
-    "q72b_refused": "SELECT c_custkey AS prop_id, '{{stage}} has no value' AS why FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 4 <> 0",
+    "q72b_refused": """SELECT c_custkey AS prop_id, '{{stage}} has no value' AS why FROM customer WHERE c_custkey % 10 <> 0 AND c_custkey % 25 <> 5 AND c_custkey % 15 <> 5 AND c_custkey % 4 <> 0
+ UNION ALL SELECT c_custkey, unnest(list_filter([CASE WHEN c_custkey % 10 = 0 THEN 'template is required' END, CASE WHEN c_custkey % 25 = 5 THEN 'unknown key colour' END, CASE WHEN c_custkey % 15 = 5 THEN 'team[0].rate: more than two decimals' END], lambda x: x IS NOT NULL)) FROM customer""",
     "q73_understood": f"WITH {ORACLE_BLOCKS} SELECT doc_id, concat_ws(', ', {_KINDS}) AS line FROM blocks GROUP BY doc_id",
     "q74_between_tables": """WITH e AS (SELECT user_id AS doc_id, event_type IN ('click', 'view') AS t, lag(event_type IN ('click', 'view')) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)
  SELECT doc_id, count(*) + count(*) FILTER (t AND before) AS n, count(*) FILTER (t AND before) AS n_hairlines FROM e GROUP BY doc_id""",
