@@ -25,14 +25,20 @@ WRITERS = ("md", "html", "docx")
 
 
 def inspect(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
-    """One row a file: status, counts by kind of block, what was lost."""
+    """One row a file: status, counts by kind of block, what was lost; and one a folder that can't be read (failed)."""
     files = D.load(spark, folder, recursive)
     got = D.read_all(files)
     counts = B.count_blocks(got["blocks"])
     lost = got["dropped"].groupBy("doc_id").agg(F.count_if(F.col("kind") != "advisory").alias("n_dropped"), F.max(F.when(F.col("kind") == "refused", F.col("message"))).alias("reason"))
     out = files.select("doc_id", "path").join(got["docs"], "doc_id", "left").join(counts, "doc_id", "left").join(lost, "doc_id", "left")
     status = F.when(F.col("reason").isNotNull(), "refused").otherwise("ok")
-    return out.withColumns({"status": status, "n_dropped": F.coalesce("n_dropped", F.lit(0)), **{f"n_{k}": F.coalesce(f"n_{k}", F.lit(0)) for k in B.KINDS}})
+    out = out.withColumn("status", status).unionByName(failed_folders(spark, folder, recursive), allowMissingColumns=True)
+    return out.withColumns({"n_dropped": F.coalesce("n_dropped", F.lit(0)), **{f"n_{k}": F.coalesce(f"n_{k}", F.lit(0)) for k in B.KINDS}})
+
+
+def failed_folders(spark: SparkSession, folder: str, recursive: bool) -> DataFrame:
+    """A failed result (path, status, reason) for each folder that can't be read."""
+    return D.unreadable(spark, folder, recursive).select(F.col("folder").alias("path"), F.lit("failed").alias("status"), F.concat(F.lit("folder can't be read: "), "reason").alias("reason"))
 
 
 def build(spark: SparkSession, folder: str, formats: list[str] | None = None, theme: str | None = None, recursive: bool = False, plain: bool | None = None, out: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -40,7 +46,7 @@ def build(spark: SparkSession, folder: str, formats: list[str] | None = None, th
 
     Every readable file of the folder, by its reader, with the settings file beside it. Nothing is left out without a row: settings that
     don't resolve fail their input; targets that several inputs share, documents that can't be read or break a
-    rule, and formats that have no writer here refuse it.
+    rule, and formats that have no writer here refuse it. A folder that can't be read is a failed row.
     """
     files = kept(D.load(spark, folder, recursive))
     settled, wanted = C.plan_build(files.select("doc_id", "path"), D.load_sidecars(spark, folder, recursive), formats, theme, plain, out)
@@ -71,7 +77,10 @@ def build(spark: SparkSession, folder: str, formats: list[str] | None = None, th
     results = settled.join(faults, "doc_id", "left").join(lost, "doc_id", "left").join(written, "doc_id", "left")
     ok = F.col("status") == "ok"
     results = results.withColumns({"reason": F.when(ok, F.coalesce("why", "unwritable")).otherwise(F.col("reason")), "status": F.when(ok & F.coalesce("why", "unwritable").isNotNull(), "refused").otherwise(F.col("status"))})
-    return outputs.select("path", "format", "target", "content"), results.select("path", "status", "reason", "has_sidecar", F.coalesce("n_lost", F.lit(0)).alias("n_lost"), F.coalesce("lost", F.array().cast("array<string>")).alias("lost"), F.coalesce("written", F.array().cast("array<string>")).alias("written"))
+    results = results.select("path", "status", "reason", "has_sidecar", "n_lost", "lost", "written").unionByName(failed_folders(spark, folder, recursive), allowMissingColumns=True)
+    none = F.array().cast("array<string>")
+    defaults = {"has_sidecar": F.coalesce("has_sidecar", F.lit(False)), "n_lost": F.coalesce("n_lost", F.lit(0)), "lost": F.coalesce("lost", none), "written": F.coalesce("written", none)}
+    return outputs.select("path", "format", "target", "content"), results.withColumns(defaults)
 
 
 def summary(results: DataFrame) -> tuple[DataFrame, DataFrame]:

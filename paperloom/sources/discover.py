@@ -9,31 +9,39 @@ from pyspark.sql import types as T
 from ..functions.layout import PAGE_PT, inline_paint
 from ..operators.config import READABLE, extension, readable, sidecar_path, stem
 from .base import kept
+from .folders import any_case, folders, known, qualified, readable_files
 
-GLOB = "*.{" + ",".join(x[1:] for x in READABLE) + "," + ",".join(x[1:].upper() for x in READABLE) + "}"
+GLOB = any_case(READABLE)
 
 
-def discover(spark: SparkSession, folder: str, recursive: bool = False, theme: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(inputs, own earlier output) of a folder as (path, length, modified), by path.
+def discover(spark: SparkSession, folder: str, recursive: bool = False, theme: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(inputs, own earlier output) of a folder as (path, length, modified), by path, and the folders below it that
+    can't be read (folder, reason).
 
     Only names are listed here: the content column of the same source is read when a reader
     asks for it. A missing folder raises, an empty one gives no rows.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", GLOB).load(folder)
-    found = files.select("path", "length", F.col("modificationTime").alias("modified"))
+    found = readable_files(spark, folder, recursive, GLOB).select("path", "length", F.col("modificationTime").alias("modified"))
     inputs, own = readable(found, theme)
-    return inputs.orderBy("path"), own.orderBy("path")
+    return inputs.orderBy("path"), own.orderBy("path"), unreadable(spark, folder, recursive)
+
+
+def unreadable(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
+    """(folder, reason) of the folders below a folder that can't be read."""
+    if not recursive or not known(qualified(spark, folder)):
+        return spark.createDataFrame([], "folder string, reason string")
+    return folders(spark, folder, True).where("reason is not null")
 
 
 def load(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
     """files(doc_id, path, ext, content): doc_id is a hash of the path, stable between runs."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", GLOB).load(folder)
+    files = readable_files(spark, folder, recursive, GLOB)
     return files.select(F.xxhash64("path").alias("doc_id"), "path", extension("path").alias("ext"), "content", F.greatest(F.lit(0), F.unix_seconds("modificationTime")).alias("epoch"))
 
 
 def load_sidecars(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
     """(path, raw) of the settings files of a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.settings.json").load(folder)
+    files = readable_files(spark, folder, recursive, "*.settings.json")
     return files.select("path", F.decode("content", "UTF-8").alias("raw"))
 
 

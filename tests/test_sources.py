@@ -549,3 +549,49 @@ def test_render_markdown_of_bare_document(spark):
     docs = spark.createDataFrame([(1, "T", "S")], "doc_id long, title string, subtitle string")
     blocks, _ = markdown.read(spark.createDataFrame([], "doc_id long, text string"))
     assert render_markdown(docs, blocks).first().markdown == "# T\n\n*S*\n"
+
+
+def test_folders_that_cannot_be_read_are_rows(spark, tmp_path):
+    """A link to a folder above it, mixed-case endings, links to folders and files, and broken links."""
+    from paperloom.sources import discover as D
+
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "other").mkdir()
+    (tmp_path / "a" / "x.Md").write_text("x")
+    (tmp_path / "a" / "b" / "y.MARKDOWN").write_text("y")
+    (tmp_path / "a" / "b" / "z.txt").write_text("z")
+    (tmp_path / "other" / "w.md").write_text("w")
+    (tmp_path / "a" / "up").symlink_to(tmp_path)
+    (tmp_path / "a" / "side").symlink_to(tmp_path / "other")
+    (tmp_path / "a" / "link.md").symlink_to(tmp_path / "other" / "w.md")
+    (tmp_path / "a" / "broken.md").symlink_to(tmp_path / "nowhere.md")
+    inputs, own, bad = D.discover(spark, str(tmp_path), True)
+    short = lambda p: p.split(tmp_path.name, 1)[1]
+    assert sorted(short(r.path) for r in inputs.collect()) == ["/a/b/y.MARKDOWN", "/a/link.md", "/a/side/w.md", "/a/x.Md", "/other/w.md"]
+    assert [(short(r.folder), r.reason) for r in bad.collect()] == [("/a/up", "a link to a folder above it")]
+    flat, *_ = D.discover(spark, str(tmp_path / "a"))
+    assert sorted(short(r.path) for r in flat.collect()) == ["/a/link.md", "/a/x.Md"]
+    _, results = jobs.build(spark, str(tmp_path), ["md"], recursive=True, out="/out")
+    got = {short(r.path): (r.status, r.reason) for r in results.collect()}
+    assert got["/a/up"] == ("failed", "folder can't be read: a link to a folder above it") and got["/a/x.Md"][0] == "ok"
+    assert jobs.summary(results)[0].first().exit_code == 1
+
+
+def test_a_folder_without_permission(spark, tmp_path, monkeypatch):
+    import errno
+
+    from paperloom.sources import folders as L
+
+    def refuse(path):
+        raise PermissionError(errno.EACCES, os.strerror(errno.EACCES), path)
+
+    monkeypatch.setattr(L.os, "scandir", refuse)
+    assert L.look(f"file:{tmp_path}") == ([], "Permission denied")
+    monkeypatch.undo()
+    assert [(r.reason is None) for r in L.folders(spark, str(tmp_path / "missing"), True).collect()] == [False]
+    if os.geteuid() == 0:
+        pytest.skip("root may read every folder")
+    (tmp_path / "no").mkdir(mode=0)
+    (tmp_path / "yes.md").write_text("x")
+    got = L.folders(spark, str(tmp_path), True).where("reason is not null").collect()
+    assert [r.folder.rsplit("/", 1)[1] for r in got] == ["no"]
