@@ -15,6 +15,8 @@ from ..functions.text import col, tokenise
 KINDS = ("heading", "para", "list", "table", "heatmap", "image", "code", "quote", "rule", "pagebreak")
 WITH_TEXT = ("para", "heading", "quote", "list", "table", "code")
 MAX_LEVEL = 3
+ELEMENTS = ("strong", "em", "code", "link")
+NODE = "struct<t: string, href: string, node: int>"
 LEGIBLE_PT = 48
 PAGE_WIDTH_PT = {"A4": 595.28, "Letter": 612.0}
 
@@ -163,7 +165,7 @@ def first_divergence(source: DataFrame, assembled: DataFrame) -> DataFrame:
 
 
 def violations(blocks: DataFrame) -> DataFrame:
-    """Broken rules as rows (doc_id, block_ix, why) over blocks with the columns level, depth, start, src, n_cols, n_aligned."""
+    """Broken rules as rows (doc_id, block_ix, why) over blocks with the columns level, depth, start, src, n_cols, n_aligned, spans."""
     have = set(blocks.columns)
     rules = [("unknown block type", ~F.col("t").isin(*KINDS), {"t"})]
     rules += [("level must be 1, 2 or 3", (F.col("t") == "heading") & ~F.coalesce(F.col("level").between(1, MAX_LEVEL), F.lit(False)), {"level"})]
@@ -173,9 +175,31 @@ def violations(blocks: DataFrame) -> DataFrame:
     rules += [("align differs from the columns", (F.col("t") == "table") & (F.col("n_aligned") != F.col("n_cols")), {"n_cols", "n_aligned"})]
     rules += [("image needs a non-empty src", (F.col("t") == "image") & (F.coalesce("src", F.lit("")) == ""), {"src"})]
     found = F.array_compact(F.array(*[F.when(test, F.lit(why)) for why, test, needs in rules if needs <= have]))
+    if "spans" in have:
+        found = F.concat(found, F.coalesce(span_faults(F.col("spans")), F.array().cast("array<string>")))
     return blocks.select("doc_id", "block_ix", F.explode(found).alias("why"))
 
 
+def span_faults(spans: Column) -> Column:
+    """What is wrong with a block's spans (v, path of t, href, node): a reason for each element that is of no known
+    kind or a link without a target, however many spans lie in it, and for each text of no element without a value.
+
+    Paths are folded from the left: an element is new if its number stands in no earlier span's path.
+    """
+    none = F.array().cast("array<int>")
+    fresh = lambda acc, path: F.filter(path, lambda n: ~F.array_contains(acc["seen"], n["node"]))
+    fault = lambda n: F.when(~F.coalesce(n["t"].isin(*ELEMENTS), F.lit(False)), F.concat(F.lit("unknown inline type "), F.coalesce(n["t"], F.lit("null")))).when((n["t"] == "link") & n["href"].isNull(), "a link needs a target")
+    bare = lambda s: F.when(s["v"].isNull() & (F.size(s["path"]) == 0), F.array(F.lit("a text needs a value"))).otherwise(F.array().cast("array<string>"))
+
+    def step(acc, s):
+        path = F.coalesce(s["path"], F.array().cast(f"array<{NODE}>"))
+        whys = F.array_compact(F.transform(fresh(acc, path), fault))
+        return F.struct(F.array_union(acc["seen"], F.transform(path, lambda n: n["node"])).alias("seen"), F.concat(acc["whys"], whys, bare(s)).alias("whys"))
+
+    start = F.struct(none.alias("seen"), F.array().cast("array<string>").alias("whys"))
+    return F.aggregate(spans, start, step, lambda acc: acc["whys"])
+
+
 def ragged_rows(cells: DataFrame) -> DataFrame:
     """Rows of tables whose number of cells differs from the head's (row -1): doc_id, block_ix, row_ix, n_cells, n_cols."""
     n = cells.groupBy("doc_id", "block_ix", "row_ix").count()

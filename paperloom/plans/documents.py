@@ -78,12 +78,21 @@ def q48_cover_zones(spark, d):
     return z.groupBy("doc_id").agg(*[F.count_if(F.col("zone") == x).alias(f"n_{x}") for x in ("panel", "flowing", "foot")], F.count_if(F.col("t") == "rule").alias("n_rules"), F.count_if(F.col("part") == "page").alias("n_page"))
 
 
+def _spans():
+    """Two texts in a link, one of them in an element within, and one of no element; every few lack something."""
+    node = lambda t, n, href: F.struct(t.alias("t"), href.alias("href"), F.lit(n).alias("node"))
+    link = node(F.lit("link"), 1, F.when(F.col("l_partkey") % 4 > 0, "http://x"))
+    inner = node(F.when(F.col("l_partkey") % 6 > 0, "em").otherwise("blink"), 2, F.lit(None).cast("string"))
+    text = lambda v, *path: F.struct(v.alias("v"), (F.array(*path) if path else F.array().cast(f"array<{B.NODE}>")).alias("path"))
+    return F.array(text(F.lit("a"), link), text(F.lit("b"), link, inner), text(F.when(F.col("l_partkey") % 5 > 0, "c")))
+
+
 def q49_violations(spark, d):
     """Blocks made of line items, with rules broken by position."""
     li = read(spark, d, "lineitem")
     k = F.col("l_orderkey") + F.col("l_linenumber")
     t = F.element_at(F.lit(["heading", "list", "table", "image", "chart"]), (k % 5 + 1).cast("int"))
-    b = li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("block_ix"), t.alias("t"), (F.col("l_linenumber") % 5).cast("int").alias("level"), (F.col("l_linenumber") - 2).cast("int").alias("depth"), (F.col("l_quantity") % 4).cast("int").alias("start"), (F.col("l_partkey") % 3).cast("int").alias("n_cols"), (F.col("l_suppkey") % 3).cast("int").alias("n_aligned"), F.when(F.col("l_tax") > 0.04, "x.png").otherwise("").alias("src"))
+    b = li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("block_ix"), t.alias("t"), (F.col("l_linenumber") % 5).cast("int").alias("level"), (F.col("l_linenumber") - 2).cast("int").alias("depth"), (F.col("l_quantity") % 4).cast("int").alias("start"), (F.col("l_partkey") % 3).cast("int").alias("n_cols"), (F.col("l_suppkey") % 3).cast("int").alias("n_aligned"), F.when(F.col("l_tax") > 0.04, "x.png").otherwise("").alias("src"), _spans().alias("spans"))
     return B.violations(b).groupBy("why").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
@@ -145,8 +154,11 @@ SELECT doc_id, count(*) FILTER (t <> 'rule' AND block_ix < a) AS n_panel, count(
  count(*) FILTER (t <> 'rule' AND block_ix > b AND b > a) AS n_foot, count(*) FILTER (t = 'rule') AS n_rules, count(*) FILTER (p IS NULL OR block_ix < p) AS n_page FROM z GROUP BY doc_id""",
     "q49_violations": """
 WITH b AS (SELECT l_orderkey AS doc_id, ['heading','list','table','image','chart'][(l_orderkey + l_linenumber) % 5 + 1] AS t, l_linenumber % 5 AS level, l_linenumber - 2 AS depth,
-  CAST(l_quantity AS INTEGER) % 4 AS start, l_partkey % 3 AS n_cols, l_suppkey % 3 AS n_aligned, l_tax > 0.04 AS has_src FROM lineitem),
+  CAST(l_quantity AS INTEGER) % 4 AS start, l_partkey % 3 AS n_cols, l_suppkey % 3 AS n_aligned, l_tax > 0.04 AS has_src, l_partkey AS p FROM lineitem),
 v AS (SELECT doc_id, 'unknown block type' AS why FROM b WHERE t = 'chart'
+ UNION ALL SELECT doc_id, 'a link needs a target' FROM b WHERE p % 4 = 0
+ UNION ALL SELECT doc_id, 'unknown inline type blink' FROM b WHERE p % 6 = 0
+ UNION ALL SELECT doc_id, 'a text needs a value' FROM b WHERE p % 5 = 0
  UNION ALL SELECT doc_id, 'level must be 1, 2 or 3' FROM b WHERE t = 'heading' AND level NOT BETWEEN 1 AND 3
  UNION ALL SELECT doc_id, 'list needs a non-negative depth' FROM b WHERE t = 'list' AND depth < 0
  UNION ALL SELECT doc_id, 'start must be a positive integer' FROM b WHERE t = 'list' AND start < 1
