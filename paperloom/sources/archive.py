@@ -10,6 +10,7 @@ import io
 import re
 import xml.etree.ElementTree as ET
 import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,6 +66,28 @@ class Package:
             self.error = f"{name} is not well-formed"
             return None
 
+    def elements(self, name: str, wanted: tuple[str, ...]) -> Iterator[ET.Element]:
+        """The elements of some names in a part, one at a time as it is read; what was gone by is let go of."""
+        if name not in self.names:
+            return
+        try:
+            with self.zip.open(name) as part:
+                above, within = [], 0
+                for event, e in ET.iterparse(part, ("start", "end")):
+                    hit = local(e.tag) in wanted
+                    if event == "start":
+                        above.append(e)
+                        within += hit
+                        continue
+                    above.pop()
+                    within -= hit
+                    if hit and not within:
+                        yield e
+                    if above and not within:
+                        above[-1].remove(e)
+        except (ET.ParseError, zipfile.BadZipFile, RuntimeError):
+            self.error = f"{name} is not well-formed"
+
     def relations(self, name: str) -> dict[str, tuple[str, str, bool]]:
         """Relationship id to (type, target within the package, external)."""
         folder, _, base = name.rpartition("/")
@@ -84,71 +107,69 @@ class Package:
 
 # --- spreadsheets
 
-CELLS = "doc_id long, sheet_ix int, sheet string, ref string, t string, s int, v string, has_formula boolean, is_merge boolean, error string"
+WORKBOOK = "doc_id long, kind string, sheet_ix int, sheet string, ref string, t string, s int, v string, has_formula boolean, ix int, num_fmt_id int, date1904 boolean, error string"
 NAMED_SHEETS = re.compile(r"Sheet1$")
 
 
-def sheet_rows(doc_id, data) -> list[dict]:
-    """Every addressed cell, and every merged range, of a workbook as raw attributes."""
+def workbook_rows(doc_id, data) -> Iterator[dict]:
+    """A workbook as raw attributes, read once and part by part: its sheets, every addressed cell and merged range,
+    shared strings, cell formats, number formats and the date system. A part that breaks off is an error row of its sheet."""
     p = Package(bytes(data or b""))
-    blank = dict.fromkeys(x.split(" ")[0] for x in CELLS.split(", ")) | {"doc_id": doc_id, "is_merge": False}
+    blank = dict.fromkeys(x.split(" ")[0] for x in WORKBOOK.split(", ")) | {"doc_id": doc_id}
     book = p.xml("xl/workbook.xml")
     if book is None:
-        return [blank | {"error": p.error or "no workbook part"}]
+        yield blank | {"kind": "error", "error": p.error or "no workbook part"}
+        return
     relations = p.relations("xl/workbook.xml")
-    rows = []
     for k, sheet in enumerate(children(first(book, "sheets"), "sheet")):
         where = blank | {"sheet_ix": k, "sheet": sheet.get("name", "")}
+        yield where | {"kind": "sheet"}
         target = relations.get(sheet.get(f"{REL}id") or attribute(sheet, "id") or "", ("", "", False))[1]
-        root = p.xml(target)
-        if root is None:
-            rows.append(where | {"error": "the sheet's part is missing"})
-            continue
-        for c in descend(root, "c"):
-            inline = first(c, "is")
-            v = first(c, "v")
+        p.error = None
+        for c in p.elements(target, ("c", "mergeCell")):
+            if local(c.tag) == "mergeCell":
+                yield where | {"kind": "merge", "ref": c.get("ref")}
+                continue
+            inline, v = first(c, "is"), first(c, "v")
             text = "".join(t.text or "" for t in descend(inline, "t")) if inline is not None else None if v is None else (v.text or "")
-            rows.append(where | {"ref": c.get("r"), "t": c.get("t", "n"), "s": int(c.get("s")) if (c.get("s") or "").isdigit() else None, "v": text, "has_formula": first(c, "f") is not None})
-        rows += [where | {"ref": m.get("ref"), "is_merge": True} for m in descend(root, "mergeCell")]
-    return rows
-
-
-SIDE = "doc_id long, kind string, ix int, text string, num_fmt_id int, date1904 boolean"
-
-
-def side_rows(doc_id, data) -> list[dict]:
-    """Shared strings, cell formats, number formats and the date system of a workbook."""
-    p = Package(bytes(data or b""))
-    blank = dict.fromkeys(x.split(" ")[0] for x in SIDE.split(", ")) | {"doc_id": doc_id}
-    rows = []
-    for k, si in enumerate(children(p.xml("xl/sharedStrings.xml"), "si")):
-        rows.append(blank | {"kind": "string", "ix": k, "text": "".join(t.text or "" for t in descend(si, "t"))})
+            yield where | {"kind": "cell", "ref": c.get("r"), "t": c.get("t", "n"), "s": int(c.get("s")) if (c.get("s") or "").isdigit() else None, "v": text, "has_formula": first(c, "f") is not None}
+        if p.error or target not in p.names:
+            yield where | {"kind": "error", "error": "the sheet's part is missing"}
+    for k, si in enumerate(p.elements("xl/sharedStrings.xml", ("si",))):
+        yield blank | {"kind": "string", "ix": k, "v": "".join(t.text or "" for t in descend(si, "t"))}
     styles = p.xml("xl/styles.xml")
     for k, xf in enumerate(children(first(styles, "cellXfs"), "xf")):
-        rows.append(blank | {"kind": "format", "ix": k, "num_fmt_id": int(xf.get("numFmtId", "0"))})
+        yield blank | {"kind": "format", "ix": k, "num_fmt_id": int(xf.get("numFmtId", "0"))}
     for f in children(first(styles, "numFmts"), "numFmt"):
-        rows.append(blank | {"kind": "code", "num_fmt_id": int(f.get("numFmtId", "0")), "text": f.get("formatCode", "")})
-    props = first(p.xml("xl/workbook.xml"), "workbookPr")
-    rows.append(blank | {"kind": "book", "date1904": props is not None and props.get("date1904") in ("1", "true"), "ix": int(styles is not None)})
-    return rows
+        yield blank | {"kind": "code", "num_fmt_id": int(f.get("numFmtId", "0")), "v": f.get("formatCode", "")}
+    props = first(book, "workbookPr")
+    yield blank | {"kind": "book", "date1904": props is not None and props.get("date1904") in ("1", "true"), "ix": int(styles is not None)}
+
+
+def decode_workbooks(files: DataFrame) -> DataFrame:
+    """The raw rows of files(doc_id, content); each file is opened once, and its rows are written for the lookups that follow."""
+    return kept(rows_by_document(files.select("doc_id", "content"), workbook_rows, WORKBOOK))
 
 
 def read_workbooks(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cells, dropped) of files(doc_id, content): typed cells (doc_id, sheet_ix, sheet, row, col, text, is_numeric), and what was lost.
+    """(cells, dropped) of files(doc_id, content): typed cells (doc_id, sheet_ix, sheet, row, col, text, is_numeric), and what was lost."""
+    return typed_cells(decode_workbooks(files))
 
-    Shared strings and dates are resolved by joins; ranges that span rows refuse their sheet,
-    ranges within a row keep their first cell; formulas keep their cached value and are reported.
+
+def typed_cells(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`read_workbooks` of decoded rows.
+
+    Shared strings and dates are resolved by joins; ranges that span rows refuse their sheet, and so does a part
+    that isn't whole; ranges within a row keep their first cell; formulas keep their cached value and are reported.
     """
-    # a part is decoded once, and its rows are written for the lookups that follow
-    raw = kept(rows_by_document(files.select("doc_id", "content"), sheet_rows, CELLS))
-    side = kept(rows_by_document(files.select("doc_id", "content"), side_rows, SIDE))
-    strings = side.where("kind = 'string'").select("doc_id", "ix", F.col("text").alias("found"))
-    formats = side.where("kind = 'format'").select("doc_id", F.col("ix").alias("s"), "num_fmt_id")
-    codes = side.where("kind = 'code'").select("doc_id", "num_fmt_id", F.col("text").alias("code"))
-    books = side.where("kind = 'book'").select("doc_id", "date1904", (F.col("ix") == 1).alias("styled"))
+    of = lambda kind: raw.where(F.col("kind") == kind)
+    strings = of("string").select("doc_id", "ix", F.col("v").alias("found"))
+    formats = of("format").select("doc_id", F.col("ix").alias("s"), "num_fmt_id")
+    codes = of("code").select("doc_id", "num_fmt_id", F.col("v").alias("code"))
+    books = of("book").select("doc_id", "date1904", (F.col("ix") == 1).alias("styled"))
 
     letters, digits = F.regexp_extract("ref", "^([A-Za-z]+)", 1), F.regexp_extract("ref", "([0-9]+)$", 1)
-    cells = raw.where("ref is not null and not is_merge and error is null").withColumns({"row": digits.cast("long") - 1, "col": letters_to_index(letters).cast("int")})
+    cells = of("cell").where("ref is not null").select("doc_id", "sheet_ix", "sheet", "ref", "t", "s", "v", "has_formula").withColumns({"row": digits.cast("long") - 1, "col": letters_to_index(letters).cast("int")})
     number = F.when(F.col("v") == "", 0.0).otherwise(F.try_to_number("v", F.lit("999999999999999.999999999999999")).cast("double"))
     number = F.coalesce(F.expr("try_cast(v as double)"), number)
     cells = cells.withColumn("ix", F.when(F.col("t") == "s", number.cast("int"))).withColumn("number", F.when(F.col("t") == "n", number))
@@ -166,14 +187,15 @@ def read_workbooks(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     typed = cells.withColumns({"text": text, "is_numeric": (F.col("t") == "n") & F.col("v").isNotNull()})
 
-    merges = raw.where("is_merge").select("doc_id", "sheet_ix", S.parse_range("ref").alias("m")).where("m is not null").select("doc_id", "sheet_ix", "m.r1", "m.c1", "m.r2", "m.c2")
+    merges = of("merge").select("doc_id", "sheet_ix", S.parse_range("ref").alias("m")).where("m is not null").select("doc_id", "sheet_ix", "m.r1", "m.c1", "m.r2", "m.c2")
     tall = merges.where("r2 > r1").groupBy("doc_id", "sheet_ix").count()
-    refused = tall.select("doc_id", "sheet_ix")
+    broken = of("error")
+    refused = tall.select("doc_id", "sheet_ix").unionByName(broken.select("doc_id", "sheet_ix")).distinct()
     good = S.flatten_merges(typed.join(refused, ["doc_id", "sheet_ix"], "left_anti"), merges.where("r2 = r1"), ["doc_id", "sheet_ix"])
     out = good.select("doc_id", "sheet_ix", "sheet", "row", "col", "text", "is_numeric")
 
     lost = lambda df, kind, message: df.select("doc_id", F.lit(kind).alias("kind"), message.alias("message"))
-    dropped = lost(raw.where("error is not null"), "refused", F.concat_ws(": ", "sheet", "error"))
+    dropped = lost(broken, "refused", F.concat_ws(": ", "sheet", "error"))
     dropped = dropped.unionByName(lost(tall, "refused", F.format_string("sheet %d: %d merged ranges span rows", "sheet_ix", "count")))
     dropped = dropped.unionByName(lost(typed.where("t = 's' and found is null and v is not null"), "lookup", F.concat(F.lit("no shared string for cell "), F.col("ref"))))
     dropped = dropped.unionByName(lost(typed.where("styled and s is not null and num_fmt_id is null and t = 'n'"), "style", F.concat(F.lit("unknown style of cell "), F.col("ref"))))
@@ -203,12 +225,6 @@ def rendered_rows(cells: DataFrame, key: list[str]) -> DataFrame:
     return full.groupBy(*key, "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]).alias("texts"))
 
 
-def sheet_names(doc_id, data) -> list[dict]:
-    p = Package(bytes(data or b""))
-    book = p.xml("xl/workbook.xml")
-    return [] if book is None else [{"doc_id": doc_id, "sheet_ix": k, "sheet": x.get("name", "")} for k, x in enumerate(children(first(book, "sheets"), "sheet"))]
-
-
 def workbook_blocks(files: DataFrame, max_rows: int = S.MAX_ROWS) -> dict[str, DataFrame]:
     """blocks (doc_id, block_ix, t, level, text, head, rows), titles (doc_id, title) lifted from a caption, dropped, and the cells.
 
@@ -216,11 +232,12 @@ def workbook_blocks(files: DataFrame, max_rows: int = S.MAX_ROWS) -> dict[str, D
     caption of a workbook's only sheet is the title instead. A workbook all of whose sheets are refused is refused.
     """
     key = ["doc_id", "sheet_ix"]
-    cells, lost = read_workbooks(files)
+    raw = decode_workbooks(files)
+    cells, lost = typed_cells(raw)
     cells = kept(cells)
     tables, status = sheet_tables(cells, max_rows)
     tables, status = kept(tables), kept(status)
-    sheets = rows_by_document(files.select("doc_id", "content"), sheet_names, "doc_id long, sheet_ix int, sheet string")
+    sheets = raw.where("kind = 'sheet'").select("doc_id", "sheet_ix", "sheet")
     sheets = kept(sheets.withColumn("n_sheets", F.count("*").over(Window.partitionBy("doc_id"))))
     good = sheets.join(status.where("status = 'ok'").select(*key), key)
 

@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,15 +14,30 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
-def rows_by_document(df: DataFrame, make: Callable[..., list[dict]], schema: str) -> DataFrame:
-    """make(*values of a row) gives the rows of a document; a batch in gives a batch out, nothing is shuffled."""
+ROWS, BYTES = 2000, 1 << 22  # of made rows that are held before they go on
+
+
+def rows_by_document(df: DataFrame, make: Callable[..., Iterable[dict]], schema: str) -> DataFrame:
+    """make(*values of a row) gives the rows of a document, best as a generator; nothing is shuffled.
+
+    One document of a batch at a time becomes Python values, and its rows go on in small batches while it is
+    read, so what a task holds depends neither on how many rows a document gives nor on how many documents a batch has.
+    """
     kind = T._parse_datatype_string(schema)
     arrow = to_arrow_schema(kind)
 
     def run(batches):
+        rows, size = [], 0
         for b in batches:
-            rows = [r for values in zip(*(c.to_pylist() for c in b.columns), strict=True) for r in make(*values)]
-            yield from pa.Table.from_pylist(rows, schema=arrow).to_batches() if rows else [pa.RecordBatch.from_pylist([], schema=arrow)]
+            for j in range(b.num_rows):
+                for r in make(*(c[j].as_py() for c in b.columns)):
+                    rows.append(r)
+                    size += sum(len(v) for v in r.values() if type(v) in (bytes, str))
+                    if len(rows) >= ROWS or size >= BYTES:
+                        yield from pa.Table.from_pylist(rows, schema=arrow).to_batches()
+                        rows, size = [], 0
+        if rows:
+            yield from pa.Table.from_pylist(rows, schema=arrow).to_batches()
 
     return df.mapInArrow(run, kind)
 

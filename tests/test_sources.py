@@ -595,3 +595,29 @@ def test_a_folder_without_permission(spark, tmp_path, monkeypatch):
     (tmp_path / "yes.md").write_text("x")
     got = L.folders(spark, str(tmp_path), True).where("reason is not null").collect()
     assert [r.folder.rsplit("/", 1)[1] for r in got] == ["no"]
+
+
+def test_a_very_large_sheet_is_read_in_bounded_memory(spark):
+    """A register of 94,309 rows: rows come while the part is read, and neither a tree nor a list of all is made."""
+    import tracemalloc
+
+    n = 94_309
+    cells = "".join(f'<row r="{k}"><c r="A{k}"><v>{k}</v></c><c r="B{k}" t="inlineStr"><is><t>item {k}</t></is></c><c r="C{k}" s="0"/></row>' for k in range(1, n + 1))
+    parts = {"xl/workbook.xml": f'<workbook xmlns:r="{archive.REL[1:-1]}"><sheets><sheet name="S" r:id="r0"/><sheet name="T" r:id="r1"/></sheets></workbook>'}
+    parts["xl/_rels/workbook.xml.rels"] = '<Relationships><Relationship Id="r0" Type="x/worksheet" Target="worksheets/s0.xml"/><Relationship Id="r1" Type="x/worksheet" Target="worksheets/s1.xml"/></Relationships>'
+    parts["xl/worksheets/s0.xml"] = f"<worksheet><sheetData>{cells}</sheetData></worksheet>"
+    parts["xl/worksheets/s1.xml"] = '<worksheet><sheetData><row><c r="A1"><v>1</v></c></row><row><c r="A2'  # breaks off
+    data = make_zip(parts)
+    tracemalloc.start()
+    count, last = 0, None
+    for r in archive.workbook_rows(1, data):
+        count += r["kind"] == "cell"
+        last = r["v"] if r["kind"] == "cell" and r["sheet_ix"] == 0 and r["v"] else last
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count == 3 * n + 1 and last == f"item {n}" and peak < 16 * 2**20
+    files = spark.createDataFrame([(1, bytearray(data)), (2, bytearray(book([("Sheet1", {"A1": "h", "B1": "k", "A2": "v", "B2": 1})])))], "doc_id long, content binary")
+    got = archive.workbook_blocks(files)
+    assert [(r.doc_id, r.t) for r in got["blocks"].collect()] == [(2, "table")]
+    said = sorted(r.message for r in got["dropped"].where("doc_id = 1").collect())
+    assert any("94309" in m for m in said) and "T: the sheet's part is missing" in said
