@@ -1,6 +1,6 @@
 """Entry points of a batch: inspect, build, proposal and doctor.
 
-``python -m paperloom.jobs inspect FOLDER``, ``build FOLDER OUT --to md --to docx``, ``proposal FOLDER`` and
+``python -m paperloom.jobs inspect FOLDER``, ``build FOLDER --to md,docx --out OUT``, ``proposal FOLDER`` and
 ``doctor``. Exit codes: 0 all well, 1 something failed, 2 wrong use, 3 something was refused.
 """
 
@@ -24,32 +24,45 @@ from .sources.base import kept
 WRITERS = ("md", "html", "docx")
 
 
-def inspect(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
-    """One row a file: status, counts by kind of block, what was lost; and one a folder that can't be read (failed)."""
+def inspect(spark: SparkSession, folder: str, recursive: bool = False, flags: dict | None = None) -> DataFrame:
+    """One row a file: status, what a build with these flags would print of it (title, date, entity), counts by kind
+    of block, what was lost; and one a folder that can't be read (failed)."""
     files = D.load(spark, folder, recursive)
-    got = D.read_all(files)
+    settled = C.resolve(files.select("doc_id", "path"), D.load_sidecars(spark, folder, recursive), flags)
+    settled = kept(settled.select("doc_id", F.col("title").alias("own_title"), "date", "entity", "above", "below", "failed"))
+    got = D.read_all(files.join(settled.where("failed is null").select("doc_id"), "doc_id", "left_semi"), settled.where("above is not null or below is not null").select("doc_id", "above", "below"))
     counts = B.count_blocks(got["blocks"])
-    lost = got["dropped"].groupBy("doc_id").agg(F.count_if(F.col("kind") != "advisory").alias("n_dropped"), F.max(F.when(F.col("kind") == "refused", F.col("message"))).alias("reason"))
-    out = files.select("doc_id", "path").join(got["docs"], "doc_id", "left").join(counts, "doc_id", "left").join(lost, "doc_id", "left")
-    status = F.when(F.col("reason").isNotNull(), "refused").otherwise("ok")
-    out = out.withColumn("status", status).unionByName(failed_folders(spark, folder, recursive), allowMissingColumns=True)
+    lost = got["dropped"].groupBy("doc_id").agg(F.count_if(F.col("kind") != "advisory").alias("n_dropped"), F.max(F.when(F.col("kind") == "refused", F.col("message"))).alias("unreadable"))
+    out = files.select("doc_id", "path").join(settled, "doc_id").join(got["docs"], "doc_id", "left").join(counts, "doc_id", "left").join(lost, "doc_id", "left")
+    status = F.when(F.col("failed").isNotNull(), "failed").when(F.col("unreadable").isNotNull(), "refused").otherwise("ok")
+    out = out.withColumns({"title": F.coalesce("own_title", "title"), "status": status, "reason": F.coalesce("failed", "unreadable")}).drop("own_title", "above", "below", "failed", "unreadable")
+    out = out.unionByName(failed_folders(spark, folder, recursive), allowMissingColumns=True)
     return out.withColumns({"n_dropped": F.coalesce("n_dropped", F.lit(0)), **{f"n_{k}": F.coalesce(f"n_{k}", F.lit(0)) for k in B.KINDS}})
 
 
+def told(results: DataFrame) -> DataFrame:
+    """(path, line): inspected files in words."""
+    words = B.understood(results.withColumnRenamed("doc_id", "_id").withColumnRenamed("path", "doc_id")).withColumnRenamed("doc_id", "path")
+    lost = F.when(F.col("n_dropped") > 0, F.concat(F.lit("; "), F.col("n_dropped").cast("string"), F.lit(" lost"))).otherwise("")
+    line = F.when(F.col("status") == "ok", F.concat(F.coalesce("title", F.lit("Untitled")), F.lit(": "), "line", lost)).otherwise(F.concat("status", F.lit(": "), "reason"))
+    return results.select("path", "status", "reason", "title", "n_dropped").join(words, "path").select("path", F.concat("path", F.lit(": "), line).alias("line"))
+
+
 def failed_folders(spark: SparkSession, folder: str, recursive: bool) -> DataFrame:
     """A failed result (path, status, reason) for each folder that can't be read."""
     return D.unreadable(spark, folder, recursive).select(F.col("folder").alias("path"), F.lit("failed").alias("status"), F.concat(F.lit("folder can't be read: "), "reason").alias("reason"))
 
 
-def build(spark: SparkSession, folder: str, formats: list[str] | None = None, theme: str | None = None, recursive: bool = False, plain: bool | None = None, out: str | None = None) -> tuple[DataFrame, DataFrame]:
+def build(spark: SparkSession, folder: str, formats: list[str] | None = None, theme: str | None = None, recursive: bool = False, plain: bool | None = None, out: str | None = None, **flags) -> tuple[DataFrame, DataFrame]:
     """(outputs (path, format, target, content), results: one row an input with status, reason, what was lost, targets).
 
     Every readable file of the folder, by its reader, with the settings file beside it. Nothing is left out without a row: settings that
     don't resolve fail their input; targets that several inputs share, documents that can't be read or break a
-    rule, and formats that have no writer here refuse it. A folder that can't be read is a failed row.
+    rule, and formats that have no writer here refuse it. A folder that can't be read is a failed row. Further flags
+    are title, date, entity, config and no_config, as `config.resolve` has them.
     """
     files = kept(D.load(spark, folder, recursive))
-    settled, wanted = C.plan_build(files.select("doc_id", "path"), D.load_sidecars(spark, folder, recursive), formats, theme, plain, out)
+    settled, wanted = C.plan_build(files.select("doc_id", "path"), D.load_sidecars(spark, folder, recursive), {"formats": formats, "theme": theme, "plain": plain, **flags}, out)
     settled, wanted = kept(settled), kept(wanted)
     ready = files.join(settled.where("status = 'ok'").select("doc_id"), "doc_id", "left_semi")
     got = D.read_all(ready, settled.where("above is not null or below is not null").select("doc_id", "above", "below"))
@@ -118,43 +131,76 @@ def doctor(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "name string, found string, ok boolean, fix string")
 
 
+def parser() -> argparse.ArgumentParser:
+    """The commands and their flags; what isn't known, or lacks a value, is wrong use (exit code 2)."""
+    top = argparse.ArgumentParser(prog="paperloom", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
+    commands = top.add_subparsers(dest="command", required=True)
+    formats = lambda text: [f.strip() for f in text.split(",") if f.strip()]
+
+    def command(name: str, *flags: str, folder: bool = True) -> argparse.ArgumentParser:
+        p = commands.add_parser(name, allow_abbrev=False)
+        if folder:
+            p.add_argument("folder")
+        for f in flags:
+            if f in ("--recursive", "--plain-names", "--json"):
+                p.add_argument(f, action="store_true", default=None)
+            elif f == "--to":
+                p.add_argument(f, action="extend", type=formats)
+            elif f == "--config":
+                one = p.add_mutually_exclusive_group()
+                one.add_argument(f)
+                one.add_argument("--no-config", action="store_true", default=None)
+            else:
+                p.add_argument(f)
+        return p
+
+    command("build", "--to", "--theme", "--out", "--title", "--date", "--entity", "--plain-names", "--recursive", "--config").add_argument("place", nargs="?")
+    command("inspect", "--theme", "--json", "--recursive", "--title", "--date", "--entity", "--config")
+    command("proposal", "--to", "--theme", "--out")
+    command("doctor", folder=False)
+    return top
+
+
+def flags_of(a: argparse.Namespace, spark: SparkSession) -> dict:
+    """The flags that decide settings; a named settings file is read."""
+    out = {k: getattr(a, k, None) for k in ("theme", "title", "date", "entity", "no_config")}
+    if getattr(a, "config", None):
+        out["config"] = D.read_text(spark, a.config)
+    return {k: v for k, v in out.items() if v is not None}
+
+
 def main(args: list[str]) -> int:
-    parser = argparse.ArgumentParser(prog="paperloom", description=__doc__)
-    parser.add_argument("command", choices=("inspect", "build", "proposal", "doctor"))
-    parser.add_argument("folder", nargs="?")
-    parser.add_argument("out", nargs="?")
-    parser.add_argument("--to", action="append", choices=("md", "html", "docx", "pdf"))
-    parser.add_argument("--theme")
-    parser.add_argument("--plain-names", action="store_true", default=None)
-    parser.add_argument("--recursive", action="store_true")
-    a = parser.parse_args(args)
+    try:
+        a = parser().parse_args(args)
+    except SystemExit as e:
+        return int(e.code or 0)
     spark = SparkSession.builder.getOrCreate()
     if a.command == "doctor":
         checks = doctor(spark).collect()
         for c in checks:
             print(f"{'ok  ' if c.ok else 'MISS'} {c.name} {c.found}{'' if c.ok else ': ' + c.fix}")
         return 0 if all(c.ok for c in checks) else 1
-    if not a.folder or (a.command == "build" and not a.out):
-        parser.print_usage()
-        return 2
     if a.command == "inspect":
-        result = kept(inspect(spark, a.folder, a.recursive))
-        for line in result.toJSON().toLocalIterator():
-            print(line)
+        result = kept(inspect(spark, a.folder, bool(a.recursive), flags_of(a, spark)))
+        if a.json:
+            for line in result.toJSON().toLocalIterator():
+                print(line)
+        else:
+            for r in told(result).orderBy("path").toLocalIterator():
+                print(r["line"])
         return C.exit_code(result, []).first()["exit_code"]
     if a.command == "proposal":
-        docs, _, bad = propose(spark, a.folder)
-        for line in docs.toJSON().toLocalIterator():
-            print(line)
-        bad = kept(bad)
-        for line in bad.toJSON().toLocalIterator():
-            print(line)
-        return 3 if bad.limit(1).count() else 0
-    outputs, results = build(spark, a.folder, a.to, a.theme, a.recursive, a.plain_names, a.out)
+        return offer(spark, a)
+    place = a.out or a.place
+    if not place:
+        print("say where the outputs go: --out", file=sys.stderr)
+        return 2
+    flags = flags_of(a, spark)
+    outputs, results = build(spark, a.folder, a.to, flags.pop("theme", None), bool(a.recursive), a.plain_names, place, **flags)
     if not results.limit(1).count():
         print(f"no readable input in {a.folder}", file=sys.stderr)
         return 2
-    outputs.write.mode("overwrite").parquet(a.out)
+    outputs.write.mode("overwrite").parquet(place)
     results = kept(results)
     for line in results.toJSON().toLocalIterator():
         print(line)
@@ -164,5 +210,26 @@ def main(args: list[str]) -> int:
     return totals.first()["exit_code"]
 
 
+def offer(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Proposals of a folder: printed, and written in the formats asked for that have a writer."""
+    docs, blocks, bad = propose(spark, a.folder)
+    docs, bad = kept(docs), kept(bad)
+    for table in (docs, bad):
+        for line in table.toJSON().toLocalIterator():
+            print(line)
+    unknown = [f for f in a.to or () if f not in WRITERS]
+    if unknown:
+        print(f"no writer for {', '.join(unknown)}", file=sys.stderr)
+        return 3
+    if a.out:
+        named = docs.withColumns({"subtitle": F.lit(None).cast("string"), "theme": F.lit(a.theme or C.DEFAULT_THEME)})
+        outputs = None
+        for f in a.to or ("md",):
+            made = render(f, named, blocks).join(named.select("doc_id", "path", F.concat_ws(".", "stem", "theme", F.lit(f)).alias("target")), "doc_id").select("path", F.lit(f).alias("format"), "target", "content")
+            outputs = made if outputs is None else outputs.unionByName(made)
+        outputs.write.mode("overwrite").parquet(a.out)
+    return 3 if bad.limit(1).count() else 0
+
+
 if __name__ == "__main__":
     sys.exit(main(sys.argv[1:]))

@@ -117,38 +117,56 @@ def own_outputs(inputs: DataFrame, made: DataFrame) -> DataFrame:
 SIDECAR = "title string, subtitle string, date string, entity string, theme string, to array<string>, plainNames boolean, pdfChrome struct<dropAbovePt: double, dropBelowPt: double>"
 
 
-def plan_build(inputs: DataFrame, sidecars: DataFrame, formats: list[str] | None = None, theme: str | None = None, plain: bool | None = None, out: str | None = None, themes: tuple[str, ...] = (DEFAULT_THEME,)) -> tuple[DataFrame, DataFrame]:
-    """(one row an input: path, has_sidecar, status, reason, settings; one row a target: path, format, target).
+def resolve(inputs: DataFrame, sidecars: DataFrame, flags: dict | None = None, themes: tuple[str, ...] = (DEFAULT_THEME,)) -> DataFrame:
+    """inputs(path, ...) with has_sidecar, formats, theme, plain, title, subtitle, date, entity, above, below, and ``failed``, why they don't resolve.
 
-    inputs(path) and their settings files sidecars(path, raw), with the run's flags. An input is ``failed`` if its
-    settings don't resolve, ``own output`` if another input's target has its name, ``refused`` if a target is
-    another input's too, else ``ok``; only ok inputs have targets.
+    sidecars(path, raw) are the settings files, of which each input has the one beside it. flags are those of a run: formats,
+    theme, plain, title, date, entity, which come before a settings file's; config, the text of one settings
+    file for every input; no_config, for none. The last two exclude each other.
     """
-    s = sidecars.select(F.col("path").alias("sidecar"), F.col("raw").alias("sidecar_raw"))
-    wrong = sidecar_violations(sidecars).groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("why")), "; ").alias("wrong")).withColumnRenamed("path", "sidecar")
-    rows = inputs.withColumn("sidecar", sidecar_path("path")).join(s, "sidecar", "left").join(wrong, "sidecar", "left").withColumn("c", F.from_json("sidecar_raw", SIDECAR))
+    flags = {k: v for k, v in (flags or {}).items() if v is not None}
+    if "config" in flags and flags.get("no_config"):
+        raise ValueError("a settings file is named, and none is to be used")
     none = lambda kind: F.lit(None).cast(kind)
-    flag = lambda v, kind: F.lit(v).cast(kind) if v is not None and not isinstance(v, list) else F.lit(v) if v is not None else none(kind)
+    if flags.get("no_config") or "config" in flags:
+        rows = inputs.withColumns({"sidecar_raw": F.lit(flags.get("config")).cast("string"), "sidecar": sidecar_path("path")})
+        faults = sidecar_violations(rows.where("sidecar_raw is not null").select(F.col("sidecar").alias("path"), F.col("sidecar_raw").alias("raw")).distinct())
+    else:
+        rows = inputs.withColumn("sidecar", sidecar_path("path")).join(sidecars.select(F.col("path").alias("sidecar"), F.col("raw").alias("sidecar_raw")), "sidecar", "left")
+        faults = sidecar_violations(sidecars)
+    wrong = faults.groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("why")), "; ").alias("wrong")).withColumnRenamed("path", "sidecar")
+    rows = rows.join(wrong, "sidecar", "left").withColumn("c", F.from_json("sidecar_raw", SIDECAR))
+    flag = lambda name, kind: F.lit(flags[name]).cast(kind) if name in flags else none(kind)
     rows = rows.select(
         *inputs.columns,
         F.col("sidecar_raw").isNotNull().alias("has_sidecar"),
         "wrong",
-        precedence(flag(formats, "array<string>"), F.col("c.to"), none("array<string>"), F.lit([DEFAULT_TO])).alias("formats"),
-        precedence(flag(theme, "string"), F.col("c.theme"), none("string"), DEFAULT_THEME).alias("theme"),
-        precedence(flag(plain, "boolean"), F.col("c.plainNames"), none("boolean"), False).alias("plain"),
-        *[F.col(f"c.{k}").alias(k) for k in ("title", "subtitle", "date", "entity")],
+        precedence(flag("formats", "array<string>"), F.col("c.to"), none("array<string>"), F.lit([DEFAULT_TO])).alias("formats"),
+        precedence(flag("theme", "string"), F.col("c.theme"), none("string"), DEFAULT_THEME).alias("theme"),
+        precedence(flag("plain", "boolean"), F.col("c.plainNames"), none("boolean"), False).alias("plain"),
+        *[F.coalesce(flag(k, "string"), F.col(f"c.{k}")).alias(k) for k in ("title", "subtitle", "date", "entity")],
         F.col("c.pdfChrome.dropAbovePt").alias("above"),
         F.col("c.pdfChrome.dropBelowPt").alias("below"),
     )
     unknown = unknown_formats("formats")
-    unsafe = F.col("plain") & F.lit(out is None) & F.arrays_overlap("formats", F.lit(["md", "docx"]))
     failed = F.coalesce(
         F.col("wrong"),
         F.when(F.size(unknown) > 0, F.concat(F.lit("unknown format "), F.array_join(unknown, ", "))),
         F.when(~F.col("theme").isin(*themes), F.concat(F.lit("unknown theme "), F.col("theme"))),
-        F.when(unsafe, "plain names would write md or docx beside the sources, which a rerun would read"),
     )
-    rows = rows.withColumn("failed", failed).drop("wrong")
+    return rows.withColumn("failed", failed).drop("wrong")
+
+
+def plan_build(inputs: DataFrame, sidecars: DataFrame, flags: dict | None = None, out: str | None = None, themes: tuple[str, ...] = (DEFAULT_THEME,)) -> tuple[DataFrame, DataFrame]:
+    """(one row an input: path, has_sidecar, status, reason, settings; one row a target: path, format, target).
+
+    inputs(path) and their settings files sidecars(path, raw), with the run's flags as `resolve` has them. An input is ``failed`` if
+    its settings don't resolve, ``own output`` if another input's target has its name, ``refused`` if a target is
+    another input's too, else ``ok``; only ok inputs have targets.
+    """
+    rows = resolve(inputs, sidecars, flags, themes)
+    unsafe = F.col("plain") & F.lit(out is None) & F.arrays_overlap("formats", F.lit(["md", "docx"]))
+    rows = rows.withColumn("failed", F.coalesce("failed", F.when(unsafe, "plain names would write md or docx beside the sources, which a rerun would read")))
 
     base = F.lit(out.rstrip("/") + "/") if out else F.regexp_extract("path", "^(.*/)?", 0)
     named = targets(rows.where("failed is null").select("path", "formats", "theme", "plain"), F.col("formats"), F.col("theme"), F.col("plain"))

@@ -110,6 +110,13 @@ _ZERO = ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in KINDS)
 _JUMPS = "jumps AS (SELECT doc_id, level, lag(level) OVER (PARTITION BY doc_id ORDER BY block_ix) AS was, row_number() OVER (PARTITION BY doc_id ORDER BY block_ix) AS ordinal FROM rest WHERE t = 'heading')"
 
 ORACLE = {
+    # blocks have one form each, a blank line stands between them, and what is written is read as the same blocks
+    "q46_markdown_round_trip": f"""
+WITH {ORACLE_BLOCKS},
+b AS (SELECT doc_id, block_ix, CASE t WHEN 'heading' THEN repeat('#', level::INTEGER) || ' ' || trim(text) WHEN 'rule' THEN '---' WHEN 'pagebreak' THEN '<!-- pagebreak -->' WHEN 'list' THEN '- ' || trim(text) ELSE trim(text) END AS md FROM rest),
+titles AS (SELECT doc_id, coalesce(max(CASE WHEN block_ix = title_ix THEN trim(text) END), 'Untitled') AS title FROM lifted GROUP BY doc_id),
+m AS (SELECT titles.doc_id, '# ' || title || coalesce(chr(10) || chr(10) || string_agg(md, chr(10) || chr(10) ORDER BY block_ix), '') || chr(10) AS markdown FROM titles LEFT JOIN b ON b.doc_id = titles.doc_id GROUP BY titles.doc_id, title)
+SELECT doc_id, md5(markdown) AS markdown_md5, true AS fixed_point FROM m""",
     "q01_block_counts": f"""
 WITH {ORACLE_BLOCKS}, {_JUMPS},
 titles AS (SELECT doc_id, coalesce(max(CASE WHEN block_ix = title_ix THEN text END), 'Untitled') AS title FROM lifted GROUP BY doc_id),

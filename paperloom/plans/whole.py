@@ -137,7 +137,7 @@ def q61_pdf_documents(spark, d):
 
 def q62_markdown_blocks(spark, d):
     """Markdown read by the lexer: kinds of blocks by document."""
-    docs = read(spark, d, "nation").select(F.col("n_nationkey").alias("doc_id"), "n_name", "n_regionkey")
+    docs = read(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_name").alias("n_name"), (F.col("c_nationkey") % 5).cast("int").alias("n_regionkey"))
     text = F.concat_ws(
         "\n\n",
         F.concat(F.lit("# "), "n_name"),
@@ -230,12 +230,12 @@ def q64_themes(spark, d):
 
 
 def q66_recoloured(spark, d):
-    """Drawings of regions filled with their nations' colours; classes without one are missed."""
-    n = read(spark, d, "nation")
-    raw = n.groupBy(F.col("n_regionkey").alias("doc_id")).agg(F.concat(F.lit('{"color":{'), F.array_join(F.array_sort(F.collect_list(F.format_string('"%s":{"$value":["#%06d"]}', "n_name", F.col("n_nationkey").cast("int")))), ","), F.lit("}}")).alias("raw"))
+    """Drawings of ten customers each, filled with the customers' colours; classes without one are missed."""
+    c = read(spark, d, "customer").select(F.floor(F.col("c_custkey") / 10).alias("doc_id"), F.col("c_name").alias("name"), F.col("c_custkey").cast("int").alias("k"))
+    raw = c.groupBy("doc_id").agg(F.concat(F.lit('{"color":{'), F.array_join(F.array_sort(F.collect_list(F.format_string('"%s":{"$value":["#%06d"]}', "name", "k"))), ","), F.lit("}}")).alias("raw"))
     tokens = discover.design_tokens(raw)
-    svgs = read(spark, d, "region").join(n.where("n_nationkey % 3 = 0").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("names")), F.col("r_regionkey") == F.col("n_regionkey"))
-    svgs = svgs.select(F.col("r_regionkey").alias("doc_id"), F.concat(F.array_join(F.transform("names", lambda x: F.concat(F.lit('<a class="'), x, F.lit('"/>'))), ""), F.lit('<b class="none"/>')).alias("svg"))
+    names = c.where("k % 3 = 0").groupBy("doc_id").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    svgs = names.select("doc_id", F.concat(F.array_join(F.transform("names", lambda x: F.concat(F.lit('<a class="'), x, F.lit('"/>'))), ""), F.lit('<b class="none"/>')).alias("svg"))
     filled, missed = discover.recolour(svgs, tokens)
     return filled.join(missed.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("missed")), "doc_id").select("doc_id", "svg", "missed")
 
@@ -257,6 +257,16 @@ def q54_batch(spark, d):
     return rows.select("page_id", "status", "reason", "has_sidecar", "title")
 
 
+def q54c_flags(spark, d):
+    """What a run's flags leave of the settings files: title and formats are the run's, dates and entities the files' own, or one named file's."""
+    inputs, sidecars = _batch(spark, d)
+    own = C.resolve(inputs, sidecars, {"title": "Given", "formats": ["md"]})
+    one = C.resolve(inputs, sidecars, {"config": '{"title": "Named", "date": "May", "to": ["docx"], "plainNames": true}', "entity": "Firm"})
+    bare = C.resolve(inputs, sidecars, {"no_config": True, "date": "June"})
+    cut = lambda run, r: r.select(F.lit(run).alias("run"), "path", "has_sidecar", F.array_join("formats", ",").alias("formats"), "plain", "title", "date", "entity", F.col("failed").isNotNull().alias("failed"))
+    return cut("flags", own).unionByName(cut("named file", one)).unionByName(cut("no file", bare))
+
+
 def q54b_targets(spark, d):
     _, targets = C.plan_build(*_batch(spark, d))
     return targets
@@ -322,6 +332,17 @@ def q72b_refused(spark, d):
     return O.assemble(_data(spark, d), files)["violations"]
 
 
+def q72c_losses(spark, d):
+    """What proposals lose: their template's raw markup, and what their annex lost, marked as the annex's."""
+    sheet = '<worksheet><sheetData><row r="1"><c r="A1" t="inlineStr"><is><t>item</t></is></c><c r="B1" t="inlineStr"><is><t>n</t></is></c></row><row r="2"><c r="A2" t="s"><v>7</v></c><c r="B2"><f>1+1</f><v>2</v></c></row></sheetData></worksheet>'
+    book = made.zipped({"xl/workbook.xml": f'<workbook xmlns:r="{made.OFFICE}"><sheets><sheet name="Sheet1" r:id="r1"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Type="x/worksheet" Target="worksheets/s.xml"/></Relationships>', "xl/worksheets/s.xml": sheet})
+    template = FILLED + "\n<div>raw</div>\n\n{{?annex}}\n\n{{@annex}}\n\n{{/?}}\n"
+    files = spark.createDataFrame([("p/t.md", bytearray(template.encode())), ("p/a.xlsx", bytearray(book))], "path string, content binary")
+    named = F.when(F.col("prop_id") % 2 == 1, F.concat(F.lit('{"annex":"a.xlsx",'), F.substring("raw", 2, 2**31 - 1))).otherwise(F.col("raw"))
+    got = O.assemble(_data(spark, d).withColumn("raw", named), files)
+    return got["dropped"].join(got["docs"].select("doc_id"), "doc_id", "left_semi").select("doc_id", "kind", "message")
+
+
 def q56_spliced(spark, d):
     """Paragraphs that are a directive's mark replaced by its blocks; marks elsewhere keep nothing."""
     e = read(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("block_ix"), F.when(F.col("event_type") == "click", "para").otherwise("list").alias("t"), F.when(F.col("event_id") % 3 == 0, "[[0:budget]]").when(F.col("event_id") % 3 == 1, "see [[0:budget]]").otherwise("text").alias("text"))
@@ -334,7 +355,7 @@ def q56_spliced(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (q03b_gate, q53_grid_cells, q53b_assembled, q53c_left_out, q54_batch, q54b_targets, q55_data_violations, q55b_hours, q56_spliced, q57_markdown, q57b_html, q57c_heatmaps, q58_names, q58b_numbers, q59_workbooks, q60_word_round_trip, q61_pdf_documents, q62_markdown_blocks, q63_styles, q64_themes, q65_layout, q66_recoloured, q69_spans, q70_closed_tops, q72_offers, q72b_refused, q73_understood, q74_between_tables)
+    for f in (q03b_gate, q53_grid_cells, q53b_assembled, q53c_left_out, q54_batch, q54b_targets, q54c_flags, q55_data_violations, q55b_hours, q56_spliced, q57_markdown, q57b_html, q57c_heatmaps, q58_names, q58b_numbers, q59_workbooks, q60_word_round_trip, q61_pdf_documents, q62_markdown_blocks, q63_styles, q64_themes, q65_layout, q66_recoloured, q69_spans, q70_closed_tops, q72_offers, q72b_refused, q72c_losses, q73_understood, q74_between_tables)
 }
 
 _G = "g AS (SELECT c_custkey // 1600 * 40 + c_custkey % 40 AS doc_id, c_custkey // 400 % 4 AS page, c_custkey // 40 % 10 AS k, c_custkey, c_name, 'nation ' || c_nationkey AS note, c_mktsegment FROM customer)"
@@ -372,6 +393,9 @@ ORACLE = {
  CASE k WHEN 3 THEN 'to: unknown format svg' WHEN 4 THEN 'unknown theme other' WHEN 6 THEN 'unknown key titel' WHEN 7 THEN 'plain names would write md or docx beside the sources, which a rerun would read' ELSE CASE WHEN own THEN 'is the output of another input' WHEN other IS NOT NULL THEN 'its output would also be that of ' || other END END AS reason,
  k IN (2, 3, 4, 6, 7, 8) AS has_sidecar, CASE WHEN k = 8 THEN 't' END AS title FROM s""",
     "q54b_targets": f"WITH {_BATCH} SELECT path, CASE WHEN k = 2 THEN 'md' ELSE 'pdf' END AS format, 'in/' || stem || '.plain.' || CASE WHEN k = 2 THEN 'md' ELSE 'pdf' END AS target FROM s WHERE k NOT IN (3, 4, 6, 7) AND NOT own AND other IS NULL",
+    "q54c_flags": f"""WITH {_BATCH}
+ SELECT 'flags' AS run, path, k IN (2, 3, 4, 6, 7, 8) AS has_sidecar, 'md' AS formats, k = 7 AS plain, 'Given' AS title, CAST(NULL AS VARCHAR) AS date, CAST(NULL AS VARCHAR) AS entity, k IN (3, 4, 6) AS failed FROM i
+ UNION ALL SELECT 'named file', path, true, 'docx', true, 'Named', 'May', 'Firm', false FROM i UNION ALL SELECT 'no file', path, false, 'pdf', false, NULL, 'June', NULL, false FROM i""",
     "q55_data_violations": """SELECT c_custkey AS prop_id, unnest(list_filter([CASE WHEN c_custkey % 10 = 0 THEN 'template is required' END, CASE WHEN c_custkey % 25 = 5 THEN 'unknown key colour' END, CASE WHEN c_custkey % 15 = 5 THEN 'team[0].rate: more than two decimals' END], lambda x: x IS NOT NULL)) AS why FROM customer""",
     "q55b_hours": "SELECT c_custkey AS prop_id, CAST(3 AS BIGINT) AS weeks, CAST(2 AS BIGINT) AS roles, CAST((c_custkey % 41 + (c_custkey + 1) % 41 + (c_custkey + 2) % 41) * (40 + c_custkey % 7) * 100 + 24 * 3000 AS BIGINT) AS total_cents FROM customer WHERE c_custkey % 10 <> 0 AND c_custkey % 25 <> 5 AND c_custkey % 15 <> 5",
     "q56_spliced": """WITH e AS (SELECT user_id AS doc_id, event_type = 'click' AND event_id % 3 = 0 AS marked FROM events)
@@ -398,7 +422,7 @@ ORACLE = {
     "q61_pdf_documents": f"""WITH c AS (SELECT c_custkey // 100 AS doc_id, c_custkey % 100 // {TEXT_ROWS} AS page, c_custkey, c_name || ' c' || c_custkey || ' ' || c_mktsegment AS text FROM customer),
  t AS (SELECT doc_id, count(*) - 1 AS n_rows, string_agg(text, ' ' ORDER BY c_custkey) AS text, count(DISTINCT page) AS n FROM c GROUP BY doc_id)
  SELECT doc_id, CAST(0 AS BIGINT) AS block_ix, 'para' AS t, CAST(NULL AS BIGINT) AS n_rows, md5('Register of customers') AS text_md5 FROM t UNION ALL SELECT doc_id, 1, 'table', n_rows, md5(text) FROM t UNION ALL SELECT doc_id, 2, 'para', NULL, md5('page ' || n) FROM t""",
-    "q62_markdown_blocks": """SELECT n_nationkey AS doc_id, concat_ws(' ', 'heading:1', 'para:Some ;' || n_name || 'strong; and ;codecode;.', 'heading:' || least(3, n_regionkey + 2), 'list:' || (n_regionkey + 1), 'table:a+b', 'code:sql', 'quote:2', 'rule', 'pagebreak') AS shape, CAST(1 + CASE WHEN n_regionkey + 2 > 3 THEN 1 ELSE 0 END AS BIGINT) AS n_lost FROM nation""",
+    "q62_markdown_blocks": """SELECT c_custkey AS doc_id, concat_ws(' ', 'heading:1', 'para:Some ;' || c_name || 'strong; and ;codecode;.', 'heading:' || least(3, c_nationkey % 5 + 2), 'list:' || (c_nationkey % 5 + 1), 'table:a+b', 'code:sql', 'quote:2', 'rule', 'pagebreak') AS shape, CAST(1 + CASE WHEN c_nationkey % 5 + 2 > 3 THEN 1 ELSE 0 END AS BIGINT) AS n_lost FROM customer""",
     "q63_styles": "SELECT p_partkey, CAST(CASE WHEN p_partkey % 4 < 2 AND p_size % 8 BETWEEN 1 AND 6 THEN least(3, p_size % 8) WHEN p_partkey % 4 = 2 AND p_size % 8 BETWEEN 1 AND 3 THEN p_size % 8 END AS INTEGER) AS level FROM part",
     "q64_themes": """WITH s AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 2 = 0 THEN '#0000FF' WHEN s_suppkey % 7 = 0 THEN 'blue' ELSE '#1A1A1A' END AS ink, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 30 ELSE 18 END::DOUBLE AS h1 FROM supplier)
  SELECT 't' || k AS id, ink, ink AS title, h1 AS h1_pt, h1 AS title_pt, CASE WHEN k % 5 = 0 THEN 'Letter' ELSE 'A4' END AS page, CASE WHEN k % 5 = 0 THEN 280.0 ELSE 48.0 END::DOUBLE AS margin_pt, 10.0::DOUBLE AS body_pt,
@@ -407,7 +431,7 @@ ORACLE = {
  SELECT p_partkey, CAST(floor((w - p_size * 2) * 20 + 0.5) AS BIGINT) AS total, CAST(floor((h - p_size * 2) * 20 + 0.5) AS BIGINT) AS landscape, CAST(p_size + 1 AS DOUBLE) AS body_pt, format('{:.2f}mm', p_size * 0.352778::DOUBLE) AS mm, greatest(p_size * 0.5::DOUBLE, 13.0::DOUBLE) AS statement, CAST(p_size * 2 AS BIGINT) AS half_points, CAST(p_size * 12700 AS BIGINT) AS emu,
  concat_ws('|', CASE WHEN p_partkey % 3 = 0 THEN p_brand END, CASE WHEN p_partkey % 5 > 0 THEN p_type END) AS lines, CASE WHEN p_partkey >= 5 THEN strftime(DATE '1970-01-01' + CAST(p_partkey - 5 AS INTEGER), '%Y-%m-%d') END AS date,
  CASE p_partkey % 4 WHEN 1 THEN 'a "fill" attribute' WHEN 2 THEN '"stroke:" inside a style attribute' WHEN 3 THEN '"fill:" inside a <style> element' END AS painted FROM p""",
-    "q66_recoloured": """SELECT n_regionkey AS doc_id, string_agg('<a fill="#' || lpad(CAST(n_nationkey AS VARCHAR), 6, '0') || '"/>', '' ORDER BY n_name) || '<b class="none"/>' AS svg, 'none' AS missed FROM nation WHERE n_nationkey % 3 = 0 GROUP BY n_regionkey""",
+    "q66_recoloured": """SELECT c_custkey // 10 AS doc_id, string_agg('<a fill="#' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') || '"/>', '' ORDER BY c_name) || '<b class="none"/>' AS svg, 'none' AS missed FROM customer WHERE c_custkey % 3 = 0 GROUP BY c_custkey // 10""",
     "q69_spans": """SELECT event_id, CASE event_id % 6 WHEN 0 THEN '**a<' || event_type || '**z' WHEN 1 THEN '**a<*' || event_type || '***z' WHEN 2 THEN '**a<**`' || event_type || '`z' WHEN 3 THEN '**a<**[' || event_type || '](http://a/?b&c)z' WHEN 4 THEN '**a<**' || event_type || ' (javascript:)z' ELSE '**a<**' || event_type || 'z' END AS md,
  CASE event_id % 6 WHEN 0 THEN '<strong>a&lt;' || event_type || '</strong>z' WHEN 1 THEN '<strong>a&lt;<em>' || event_type || '</em></strong>z' WHEN 2 THEN '<strong>a&lt;</strong><code>' || event_type || '</code>z' WHEN 3 THEN '<strong>a&lt;</strong><a href="http://a/?b&amp;c">' || event_type || '</a>z' WHEN 4 THEN '<strong>a&lt;</strong>' || event_type || ' <span class="muted">(javascript:)</span>z' ELSE '<strong>a&lt;</strong>' || event_type || 'z' END AS html,
  event_type || ' (host)' AS named, repeat('`', greatest(3, CAST(event_id % 6 AS INTEGER) + 1)) AS fence FROM events""",
@@ -418,6 +442,8 @@ ORACLE = {
  || 'table~Discipline+W01+W02+W03~lead+' || {_DAYS('a')} || '+' || {_DAYS('b')} || '+' || {_DAYS('c')} || '/dev+1 day / week+—+2 days / week' AS body FROM t""",
     "q72b_refused": """SELECT c_custkey AS prop_id, '{{stage}} has no value' AS why FROM customer WHERE c_custkey % 10 <> 0 AND c_custkey % 25 <> 5 AND c_custkey % 15 <> 5 AND c_custkey % 4 <> 0
  UNION ALL SELECT c_custkey, unnest(list_filter([CASE WHEN c_custkey % 10 = 0 THEN 'template is required' END, CASE WHEN c_custkey % 25 = 5 THEN 'unknown key colour' END, CASE WHEN c_custkey % 15 = 5 THEN 'team[0].rate: more than two decimals' END], lambda x: x IS NOT NULL)) FROM customer""",
+    "q72c_losses": """WITH k AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 10 <> 0 AND c_custkey % 25 <> 5 AND c_custkey % 15 <> 5)
+ SELECT k AS doc_id, 'html' AS kind, '<div>raw</div>' AS message FROM k UNION ALL SELECT k, 'lookup', 'annex: no shared string for cell A2' FROM k WHERE k % 2 = 1 UNION ALL SELECT k, 'formula', 'annex: 1 formulas: cached values are used' FROM k WHERE k % 2 = 1""",
     "q73_understood": f"WITH {ORACLE_BLOCKS} SELECT doc_id, concat_ws(', ', {_KINDS}) AS line FROM blocks GROUP BY doc_id",
     "q74_between_tables": """WITH e AS (SELECT user_id AS doc_id, event_type IN ('click', 'view') AS t, lag(event_type IN ('click', 'view')) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)
  SELECT doc_id, count(*) + count(*) FILTER (t AND before) AS n, count(*) FILTER (t AND before) AS n_hairlines FROM e GROUP BY doc_id""",

@@ -45,6 +45,11 @@ def load_sidecars(spark: SparkSession, folder: str, recursive: bool = False) ->
     return files.select("path", F.decode("content", "UTF-8").alias("raw"))
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """One small file's text; a missing file raises."""
+    return spark.read.format("binaryFile").load(path).select(F.decode("content", "UTF-8").alias("text")).first()["text"]
+
+
 def shaped(blocks: DataFrame) -> DataFrame:
     """blocks with all columns of the block model, null where a reader has nothing for one."""
     from .markdown import BLOCK_SCHEMA

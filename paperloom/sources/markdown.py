@@ -9,12 +9,13 @@ HTML, headings deeper than three, quotes' inner structure. Strike-through keeps
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.render import block_markdown, gap_after
-from .base import rows_by_document
+from .base import kept, rows_by_document
 
 SPAN = "struct<v:string,path:array<struct<t:string,href:string,node:int>>>"
 BLOCK_SCHEMA = (
@@ -250,26 +251,35 @@ def spans_of(text: str, lose=None, path: tuple = (), count=None) -> list[dict]:
     return out
 
 
+def block_row(doc_id, k: int, b: dict, spans: list[dict] | None) -> dict:
+    width = len(b["head"]) if b["t"] == "table" else None
+    return dict.fromkeys(FIELDS) | b | {"doc_id": doc_id, "block_ix": k, "spans": spans, "n_cols": width, "n_aligned": len(b["align"]) if width else None}
+
+
 def block_rows(doc_id, text: str | None) -> list[dict]:
-    rows = []
-    for k, b in enumerate(Lexer(text or "").blocks):
-        width = len(b["head"]) if b["t"] == "table" else None
-        rows.append(dict.fromkeys(FIELDS) | b | {"doc_id": doc_id, "block_ix": k, "spans": spans_of(b["text"]) if b["t"] in ("para", "heading") else None, "n_cols": width, "n_aligned": len(b["align"]) if width else None})
-    return rows
+    return [r for r in read_rows(doc_id, text) if r["loss"] is None]
+
+
+LOSS = "loss struct<seq: int, kind: string, message: string>"
 
 
-def dropped_rows(doc_id, text: str | None) -> list[dict]:
+def read_rows(doc_id, text: str | None) -> Iterator[dict]:
+    """A text's blocks, and behind them what was lost, from one reading."""
     lexer = Lexer(text or "")
-    for b in lexer.blocks:
-        for piece in [b.get("text") if b["t"] in ("para", "heading") else None, *(b.get("items") or ())]:
+    for k, b in enumerate(lexer.blocks):
+        spans = spans_of(b["text"], lexer.lose) if b["t"] in ("para", "heading") else None
+        for piece in b.get("items") or ():
             spans_of(piece or "", lexer.lose)
-    return [{"doc_id": doc_id, "seq": k, "kind": kind, "message": what} for k, (kind, what) in enumerate(lexer.dropped)]
+        yield block_row(doc_id, k, b, spans) | {"loss": None}
+    for k, (kind, what) in enumerate(lexer.dropped):
+        yield dict.fromkeys(FIELDS) | {"doc_id": doc_id, "loss": {"seq": k, "kind": kind, "message": what}}
 
 
 def read(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(blocks, dropped) of docs(doc_id, text)."""
+    """(blocks, dropped) of docs(doc_id, text); a text is lexed once, and its rows are written for both."""
     src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows_by_document(src, block_rows, BLOCK_SCHEMA), rows_by_document(src, dropped_rows, "doc_id long, seq int, kind string, message string")
+    rows = kept(rows_by_document(src, read_rows, f"{BLOCK_SCHEMA}, {LOSS}"))
+    return rows.where("loss is null").drop("loss"), rows.where("loss is not null").select("doc_id", "loss.seq", "loss.kind", "loss.message")
 
 
 def with_titles(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:

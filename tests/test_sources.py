@@ -621,3 +621,31 @@ def test_a_very_large_sheet_is_read_in_bounded_memory(spark):
     assert [(r.doc_id, r.t) for r in got["blocks"].collect()] == [(2, "table")]
     said = sorted(r.message for r in got["dropped"].where("doc_id = 1").collect())
     assert any("94309" in m for m in said) and "T: the sheet's part is missing" in said
+
+
+def test_flags(spark, tmp_path, capsys):
+    p = jobs.parser()
+    a = p.parse_args(["build", "in", "--to", "md, docx", "--to", "html", "--theme", "t", "--out", "o", "--title", "T", "--date", "D", "--entity", "E", "--plain-names", "--recursive", "--no-config"])
+    assert (a.folder, a.to, a.theme, a.out, a.title, a.date, a.entity, a.plain_names, a.recursive, a.no_config, a.config) == ("in", ["md", "docx", "html"], "t", "o", "T", "D", "E", True, True, True, None)
+    assert p.parse_args(["inspect", "in"]).json is None and p.parse_args(["proposal", "in", "--to", "md"]).to == ["md"]
+    for wrong in ([], ["build"], ["build", "in", "--nothing"], ["build", "in", "--title"], ["build", "a", "b", "c"], ["inspect", "in", "--to", "md"], ["build", "in", "--config", "c", "--no-config"], ["proposal", "in", "--recursive"], ["fly"]):
+        assert jobs.main(wrong) == 2
+    capsys.readouterr()
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.md").write_text("# Own\n\ntext")
+    (tmp_path / "in" / "a.settings.json").write_text('{"title": "Beside", "date": "May 1", "to": ["md"]}')
+    (tmp_path / "one.json").write_text('{"title": "Named", "entity": "Firm"}')
+    folder = str(tmp_path / "in")
+    said = lambda *args: (jobs.main(["inspect", folder, "--json", *args]), json.loads(capsys.readouterr().out.strip().split("\n")[-1]))
+    pick = lambda r: (r[0], r[1]["title"], r[1].get("date"), r[1].get("entity"))
+    assert pick(said()) == (0, "Beside", "May 1", None)
+    assert pick(said("--no-config")) == (0, "Own", None, None)
+    assert pick(said("--config", str(tmp_path / "one.json"), "--date", "June")) == (0, "Named", "June", "Firm")
+    assert pick(said("--title", "Flag", "--entity", "E")) == (0, "Flag", "May 1", "E")
+    assert said("--theme", "none")[0] == 1
+    assert jobs.main(["inspect", folder]) == 0
+    assert capsys.readouterr().out.strip().endswith("a.md: Beside: 1 para")
+    assert jobs.main(["build", folder, "--out", str(tmp_path / "out"), "--title", "Flag", "--to", "md"]) == 0
+    assert spark.read.parquet(str(tmp_path / "out")).first().content.decode() == "# Flag\n\ntext\n"
+    assert jobs.main(["build", folder]) == 2
