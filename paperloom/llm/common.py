@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 512
 BATCH_BYTES = 2**20  # a batch's numpy arrays take some fifty times its bytes
 MOST_TASKS = 20_000  # of a stage that takes an archive, a file's block or the like a task
+MOST_STRATA = 100_000
 SPARE = 4  # a sample is drawn from about so many times its rows
 
 
@@ -74,7 +75,7 @@ def bounded_sample(rows: DataFrame, stratum: str, sizes: dict[str, int], wanted:
     strata in question have, and so below which hash some ``SPARE`` times the rows wanted
     lie, whatever the size; only these move. Where repeated rows leave fewer than wanted, the
     bound of that stratum grows until there are enough or all were looked at. The bounds are a
-    table of a row a stratum, which Spark broadcasts if it is small.
+    table of a row a stratum, which is broadcast up to ``MOST_STRATA`` rows (some 5 MB) and joined beyond.
     """
     names = rows.columns
     if not sizes:
@@ -83,6 +84,7 @@ def bounded_sample(rows: DataFrame, stratum: str, sizes: dict[str, int], wanted:
     share = {s: SPARE * wanted / max(n, 1) for s, n in sizes.items()}
     while True:
         upto = rows.sparkSession.createDataFrame([(s, -(2**63) + min(int(part * 2**64), 2**64 - 1)) for s, part in sorted(share.items())], "_stratum string, _upto long")
+        upto = F.broadcast(upto) if len(share) <= MOST_STRATA else upto
         near = hashed.join(upto, (F.col(stratum) == F.col("_stratum")) & (F.col("_hash") <= F.col("_upto"))).select(*names, "_hash")
         near = materialise(near.dropDuplicates([stratum, "_hash"]), "sample")
         got = {r[0]: r[1] for r in near.groupBy(stratum).count().collect()}
