@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.links import image_markup
 from ..functions.text import col, escape_html
+from .blocks import cover_zones, split_at_pagebreak
 
 ALIGN = {"l": ":--", "r": "--:", "c": ":-:"}
 
@@ -146,10 +147,33 @@ def render_markdown(docs: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def render_html(docs: DataFrame, blocks: DataFrame, css: str = "") -> DataFrame:
-    """(doc_id, html): one self-contained page a document."""
-    rows = blocks.select("doc_id", "block_ix", block_html().alias("h"))
-    body = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_ix", "h"))), lambda x: x["h"]), "\n").alias("body"))
+    """(doc_id, html): one self-contained page a document. Where docs has a true ``cover``, what stands before the first
+    page break is laid out as a cover, if a rule marks its zones."""
+    shown = cover_marked(blocks, docs) if "cover" in docs.columns else blocks.withColumn("zone", F.lit("rest"))
+    rows = shown.select("doc_id", "block_ix", "zone", (F.col("t") == "quote").alias("quote"), block_html().alias("h"))
+    zone = lambda z: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("zone") == z, F.struct("block_ix", "h")))), lambda x: x["h"]), "\n").alias(z)
+    body = rows.groupBy("doc_id").agg(*[zone(z) for z in ("panel", "flowing", "foot", "rest")], F.bool_or(F.col("zone") != "rest").alias("zoned"), F.bool_or(F.col("quote") & (F.col("zone") == "flowing")).alias("stated"))
     title = escape_html("title")
+    heading = F.concat(F.lit("<h1>"), title, F.lit("</h1>"))
     lang = F.coalesce("lang", F.lit("en"))
-    page = F.concat(F.lit('<!DOCTYPE html>\n<html lang="'), escape_html(lang), F.lit('"><head><meta charset="utf-8"><title>'), title, F.lit(f"</title><style>{css}</style></head><body>\n<h1>"), title, F.lit("</h1>\n"), F.coalesce("body", F.lit("")), F.lit("\n</body></html>\n"))
+    div = lambda name, *parts: F.concat(F.lit('<div class="'), name, F.lit('">'), *parts, F.lit("</div>"))
+    # a statement among what flows is centred, and so is the zone around it
+    stated = F.when(F.col("stated"), " cover-statement").otherwise("")
+    top = div(F.concat(F.lit("cover-top"), stated), div(F.lit("cover-panel"), heading, "panel"), div(F.concat(F.lit("cover-flow"), stated), "flowing"))
+    cover = F.when(F.col("foot") == "", top).otherwise(div(F.lit("cover-frame"), top, div(F.lit("cover-foot"), "foot")))
+    plain = F.concat(heading, F.lit("\n"), F.coalesce("rest", F.lit("")))
+    main = F.when(F.coalesce("zoned", F.lit(False)), F.concat(cover, F.lit("\n"), "rest")).otherwise(plain)
+    page = F.concat(F.lit('<!DOCTYPE html>\n<html lang="'), escape_html(lang), F.lit('"><head><meta charset="utf-8"><title>'), title, F.lit(f"</title><style>{css}</style></head><body>\n"), main, F.lit("\n</body></html>\n"))
     return docs.join(body, "doc_id", "left").select("doc_id", page.alias("html"))
+
+
+def cover_marked(blocks: DataFrame, docs: DataFrame) -> DataFrame:
+    """blocks with ``zone``: that of a cover (panel, flowing, foot) for blocks of a covered document's first page that holds
+    a rule, its rules left out, and 'rest' for all others."""
+    paged = split_at_pagebreak(blocks.join(docs.select("doc_id", F.coalesce("cover", F.lit(False)).alias("_cover")), "doc_id", "left"))
+    whole = Window.partitionBy("doc_id")
+    first = F.coalesce("_cover", F.lit(False)) & (F.col("part") == "page")
+    ruled = F.max(first & (F.col("t") == "rule")).over(whole)
+    zoned = cover_zones(paged.withColumns({"_on": first & ruled, "_t": F.col("t")}).withColumn("t", F.when(F.col("_on"), F.col("t"))))
+    out = zoned.withColumns({"t": F.col("_t"), "zone": F.when(F.col("_on"), F.col("zone")).otherwise("rest")})
+    return out.where("zone is not null").drop("_cover", "_on", "_t", "part")

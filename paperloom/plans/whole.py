@@ -173,6 +173,13 @@ def q57b_html(spark, d):
     return page.select("doc_id", F.md5(F.col("html").cast("binary")).alias("html_md5"))
 
 
+def q57d_covers(spark, d):
+    """Every other document with a cover: zones between its rules."""
+    titles, rest = _made_documents(spark, d)
+    page = R.render_html(titles.withColumns({"lang": F.lit("en"), "cover": F.col("doc_id") % 2 == 0}), rest)
+    return page.select("doc_id", F.md5(F.col("html").cast("binary")).alias("html_md5"))
+
+
 def q57c_heatmaps(spark, d):
     """A heatmap block of each supplier's quantities by month, in three styles."""
     li = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("doc_id"), F.col("l_linenumber").alias("line")).agg(*[F.coalesce(F.sum(F.when(F.quarter("l_shipdate") == q, F.col("l_quantity"))), F.lit(0)).cast("long").alias(f"q{q}") for q in range(1, 5)])
@@ -355,7 +362,7 @@ def q56_spliced(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (q03b_gate, q53_grid_cells, q53b_assembled, q53c_left_out, q54_batch, q54b_targets, q54c_flags, q55_data_violations, q55b_hours, q56_spliced, q57_markdown, q57b_html, q57c_heatmaps, q58_names, q58b_numbers, q59_workbooks, q60_word_round_trip, q61_pdf_documents, q62_markdown_blocks, q63_styles, q64_themes, q65_layout, q66_recoloured, q69_spans, q70_closed_tops, q72_offers, q72b_refused, q72c_losses, q73_understood, q74_between_tables)
+    for f in (q03b_gate, q53_grid_cells, q53b_assembled, q53c_left_out, q54_batch, q54b_targets, q54c_flags, q55_data_violations, q55b_hours, q56_spliced, q57_markdown, q57b_html, q57c_heatmaps, q57d_covers, q58_names, q58b_numbers, q59_workbooks, q60_word_round_trip, q61_pdf_documents, q62_markdown_blocks, q63_styles, q64_themes, q65_layout, q66_recoloured, q69_spans, q70_closed_tops, q72_offers, q72b_refused, q72c_losses, q73_understood, q74_between_tables)
 }
 
 _G = "g AS (SELECT c_custkey // 1600 * 40 + c_custkey % 40 AS doc_id, c_custkey // 400 % 4 AS page, c_custkey // 40 % 10 AS k, c_custkey, c_name, 'nation ' || c_nationkey AS note, c_mktsegment FROM customer)"
@@ -366,6 +373,8 @@ tables AS (SELECT doc_id, first AS page, 1 AS zone, 0 AS k, 'table' AS t, NULL A
 pages AS (SELECT DISTINCT doc_id, page, min(page) OVER (PARTITION BY doc_id) AS lo, max(page) OVER (PARTITION BY doc_id) AS hi FROM g)"""
 _ESC = lambda x: f"replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
 _TITLES = "titles AS (SELECT doc_id, coalesce(max(CASE WHEN block_ix = title_ix THEN text END), 'Untitled') AS title FROM lifted GROUP BY doc_id)"
+_HTML = f"m AS (SELECT doc_id, block_ix, t, CASE t WHEN 'heading' THEN '<h' || level || '>' || {_ESC('text')} || '</h' || level || '>' WHEN 'list' THEN '<ul><li>' || {_ESC('text')} || '</li></ul>' WHEN 'rule' THEN '<hr>' WHEN 'pagebreak' THEN '<div class=\"pagebreak\"></div>' WHEN 'quote' THEN '<blockquote><p>' || {_ESC('text')} || '</p></blockquote>' ELSE '<p>' || {_ESC('text')} || '</p>' END AS h FROM rest)"
+_PAGE = lambda css, main: f"""'<!DOCTYPE html>' || chr(10) || '<html lang="en"><head><meta charset="utf-8"><title>' || {_ESC('title')} || '</title><style>{css}</style></head><body>' || chr(10) || {main} || chr(10) || '</body></html>' || chr(10)"""
 _KINDS = ", ".join(f"CASE WHEN count(*) FILTER (t = '{k}') > 0 THEN count(*) FILTER (t = '{k}') || ' {k}' || CASE WHEN count(*) FILTER (t = '{k}') = 1 THEN '' ELSE 's' END END" for k in B.KINDS)
 _MONEY = lambda c: f"('€' || chr(160) || replace(format('{{:,}}', CAST(floor({c} / 100.0) AS BIGINT)), ',', chr(160)) || ',' || lpad(CAST({c} % 100 AS VARCHAR), 2, '0'))"
 _DAYS = lambda h: f"CASE WHEN {h} = 0 THEN '—' ELSE CASE WHEN {h} % 8 = 0 THEN CAST({h} // 8 AS VARCHAR) ELSE CAST({h} / 8.0::DOUBLE AS VARCHAR) END || CASE WHEN {h} <= 8 THEN ' day / week' ELSE ' days / week' END END"
@@ -404,10 +413,15 @@ ORACLE = {
  m AS (SELECT doc_id, block_ix, t, CASE t WHEN 'heading' THEN repeat('#', CAST(level AS INTEGER)) || ' ' || text WHEN 'list' THEN '- ' || text WHEN 'rule' THEN '---' WHEN 'pagebreak' THEN '<!-- pagebreak -->' WHEN 'quote' THEN '> ' || text WHEN 'image' THEN '![](x.png)' ELSE text END AS md, lead(t) OVER (PARTITION BY doc_id ORDER BY block_ix) AS nxt FROM rest),
  b AS (SELECT doc_id, string_agg(md || CASE WHEN nxt IS NULL OR (t = 'list' AND nxt = 'list') THEN chr(10) ELSE chr(10) || chr(10) END, '' ORDER BY block_ix) AS body FROM m GROUP BY doc_id)
  SELECT doc_id, md5('# ' || title || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || '*sub*' ELSE '' END || coalesce(chr(10) || chr(10) || body, chr(10))) AS markdown_md5 FROM titles LEFT JOIN b USING (doc_id)""",
-    "q57b_html": f"""WITH {ORACLE_BLOCKS}, {_TITLES},
- m AS (SELECT doc_id, block_ix, CASE t WHEN 'heading' THEN '<h' || level || '>' || {_ESC('text')} || '</h' || level || '>' WHEN 'list' THEN '<ul><li>' || {_ESC('text')} || '</li></ul>' WHEN 'rule' THEN '<hr>' WHEN 'pagebreak' THEN '<div class="pagebreak"></div>' WHEN 'quote' THEN '<blockquote><p>' || {_ESC('text')} || '</p></blockquote>' ELSE '<p>' || {_ESC('text')} || '</p>' END AS h FROM rest),
- b AS (SELECT doc_id, string_agg(h, chr(10) ORDER BY block_ix) AS body FROM m GROUP BY doc_id)
- SELECT doc_id, md5('<!DOCTYPE html>' || chr(10) || '<html lang="en"><head><meta charset="utf-8"><title>' || {_ESC('title')} || '</title><style>p{{}}</style></head><body>' || chr(10) || '<h1>' || {_ESC('title')} || '</h1>' || chr(10) || coalesce(body, '') || chr(10) || '</body></html>' || chr(10)) AS html_md5 FROM titles LEFT JOIN b USING (doc_id)""",
+    "q57b_html": f"""WITH {ORACLE_BLOCKS}, {_TITLES}, {_HTML}, b AS (SELECT doc_id, string_agg(h, chr(10) ORDER BY block_ix) AS body FROM m GROUP BY doc_id)
+ SELECT doc_id, md5({_PAGE('p{}', "'<h1>' || " + _ESC('title') + " || '</h1>' || chr(10) || coalesce(body, '')")}) AS html_md5 FROM titles LEFT JOIN b USING (doc_id)""",
+    "q57d_covers": f"""WITH {ORACLE_BLOCKS}, {_TITLES}, {_HTML},
+p AS (SELECT *, block_ix < coalesce(min(CASE WHEN t = 'pagebreak' THEN block_ix END) OVER (PARTITION BY doc_id), 1e9) AND doc_id % 2 = 0 AS page FROM m),
+r AS (SELECT *, min(CASE WHEN page AND t = 'rule' THEN block_ix END) OVER w AS a, max(CASE WHEN page AND t = 'rule' THEN block_ix END) OVER w AS z FROM p WINDOW w AS (PARTITION BY doc_id)),
+q AS (SELECT doc_id, block_ix, t, h, CASE WHEN NOT page OR a IS NULL THEN 'rest' WHEN t = 'rule' THEN '' WHEN block_ix < a THEN 'panel' WHEN a < z AND block_ix > z THEN 'foot' ELSE 'flow' END AS zone FROM r),
+g AS (SELECT doc_id, {', '.join(f"coalesce(string_agg(h, chr(10) ORDER BY block_ix) FILTER (zone = '{k}'), '') AS {k}" for k in ('panel', 'flow', 'foot', 'rest'))}, bool_or(zone <> 'rest' AND zone <> '') AS zoned FROM q GROUP BY doc_id),
+f AS (SELECT titles.doc_id, title, '<h1>' || {_ESC('title')} || '</h1>' AS h1, rest, foot, zoned, '<div class="cover-top"><div class="cover-panel"><h1>' || {_ESC('title')} || '</h1>' || panel || '</div><div class="cover-flow">' || flow || '</div></div>' AS top FROM titles LEFT JOIN g USING (doc_id))
+ SELECT doc_id, md5({_PAGE('', "CASE WHEN zoned THEN CASE WHEN foot = '' THEN top ELSE '<div class=\"cover-frame\">' || top || '<div class=\"cover-foot\">' || foot || '</div></div>' END || chr(10) || rest ELSE h1 || chr(10) || coalesce(rest, '') END")}) AS html_md5 FROM f""",
     "q57c_heatmaps": f"""WITH l AS (SELECT l_suppkey AS doc_id, l_linenumber AS line, {', '.join(f"CAST(coalesce(sum(CASE WHEN quarter(l_shipdate) = {q} THEN l_quantity END), 0) AS BIGINT) AS q{q}" for q in range(1, 5))} FROM lineitem GROUP BY ALL),
  x AS (SELECT *, greatest(max(q1) OVER w, max(q2) OVER w, max(q3) OVER w, max(q4) OVER w)::DOUBLE AS m FROM l WINDOW w AS (PARTITION BY doc_id))
  SELECT doc_id, '|  | Q1 | Q2 | Q3 | Q4 |' || chr(10) || '| :-- | :-: | :-: | :-: | :-: |' || chr(10) || string_agg('| line\\|' || line || ' | ' || {" || ' | ' || ".join(_CELL(f'q{q}') for q in range(1, 5))} || ' |', chr(10) ORDER BY line) AS markdown FROM x GROUP BY doc_id""",
