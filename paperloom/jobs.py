@@ -19,7 +19,7 @@ from .operators import proposals as P
 from .operators import offers as O
 from .sinks.writers import render
 from .sources import discover as D
-from .sources.base import kept
+from .sources.base import forget, kept
 
 WRITERS = ("md", "html", "docx")
 
@@ -175,6 +175,14 @@ def main(args: list[str]) -> int:
     except SystemExit as e:
         return int(e.code or 0)
     spark = SparkSession.builder.getOrCreate()
+    try:
+        return run(spark, a)
+    finally:
+        forget(spark)
+
+
+def run(spark: SparkSession, a: argparse.Namespace) -> int:
+    """A command's exit code, its output printed or written."""
     if a.command == "doctor":
         checks = doctor(spark).collect()
         for c in checks:

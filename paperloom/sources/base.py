@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -42,9 +42,20 @@ def rows_by_document(df: DataFrame, make: Callable[..., Iterable[dict]], schema:
     return df.mapInArrow(run, kind)
 
 
+KEPT: list[str] = []  # folders that `kept` has written and nobody has removed
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete every table that `kept` wrote so far; plans over them can't be run any more."""
+    while KEPT:
+        path = spark._jvm.org.apache.hadoop.fs.Path(KEPT.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df, written to the folder that ``spark.checkpoint.dir`` names and read again, for what is used
-    several times: a lost executor then costs no finished work. Only a session on one machine may do without the setting."""
+    several times: a lost executor then costs no finished work. Only a session on one machine may do without the setting.
+    The tables stay until `forget` is called."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
@@ -54,5 +65,6 @@ def kept(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", root)
         atexit.register(shutil.rmtree, root.removeprefix("file://"), True)
     path = f"{root.rstrip('/')}/paperloom-{uuid.uuid4().hex}"
+    KEPT.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

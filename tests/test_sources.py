@@ -649,3 +649,7 @@ def test_flags(spark, tmp_path, capsys):
     assert jobs.main(["build", folder, "--out", str(tmp_path / "out"), "--title", "Flag", "--to", "md"]) == 0
     assert spark.read.parquet(str(tmp_path / "out")).first().content.decode() == "# Flag\n\ntext\n"
     assert jobs.main(["build", folder]) == 2
+    # a command leaves no table of its own behind
+    from paperloom.sources.base import KEPT
+
+    assert not KEPT
