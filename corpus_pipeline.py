@@ -52,8 +52,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_stage),
 ]
 
-#: Learned cutoffs, components, the latent space and packing plans can't be said in SQL; tests
-#: compare every stage with a brute-force version.
+#: Learned cutoffs, components, the latent space and packing plans can't be said in SQL;
+#: tests/llm/test_pipeline_brute.py computes every stage and the whole run plainly.
 ORACLE_SQL: str | None = None
 
 
