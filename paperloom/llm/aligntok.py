@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import lasting_batches, materialise, shared_dir, tidily
 from .tokens import encoder, vocabulary_path
-from .vecwords import U, buffer
+from .vecwords import U
 
 PIECES = "piece_bpe_32k.model"
 SHIFT = 20  # bits of a B id in a pair's number

@@ -319,9 +319,9 @@ def _cut(docs: DataFrame, min_words: int, n_lines: str, n_cut: str) -> DataFrame
     texts = keyed.select("k1", "k2", F.col("row.text").alias("text"))
     own = materialise(texts.mapInArrow(tidily(emit), "hash long, k1 long, k2 long, number int, twice boolean"), "chunks", folder)
     repeated = own.groupBy("hash").agg(F.min("k1").alias("first"), F.max("k1").alias("last")).where("first < last").select("hash", "first")
-    # written first, so that a very common chunk's rows can be split in the join
+    # written first, so that a very common chunk's rows can be split in the join; the hashes are a small part of the rows
     half = shared_dir(spark)
-    found = materialise(own.join(materialise(repeated, "hashes", folder), "hash").drop("twice"), "found", half)
+    found = materialise(own.join(materialise(repeated, "hashes", folder).hint("shuffle_hash"), "hash").drop("twice"), "found", half)
     inside = materialise(own.where("twice").select("k1", "k2").distinct(), "inside")
     del own, repeated
     discard(spark, folder)

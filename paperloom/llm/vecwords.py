@@ -83,7 +83,7 @@ class Words:
         self.raw, self.word = raw, word
         self.start = np.flatnonzero(opens)
         self.end = np.flatnonzero(closes) + 1
-        self.first = np.concatenate((np.zeros(1, np.int64), np.cumsum(sums(opens, offsets))))
+        self.first = np.searchsorted(self.start, offsets)
 
     @functools.cached_property
     def prefix(self) -> np.ndarray:
