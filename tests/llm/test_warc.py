@@ -84,3 +84,21 @@ def test_repeated_rows_and_null_ids(spark):
 
 def test_empty(spark):
     assert W.capture_histories(table(spark, [])).count() == 0
+
+
+def test_revisits_against_the_oracle(spark, tmp_path):
+    """The contract's SQL on pages many of which have equal payloads, null and empty ones among them."""
+    import duckdb
+
+    from paperloom.llm.oracles import ORACLE
+    from paperloom.llm.queries import op1_warc_index_merge
+
+    html = ["<p>one</p>", "<p>two</p>", "", None, "é" * 500, "<p>one</p> "]
+    rows = [(i, f"http://host{i % 7}.example/{i % 11}/{i}", html[i * i % 6] if i % 5 else f"own {i}") for i in range(400)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    want = sorted(db.execute(f"select {', '.join(names)} from ({ORACLE['op1_warc_index_merge']})").fetchall())
+    got = sorted(tuple(r) for r in op1_warc_index_merge(spark, str(tmp_path)).select(*names).collect())
+    assert got == want and sum(r[3] == "revisit" for r in got) > 200
