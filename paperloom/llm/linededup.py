@@ -9,7 +9,8 @@ nothing further on, and a passage of some 50 words shares two boundaries or more
 other places. A chunk reaches from one boundary to the next, both lines of either included (at
 least two lines, in all but a text's ends three), and on to ``min_words`` words.
 
-Chunks whose hash stands in several documents, or again in one, are removed if their bytes
+A text that stands whole in a document of smaller doc_id goes from its first word to its last, if its
+bytes are the same; of the others, chunks whose hash stands in several documents, or again in one, are removed if their bytes
 equal those of the first occurrence, which stays unless another chunk of it goes; first is
 the smallest doc_id, then the position. A second step takes what chunk edges miss: where a
 chunk goes and its neighbour doesn't, the words beside it go as far as they are those beside the
@@ -37,6 +38,7 @@ from .common import discard, fresh, lasting_batches, materialise, quoted, shared
 from .vecwords import SPACE, U, Words, buffer, mix
 
 MIN_WORDS, FOLD, FOLD_WINDOW, WINDOW, CONTEXT = 10, 4, 4, 6, 48
+WHOLE = -1  # in place of a chunk's number: the text
 SLICE = 1 << 12  # chunks whose bytes are taken at a time
 STOP = np.zeros(256, bool)
 STOP[list(b".!?")] = True
@@ -237,9 +239,15 @@ def removed(texts, cuts, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     # chunks that the first occurrence elsewhere has
     of = np.repeat(np.arange(n), np.diff(cuts.offsets.to_numpy()))
     given = cuts.flatten()
-    k = numbers(c.owner, n)[of] + given.field(0).to_numpy(zero_copy_only=False)
+    number = given.field(0).to_numpy(zero_copy_only=False)
     theirs, ends = buffer(given.field(1))
-    ok = same_bytes(raw, c.x[k], c.y[k], theirs, ends[:-1], ends[1:])
+    # texts that an earlier document is
+    text = of[(number == WHOLE) & same_bytes(raw, offsets[of], offsets[of + 1], theirs, ends[:-1], np.where(number == WHOLE, ends[1:], ends[:-1]))]
+    lo, hi = [c.lo[c.words.first[text]]], [c.hi[c.words.first[text + 1] - 1]]
+    at = np.flatnonzero(number != WHOLE)
+    of, given = of[at], given.take(pa.array(at))
+    k = numbers(c.owner, n)[of] + number[at]
+    ok = same_bytes(raw, c.x[k], c.y[k], theirs, ends[at], ends[at + 1])
     gone = np.zeros(len(c), bool)
     gone[k[ok]] = True
     # chunks that stand earlier in the same text
@@ -247,7 +255,8 @@ def removed(texts, cuts, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     same = same_bytes(raw, c.x[again], c.y[again], raw, c.x[first], c.y[first])
     again, first = again[same], first[same]
     gone[again] = True
-    lo, hi = [c.lo[c.first[gone]]], [c.hi[c.last[gone]]]
+    lo.append(c.lo[c.first[gone]])
+    hi.append(c.hi[c.last[gone]])
     # what is beside them
     for name, low in ((2, True), (3, False)):
         side = given.field(name)
@@ -309,21 +318,27 @@ def _cut(docs: DataFrame, min_words: int, n_lines: str, n_cut: str) -> DataFrame
             c = Chunks(*buffer(b.column(2)), min_words)
             _, once = np.unique(c.key ^ mix(c.owner.astype(U)), return_index=True)
             once.sort()
-            at = np.arange(len(c)) - numbers(c.owner, b.num_rows)[c.owner] if len(c) else c.owner
-            of = pa.array(c.owner[once])
-            twice = np.bincount(c.owner, minlength=b.num_rows) > np.bincount(c.owner[once], minlength=b.num_rows)
-            head = np.concatenate((np.ones(1, bool), np.diff(c.owner[once]) > 0))[: len(once)]
-            yield pa.RecordBatch.from_arrays([pa.array(c.key[once].view(np.int64)), b.column(0).take(of), b.column(1).take(of), pa.array(at[once].astype(np.int32)), pa.array(head & twice[c.owner[once]])], names=["hash", "k1", "k2", "number", "twice"])
-
-    folder = shared_dir(spark)
+            owner = c.owner[once]
+            at = once - numbers(c.owner, b.num_rows)[owner]
+            cut = pa.array(np.searchsorted(owner, np.arange(b.num_rows + 1)), pa.int32())
+            twice = np.bincount(c.owner, minlength=b.num_rows) > np.diff(cut.to_numpy())
+            lists = lambda x: pa.ListArray.from_arrays(cut, pa.array(x))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists(c.key[once].view(np.int64)), lists(at.astype(np.int32)), pa.array(twice)], names=["k1", "k2", "hashes", "numbers", "twice"])
+
+    folder, half = shared_dir(spark), shared_dir(spark)
     texts = keyed.select("k1", "k2", F.col("row.text").alias("text"))
-    own = materialise(texts.mapInArrow(tidily(emit), "hash long, k1 long, k2 long, number int, twice boolean"), "chunks", folder)
-    repeated = own.groupBy("hash").agg(F.min("k1").alias("first"), F.max("k1").alias("last")).where("first < last").select("hash", "first")
+    own = materialise(texts.mapInArrow(tidily(emit), "k1 long, k2 long, hashes array<long>, numbers array<int>, twice boolean").where("size(hashes) > 0"), "chunks", folder)
+    # texts that stand whole in an earlier document give one row each from here on
+    heads = own.groupBy("k2").agg(F.min("k1").alias("head"), F.max("k1").alias("tail")).where("head < tail").select("k2", "head")
+    heads = materialise(heads, "heads", half)
+    own = materialise(own.join(heads, "k2", "left").withColumn("copy", F.coalesce(F.col("k1") > F.col("head"), F.lit(False))), "flagged", folder)
+    copies = materialise(own.where("copy").select("k1", "k2").distinct(), "copies")
+    inside = materialise(own.where("twice and not copy").select("k1", "k2").distinct(), "inside")
+    rows = own.where("not copy").select("k1", "k2", F.explode(F.arrays_zip("hashes", "numbers")).alias("c")).select("k1", "k2", F.col("c.hashes").alias("hash"), F.col("c.numbers").alias("number"))
+    repeated = rows.groupBy("hash").agg(F.min("k1").alias("first"), F.max("k1").alias("last")).where("first < last").select("hash", "first")
     # written first, so that a very common chunk's rows can be split in the join; the hashes are a small part of the rows
-    half = shared_dir(spark)
-    found = materialise(own.join(materialise(repeated, "hashes", folder).hint("shuffle_hash"), "hash").drop("twice"), "found", half)
-    inside = materialise(own.where("twice").select("k1", "k2").distinct(), "inside")
-    del own, repeated
+    found = materialise(rows.join(materialise(repeated, "hashes", folder).hint("shuffle_hash"), "hash"), "found", half)
+    del own, rows, repeated
     discard(spark, folder)
     # chunks whose neighbour stays
     beside = Window.partitionBy("k1", "k2").orderBy("number")
@@ -334,26 +349,35 @@ def _cut(docs: DataFrame, min_words: int, n_lines: str, n_cut: str) -> DataFrame
     # bytes of the first occurrences, and of what is beside them where that is asked for
     firsts = found.where("k1 = first").groupBy("hash").agg(F.min(F.struct("k1", "k2", "number")).alias("f")).select("hash", "f.*")
     asked = later.groupBy("hash").agg(F.max("left").alias("left"), F.max("right").alias("right")).join(firsts, "hash")
+    asked = asked.select("k1", "k2", "number", "left", "right").unionByName(heads.select(F.col("head").alias("k1"), "k2", F.lit(WHOLE).alias("number"), F.lit(False).alias("left"), F.lit(False).alias("right")))
     asked = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("number", "left", "right")).alias("asked"))
 
     def fetch(batches):
+        names = ["hash", "whole", "bytes", "before", "after"]
         for b in batches:
-            c = Chunks(*buffer(b.column(0)), min_words)
-            asked = b.column(1)
+            raw, offsets = buffer(b.column(0))
+            c = Chunks(raw, offsets, min_words)
+            asked = b.column(2)
             of = np.repeat(np.arange(b.num_rows), np.diff(asked.offsets.to_numpy()))
             given = asked.flatten()
             at, left, right = (given.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-            k = numbers(c.owner, b.num_rows)[of] + at
-            side = lambda want, a, z: binaries(*gather(c.raw, a, np.where(want, z, a)))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([pa.array(c.key[k].view(np.int64)), binaries(*gather(c.raw, c.x[k], c.y[k])), side(left, *c.before(k)), side(right, *c.after(k))], names=["hash", "bytes", "before", "after"])
+            part = at != WHOLE
+            k = numbers(c.owner, b.num_rows)[of[part]] + at[part]
+            side = lambda want, a, z: binaries(*gather(raw, a, np.where(want, z, a)))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(c.key[k].view(np.int64)), pa.array(np.zeros(len(k), bool)), binaries(*gather(raw, c.x[k], c.y[k])), side(left[part], *c.before(k)), side(right[part], *c.after(k))], names=names)
+            of = of[~part]
+            none = pa.nulls(len(of), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(of)), pa.array(np.ones(len(of), bool)), binaries(*gather(raw, offsets[of], offsets[of + 1])), none, none], names=names)
 
     # written, so that only one shuffle of the texts is on disk at a time; rows of one id and text give the same once
-    kept = materialise(texts.join(asked, ["k1", "k2"]).select("text", "asked").mapInArrow(tidily(fetch), "hash long, bytes binary, before binary, after binary").distinct(), "firsts")
-    del found, firsts, asked
+    kept = materialise(texts.join(asked, ["k1", "k2"]).select("text", "k2", "asked").mapInArrow(tidily(fetch), "hash long, whole boolean, bytes binary, before binary, after binary").distinct(), "firsts")
+    del found, firsts, asked, heads
     discard(spark, half)
-    given = later.join(kept, "hash").select("k1", "k2", F.struct("number", "bytes", F.when(F.col("left"), F.col("before")).alias("before"), F.when(F.col("right"), F.col("after")).alias("after")).alias("cut"))
+    given = later.join(kept.where("not whole"), "hash").select("k1", "k2", F.struct("number", "bytes", F.when(F.col("left"), F.col("before")).alias("before"), F.when(F.col("right"), F.col("after")).alias("after")).alias("cut"))
+    none = F.lit(None).cast("binary")
+    whole = copies.join(kept.where("whole").select(F.col("hash").alias("k2"), "bytes"), "k2").select("k1", "k2", F.struct(F.lit(WHOLE).alias("number"), "bytes", none.alias("before"), none.alias("after")).alias("cut"))
     # a list, empty if all that goes stands earlier in the text itself
-    lists = given.unionByName(inside, allowMissingColumns=True).groupBy("k1", "k2").agg(F.collect_list("cut").alias("cuts"))
+    lists = given.unionByName(whole).unionByName(inside, allowMissingColumns=True).groupBy("k1", "k2").agg(F.collect_list("cut").alias("cuts"))
 
     full = [f for f in docs.schema.fields]
     text_at = names.index("text")

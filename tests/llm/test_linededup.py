@@ -91,8 +91,8 @@ class Text:
 
 
 def brute(rows):
-    """What is left of every text when each chunk that stands at an earlier place goes, and what is beside it."""
-    first, out = {}, {}
+    """What is left of every text when each chunk that stands at an earlier place goes, and what is beside it, or all of an earlier text."""
+    first, out, whole = {}, {}, set()
     for i, t in rows:
         x = Text(t or "")
         gone = bytearray(len(t or ""))
@@ -108,6 +108,10 @@ def brute(rows):
                 mine[x.body(k)] = k
                 if x.body(k) in first:
                     later[k] = first[x.body(k)]
+        if t in whole and x.chunks:
+            later, again = {}, {}
+            go(0, len(x.words) - 1)
+        whole.add(t)
         cut = {*later, *again}
         for k, (other, f) in later.items():
             go(*x.chunks[k])
@@ -141,7 +145,9 @@ def test_agrees_with_brute_force(docs):
             at = rnd.randrange(len(t) + 1)
             t = t[:at] + rnd.choice(passages) + t[at:]
         rows.append((i, t))
-    rows += [(500, rows[3][1]), (501, ""), (502, None), (503, passages[0] * 3), (504, " \n \n"), (505, "é. " * 900), (506, "ü" * 3 + " \t" + passages[1].replace(" ", "\x0b\n")), (507, passages[2].replace(".", "!")), (508, " ".join(WORDS)), (509, "x " + " ".join(WORDS)), (510, "de " * 400)]
+    rows += [(600, "\n" + rows[5][1] + "\n \n"), (601, "\n" + rows[5][1] + "\n \n"), (602, "a few words only"), (603, "a few words only"), (500, rows[3][1]), (501, ""), (502, None), (503, passages[0] * 3), (504, " \n \n"), (505, "é. " * 900), (506, "ü" * 3 + " \t" + passages[1].replace(" ", "\x0b\n")), (507, passages[2].replace(".", "!")), (508, " ".join(WORDS)), (509, "x " + " ".join(WORDS)), (510, "de " * 400)]
+    rows += [(700 + k, rows[k][1]) for k in range(0, 60, 3)] + [(800, rows[9][1]), (801, rows[9][1])]
+    rows.sort(key=lambda r: r[0])
     want = brute(rows)
     got = {r.doc_id: r.text for r in D.dedup_lines(docs(rows)).collect()}
     assert {i: t or "" for i, t in got.items()} == want
