@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +15,7 @@ from ..functions.color import week_label
 from ..functions.images import SIGNATURES
 from ..functions.money import days_label, format_money, to_cents
 from ..functions.text import number_text
-from ..sources.base import kept, rows_by_document
+from ..sources.base import dealt_out, kept, rows_by_document
 from . import proposals as P
 
 ANNEX_ROWS = 2000  # fixed value: rows that a sheet of an annex may have
@@ -27,6 +28,11 @@ def beside(path, name) -> Column:
     return F.when(F.startswith(name, F.lit("/")), name).otherwise(F.concat(folder, F.regexp_replace(name, "^(\\./)+", "")))
 
 
+@functools.lru_cache(64)
+def parsed(template: str) -> list[P.Node]:
+    return P.parse_template(template)
+
+
 def fill_rows(prop_id, raw: str, template: str | None) -> list[dict]:
     """The Markdown of one proposal (kind md), its directives by number, and every error of template and fields."""
     row = lambda kind, ix, name="", text="": {"prop_id": prop_id, "kind": kind, "ix": ix, "name": name, "text": text}
@@ -68,7 +74,7 @@ def fill_rows(prop_id, raw: str, template: str | None) -> list[dict]:
         return "".join(out)
 
     try:
-        md = text(P.parse_template(template))
+        md = text(parsed(template))
     except P.TemplateError as e:
         return [row("error", k, text=x) for k, x in enumerate(e.errors)]
     rows = [row("md", 0, text=md)] + [row("directive", k, n.value, json.dumps(n.args)) for k, n in enumerate(found)]
@@ -106,11 +112,14 @@ def assemble(data: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
     from ..sources import archive, markdown
     from ..sources.discover import shaped
 
+    data = dealt_out(data.select("prop_id", *[c for c in data.columns if c != "prop_id"]))
     invalid = kept(P.data_violations(data.select("prop_id", "raw")))
-    good = data.join(invalid.select("prop_id").distinct(), "prop_id", "left_anti")
+    good = kept(data.join(invalid.select("prop_id").distinct(), "prop_id", "left_anti"))
     named = good.select("prop_id", "path", F.explode(F.create_map(*[x for k in ("template", *PLACED) for x in (F.lit(k), F.get_json_object("raw", f"$.{k}"))])).alias("what", "name")).where("name is not null")
-    found = kept(named.withColumn("at", beside(F.col("path"), F.col("name"))).join(files.select(F.col("path").alias("at"), "content"), "at", "left"))
-    bad = [invalid, found.where("content is null").select("prop_id", F.concat(F.lit("cannot read the "), "what", F.lit(" "), "name").alias("why"))]
+    # an annex is read once, whoever names it, so its bytes stay with the files
+    content = F.when(F.col("what") != "annex", F.col("content")).alias("content")
+    found = kept(named.withColumn("at", beside(F.col("path"), F.col("name"))).join(files.select(F.col("path").alias("at"), "content"), "at", "left").select("prop_id", "what", "name", "at", F.col("content").isNotNull().alias("there"), content))
+    bad = [invalid, found.where("not there").select("prop_id", F.concat(F.lit("cannot read the "), "what", F.lit(" "), "name").alias("why"))]
 
     source = good.join(found.where("what = 'template'").select("prop_id", F.decode("content", "UTF-8").alias("template")), "prop_id")
     rows = kept(rows_by_document(source.select("prop_id", "raw", "template"), fill_rows, "prop_id long, kind string, ix int, name string, text string"))
@@ -122,11 +131,15 @@ def assemble(data: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
     differ = P.covers_check(claims, team, ["prop_id"])
     bad.append(differ.select("prop_id", F.concat(F.lit('summary line "'), "item", F.lit('" says '), format_money("claimed_cents"), F.lit(", hours times rates come to "), format_money("computed_cents")).alias("why")))
 
-    annexes = found.where("what = 'annex' and content is not null").select(F.col("prop_id").alias("doc_id"), "content")
-    annex = archive.workbook_blocks(annexes, ANNEX_ROWS)
-    annex_lost = kept(annex["dropped"])
+    # the files that are annexes, each under the number of the first proposal that names it
+    annexes = found.where("what = 'annex' and there").select("prop_id", "at")
+    books = kept(annexes.groupBy("at").agg(F.min("prop_id").alias("book")))
+    naming = annexes.join(books, "at").select("prop_id", "book")
+    annex = archive.workbook_blocks(books.join(files.select(F.col("path").alias("at"), "content"), "at").select(F.col("book").alias("doc_id"), "content"), ANNEX_ROWS)
+    by_proposal = lambda df: naming.join(df.withColumnRenamed("doc_id", "book"), "book").withColumnRenamed("prop_id", "doc_id").drop("book")
+    annex_lost = by_proposal(kept(annex["dropped"]))
     bad.append(annex_lost.where("kind in ('refused', 'sheet')").select(F.col("doc_id").alias("prop_id"), F.concat(F.lit("annex: "), "message").alias("why")))
-    logos = found.where("what = 'clientLogo' and content is not null")
+    logos = found.where("what = 'clientLogo' and there")
     mime = F.coalesce(*[F.when(F.startswith("content", F.lit(bytes(magic))), F.lit(m)) for m, magic in SIGNATURES])
     logos = logos.select("prop_id", mime.alias("mime"), "content")
     bad.append(logos.where("mime is null").select("prop_id", F.lit("clientLogo: not an image format that is read").alias("why")))
@@ -136,7 +149,7 @@ def assemble(data: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
     blank = lambda df, name: shaped(df.withColumn("doc_id", F.col("prop_id")).withColumn("block_ix", F.lit(0))).withColumn("name", F.lit(name)).withColumn("sub_ix", F.lit(0).cast("long"))
     parts = [blank(t, name) for name, t in tables.items()]
     parts.append(blank(good.select("prop_id", F.lit("pagebreak").alias("t")), "pagebreak"))
-    parts.append(shaped(annex["blocks"]).withColumns({"name": F.lit("annex"), "sub_ix": F.col("block_ix")}))
+    parts.append(by_proposal(shaped(kept(annex["blocks"]))).withColumns({"name": F.lit("annex"), "sub_ix": F.col("block_ix")}))
     src = F.concat(F.lit("data:"), "mime", F.lit(";base64,"), F.base64("content"))
     parts.append(blank(logos.where("mime is not null").select("prop_id", F.lit("image").alias("t"), src.alias("src"), F.lit("the client's logo").alias("alt")), "clientlogo"))
     every = parts[0]

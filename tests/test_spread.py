@@ -1,8 +1,12 @@
 """Work of Python readers is dealt out over the cores, and a file that many documents name is read once."""
 
+import json
+
 from pyspark.sql import functions as F
 
-from paperloom.sources import base
+from paperloom.operators import offers
+from paperloom.plans import made
+from paperloom.sources import archive, base
 
 
 def test_one_small_file_of_documents_is_read_by_many_tasks(spark):
@@ -21,3 +25,20 @@ def test_nested_values_count_in_what_a_task_holds():
 def test_rows_with_large_nested_values_go_on_early():
     one = {"doc_id": 1, "xs": list(range(50_000))}
     assert base.weight(one) * 2 > base.BYTES > base.weight(one)  # a batch holds two of them at most
+
+
+def test_an_annex_that_many_proposals_name_is_read_once(spark, monkeypatch):
+    book = made.workbook("Caption", ["key", "day", "priority", "status"], [(1, 45000, "high", "O")])
+    data = {"template": "t.md", "kind": "k", "project": "P", "date": "d", "author": {"name": "n", "email": "e"}, "team": [{"role": "lead", "rate": 40, "hoursPerWeek": [8]}]}
+    annex = lambda k: {"annex": "a.xlsx"} if k % 4 < 2 else {"annex": "b.xlsx"} if k % 4 == 2 else {}
+    rows = spark.createDataFrame([(k, "p/x.proposal.json", json.dumps(data | annex(k))) for k in range(12)], "prop_id long, path string, raw string")
+    files = spark.createDataFrame([("p/t.md", bytearray(b"# {{project}}\n\n{{?annex}}\n\n{{@annex}}\n\n{{/?}}\n\nend\n")), ("p/a.xlsx", bytearray(book)), ("p/b.xlsx", bytearray(b"broken"))], "path string, content binary")
+    seen = []
+    decode = archive.decode_workbooks
+    monkeypatch.setattr(archive, "decode_workbooks", lambda f: seen.append(f.count()) or decode(f))
+    got = offers.assemble(rows, files)
+    assert seen == [2]
+    tables = {r["doc_id"]: r["rows"] for r in got["blocks"].where("t = 'table'").collect()}
+    assert sorted(tables) == [k for k in range(12) if k % 4 < 2] and all(v == tables[0] and len(v) == 1 for v in tables.values())
+    refused = {r["prop_id"] for r in got["violations"].where("why like 'annex: %'").collect()}
+    assert refused == {2, 6, 10}
