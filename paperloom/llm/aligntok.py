@@ -8,8 +8,8 @@ first and last byte the range of the other side's tokens that it overlaps (links
 
 How many documents hold an id pair linked is counted over the whole corpus: a block of
 documents (``BLOCK_BYTES`` of text, or one text, if longer) lists its different pairs once, with
-the number of its documents that hold each; pairs and blocks, not documents, are shuffled, and a
-common pair has a row a block. An A id's highest count is found among at most as many pairs as B
+the number of its documents that hold each; a common pair has a row a block. A
+block's pairs and documents are rows of their own, and meet again block by block when pairs have been counted. An A id's highest count is found among at most as many pairs as B
 has ids.
 
 Cases: null and empty texts, and texts whose tokens' bytes on either side are not the text's own
@@ -25,6 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,7 +154,7 @@ class Aligned:
         ids[at_a], ids[at_b] = self.a, self.b
         sign[at_a[self.a_cut[1:] - 1]], sign[at_b[self.b_cut[1:] - 1]] = 1, 2
         first = (self.a_first + self.b_first).tolist()
-        number = _numbers(int(ids.max()) + 1) if len(ids) else []
+        number = _numbers(int(ids.max()).bit_length()) if len(ids) else []
         out = []
         for k, z in zip(first, first[1:], strict=False):
             out.append("".join([number[x] for x in (ids[k:z] * 3 + sign[k:z]).tolist()])[:-1])
@@ -161,8 +162,8 @@ class Aligned:
 
 
 @functools.lru_cache(2)
-def _numbers(n: int) -> list[str]:
-    return [f"{k}{s}" for k in range(1 << (n - 1).bit_length()) for s in ",|;"]
+def _numbers(bits: int) -> list[str]:
+    return [f"{k}{s}" for k in range(1 << bits) for s in ",|;"]
 
 
 def groups(docs: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
@@ -189,10 +190,10 @@ DOC = "doc_id: long, n_a: long, n_b: long, n_groups: long, n_links: long, groups
 
 
 def _blocks(docs: DataFrame, a_path: str, b_path: str, block_bytes: int) -> DataFrame:
-    """A row a block: its different pairs, how many of its documents hold each, and its documents with the
-    pairs' places in that list and how often each is linked."""
+    """Each block as small rows: one for each of its different pairs (its place ``at`` among them, and how many of the
+    block's documents hold it), and one for each of its documents with the pairs' places and how often each is linked."""
 
-    def pack(held):
+    def pack(block, held):
         ids, numbers, digests, owner, pair, times, rows = [], [], [], [], [], [], 0
         for d, n, g, o, p, t in held:
             ids.append(d)
@@ -210,11 +211,12 @@ def _blocks(docs: DataFrame, a_path: str, b_path: str, block_bytes: int) -> Data
             [pa.concat_arrays(ids), *[pa.array(n[:, k]) for k in range(4)], pa.array(digests, pa.string()), pa.ListArray.from_arrays(cut, pa.array(at, pa.int32())), pa.ListArray.from_arrays(cut, pa.array(times, pa.int32()))],
             names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pair", "times"],
         )
-        whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-        return pa.RecordBatch.from_arrays([whole(pa.array(known)), whole(pa.array(held_by, pa.int32())), whole(doc)], names=["pairs", "holders", "docs"])
+        names, same = ["block", "at", "pair", "holders", "doc"], lambda k: pa.array(np.full(k, block))
+        yield pa.RecordBatch.from_arrays([same(len(known)), pa.array(np.arange(len(known)), pa.int32()), pa.array(known), pa.array(held_by, pa.int32()), pa.nulls(len(known), doc.type)], names=names)
+        yield pa.RecordBatch.from_arrays([same(rows), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int32()), doc], names=names)
 
     def run(batches):
-        held, size = [], 0
+        held, size, block = [], 0, TaskContext.get().partitionId() << 33
         for batch in batches:
             x = Aligned(batch.column(1), a_path, b_path)
             digests = [hashlib.sha256(w.encode()).hexdigest() if w else "" for w in x.written()]
@@ -237,13 +239,13 @@ def _blocks(docs: DataFrame, a_path: str, b_path: str, block_bytes: int) -> Data
             held.append((batch.column(0), numbers, digests, o, p, t))
             size += batch.nbytes
             if size >= block_bytes:
-                yield pack(held)
-                held, size = [], 0
+                yield from pack(block, held)
+                held, size, block = [], 0, block + 1
         if held:
-            yield pack(held)
+            yield from pack(block, held)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(tidily(run), f"pairs array<long>, holders array<int>, docs array<struct<{DOC}>>")
+    return rows.mapInArrow(tidily(run), f"block long, at int, pair long, holders int, doc struct<{DOC}>")
 
 
 def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -251,29 +253,25 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None,
     spark = docs.sparkSession
     lasting_batches(spark)
     folder = shared_dir(spark)
-    blocks = _blocks(docs, a_path or vocabulary_path(), b_path or pieces_path(), block_bytes)
-    # written once, so that a block keeps its number
-    blocks = materialise(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks", folder)
-    pairs = blocks.select("block", F.posexplode(F.arrays_zip("pairs", "holders")).alias("at", "x")).select("block", "at", F.col("x.pairs").alias("pair"), F.col("x.holders").alias("holders"))
+    # written once, so that a block keeps its number; its rows are small, as a reader holds thousands of rows at a time
+    blocks = materialise(_blocks(docs, a_path or vocabulary_path(), b_path or pieces_path(), block_bytes), "blocks", folder)
+    pairs = blocks.where("pair is not null").select("block", "at", "pair", "holders")
     counts = materialise(pairs.groupBy("pair").agg(F.sum("holders").alias("n")), "counts", folder)
     highest = F.max("n").over(Window.partitionBy(F.shiftright("pair", SHIFT)))  # at most as many rows as B has ids
     counts = materialise(counts.withColumn("best", F.col("n") == highest), "best", folder)
-    seen = pairs.select("block", "at", "pair").join(counts, "pair").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "n", "best"))).alias("counts"))
+    seen = pairs.select("block", "at", "pair").join(counts, "pair").select(F.col("block").alias("of_block"), "at", "n", "best")
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
-    def run(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):  # a block
-                docs = batch.column(0).slice(k, 1).flatten()
-                counts = batch.column(1).slice(k, 1).flatten()
-                n, best = counts.field(1).to_numpy(zero_copy_only=False), counts.field(2).to_numpy(zero_copy_only=False)
-                of = {f.name: docs.field(j) for j, f in enumerate(docs.type)}
-                offsets = of["pair"].offsets.to_numpy()
-                first = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.diff(offsets))))
-                pair, times = of["pair"].flatten().to_numpy(), of["times"].flatten().to_numpy().astype(np.int64)
-                total = lambda x: np.diff(np.concatenate((np.zeros(1, np.int64), np.cumsum(x)))[first])  # noqa: B023, E731
-                new = {"n_best": pa.array(total(times * best[pair])), "count_sum": pa.array(total(times * n[pair]))} if len(pair) else dict.fromkeys(("n_best", "count_sum"), pa.array(np.zeros(len(docs), np.int64)))
-                yield pa.RecordBatch.from_arrays([new[c] if c in new else of[c] for c in names], names=names)
+    def run(docs: pa.Table, counts: pa.Table) -> pa.Table:  # of one block
+        at = counts["at"].to_numpy()
+        n, best = np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+        n[at], best[at] = counts["n"].to_numpy(), counts["best"].to_numpy()
+        pair, times = (docs[c].combine_chunks() for c in ("pair", "times"))
+        first = np.concatenate((np.zeros(1, np.int64), np.cumsum(pair.value_lengths().to_numpy())))
+        pair, times = pair.flatten().to_numpy(), times.flatten().to_numpy().astype(np.int64)
+        total = lambda x: pa.array(np.diff(np.concatenate((np.zeros(1, np.int64), np.cumsum(x)))[first]))
+        new = {"n_best": total(times * best[pair]), "count_sum": total(times * n[pair])}
+        return pa.table([new[c] if c in new else docs[c] for c in names], names=names)
 
     kinds = ", ".join(f"{c} {'string' if c == 'groups_sha256' else 'long'}" for c in names)
-    return blocks.select("block", "docs").join(seen, "block", "left").select("docs", F.coalesce("counts", F.array().cast("array<struct<at:int,n:long,best:boolean>>")).alias("counts")).mapInArrow(tidily(run), kinds)
+    return blocks.where("doc is not null").select("block", "doc.*").groupBy("block").cogroup(seen.groupBy("of_block")).applyInArrow(run, kinds)

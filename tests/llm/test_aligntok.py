@@ -127,3 +127,13 @@ def test_null_and_repeated_ids_and_empty_tables(spark, docs):
     assert A.align(docs([])).count() == 0 and A.groups(docs([])).count() == 0
     df = spark.createDataFrame([(1, "x y", 2, 3)], "doc_id long, text string, block int, pair int")
     assert A.align(df).columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+
+
+def test_a_block_is_many_small_rows(spark):
+    """A row of a block's whole documents outgrows a reader's batch of thousands of rows."""
+    docs = spark.createDataFrame([(k, f"the cat {k} sat") for k in range(300)], "doc_id long, text string").coalesce(1)
+    rows = A._blocks(docs, A.vocabulary_path(), A.pieces_path(), A.BLOCK_BYTES).toArrow()
+    docs_at, pairs_at = rows["doc"].is_valid().to_pylist(), rows["pair"].is_valid().to_pylist()
+    assert sum(docs_at) == 300 and sum(pairs_at) == rows.num_rows - 300
+    assert len(set(rows["block"].to_pylist())) == 1
+    assert sorted(x for x in rows["at"].to_pylist() if x is not None) == list(range(sum(pairs_at)))
