@@ -108,6 +108,16 @@ def others(source: Column) -> Column:
     return with_rest(rest, F.col("n_sources") - 1)
 
 
+def all_others(rows: DataFrame, source: str = "path", target: str = "target") -> DataFrame:
+    """(source, target, n_sources, others) of targets with several sources, every other source named in order.
+
+    A target's sources are one sorted list, no longer than the listing of one of its members, and joined to each of them.
+    """
+    each = rows.select(source, target).distinct()
+    whole = each.groupBy(target).agg(F.sort_array(F.collect_list(source)).alias("sources")).where("size(sources) > 1")
+    return each.join(whole, target).select(source, target, F.size("sources").cast("long").alias("n_sources"), F.array_join(F.array_remove("sources", F.col(source)), ", ").alias("others"))
+
+
 def own_outputs(inputs: DataFrame, made: DataFrame) -> DataFrame:
     """Inputs (path) that are another input's target (path, target), a whole path each."""
     t = made.select(F.col("target").alias("_t"), F.col("path").alias("_src"))

@@ -55,7 +55,7 @@ def _targets(spark, d):
 
 
 def q38_collisions(spark, d):
-    return C.collisions(_targets(spark, d))[1].select("path", "target", "n_sources", C.others(F.col("path")).alias("others"))
+    return C.all_others(_targets(spark, d))
 
 
 def q38b_shared_targets(spark, d):
@@ -134,7 +134,7 @@ SELECT CAST(event_id AS VARCHAR) AS path, unnest(CASE event_id % 4 WHEN 0 THEN [
  SELECT page_id, path FROM g WHERE EXISTS (SELECT 1 FROM n WHERE 'in/' || n.target = g.path AND n.src <> g.path)""",
     "q38_collisions": f"""WITH {_INPUTS}, s AS (SELECT DISTINCT path, stem FROM g WHERE page_id % 6 <> 2), t AS (SELECT path, stem || CASE WHEN path LIKE '%.md' THEN '' ELSE '.plain' END || '.' || unnest(['pdf', 'docx']) AS target FROM s),
  o AS (SELECT a.path, a.target, list(DISTINCT b.path ORDER BY b.path) AS x FROM t a JOIN t b ON a.target = b.target AND a.path <> b.path GROUP BY a.path, a.target)
- SELECT path, target, len(x) + 1 AS n_sources, array_to_string(x[1:20], ', ') || CASE WHEN len(x) > 20 THEN ' …and ' || (len(x) - 20) || ' more' ELSE '' END AS others FROM o""",
+ SELECT path, target, len(x) + 1 AS n_sources, array_to_string(x, ', ') AS others FROM o""",
     "q38b_shared_targets": """
 WITH s AS (SELECT replace(c_mktsegment, ' ', '_') || '-' || substr(o_orderpriority, 1, 1) AS stem, 'in/' || lpad(o_orderkey::VARCHAR, 12, '0') || '/' AS dir FROM orders JOIN customer ON c_custkey = o_custkey),
 t AS (SELECT stem || '.plain.docx' AS target, dir || stem || '.md' AS path FROM s)

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from paperloom.operators import offers
+from paperloom.operators import config, offers
 from paperloom.plans import made
 from paperloom.sources import archive, base
 
@@ -42,3 +42,10 @@ def test_an_annex_that_many_proposals_name_is_read_once(spark, monkeypatch):
     assert sorted(tables) == [k for k in range(12) if k % 4 < 2] and all(v == tables[0] and len(v) == 1 for v in tables.values())
     refused = {r["prop_id"] for r in got["violations"].where("why like 'annex: %'").collect()}
     assert refused == {2, 6, 10}
+
+
+def test_every_other_source_of_a_target_is_named(spark):
+    rows = spark.createDataFrame([(f"d/{k:02}", "t") for k in range(30)] + [("d/00", "t"), ("d/x", "u")], "path string, target string")
+    got = {r["path"]: r for r in config.all_others(rows).collect()}
+    assert len(got) == 30 and {r["n_sources"] for r in got.values()} == {30}
+    assert all(r["others"] == ", ".join(f"d/{k:02}" for k in range(30) if f"d/{k:02}" != p) for p, r in got.items())
