@@ -49,3 +49,46 @@ def test_every_other_source_of_a_target_is_named(spark):
     got = {r["path"]: r for r in config.all_others(rows).collect()}
     assert len(got) == 30 and {r["n_sources"] for r in got.values()} == {30}
     assert all(r["others"] == ", ".join(f"d/{k:02}" for k in range(30) if f"d/{k:02}" != p) for p, r in got.items())
+
+
+def test_a_plain_sheet_is_one_pack_and_cleaned_where_it_is(spark, monkeypatch):
+    """Formats and shared strings are looked up while a workbook is read, and what is done in its pack is what the plan over all cells does."""
+    one = list(archive.packed_rows(1, made.workbook("Caption", ["key", "day", "priority", "status"], [(k, 45000 + k, "high", "O") for k in range(9)])))
+    assert [r["kind"] for r in one] == ["sheet", "cells"] and one[1]["whole"] and one[1]["n_sheets"] == 1
+    assert set(one[1]["num_fmt_id"]) == {0, 14, None} and one[1]["found"].count("high") == 9
+
+    text = lambda ref, v: f'<c r="{ref}" t="inlineStr"><is><t>{v}</t></is></c>'
+    number = lambda ref, v, s="": f'<c r="{ref}"{s}><v>{v}</v></c>'
+    shared = lambda ref, k: f'<c r="{ref}" t="s"><v>{k}</v></c>'
+    table = text("B3", "name") + text("D3", "n") + shared("B4", 1) + number("D4", "1.50") + text("A6", "") + shared("B6", 7) + number("D6", "45000", ' s="1"')
+    sheets = {
+        "plain": table,
+        "caption": text("B1", " ") + text("C2", "Of things") + '<c r="D2"/>' + table,
+        "captions": text("B1", "one") + text("B2", "two") + table,
+        "lonely": text("A1", "x") + text("A2", " ") + text("A4", "y"),
+        "numbers": "".join(number(f"{c}{k}", k) for k in (2, 3, 5) for c in "AC"),
+        "sparse head": text("A1", "h") + text("B1", "k") + '<c r="C1"/><c r="D1"/>' + "".join(number(f"{c}2", 1) for c in "ABCD"),
+        "empty": text("A1", ""),
+        "long": "".join(number(f"A{k}", k) for k in range(1, 202)),
+        "wide": "".join(text(f"{c}1", c) for c in [*"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "AA"]),
+        "moved": text("B2", "late") + text("A1", "h") + text("B1", "k") + text("A2", "v"),
+        "formula": '<c r="A1" t="b"><v>1</v></c><c r="B1"><f>1+1</f><v>2</v></c><c r="C1" t="e"><v>#N/A</v></c>',
+    }
+    files = []
+    for name, cells in sheets.items():
+        files.append(made.zipped({"xl/workbook.xml": f'<workbook xmlns:r="{made.OFFICE}"><sheets><sheet name="{name}" r:id="r1"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Type="x/worksheet" Target="worksheets/s.xml"/></Relationships>', "xl/worksheets/s.xml": f"<worksheet><sheetData><row>{cells}</row></sheetData></worksheet>", "xl/sharedStrings.xml": "<sst><si><t>zero</t></si><si><t>first</t></si></sst>", "xl/styles.xml": '<styleSheet><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>'}))
+    rows = lambda: [tuple(r.get(c.split(" ")[0]) for c in archive.WORKBOOK.replace("\n", " ").split(", ")) for k, b in enumerate(files) for r in archive.packed_rows(k, b)]
+    schema = archive.WORKBOOK.replace("\n", " ")
+    raw = spark.createDataFrame(rows(), schema)
+    said = lambda got: [sorted(map(repr, base.kept(got[k]).collect())) for k in ("blocks", "titles", "dropped", "cells")]
+    here = said(archive.decoded_blocks(raw))
+    assert raw.where("whole").count() == len(sheets) - 1
+    assert here == said(archive.decoded_blocks(raw.withColumn("whole", F.lit(False))))
+    assert sum("t='table'" in x for x in here[0]) == len(sheets) - 3 and sum("no shared string for cell B6" in x for x in here[2]) == 3
+    plan = archive.whole_sheets(raw.where("whole"), 200)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+    monkeypatch.setattr(archive, "HELD", 1)  # the second shared string is found by a join
+    late = spark.createDataFrame(rows(), schema)
+    assert late.where("kind = 'string'").count() == len(sheets) and late.where("whole").count() < raw.where("whole").count()
+    assert said(archive.decoded_blocks(late)) == here
