@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from paperloom.operators import config, offers
 from paperloom.plans import made
+from paperloom.sinks import writers
 from paperloom.sources import archive, base
 
 
@@ -92,3 +93,25 @@ def test_a_plain_sheet_is_one_pack_and_cleaned_where_it_is(spark, monkeypatch):
     late = spark.createDataFrame(rows(), schema)
     assert late.where("kind = 'string'").count() == len(sheets) and late.where("whole").count() < raw.where("whole").count()
     assert said(archive.decoded_blocks(late)) == here
+
+
+def test_a_word_file_is_opened_once(spark, monkeypatch):
+    """One package for all tables of a file: paragraphs with their atoms, definitions that can answer, media, losses and dates."""
+    listed = lambda depth, ordered, *items: {"t": "list", "items": list(items), "depth": depth, "ordered": ordered, "start": 3}
+    data, _ = writers.package("T", [{"t": "heading", "level": 1, "text": "H"}, listed(0, True, "a", "b"), listed(2, False, "c"), {"t": "pagebreak"}, {"t": "para", "text": "end"}])
+    opened = []
+    package = archive.Package
+    monkeypatch.setattr(archive, "Package", lambda d: opened.append(len(d)) or package(d))
+    rows = list(archive.word_rows(1, data))
+    monkeypatch.undo()
+    assert opened == [len(data)]
+    assert ["".join(a["v"] or "" for a in r["atoms"]) for r in rows if r["tag"] == "para"] == ["T", "H", "a", "b", "c", "", "end"]
+    assert sorted((r["abstract_id"], r["ilvl"]) for r in rows if r["kind"] == "level") == [("1", 0), ("1", 2), ("2", 0), ("2", 2)]
+
+    seen = []
+    made_by = archive.rows_by_document
+    monkeypatch.setattr(archive, "rows_by_document", lambda *a: seen.append(a[1].__name__) or made_by(*a))
+    got = archive.word_blocks(spark.createDataFrame([(1, bytearray(data))], "doc_id long, content binary"))
+    blocks = [(r.t, r.items if r.t == "list" else r.text, r.start, r.depth) for r in got["blocks"].orderBy("block_ix").collect()]
+    assert blocks == [("para", "T", None, None), ("heading", "H", None, None), ("list", ["a", "b"], 3, 0), ("list", ["c"], None, 2), ("pagebreak", None, None, None), ("para", "end", None, None)]
+    assert seen == ["word_rows"] and got["dropped"].count() == 0
