@@ -45,7 +45,7 @@ from .graph import components
 from .vecwords import FOLD, SPACE, U, Words, buffer, grams, mix
 
 SHINGLE, SIDE, ROWS = 5, 8, 2
-BUCKETS, PARTS = 1 << 18, 16  # hashed shingles that are counted; parts in which the counts are added up
+BUCKETS, PARTS = 1 << 18, 256  # hashed shingles that are counted; parts in which the counts are added up, 8 KB a task each
 AGAIN = 1  # rounds with centers of a table's own
 WORDS = 8  # 64-bit numbers of a bitmap
 N_HASH = 2 * SIDE * ROWS

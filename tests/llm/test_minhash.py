@@ -1,6 +1,10 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from paperloom.llm import graph
 from paperloom.llm import minhash as M
 
@@ -124,3 +128,16 @@ def test_a_node_with_very_many_neighbours(spark):
     other = spark.range(5000, 5010).selectExpr("id as u", "4000L as v")
     got = {r.component: r["count"] for r in graph.components(hub.unionByName(other)).groupBy("component").count().collect()}
     assert got == {0: 3000, 4000: 11}
+
+
+def test_counts_that_meet_in_a_group_are_small(spark, monkeypatch):
+    """Texts dealt over 64 tasks: shingle counts are right, and no group of partial counts has more than 1 MB."""
+    texts = spark.createDataFrame([(f"one two three four five w{k} w{k // 2} w{k // 3}",) for k in range(64)], "text string").repartition(64)
+    grouped, group = [], type(texts).groupBy
+    monkeypatch.setattr(type(texts), "groupBy", lambda self, *cols: grouped.append(self) or group(self, *cols))
+    got = M.shingle_counts(texts)
+    monkeypatch.undo()
+    s, _ = M.shingle_sets(pa.array([r.text for r in texts.collect()]))
+    assert (got == np.bincount(M.bucket(s), minlength=M.BUCKETS)).all()
+    (counts,) = grouped
+    assert counts.groupBy("part").agg(F.sum(F.length("n")).alias("n")).agg(F.max("n")).first()[0] < 2**20
