@@ -58,10 +58,15 @@ def free_tables(placed: DataFrame) -> DataFrame:
 def chrome(runs: DataFrame, rules: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """(runs that stay, messages (doc_id, kind, message)): what a document's declared lines (doc_id, above, below)
     remove, or, where they remove nothing, why, and what repeats on every page."""
-    if rules is None:
+    none = rules is None
+    if none:
         rules = runs.select("doc_id").distinct().limit(0).select("doc_id", F.lit(None).cast("double").alias("above"), F.lit(None).cast("double").alias("below"))
-    good = rules.join(P.rule_violations(rules, "above", "below").select("doc_id"), "doc_id", "left_anti")
-    split = P.split_chrome(runs.join(good.select("doc_id", F.col("above").alias("_a"), F.col("below").alias("_b")), "doc_id", "left"), F.col("_a"), F.col("_b"))
+    if none:  # without a join, which would go from the plan, but the hint of large runs with it
+        ruled = runs.withColumns({"_a": F.lit(None).cast("double"), "_b": F.lit(None).cast("double")})
+    else:
+        good = rules.join(P.rule_violations(rules, "above", "below").select("doc_id"), "doc_id", "left_anti")
+        ruled = runs.join(good.select("doc_id", F.col("above").alias("_a"), F.col("below").alias("_b")), "doc_id", "left")
+    split = P.split_chrome(ruled, F.col("_a"), F.col("_b"))
     gone = split.where("removed").groupBy("doc_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("text")).alias("texts"))
     removed = gone.select("doc_id", F.lit("furniture").alias("kind"), F.concat(F.lit("page furniture: "), F.col("n").cast("string"), F.lit(" runs removed by the declared rule: "), listed(F.col("texts"))).alias("message"))
     report = P.chrome_report(split, ["doc_id"], F.col("_a"), F.col("_b"))

@@ -209,11 +209,12 @@ def find_grids(rects: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
     edge = lambda p, q: one.select(*key, "rect_ix", F.explode(F.array(p, q)).alias("value"))
     xs, ys = kept(boundaries(edge("x0", "x1"), key)), kept(boundaries(edge("y0", "y1"), key))
     closed = closed_at_top(one, ys, key)
-    ys = ys.join(closed, key, "left_semi").unionByName(implied_top(ys.join(closed, key, "left_anti"), key))
+    ys = kept(ys.join(closed, key, "left_semi").unionByName(implied_top(ys.join(closed, key, "left_anti"), key)))
     nx, ny = (d.groupBy(*key).count().withColumnRenamed("count", c) for d, c in ((xs, "nx"), (ys, "ny")))
     # a single line across has no implied second one
     real = nx.join(ny, key).where("nx >= 2 and ny >= 2 and not (nx = 2 and ny = 2)").select(*key)
-    return xs.join(real, key, "left_semi"), ys.join(real, key, "left_semi")
+    # Spark takes a semi join for as large as its left side's files, which say little of rows that repeat
+    return kept(xs.join(real, key, "left_semi")), kept(ys.join(real, key, "left_semi"))
 
 
 def bands(lines: DataFrame, key: list[str]) -> DataFrame:

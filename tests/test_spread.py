@@ -3,11 +3,12 @@
 import json
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from paperloom.operators import config, offers
+from paperloom.operators import assembly, config, offers, pages
 from paperloom.plans import made
 from paperloom.sinks import writers
-from paperloom.sources import archive, base
+from paperloom.sources import archive, base, pdf
 
 
 def test_one_small_file_of_documents_is_read_by_many_tasks(spark):
@@ -115,3 +116,29 @@ def test_a_word_file_is_opened_once(spark, monkeypatch):
     blocks = [(r.t, r.items if r.t == "list" else r.text, r.start, r.depth) for r in got["blocks"].orderBy("block_ix").collect()]
     assert blocks == [("para", "T", None, None), ("heading", "H", None, None), ("list", ["a", "b"], 3, 0), ("list", ["c"], None, 2), ("pagebreak", None, None, None), ("para", "end", None, None)]
     assert seen == ["word_rows"] and got["dropped"].count() == 0
+
+
+def test_a_table_large_in_rows_but_small_in_files_is_not_broadcast(spark):
+    """What repeats takes a few bits a row in a file, so its size says little of what the driver would collect."""
+    facts = spark.range(1_000_000).select((F.col("id") % 7).alias("k"), F.col("id").alias("v"))
+    repeats = base.kept(spark.range(400_000).select((F.col("id") % 2).alias("k"), F.array(F.lit(700.0)).alias("v")))
+    few = base.kept(spark.range(10).select(F.col("id").alias("k"), F.lit("x").alias("v")))
+    plan = lambda t: facts.join(t, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" in plan(few)
+    assert "Broadcast" not in plan(repeats) and "Broadcast" not in plan(repeats.select("k", F.explode("v")))
+    size = lambda v, kind: spark.range(1).select(base.held(F.expr(v), T._parse_datatype_string(kind)).alias("n")).head()["n"]
+    assert size("'é'", "string") == 10 and size("cast(null as string)", "string") == 8 and size("array(1.0D, 2.0D)", "array<double>") == 32
+    assert size("named_struct('a', 1L, 'b', array('xy'))", "struct<a:long,b:array<string>>") == 16 + 8 + 16 + 10 and size("map('a', 1L)", "map<string,long>") == 16 + 9 + 16 + 8
+
+
+def test_large_pages_meet_their_grids_without_the_driver(spark, monkeypatch):
+    """Runs and the lines of grids keep out of broadcasts, without a rule of furniture and behind semi joins too."""
+    monkeypatch.setattr(base, "BROADCAST", 0)
+    key = ["doc_id", "page"]
+    files = spark.createDataFrame([(k, bytearray(made.pdf([[["a", "b"], ["c", "d"]]] * 2))) for k in range(3)], "doc_id long, content binary")
+    rects, runs, _ = pdf.geometry(files)
+    body, _ = assembly.chrome(runs, None)
+    xs, ys = pages.find_grids(rects, key)
+    assert xs.count() == 18 and ys.count() == 18
+    for joined in (body.join(rects.select(*key), key), pages.table_cells(body, xs, ys, key), assembly.zoned(body, xs, ys), xs.groupBy(*key).count().join(runs, key)):
+        assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
